@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweir.llm import exact_dedup, packing, sharding
+from graphweir.llm import exact_dedup, mixing, packing, sharding
 from graphweir.plans.durable import ROW
 from graphweir.plans.session import table
 
@@ -17,9 +17,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents")).drop(ROW)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop(ROW)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop(ROW)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_sharding, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_sharding, op8_mixing, op9_exact_dedup)}
 ORACLES = {"op4_sharding": sharding.SQL, "op9_exact_dedup": exact_dedup.SQL}
