@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweir.llm import exact_dedup, mixing, ngram_join, packing, sharding
+from graphweir.llm import embedding_dedup, exact_dedup, mixing, ngram_join, packing, sharding
 from graphweir.plans.durable import ROW
 from graphweir.plans.session import table
 
@@ -21,6 +21,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents")).drop(ROW)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_classes(table(spark, sf_dir, "embeddings")).drop(ROW)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).drop(ROW)
 
@@ -29,5 +33,5 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop(ROW)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_sharding, op5_ngram_join, op8_mixing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_sharding, op5_ngram_join, op6_embedding_dedup, op8_mixing, op9_exact_dedup)}
 ORACLES = {"op4_sharding": sharding.SQL, "op9_exact_dedup": exact_dedup.SQL}
