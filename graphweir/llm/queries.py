@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweir.llm import embedding_dedup, exact_dedup, mixing, ngram_join, packing, sharding
+from graphweir.llm import embedding_dedup, exact_dedup, mixing, ngram_join, packing, quality, sharding
 from graphweir.plans.durable import ROW
 from graphweir.plans.session import table
 
@@ -33,5 +33,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop(ROW)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_sharding, op5_ngram_join, op6_embedding_dedup, op8_mixing, op9_exact_dedup)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_sharding, op5_ngram_join, op6_embedding_dedup, op8_mixing, op9_exact_dedup, op10_quality)}
 ORACLES = {"op4_sharding": sharding.SQL, "op9_exact_dedup": exact_dedup.SQL}
