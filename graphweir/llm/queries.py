@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweir.llm import embedding_dedup, exact_dedup, mixing, ngram_join, packing, quality, sharding
+from graphweir.llm import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, packing, quality, sharding
 from graphweir.plans.durable import ROW
 from graphweir.plans.session import table
 
@@ -25,6 +25,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_classes(table(spark, sf_dir, "embeddings")).drop(ROW)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).drop(ROW)
 
@@ -37,5 +41,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_sharding, op5_ngram_join, op6_embedding_dedup, op8_mixing, op9_exact_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_sharding, op5_ngram_join, op6_embedding_dedup, op7_language_id, op8_mixing, op9_exact_dedup, op10_quality)}
 ORACLES = {"op4_sharding": sharding.SQL, "op9_exact_dedup": exact_dedup.SQL}
