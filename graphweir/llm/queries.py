@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweir.llm import embedding_dedup, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, sharding
+from graphweir.llm import embedding_dedup, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, sharding, url_filter
 from graphweir.plans.durable import ROW
 from graphweir.plans.session import table
 
@@ -13,6 +13,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksum(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.without_repeats(table(spark, sf_dir, "documents")))
 
@@ -45,5 +49,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_sharding, op5_ngram_join, op6_embedding_dedup, op7_language_id, op8_mixing, op9_exact_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_line_dedup, op4_sharding, op5_ngram_join, op6_embedding_dedup, op7_language_id, op8_mixing, op9_exact_dedup, op10_quality)}
 ORACLES = {"op4_sharding": sharding.SQL, "op9_exact_dedup": exact_dedup.SQL}
