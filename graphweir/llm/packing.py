@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweir.llm.tokens import Encoder
+from graphweir.llm.tokens import shared_encoder
 from graphweir.plans.durable import durable
 
 WINDOW, UNIT, DEPTH, END_ID = 2048, 16, 3, 1
@@ -166,7 +166,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None,
     """id, ids, tokens, and the row's rank among its own task's rows with that remainder."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, task = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, task = shared_encoder(tokenizer), TaskContext.get().partitionId()
         seen, windows = np.zeros(window, np.int64), 0
         end = np.array([end_id], encoder.dtype).tobytes()
         for frame in frames:

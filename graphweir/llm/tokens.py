@@ -28,10 +28,21 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_SHARED: dict[str, Encoder] = {}
+
+
+def shared_encoder(path: str | None = None) -> Encoder:
+    """This process's encoder: what one task has learned serves the next."""
+    path = path or default_path()
+    if path not in _SHARED:
+        _SHARED[path] = Encoder(path)
+    return _SHARED[path]
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 16- or 32-bit ids."""
 
-    def __init__(self, path: str | None = None, cached_words: int = 400_000):
+    def __init__(self, path: str | None = None, cached_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
