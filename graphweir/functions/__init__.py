@@ -1 +1 @@
-
+"""Column builders: text rules, languages, severities, versions, canonical JSON."""
