@@ -12,7 +12,7 @@ SOURCE_KEYWORDS = ("input", "read", "load", "fetch", "get", "receive", "request"
 SINK_KEYWORDS = ("write", "save", "update", "execute", "insert", "delete", "query", "render", "response", "print", "log", "output", "store", "send", "sql", "command", "exec", "eval", "database", "file", "http")
 # Keywords of the documentation that confirm a source or sink.
 SOURCE_DOC_KEYWORDS = ("read", "input", "get", "fetch", "load", "receive", "obtain", "parse", "extract", "import")
-SINK_DOC_KEYWORDS = ("write", "send", "output", "save", "store", "execute", "update", "delete", "insert", "query", "render", "response", "print", "log")
+SINK_DOC_KEYWORDS = ("write", "output", "save", "store", "execute", "update", "delete", "insert", "query", "render", "response", "print", "log")
 # Types as (type, all of these words, any of these words), the first that fits.
 SOURCE_TYPES = (
     ("user_input", ("user", "input"), ()),
