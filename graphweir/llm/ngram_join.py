@@ -3,9 +3,9 @@
 Documents with the same set of five-word shingles form a class and go on as one row.  Band
 hashes of their MinHash signatures are shuffled (a few bytes each); buckets with at least
 two classes link their members to the smallest one, and the components of these links are
-the candidate clusters.  Only documents in clusters move their full shingle sets, once per
-pair of blocks of their cluster; there all pairs are compared exactly, by counting common
-shingles with matrix products.  A block returns link counts and a spanning set of links,
+the candidate clusters.  Only the texts of one document per class in a cluster move on, once per
+pair of blocks of their cluster; there all pairs are compared exactly on their full shingle
+sets, by counting common shingles with matrix products.  A block returns link counts and a spanning set of links,
 linear in its members, never the pairs themselves.
 """
 
@@ -69,6 +69,16 @@ class Shingler:
         return np.unique(grams * _MIX)
 
 
+_SHARED: dict[int, Shingler] = {}
+
+
+def shared_shingler(n: int) -> Shingler:
+    """This process's shingler: words that one task has hashed serve the next."""
+    if n not in _SHARED:
+        _SHARED[n] = Shingler(n)
+    return _SHARED[n]
+
+
 class MinHash:
     """Band hashes of shingle sets; permutations are seeded, the same everywhere."""
 
@@ -87,10 +97,10 @@ class MinHash:
 
 
 def signatures(rows: DataFrame, n: int, bands: int, band_rows: int) -> DataFrame:
-    """row, id, a 128-bit digest of the shingle set, the set itself, and its band hashes."""
+    """row, id, text digest, the size and a 128-bit digest of the shingle set, and its band hashes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, minhash = Shingler(n), MinHash(bands, band_rows)
+        shingler, minhash = shared_shingler(n), MinHash(bands, band_rows)
         for frame in frames:
             for lo in range(0, len(frame), 1000):
                 part = frame.iloc[lo : lo + 1000]
@@ -98,14 +108,14 @@ def signatures(rows: DataFrame, n: int, bands: int, band_rows: int) -> DataFrame
                 yield pd.DataFrame({
                     ROW: part[ROW],
                     "id": part["id"],
+                    "th": part["th"],
                     "size": [len(s) for s in sets],
                     "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "set": [s.tobytes() for s in sets],
                     "bands": [minhash(s).tolist() if len(s) else [] for s in sets],
                 })
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"{ROW} long, id {kind}, size int, digest binary, set binary, bands array<long>")
+    return rows.mapInPandas(run, f"{ROW} long, id {kind}, th string, size int, digest binary, bands array<long>")
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -157,11 +167,12 @@ def spanning(n: int, ends: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int
     return out
 
 
-def compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def compare(frame: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
     """Links between the blocks ``i`` and ``j`` of a cluster (within the block, if equal)."""
     i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-    frame = frame.sort_values(["block", "node"])
-    sets = [np.frombuffer(s, np.uint64) for s in frame["set"]]
+    frame = frame.drop_duplicates("node").sort_values(["block", "node"])
+    shingler = shared_shingler(n)
+    sets = [shingler(t) for t in frame["text"]]
     node, copies, block = frame["node"].to_numpy(), frame["copies"].to_numpy(np.int64), frame["block"].to_numpy()
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
@@ -207,22 +218,24 @@ def similarity_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRES
     of its own, as is a repeated row of such a text.  Whole texts count, however long.  An
     empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    rows = docs.select((F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias(ROW), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    rows = docs.select((F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias(ROW), F.col(id_col).alias("id"), text.alias("text"), F.md5(text).alias("th"))
     signed = durable(signatures(rows, n, bands, band_rows), "shingles")
     # classes of equal sets: the smallest row stands for them
     full = signed.filter("size > 0")
     same = durable(full.groupBy("digest").agg(F.min(ROW).alias("node"), F.count("*").alias("copies")), "same-sets")
-    nodes = full.select(F.col(ROW).alias("node"), "size", "bands").join(same.select("node", "copies"), "node")
+    nodes = full.select(F.col(ROW).alias("node"), "bands").join(same.select("node"), "node")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("band", "h").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = buckets.filter("low < high").select("band", "h", "low")
     candidates = banded.join(shared, ["band", "h"]).filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     clusters = connected_components(candidates).select("node", F.col("component").alias("cluster"))
-    members = full.select(F.col(ROW).alias("node"), "size", "set").join(clusters, "node").join(same.select("node", "copies"), "node")
+    members = clusters.join(full.select(F.col(ROW).alias("node"), "id", "th", "size"), "node").join(same.select("node", "copies"), "node")
     pairs = blocked_pairs(members, "size", BLOCK_SHINGLES, BLOCK_DOCS)
-    verified = durable(
-        pairs.groupBy("cluster", "i", "j").applyInPandas(lambda f: compare(f, threshold), "a long, b long, links long"), "links"
-    )
+    texts = rows.select(F.col("id").alias("id_"), F.col("th").alias("th_"), "text")
+    pairs = pairs.join(texts, (F.col("th") == F.col("th_")) & F.col("id").eqNullSafe(F.col("id_"))).select("cluster", "node", "copies", "block", "i", "j", "text")
+    compared = pairs.groupBy("cluster", "i", "j").applyInPandas(lambda f: compare(f, n, threshold), "a long, b long, links long")
+    verified = durable(compared, "links")
     links = verified.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = connected_components(verified.filter("a <> b").select("a", "b"))
     by_set = (
