@@ -31,7 +31,7 @@ def with_checksum(events: DataFrame) -> DataFrame:
 def lines(events: DataFrame, key: Column | None = None) -> DataFrame:
     """date and one JSON line per event, sealed as ``ENC:`` where a key is given."""
     text = F.to_json(F.struct(*[c for c in events.columns if c != "date"]), OPTIONS)
-    sealed = text if key is None else F.concat(F.lit("ENC:"), F.base64(F.aes_encrypt(text.cast("binary"), key)))
+    sealed = text if key is None else F.concat(F.lit("ENC:"), F.regexp_replace(F.base64(F.aes_encrypt(text.cast("binary"), key)), r"\s", ""))
     return events.select(F.to_date("timestamp").alias("date"), sealed.alias("value"))
 
 
