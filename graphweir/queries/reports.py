@@ -646,3 +646,36 @@ def c16(spark, d):
     """Context listing: optional filters, newest first."""
     c = findings.filtered(table(spark, d, "conversations"), {"role": "user", "conv_id": None}, {"turn": 2})
     return c.orderBy(F.desc("turn"), "conv_id").select("conv_id", "turn", "role")
+
+
+@query("v6", "SELECT o_orderkey, 'order ' || o_orderkey AS source, 'customer ' || o_custkey AS sink, 'medium' AS impact FROM orders")
+def v6(spark, d):
+    """Data-flow paths out of written answers."""
+    from graphweir.operators.answers import flow_paths
+
+    text = F.concat(F.lit("Source: order "), F.col("o_orderkey").cast("string"), F.lit("\nSink: customer "), F.col("o_custkey").cast("string"), F.lit("\nDescription: it flows\nand more\nRecommendation: check\n- twice"))
+    return flow_paths(table(spark, d, "orders").select("o_orderkey", text.alias("t")), "o_orderkey", "t").select("o_orderkey", "source", "sink", "impact")
+
+
+@query("f35", "SELECT item_id, length(text) AS n FROM benchmark")
+def f35(spark, d):
+    """The batch boundary of an embedding service, with a stand-in that measures."""
+    from graphweir.sources.external import answered
+
+    out = answered(table(spark, d, "benchmark"), "text", lambda: lambda texts: [[float(len(t))] for t in texts], "array<double>", "embedding")
+    return out.select("item_id", F.col("embedding")[0].cast("bigint").alias("n"))
+
+
+@query("v7", "SELECT item_id, substr(text, 1, 12) AS summary FROM benchmark WHERE length(trim(text)) >= 10")
+def v7(spark, d):
+    """The batch boundary of a summary service, with a stand-in that shortens."""
+    from graphweir.sources.external import summaries
+
+    return summaries(table(spark, d, "benchmark"), lambda: lambda texts: [t[:12] for t in texts], "text").select("item_id", "summary")
+
+
+@query("t5", "SELECT count(*) AS n FROM region")
+def t5(spark, d):
+    """Server time: one value for all rows of a query."""
+    stamped = table(spark, d, "region").withColumn("at", F.current_timestamp())
+    return stamped.groupBy("at").agg(_n()).select("n")

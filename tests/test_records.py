@@ -181,3 +181,39 @@ def test_lockouts_equal_brute_force_in_batch_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = ev.run(ev.lockout_stream(stream), "locks").collect()
     assert sorted((r["user_id"], r["locked_at"]) for r in got) == want
+
+
+def test_paths_in_answers(spark):
+    from graphweir.operators.answers import flow_paths
+
+    text = "Intro\nSource 1: form\nSink: db\nVulnerability type: SQL injection\nDescription: first\nsecond\nRecommendation: bind\n- escape\nSource: a\nSink: b\nSource: c\nSink: d\nDescription: x\nThe impact is high"
+    out = flow_paths(spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string"), "id", "t").orderBy("path_no").collect()
+    assert [(r["path_no"], r["source"], r["sink"], r["vulnerability_type"], r["impact"]) for r in out] == [(1, "form", "db", "SQL injection", "high"), (2, "c", "d", "Potential data flow vulnerability", "high")]
+    assert out[0]["description"] == "first\nsecond" and out[0]["recommendations"] == ["bind", "escape"]
+
+
+def test_a_failing_service_gives_nulls(spark):
+    from graphweir.sources.external import answered
+
+    def connect():
+        def ask(texts):
+            if "bad" in texts:
+                raise TimeoutError
+            return [t.upper() for t in texts]
+
+        return ask
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "bad", None, "c"])], "i int, t string").coalesce(1)
+    assert {r["i"]: r["x"] for r in answered(df, "t", connect, "string", "x", 2).collect()} == {0: "A", 1: "B", 2: None, 3: None, 4: None}
+
+
+def test_query_log(spark):
+    from graphweir.plans.timing import QueryLog, hints
+
+    ticks = iter([0.0, 0.05, 1.0, 3.0])
+    log = QueryLog(clock=lambda: next(ticks), kept=1)
+    for name in ("fast", "slow"):
+        with log.timed(name):
+            pass
+    assert list(log.slow) == [("slow", 2.0)] and log.frame(spark).count() == 2
+    assert hints("CartesianProduct\nBatchEvalPython") == ["a join without an equality", "a row-at-a-time Python function"]
