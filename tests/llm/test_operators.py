@@ -470,9 +470,9 @@ def test_model_equals_brute_force(spark):
     texts = ["".join(rng.choice("abc ") for _ in range(60)) for _ in range(12)]
     letters, order, size = [ord(c) for c in "abc "], 3, 5
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    model = quality.train(df, letters, order, size)
-    table = quality.symbol_table(letters)
-    p = brute_kneser_ney([quality.grams(t, table, order, size) for t in texts], order, size)
+    coder = quality.Characters(letters, order, size)
+    model = quality.train(df, coder)
+    p = brute_kneser_ney([coder(t) for t in texts], order, size)
     assert np.allclose(model, [-np.log(p(g, order)) for g in range(size**order)], rtol=1e-4)
 
 
