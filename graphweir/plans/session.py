@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,10 @@ def build_session(app: str = "graphweir", cores: int | str = "*", **conf: str) -
 
     On a cluster the caller brings its own session; nothing below relies on this function.
     """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:  # the Python workers import this package too
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     defaults = {
         "spark.sql.shuffle.partitions": os.environ.get("GRAPHWEIR_SHUFFLE", "8"),
