@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,19 +57,39 @@ def top_by(rows: DataFrame, keys: list[str], n: int, *order: Column) -> DataFram
 
 def match_paths(paths: DataFrame, files: DataFrame) -> DataFrame:
     """Maps each path (node_id, path) to the best file (file_id, path): equal, then the
-    longest common suffix on a slash, then basename, then the stem of a Python file.
+    longest whole suffix either way, then the same basename, then the same stem of a Python
+    file.  Ties go to the smaller path, so the result does not depend on input order.
 
-    Candidates come from equi-joins on basename and on stem only; ties go to the smaller
-    path, so the result does not depend on input order.
+    Each rule is an equi-join against files that were reduced to the best one per key
+    first, so a basename that very many files share costs no pairs.
     """
     norm = lambda c: F.regexp_replace(F.regexp_replace(c, r"\\", "/"), "^(\\./|/)+", "")
     base = lambda c: F.substring_index(c, "/", -1)
     stem = lambda c: F.regexp_replace(c, r"\.py$", "")
-    p = paths.select("node_id", norm(F.col("path")).alias("p")).withColumn("b", base(F.col("p")))
-    f = files.select("file_id", F.col("path").alias("file_path"), norm(F.col("path")).alias("q")).withColumn("b", base(F.col("q")))
-    by_name = p.join(f, "b").withColumn("rank", F.when(F.col("p") == F.col("q"), 0).when(F.endswith(F.col("q"), F.concat(F.lit("/"), "p")) | F.endswith(F.col("p"), F.concat(F.lit("/"), "q")), 1).otherwise(2))
-    by_stem = p.withColumn("s", stem(F.col("b"))).join(f.withColumn("s", stem(F.col("b"))).withColumnRenamed("b", "fb"), "s").filter("b <> fb").withColumn("rank", F.lit(3))
-    wanted = ["node_id", "p", "file_id", "file_path", "q", "rank"]
-    both = by_name.select(wanted).unionByName(by_stem.select(wanted))
-    length = F.least(F.length("p"), F.length("q"))
-    return first_by(both.withColumn("len", F.when(F.col("rank") == 1, length).otherwise(0)), ["node_id"], F.col("rank"), F.desc("len"), F.col("q"), F.col("file_id")).select("node_id", "file_id", "file_path", "rank")
+    p = paths.select("node_id", norm(F.col("path")).alias("p"))
+    f = files.select(F.struct(norm(F.col("path")).alias("q"), "file_id", F.col("path").alias("file_path")).alias("f"))
+
+    def suffixes(c, least: int):
+        """Proper suffixes (``least`` 1) or all (0) on component borders."""
+        parts = F.split(c, "/")
+        n = F.size(parts)
+        cuts = F.when(n > least, F.sequence(F.lit(least + 1), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(cuts, lambda i: F.array_join(F.slice(parts, i, n - i + 1), "/"))
+
+    def best(key):
+        return f.select(key.alias("k"), "f").groupBy("k").agg(F.min("f").alias("f"))
+
+    q = F.col("f.q")
+    whole = best(q)
+    longer = f.select(F.explode(suffixes(q, 1)).alias("k"), "f").groupBy("k").agg(F.min("f").alias("f"))
+    stems = f.select(stem(base(q)).alias("k"), base(q).alias("b"), "f").groupBy("k", "b").agg(F.min("f").alias("f"))
+    found = [
+        (p.select("node_id", F.col("p").alias("k")).join(whole, "k"), 0),
+        (p.select("node_id", F.col("p").alias("k")).join(longer, "k"), 1),
+        (p.select("node_id", F.explode(suffixes(F.col("p"), 1)).alias("k")).join(whole, "k"), 1),
+        (p.select("node_id", base(F.col("p")).alias("k")).join(best(base(q)), "k"), 2),
+        (p.select("node_id", stem(base(F.col("p"))).alias("k"), base(F.col("p")).alias("own")).join(stems, "k").filter("own <> b"), 3),
+    ]
+    each = [df.select("node_id", F.struct(F.lit(rank).alias("rank"), (-F.length("k") if rank == 1 else F.lit(0)).alias("len"), "f").alias("m")) for df, rank in found]
+    picked = reduce(DataFrame.unionByName, each).groupBy("node_id").agg(F.min("m").alias("m"))
+    return picked.select("node_id", "m.f.file_id", "m.f.file_path", "m.rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweir.functions.text import mapped, valid_cve
@@ -80,8 +80,8 @@ def weaknesses_xml(raw: DataFrame, column: str = "xml") -> DataFrame:
 
 def merged_config(settings: DataFrame) -> DataFrame:
     """Of (key, value, priority) the value with the highest priority; empty values do not count."""
-    ranked = settings.filter("value is not null and value <> ''").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("priority"), "value")))
-    return ranked.filter("r = 1").select("key", "value", "priority")
+    best = F.min(F.struct((-F.col("priority")).alias("order"), "value", "priority")).alias("m")
+    return settings.filter("value is not null and value <> ''").groupBy("key").agg(best).select("key", "m.value", "m.priority")
 
 
 def overlaid(old: Column, new: Column) -> Column:
