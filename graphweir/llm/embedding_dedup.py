@@ -152,8 +152,8 @@ def exact_links(left: np.ndarray, right: np.ndarray, threshold: float, same: boo
         x += lo
         if same:
             x, y = x[x < y], y[x < y]
-        for k in range(0, len(x), 200_000):
-            xs, ys = x[k : k + 200_000], y[k : k + 200_000]
+        for k in range(0, len(x), 50_000):
+            xs, ys = x[k : k + 50_000], y[k : k + 50_000]
             hit = np.einsum("ij,ij->i", left[xs], right[ys]) >= threshold
             out[0].append(xs[hit])
             out[1].append(ys[hit])

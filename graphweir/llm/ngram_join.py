@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweir.llm.caches import kept
 from graphweir.plans.components import connected_components
 from graphweir.plans.durable import ROW, durable
 
@@ -69,14 +70,9 @@ class Shingler:
         return np.unique(grams * _MIX)
 
 
-_SHARED: dict[int, Shingler] = {}
-
-
 def shared_shingler(n: int) -> Shingler:
     """This process's shingler: words that one task has hashed serve the next."""
-    if n not in _SHARED:
-        _SHARED[n] = Shingler(n)
-    return _SHARED[n]
+    return kept(("shingler", n), lambda: Shingler(n))
 
 
 class MinHash:
@@ -118,33 +114,43 @@ def signatures(rows: DataFrame, n: int, bands: int, band_rows: int) -> DataFrame
     return rows.mapInPandas(run, f"{ROW} long, id {kind}, th string, size int, digest binary, bands array<long>")
 
 
-def common(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """How many shingles each pair shares; only shingles that occur twice are counted out."""
-    def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-
-    (a, ia), (b, ib) = flat(left), flat(right)
-    both = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+def placed(sets: list[np.ndarray], among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(column, row) of the shingles that are in ``among`` (sorted), by column."""
+    x, row = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
+    hit = among[at] == x
+    at, row = at[hit].astype(np.int32), row[hit]
+    order = np.argsort(at, kind="stable")
+    return at[order], row[order]
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray], width: int = 1024) -> np.ndarray:
+    """How many shingles each pair shares, by products of 0-1 matrices, ``width`` shingles at a time."""
+    same = left is right
+    if same:  # shingles of one set only cannot be shared
+        x, n = np.unique(np.concatenate(left), return_counts=True)
+        both = x[n > 1]
+    else:
+        both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
     out = np.zeros((len(left), len(right)), np.float32)
     if not len(both):
         return out
-
-    def place(x: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(both, x), len(both) - 1)
-        hit = both[at] == x
-        order = np.argsort(at[hit], kind="stable")
-        return at[hit][order], i[hit][order]
-
-    (ca, ra), (cb, rb) = place(a, ia), place(b, ib)
+    ca, ra = placed(left, both)
+    cb, rb = (ca, ra) if same else placed(right, both)
     for lo in range(0, len(both), width):
         hi = min(lo + width, len(both))
-        x, y = np.zeros((len(left), hi - lo), np.float32), np.zeros((len(right), hi - lo), np.float32)
         s, e = np.searchsorted(ca, [lo, hi])
-        x[ra[s:e], ca[s:e] - lo] = 1
-        s, e = np.searchsorted(cb, [lo, hi])
-        y[rb[s:e], cb[s:e] - lo] = 1
-        ux, uy = np.flatnonzero(x.any(axis=1)), np.flatnonzero(y.any(axis=1))
-        out[np.ix_(ux, uy)] += x[ux] @ y[uy].T
+        ux, at = np.unique(ra[s:e], return_inverse=True)
+        x = np.zeros((len(ux), hi - lo), np.float32)
+        x[at, ca[s:e] - lo] = 1
+        if same:
+            uy, y = ux, x
+        else:
+            s, e = np.searchsorted(cb, [lo, hi])
+            uy, at = np.unique(rb[s:e], return_inverse=True)
+            y = np.zeros((len(uy), hi - lo), np.float32)
+            y[at, cb[s:e] - lo] = 1
+        out[np.ix_(ux, uy)] += x @ y.T
     return out
 
 
@@ -177,18 +183,26 @@ def compare(frame: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
     size = np.array([len(s) for s in sets], np.float64)
-    links, ends = np.zeros(len(frame), np.int64), [[], []]
+    links, ends = np.zeros(len(frame), np.int64), ([], [])
     if len(left) and len(right):
-        shared = common([sets[k] for k in left], [sets[k] for k in right]).astype(np.float64)
-        union = size[left][:, None] + size[right][None, :] - shared
-        hit = shared >= threshold * union - 1e-9
-        if i == j:
-            np.fill_diagonal(hit, False)
-        links[left] += (hit * copies[right]).sum(axis=1)
-        if i != j:
-            links[right] += (hit * copies[left][:, None]).sum(axis=0)
-        ends = np.nonzero(np.triu(hit, 1) if i == j else hit)
-        ends = (left[ends[0]], right[ends[1]])
+        sets_l = [sets[k] for k in left]
+        shared = common(sets_l, sets_l if i == j else [sets[k] for k in right])
+        for lo in range(0, len(left), 256):  # rows at a time: the matrices stay small
+            rows = left[lo : lo + 256]
+            part = shared[lo : lo + 256].astype(np.float64)
+            hit = part >= threshold * (size[rows][:, None] + size[right][None, :] - part) - 1e-9
+            if i == j:
+                hit[np.arange(len(rows)), np.arange(lo, lo + len(rows))] = False
+            links[rows] += hit @ copies[right]
+            if i != j:
+                links[right] += copies[rows] @ hit
+            a, b = np.nonzero(hit)
+            a, b = rows[a], right[b]
+            ahead = a < b if i == j else slice(None)
+            a, b = a[ahead], b[ahead]
+            ends[0].append(a)
+            ends[1].append(b)
+    ends = tuple(np.concatenate(e) if e else np.zeros(0, np.int64) for e in ends)
     forest = spanning(len(frame), ends) if len(ends[0]) else []
     edges = pd.DataFrame({"a": [node[x] for x, _ in forest], "b": [node[y] for _, y in forest], "links": np.int64(0)})
     counts = pd.DataFrame({"a": node, "b": node, "links": links})

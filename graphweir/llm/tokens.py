@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from graphweir.llm.caches import kept
+
 #: The words of the normalised (lower-cased) text, for characters below U+0100.  Fixed by the tokenizer's file.
 LETTERS = "a-zªµºß-öø-ÿ"
 NUMBERS = "0-9²³¹¼½¾"
@@ -28,15 +30,10 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_SHARED: dict[str, Encoder] = {}
-
-
 def shared_encoder(path: str | None = None) -> Encoder:
     """This process's encoder: what one task has learned serves the next."""
     path = path or default_path()
-    if path not in _SHARED:
-        _SHARED[path] = Encoder(path)
-    return _SHARED[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 class Encoder:

