@@ -23,7 +23,7 @@ def corpus(spark, tmp_path_factory):
     rows += [(400 + i, "".join(rng.choice("%$#&*") for _ in range(200)), "xx", "a", 0) for i in range(8)]
     rows += [(500, None, None, None, None), (501, "", "xx", "a", 0), (501, "", "xx", "a", 0)]
     root = str(tmp_path_factory.mktemp("corpus"))
-    frame(spark, rows).withColumn("size", F.lit("x")).write.parquet(f"{root}/documents.parquet")
+    frame(spark, rows).withColumns({c: F.lit("x") for c in ("size", "keep", "score0", "gw_lang", "rate0", "id", "copies")}).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     return root
 
@@ -35,6 +35,7 @@ def test_stages(spark, corpus):
     one = corpus_pipeline.keep_quality(spark, docs, corpus)
     assert one.columns == columns
     rows = one.collect()
+    assert {r["keep"] for r in rows} == {r["score0"] for r in rows} == {"x"}
     assert {r["doc_id"] for r in rows} == keep and not [i for i in keep if 400 <= i < 500] and len(keep) > 150
 
     two = corpus_pipeline.drop_copies(spark, one, corpus)
