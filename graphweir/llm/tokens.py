@@ -24,6 +24,16 @@ WORD = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{BLANKS}{LE
 KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTES = byte_letters()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -55,10 +65,10 @@ class Encoder:
         if len(self.known) + len(fresh) > self.cached_words:
             self.known.clear()
             fresh = list(dict.fromkeys(words))
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.dtype).tobytes()
+        merge, kind = self.tokenizer.model.tokenize, self.dtype
+        for w in fresh:  # the library's merges, without its normalising and splitting, which are done
+            spelled = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_BYTES)
+            self.known[w] = np.array([t.id for t in merge(spelled)], kind).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
