@@ -1,32 +1,34 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is trained on all trusted text, at two levels: n-grams of four characters over an
-alphabet of 64 symbols (the 63 most frequent characters of the corpus and one for the
-rest), which see odd characters and spelling, and n-grams of two words over 1024 hashed word
-classes, which see odd vocabulary and repetition.  Both have a proven size bound, 64 ** 4
-and 1024 ** 2 entries, however large the corpus is.  Counts, continuation counts, discounts
-and context weights (Chen and Goodman, "An Empirical Study of Smoothing Techniques for
-Language Modeling", 1999) are sharded by n-gram and joined by context and by suffix; only
-the finished model is gathered and broadcast.  A document is rejected if its perplexity at either level lies outside quantiles of the trusted documents
-of its language, a fifth of which the model has not seen.
+The model is trained on all trusted text, at two levels: n-grams of four characters, which
+see odd characters and spelling, and n-grams of two words, which see odd vocabulary and
+repetition.  All characters and all words count (words by 64-bit hashes), so the tables grow
+with the corpus.  Counts, continuation counts, discounts and context weights (Chen and
+Goodman, "An Empirical Study of Smoothing Techniques for Language Modeling", 1999) are
+tables sharded by n-gram and context; nothing is gathered.  Documents are scored in blocks of
+neighbouring rows: the distinct n-grams and contexts of a block are joined to the model, and
+what is found meets the block's texts again.  A document is rejected if its
+perplexity at either level lies outside quantiles of the trusted documents of its language,
+a fifth of which the model has not seen.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweir.llm.caches import kept
-from graphweir.plans.durable import durable
+from graphweir.plans.durable import ROW, durable, tagged
 
-SYMBOLS, ORDER = 64, 4
-CLASSES, WORD_ORDER = 1024, 2
+ORDER, WORD_ORDER = 4, 2
+#: Rows of a block, as a power of two, and n-grams that a task holds before it counts them.
+BLOCK_BITS, HELD_GRAMS = 13, 4_000_000
 #: Characters and words at the typical rate of the language that are added to every document's mean.
 PRIOR_CHARS, PRIOR_WORDS = 200, 60
 #: Trusted documents outside these quantiles would be rejected, but for the margin.
@@ -41,53 +43,37 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def alphabet(docs: DataFrame, text_col: str, size: int = SYMBOLS) -> list[int]:
-    """The most frequent characters of the corpus (ties by code point), at most ``size - 1``."""
+class Letters:
+    """Contexts and symbols of the n-grams of characters that end at each character; blanks stand before the text.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(0x110000, np.int64)
-        for frame in frames:
-            for t in frame["text"]:
-                if isinstance(t, str) and t:
-                    x = code_points(t)
-                    n = np.bincount(x)
-                    seen[: len(n)] += n
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"c": at, "n": seen[at]})
-
-    counts = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "c long, n long")
-    top = counts.groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(size - 1)
-    return [r["c"] for r in top.collect()]
-
-
-class Characters:
-    """Codes of the n-grams of characters that end at each character; blanks stand before the text."""
+    A context is the characters before, 21 bits each, so nothing collides.
+    """
 
-    def __init__(self, letters: list[int], order: int = ORDER, size: int = SYMBOLS):
-        self.letters, self.order, self.size = letters, order, size
+    order, size = ORDER, 1 << 21
 
-    def __call__(self, text: str) -> np.ndarray:
-        if not hasattr(self, "table"):
-            self.table = np.zeros(0x110000, np.uint8)
-            self.table[np.array(self.letters, np.int64)] = np.arange(1, len(self.letters) + 1)
-            self.table[[9, 10, 11, 12, 13]] = self.table[32]  # white space of any kind is the space
-        return grams(self.table[code_points(text)], int(self.table[32]), self.order, self.size)
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        x = code_points(text).astype(np.int64)
+        x[(x >= 9) & (x <= 13)] = 32  # white space of any kind is the space
+        padded = np.concatenate([np.full(self.order - 1, 32, np.int64), x])
+        context = np.zeros(len(x), np.int64)
+        for k in range(self.order - 1):
+            context = context * self.size + padded[k : k + len(x)]
+        return context, x
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "table"}
 
+class Terms:
+    """Contexts and symbols of the pairs of words: hashes of the word before, 0 at the start, and of the word."""
 
-class Words:
-    """Codes of the n-grams of word classes that end at each word; class 0 stands before the text."""
+    order, size = WORD_ORDER, 1
 
-    def __init__(self, order: int = WORD_ORDER, size: int = CLASSES, cached_words: int = 500_000):
-        self.order, self.size, self.cached_words = order, size, cached_words
+    def __init__(self, cached_words: int = 500_000):
+        self.cached_words = cached_words
 
     @staticmethod
     def known() -> dict[str, int]:
         return kept("word hashes", dict)
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words, known = text.split(), self.known()
         try:
             x = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
@@ -96,45 +82,119 @@ class Words:
                 known.clear()
             for w in words:
                 if w not in known:
-                    known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+                    known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
             x = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        return grams(x % (self.size - 1) + 1, 0, self.order, self.size)
+        return np.concatenate([np.zeros(1, np.int64), x])[: len(x)], x
 
 
-def grams(x: np.ndarray, blank: int, order: int, size: int) -> np.ndarray:
-    x = np.concatenate([np.full(order - 1, blank, np.int32), x.astype(np.int32)])
-    out = x[: len(x) - order + 1].copy()
-    for k in range(1, order):
-        out = out * size + x[k : len(x) - order + 1 + k]
-    return out
+CODERS = (Letters(), Terms())
+
+
+def keys_of(context: np.ndarray, symbol: np.ndarray | int, salt: int = 0) -> np.ndarray:
+    """64-bit keys of n-grams, or of contexts where the symbol is 0; ``salt`` tells tables apart."""
+    h = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) + np.asarray(symbol, np.int64).astype(np.uint64) + np.uint64(salt) * np.uint64(0xD6E8FEB86659FD93 >> 8)
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).astype(np.int64)
 
 
-def gram_counts(texts: DataFrame, coder: Characters | Words) -> DataFrame:
-    """g, c: how often each n-gram occurs in all of ``texts``, summed per task before the shuffle."""
+def salt_of(kind: int, k: int, context: bool) -> int:
+    return kind * 64 + k * 2 + context
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray | int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of (context, symbol, count) and their counts."""
+    x, s = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    n = np.concatenate([np.broadcast_to(np.asarray(p[2], np.int64), len(p[1])) for p in parts])
+    h = keys_of(x, s)
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
+    at = order[first]
+    return x[at], s[at], np.add.reduceat(n[order], first)
+
+
+class Counter:
+    """Distinct n-grams of many texts; ``add`` returns them when there are too many to hold."""
+
+    def __init__(self, coder: Letters | Terms):
+        self.coder, self.parts, self.fresh = coder, [], 0
+
+    def add(self, text: str) -> tuple | None:
+        x, s = self.coder(text)
+        if len(s):
+            self.parts.append((x, s, 1))
+            self.fresh += len(s)
+        if self.fresh > HELD_GRAMS:
+            self.parts, self.fresh = [merged(self.parts)], 0
+            if len(self.parts[0][1]) > HELD_GRAMS // 2:
+                return self.take()
+        return None
+
+    def take(self) -> tuple | None:
+        out = merged(self.parts) if self.parts else None
+        self.parts, self.fresh = [], 0
+        return out
+
+
+def trained_counts(texts: DataFrame) -> DataFrame:
+    """kind (of CODERS), x, s, c: how often each n-gram occurs in ``texts``, summed per task before the shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, waiting, held = np.zeros(coder.size**coder.order, np.int32), [], 0
+        counters = [Counter(c) for c in CODERS]
 
-        def settle() -> None:
-            codes, n = np.unique(np.concatenate(waiting), return_counts=True)
-            total[codes] += n.astype(np.int32)
+        def rows(kind: int, got: tuple | None) -> Iterator[pd.DataFrame]:
+            for lo in range(0, len(got[1]) if got else 0, 200_000):
+                x, s, c = (v[lo : lo + 200_000] for v in got)
+                yield pd.DataFrame({"kind": np.int32(kind), "x": x, "s": s, "c": c})
 
         for frame in frames:
             for t in frame["text"]:
                 if isinstance(t, str) and t:
-                    waiting.append(coder(t))
-                    held += len(waiting[-1])
-                    if held > 4_000_000:
-                        settle()
-                        waiting, held = [], 0
-        if waiting:
-            settle()
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 200_000):
-            part = at[lo : lo + 200_000]
-            yield pd.DataFrame({"g": part.astype(np.int64), "c": total[part].astype(np.int64)})
+                    for kind, counter in enumerate(counters):
+                        yield from rows(kind, counter.add(t))
+        for kind, counter in enumerate(counters):
+            yield from rows(kind, counter.take())
+
+    return texts.mapInPandas(run, "kind int, x long, s long, c long").groupBy("kind", "x", "s").agg(F.sum("c").alias("c"))
 
-    return texts.mapInPandas(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+
+def asked_keys(kind: int, order: int, size: int, x: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
+    """All keys of the model that the costs of these n-grams depend on."""
+    out = []
+    for k in range(1, order + 1):
+        y = x if k == order else x % size ** (k - 1)
+        out.append(keys_of(y, s, salt_of(kind, k, False)))
+        if k > 1:
+            out.append(keys_of(y, 0, salt_of(kind, k, True)))
+    return out
+
+
+def block_keys(rows: DataFrame, text_col: str) -> DataFrame:
+    """block, key: what each block needs to know; a split or very varied block names some keys more than once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counters, now = [Counter(c) for c in CODERS], None
+
+        def keys(kind: int, got: tuple | None) -> Iterator[pd.DataFrame]:
+            for part in asked_keys(kind, CODERS[kind].order, CODERS[kind].size, got[0], got[1]) if got else []:
+                part = np.unique(part)
+                for lo in range(0, len(part), 400_000):
+                    yield pd.DataFrame({"block": now, "key": part[lo : lo + 400_000]})
+
+        for frame in frames:
+            for block, t in zip(frame["block"].tolist(), frame["text"], strict=True):
+                if block != now:
+                    for kind, counter in enumerate(counters):
+                        yield from keys(kind, counter.take())
+                    now = block
+                if isinstance(t, str) and t:
+                    for kind, counter in enumerate(counters):
+                        yield from keys(kind, counter.add(t))
+        for kind, counter in enumerate(counters):
+            yield from keys(kind, counter.take())
+
+    return rows.select("block", F.col(text_col).alias("text")).mapInPandas(run, "block long, key long")
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -148,84 +208,175 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(v, 0.05), k) for v, k in zip(d, (0.95, 1.9, 2.9), strict=True))
 
 
-def train(texts: DataFrame, coder: Characters | Words) -> np.ndarray:
-    """-log p(symbol | order - 1 symbols before), for all size ** order n-grams, in half precision."""
-    order, size = coder.order, coder.size
-    levels = {order: durable(gram_counts(texts, coder), "grams")}
-    for k in range(order - 1, 0, -1):  # continuation counts: in how many contexts a suffix occurs
-        suffix = (F.col("g") % size**k).alias("g")
-        levels[k] = durable(levels[k + 1].groupBy(suffix).agg(F.count("*").alias("c")), "continuations")
-    below = np.full(1, 1 / size, np.float32)  # the model of the next lower order: all its entries
-    for k in range(1, order + 1):
-        below = interpolated(below, *level_shares(levels[k], size), size, k, costs=k == order)
-    return below
-
-
-def level_shares(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """n-grams seen and their discounted shares; contexts seen and the weight they give to the lower order."""
-    d1, d2, d3 = discounts(counts)
-    context = F.expr(f"g div {size}")
-    weights = counts.groupBy(context.alias("x")).agg(
-        F.sum("c").alias("total"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.count_if(F.col("c") > 2).alias("n3")
-    )
-    discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-    shares = counts.withColumn("x", context).join(weights.select("x", "total"), "x")
-    p = shares.select(F.col("g").cast("int").alias("g"), (F.greatest(F.col("c") - discount, F.lit(0.0)) / F.col("total")).cast("float").alias("p")).toArrow()
-    w = weights.select(F.col("x").cast("int").alias("x"), ((d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")) / F.col("total")).cast("float").alias("w")).toArrow()
-    g, x = p["g"].to_numpy(), w["x"].to_numpy()
-    order = np.argsort(g)
-    return g[order], p["p"].to_numpy()[order], x, w["w"].to_numpy()
-
-
-def interpolated(below: np.ndarray, g: np.ndarray, p: np.ndarray, x: np.ndarray, w: np.ndarray, size: int, k: int, costs: bool) -> np.ndarray:
-    """All entries of order ``k`` from those of order k - 1, a leading symbol at a time."""
-    weight = np.ones(size ** (k - 1), np.float32)
-    weight[x] = w
-    if k == 1:
-        parts, block = [(0, size)], lambda lo: weight[0] * np.broadcast_to(below, (size,)).copy()
-    else:
-        n = size ** (k - 1)  # entries behind one leading symbol
-        per = size ** (k - 2)
-        parts = [(a * n, (a + 1) * n) for a in range(size)]
-        block = lambda lo: (weight[lo // size : lo // size + per, None] * below.reshape(per, size)).reshape(-1)
-    out = np.empty(size**k, np.float16 if costs else np.float32)
-    for lo, hi in parts:
-        part = block(lo)
-        s, e = np.searchsorted(g, [lo, hi])
-        part[g[s:e] - lo] += p[s:e]
-        out[lo:hi] = -np.log(np.maximum(part, 1e-12)) if costs else part
-    return out
+def keyed(rows: DataFrame, salt: int) -> DataFrame:
+    """key, v of rows x, s, v."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"key": keys_of(f["x"].to_numpy(), f["s"].to_numpy(), salt), "v": f["v"]})
+
+    return rows.mapInPandas(run, "key long, v float")
 
 
-def scored(docs: DataFrame, models: list[tuple[Characters | Words, Broadcast]], text_col: str = "text") -> DataFrame:
-    """All rows and columns, with ``gw_cost<k>`` (nats in all) and ``gw_units<k>`` for each model k."""
-    held = list(models)
+def model_of(grams: DataFrame, kind: int, order: int, size: int, symbols: int | None = None) -> tuple[DataFrame, float]:
+    """key, v: discounted shares of all n-grams seen (x, s, c), and of each context seen the weight it gives to the lower order;
+    and the share that every symbol has before all others.
+
+    ``size`` is what a context is divided by for the one that is a symbol shorter.  Of the
+    ``symbols`` (those seen and one for the rest, if not given) all have the same share.
+    """
+    out, base = None, 1.0
+    counts = durable(grams, "grams")
+    for k in range(order, 0, -1):
+        d1, d2, d3 = discounts(counts)
+        discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        sums = [F.sum("c").alias("total"), ((d1 * F.count_if(F.col("c") == 1) + d2 * F.count_if(F.col("c") == 2) + d3 * F.count_if(F.col("c") > 2)) / F.sum("c")).alias("w")]
+        if k == 1:  # one context
+            one = counts.agg(*sums, F.count("*").alias("n")).first()
+            base = (one["w"] if one["w"] is not None else 1.0) / (symbols or one["n"] + 1)
+            own = counts.withColumn("total", F.lit(one["total"]).cast("double"))
+        else:
+            contexts = counts.groupBy("x").agg(*sums)
+            own = counts.join(contexts.select("x", "total"), "x")
+            weights = keyed(contexts.select("x", F.lit(0).cast("long").alias("s"), F.col("w").cast("float").alias("v")), salt_of(kind, k, True))
+            out = weights if out is None else out.unionByName(weights)
+        shares = keyed(own.select("x", "s", (F.greatest(F.col("c") - discount, F.lit(0.0)) / F.col("total")).cast("float").alias("v")), salt_of(kind, k, False))
+        out = shares if out is None else out.unionByName(shares)
+        if k > 1:  # continuation counts: in how many contexts a suffix occurs
+            counts = durable(counts.groupBy((F.col("x") % size ** (k - 2)).alias("x"), "s").agg(F.count("*").alias("c")), "continuations")
+    return out, base
+
+
+class Known:
+    """The part of the model that a block asked for."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        key = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)])
+        self.key, at = np.unique(key, return_index=True)
+        self.value = np.concatenate([np.zeros(0, np.float32), *(v for _, v in parts)])[at]
+
+    def get(self, key: np.ndarray, default: float) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(key), default)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.value[at], default)
+
+    def costs(self, kind: int, order: int, size: int, base: float, x: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """-log p(s | x): each order's share, and its weight times the lower order's."""
+        p = np.full(len(s), base)
+        for k in range(1, order + 1):
+            y = x if k == order else x % size ** (k - 1)
+            if k > 1:
+                p *= self.get(keys_of(y, 0, salt_of(kind, k, True)), 1.0)
+            p += self.get(keys_of(y, s, salt_of(kind, k, False)), 0.0)
+        return -np.log(np.maximum(p, 1e-300))
+
+
+def scored(rows: DataFrame, text_col: str, with_text: bool) -> DataFrame:
+    """All rows and columns (the text only if wanted), with ``gw_cost<k>`` (nats in all) and ``gw_units<k>`` for each of CODERS.
+
+    The rows come with ROW, whose upper bits name a block, and ``gw_use``, 1 for a text to train on.
+    """
+    rows = rows.withColumn("block", F.shiftright(ROW, BLOCK_BITS))
+    counts = durable(trained_counts(rows.filter("gw_use = 1").select(F.col(text_col).alias("text"))), "trained")
+    model, bases = None, []
+    for kind, coder in enumerate(CODERS):
+        part, base = model_of(counts.filter(F.col("kind") == kind).drop("kind"), kind, coder.order, coder.size)
+        model = part if model is None else model.unionByName(part)
+        bases.append(base)
+    known = block_keys(rows, text_col).join(model, "key").withColumn("part", F.lit(0))
+    both = known.unionByName(rows.withColumn("part", F.lit(1)), allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "part")
+    names = [c for c in rows.columns if c not in ("block", ROW) and (with_text or c != text_col)]
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names] + [f"gw_cost{k} double, gw_units{k} long" for k in range(len(CODERS))])
+    return both.mapInArrow(scorer(names, text_col, bases), fields)
+
+
+def scorer(names: list[str], text_col: str, bases: list[float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, model = None, [], None
+        for batch in batches:
+            block, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "part"))
+            cut = np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0)) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(block)], strict=True):
+                if hi == lo:
+                    continue
+                if block[lo] != now:
+                    now, parts, model = block[lo], [], None
+                piece = batch.slice(lo, hi - lo)
+                if part[lo] == 0:
+                    parts.append(tuple(piece.column(c).to_numpy(zero_copy_only=False) for c in ("key", "v")))
+                    continue
+                if model is None:
+                    model, parts = Known(parts), []
+                texts = piece.column(text_col).to_pylist()
+                made = [v for kind in range(len(CODERS)) for v in text_costs(texts, kind, model, bases[kind])]
+                columns = [piece.column(c) for c in names] + [pa.array(v) for v in made]
+                yield pa.RecordBatch.from_arrays(columns, names=names + [f"gw_{n}{k}" for k in range(len(CODERS)) for n in ("cost", "units")])
+
+    return run
+
+
+def text_costs(texts: list[str | None], kind: int, model: Known, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nats in all, and units, of each text."""
+    nats, units = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    coder, waiting, held = CODERS[kind], [], 0
+
+    def settle() -> None:
+        x, s = (np.concatenate([w[k] for w in waiting]) for k in (1, 2))
+        _, at, back = np.unique(keys_of(x, s), return_index=True, return_inverse=True)
+        each = model.costs(kind, coder.order, coder.size, base, x[at], s[at])[back]
+        own = np.repeat([w[0] for w in waiting], [len(w[2]) for w in waiting])
+        nats[:] += np.bincount(own, each, len(texts))
+
+    for i, t in enumerate(texts):
+        x, s = coder(t) if t else ((), ())
+        if len(s):
+            units[i] = len(s)
+            waiting.append((i, x, s))
+            held += len(s)
+        if held > HELD_GRAMS // 2:
+            settle()
+            waiting, held = [], 0
+    if waiting:
+        settle()
+    return nats, units
+
+
+class Characters:
+    """Codes of n-grams over a small alphabet; blanks stand before the text."""
+
+    def __init__(self, letters: list[int], order: int = ORDER, size: int = 64):
+        self.number, self.order, self.size = {c: k for k, c in enumerate(letters, 1)}, order, size
+
+    def __call__(self, text: str) -> np.ndarray:
+        x = np.array([self.number.get(32, 0)] * (self.order - 1) + [self.number.get(32 if 9 <= c <= 13 else c, 0) for c in code_points(text).tolist()], np.int64)
+        return sum(x[k : len(x) - self.order + 1 + k] * self.size ** (self.order - 1 - k) for k in range(self.order))
+
+
+def train(texts: DataFrame, coder: Characters) -> np.ndarray:
+    """-log p(symbol | order - 1 symbols before) of all size ** order n-grams of a small alphabet."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = {}
-            for k, (coder, costs) in enumerate(held):
-                cost, units = np.zeros(len(frame)), np.zeros(len(frame), np.int64)
-                for i, t in enumerate(frame[text_col]):
-                    if isinstance(t, str) and t:
-                        g = coder(t)
-                        cost[i], units[i] = float(costs.value[g].sum(dtype=np.float64)), len(g)
-                made |= {f"gw_cost{k}": cost, f"gw_units{k}": units}
-            yield frame.assign(**made)
+            for t in frame["text"]:
+                yield pd.DataFrame({"g": coder(t) if t else np.zeros(0, np.int64)})
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"gw_cost{k} double, gw_units{k} long" for k in range(len(models))]
-    return docs.mapInPandas(run, ", ".join(fields))
+    grams = texts.mapInPandas(run, "g long").groupBy(F.expr(f"g div {coder.size}").alias("x"), (F.col("g") % coder.size).alias("s")).agg(F.count("*").alias("c"))
+    model, base = model_of(grams, 0, coder.order, coder.size, coder.size)
+    rows = model.toPandas()
+    g = np.arange(coder.size**coder.order)
+    return Known([(rows["key"].to_numpy(), rows["v"].to_numpy())]).costs(0, coder.order, coder.size, base, g // coder.size, g % coder.size)
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Ids whose labels all say good and none says toxic; null ids are left out."""
+    """Ids whose labels all say good and none says toxic, and their use: 1 to train, 2 held out; null ids are left out."""
     per = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return per.filter("q = 1 and t = 0").select(F.col(id_col).alias("gw_id"), (F.pmod(F.xxhash64(id_col), F.lit(HELD_OUT)) == 0).alias("gw_held"))
+    return per.filter("q = 1 and t = 0").select(F.col(id_col).alias("gw_id"), F.when(F.pmod(F.xxhash64(id_col), F.lit(HELD_OUT)) == 0, 2).otherwise(1).alias("gw_use"))
 
 
-def bounds(rows: DataFrame, good: DataFrame, id_col: str, lang_col: str) -> tuple[DataFrame, dict]:
+def bounds(rows: DataFrame, lang_col: str) -> tuple[DataFrame, dict]:
     """Per language (own), and for all: the typical rate, and the low and high score of trusted documents."""
-    trusted = rows.join(good, F.col(id_col) == F.col("gw_id"), "left_semi").select(F.col(lang_col).alias("gw_lang"), *[f"gw_{x}{k}" for k in (0, 1) for x in ("cost", "units")])
+    trusted = rows.filter("gw_use is not null").select(F.col(lang_col).alias("gw_lang"), *[f"gw_{x}{k}" for k in (0, 1) for x in ("cost", "units")])
     rate = lambda k: F.coalesce(F.try_divide(F.sum(f"gw_cost{k}"), F.sum(f"gw_units{k}")), F.lit(0.0)).alias(f"rate{k}")
     enough = F.col("n") >= LEAST_TRUSTED
     typical = trusted.groupBy("gw_lang").agg(F.count("*").alias("n"), rate(0), rate(1))
@@ -245,9 +396,9 @@ def with_scores(df: DataFrame, overall: dict) -> DataFrame:
     return df
 
 
-def judged(rows: DataFrame, good: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+def judged(rows: DataFrame, lang_col: str) -> DataFrame:
     """``rows`` (scored) with perplexity, score, lower, upper for characters and words, and keep."""
-    own, overall = bounds(rows, good, id_col, lang_col)
+    own, overall = bounds(rows, lang_col)
     out = with_scores(rows.join(own, F.col(lang_col).eqNullSafe(F.col("gw_lang")), "left"), overall)
     keep = F.lit(True)
     for k, name in enumerate(("char", "word")):
@@ -258,11 +409,10 @@ def judged(rows: DataFrame, good: DataFrame, id_col: str = "doc_id", lang_col: s
     return out.withColumn("keep", keep)
 
 
-def models_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list, DataFrame]:
-    good = durable(trusted_ids(labels, id_col), "trusted")
-    texts = docs.filter(F.col(text_col).isNotNull()).join(good.filter("not gw_held"), F.col(id_col) == F.col("gw_id"), "left_semi").select(F.col(text_col).alias("text"))
-    coders = [Characters(alphabet(docs, text_col)), Words()]
-    return [(c, docs.sparkSession.sparkContext.broadcast(train(texts, c))) for c in coders], good
+def rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, with_text: bool = True) -> DataFrame:
+    """``docs`` with the use and the costs of each row, as a durable table."""
+    marked = docs.join(trusted_ids(labels, id_col), F.col(id_col) == F.col("gw_id"), "left").drop("gw_id")
+    return durable(scored(tagged(marked), text_col, with_text), "quality-scores")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -277,18 +427,15 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     rows are judged alike; an empty table gives an empty result; other columns are ignored,
     whatever their names.
     """
-    models, good = models_of(docs, labels, id_col, text_col)
-    slim = docs.select(id_col, lang_col, text_col)
-    rows = durable(scored(slim, models, text_col).drop(text_col), "quality-scores")
+    rows = rated(docs.select(id_col, lang_col, text_col), labels, id_col, text_col, with_text=False)
     columns = [f"{n}_{x}" for n in ("char", "word") for x in ("perplexity", "score", "lower", "upper")]
-    return judged(rows, good, id_col, lang_col).select(id_col, lang_col, F.col("gw_units0").alias("chars"), F.col("gw_units1").alias("words"), *columns, "keep")
+    return judged(rows, lang_col).select(id_col, lang_col, F.col("gw_units0").alias("chars"), F.col("gw_units1").alias("words"), *columns, "keep")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    models, good = models_of(docs, labels, id_col, text_col)
     own = {c: f"__gw_{k}" for k, c in enumerate(docs.columns)}  # no name of ours can clash with these
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
-    rows = durable(scored(plain, models, own[text_col]), "quality-rows")
-    kept_rows = judged(rows, good, own[id_col], own[lang_col]).filter("keep")
+    given = labels.withColumnRenamed(id_col, own[id_col])
+    kept_rows = judged(rated(plain, given, own[id_col], own[text_col]), own[lang_col]).filter("keep")
     return kept_rows.select(*[F.col(n).alias(c) for c, n in own.items()])

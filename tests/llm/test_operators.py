@@ -493,3 +493,23 @@ def test_a_worker_keeps_one_cache():
     assert kept("a", dict) is a
     kept("b", dict)
     assert list(_HELD) == ["b"] and kept("a", dict) is not a
+
+
+def test_quality_sees_all_characters(spark):
+    """A script of 400 letters: in junk each letter is as frequent as in clean text, but its neighbours are not."""
+    rng = random.Random(17)
+    letters = [chr(0x4E00 + i) for i in range(400)]
+
+    def clean():
+        at, out = rng.randrange(400), []
+        for _ in range(300):
+            out.append(letters[at])
+            at = (at + rng.choice((1, 2, 3))) % 400
+        return "".join(out)
+
+    rows = [(i, clean(), "zh", "a", 0) for i in range(160)]
+    rows += [(i, "".join(rng.sample(clean(), 300)), "zh", "a", 0) for i in range(300, 320)]
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    out = quality.quality(frame(spark, rows), lab).collect()
+    assert np.mean([r["keep"] for r in out if r["doc_id"] < 300]) > 0.95
+    assert not any(r["keep"] for r in out if r["doc_id"] >= 300)
