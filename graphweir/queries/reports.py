@@ -299,8 +299,10 @@ def v2(spark, d):
 
 @query("v3", "SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))::BIGINT AS n_links FROM pages WHERE len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) > 0")
 def v3(spark, d):
-    """Entities by regular expression with their order: links of a page."""
-    found = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("n", "name"))
+    """Entities by regular expression: links of a page, by the extractor of source code."""
+    from graphweir.sources.code import entities
+
+    found = entities(table(spark, d, "pages").withColumn("language", F.lit("HTML")), "page_id", "html")
     return found.groupBy("page_id").agg(F.count("*").alias("n_links"))
 
 
