@@ -8,8 +8,8 @@ Goodman, "An Empirical Study of Smoothing Techniques for Language Modeling", 199
 tables sharded by n-gram and context; nothing is gathered.  Documents are scored in blocks of
 neighbouring rows: the distinct n-grams and contexts of a block are joined to the model, and
 what is found meets the block's texts again.  A document is rejected if its
-perplexity at either level lies outside quantiles of the trusted documents of its language,
-a fifth of which the model has not seen.
+perplexity at either level, or its share of distinct pairs of words, lies outside quantiles of
+the trusted documents of its language and length, a fifth of which the model has not seen.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweir.llm.caches import kept
@@ -29,14 +29,17 @@ from graphweir.plans.durable import ROW, durable, tagged
 ORDER, WORD_ORDER = 4, 2
 #: Rows of a block, as a power of two, and n-grams that a task holds before it counts them.
 BLOCK_BITS, HELD_GRAMS = 13, 4_000_000
-#: Characters and words at the typical rate of the language that are added to every document's mean.
-PRIOR_CHARS, PRIOR_WORDS = 200, 60
-#: Trusted documents outside these quantiles would be rejected, but for the margin.
-LOW, HIGH, MARGIN = 0.0005, 0.999, 1.1
+#: Trusted documents outside these quantiles are rejected.
+LOW, HIGH = 0.0005, 0.999
+#: Their places in a normal distribution.
+LOW_Z, HIGH_Z = -3.2905, 3.0902
+SCORES = ("char", "word", "pair")
 #: One of so many trusted documents is kept from training, so that the quantiles know unseen text.
 HELD_OUT = 5
-#: Languages with fewer trusted documents than this are judged by the quantiles of all.
+#: Length classes with fewer trusted documents than this are judged by the quantiles of their language, languages by those of all.
 LEAST_TRUSTED = 30
+#: With fewer held-out texts than this, the upper quantile is over all trusted ones.
+LEAST_HELD = 8
 
 
 def code_points(text: str) -> np.ndarray:
@@ -273,7 +276,7 @@ class Known:
 
 
 def scored(rows: DataFrame, text_col: str, with_text: bool) -> DataFrame:
-    """All rows and columns (the text only if wanted), with ``gw_cost<k>`` (nats in all) and ``gw_units<k>`` for each of CODERS.
+    """All rows and columns (the text only if wanted), with ``gw_cost<k>`` (nats in all) and ``gw_units<k>`` for each of CODERS, and the distinct pairs of words.
 
     The rows come with ROW, whose upper bits name a block, and ``gw_use``, 1 for a text to train on.
     """
@@ -287,7 +290,7 @@ def scored(rows: DataFrame, text_col: str, with_text: bool) -> DataFrame:
     known = block_keys(rows, text_col).join(model, "key").withColumn("part", F.lit(0))
     both = known.unionByName(rows.withColumn("part", F.lit(1)), allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "part")
     names = [c for c in rows.columns if c not in ("block", ROW) and (with_text or c != text_col)]
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names] + [f"gw_cost{k} double, gw_units{k} long" for k in range(len(CODERS))])
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names] + [f"gw_cost{k} double, gw_units{k} long" for k in range(len(CODERS))] + ["gw_pairs long"])
     return both.mapInArrow(scorer(names, text_col, bases), fields)
 
 
@@ -310,12 +313,16 @@ def scorer(names: list[str], text_col: str, bases: list[float]):
                     model, parts = Known(parts), []
                 texts = piece.column(text_col).to_pylist()
                 made = [v for kind in range(len(CODERS)) for v in text_costs(texts, kind, model, bases[kind])]
-                columns = [piece.column(c) for c in names] + [pa.array(v) for v in made]
-                yield pa.RecordBatch.from_arrays(columns, names=names + [f"gw_{n}{k}" for k in range(len(CODERS)) for n in ("cost", "units")])
+                columns = [piece.column(c) for c in names] + [pa.array(v) for v in made] + [pa.array([distinct_pairs(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=names + [f"gw_{n}{k}" for k in range(len(CODERS)) for n in ("cost", "units")] + ["gw_pairs"])
 
     return run
 
 
+def distinct_pairs(text: str | None) -> int:
+    return len(np.unique(keys_of(*CODERS[1](text)))) if text else 0
+
+
 def text_costs(texts: list[str | None], kind: int, model: Known, base: float) -> tuple[np.ndarray, np.ndarray]:
     """Nats in all, and units, of each text."""
     nats, units = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
@@ -374,39 +381,53 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return per.filter("q = 1 and t = 0").select(F.col(id_col).alias("gw_id"), F.when(F.pmod(F.xxhash64(id_col), F.lit(HELD_OUT)) == 0, 2).otherwise(1).alias("gw_use"))
 
 
-def bounds(rows: DataFrame, lang_col: str) -> tuple[DataFrame, dict]:
-    """Per language (own), and for all: the typical rate, and the low and high score of trusted documents."""
-    trusted = rows.filter("gw_use is not null").select(F.col(lang_col).alias("gw_lang"), *[f"gw_{x}{k}" for k in (0, 1) for x in ("cost", "units")])
-    rate = lambda k: F.coalesce(F.try_divide(F.sum(f"gw_cost{k}"), F.sum(f"gw_units{k}")), F.lit(0.0)).alias(f"rate{k}")
-    enough = F.col("n") >= LEAST_TRUSTED
-    typical = trusted.groupBy("gw_lang").agg(F.count("*").alias("n"), rate(0), rate(1))
-    typical = typical.select("gw_lang", *[F.when(enough, F.col(f"rate{k}")).alias(f"rate{k}") for k in (0, 1)])
-    overall = trusted.agg(rate(0), rate(1)).first().asDict()
-    known = with_scores(trusted.join(typical.withColumnRenamed("gw_lang", "l"), F.col("gw_lang").eqNullSafe(F.col("l")), "left"), overall)
-    quantiles = [F.percentile_approx(f"score{k}", p, 100_000).alias(f"{name}{k}") for k in (0, 1) for name, p in (("lo", LOW), ("hi", HIGH))]
-    per = known.groupBy("gw_lang").agg(F.count("*").alias("n"), *quantiles).filter(enough).drop("n").withColumnRenamed("gw_lang", "l")
-    wide = known.agg(*quantiles).first().asDict()
-    return durable(typical.join(per, F.col("gw_lang").eqNullSafe(F.col("l")), "left").drop("l"), "quality-bounds"), overall | wide
+def with_scores(df: DataFrame, lang: str, typical: DataFrame, overall: dict) -> DataFrame:
+    """``score<k>`` and ``class<k>`` of SCORES: how far the cost is from the language's typical one, by the root of the
+    length, and the share of pairs of words that are not repeated; classes by powers of four of the length."""
+    df = df.join(F.broadcast(typical), F.col(lang).eqNullSafe(F.col("gw_l")), "left").drop("gw_l")
+    for k in (0, 1):
+        n, rate = F.greatest(f"gw_units{k}", F.lit(1)), F.coalesce(f"rate{k}", F.lit(overall[f"rate{k}"]))
+        df = df.withColumn(f"score{k}", (F.col(f"gw_cost{k}") - rate * F.col(f"gw_units{k}")) / F.sqrt(n)).withColumn(f"class{k}", F.floor(F.log(n) / F.log(F.lit(4.0)) + 1e-9))
+    pairs = F.when(F.col("gw_units1") > 0, F.col("gw_pairs") / F.col("gw_units1")).otherwise(1.0)
+    return df.withColumn("score2", pairs).withColumn("class2", F.col("class1")).drop("rate0", "rate1")
 
 
-def with_scores(df: DataFrame, overall: dict) -> DataFrame:
-    for k, prior in enumerate((PRIOR_CHARS, PRIOR_WORDS)):
-        center = F.coalesce(f"rate{k}", F.lit(overall[f"rate{k}"]))
-        df = df.withColumn(f"score{k}", F.exp((F.col(f"gw_cost{k}") + prior * center) / (F.col(f"gw_units{k}") + prior)))
-    return df
+def limit(score: str, low: bool) -> Column:
+    """The quantile LOW of all trusted texts, or HIGH of the held-out ones (the model knows the others too well); where there
+    are too few values to show it, no nearer than that of a normal distribution."""
+    q, z, order = (LOW, LOW_Z, F.least) if low else (HIGH, HIGH_Z, F.greatest)
+
+    def of(v: Column) -> Column:
+        seen = F.percentile_approx(v, q, 100_000)
+        return F.when(F.count(v) * min(q, 1 - q) >= 1, seen).otherwise(order(seen, F.avg(v) + z * F.coalesce(F.stddev(v), F.lit(0.0))))
+
+    held = F.when(F.col("gw_use") == 2, F.col(score))
+    return of(F.col(score)) if low else F.when(F.count(held) >= LEAST_HELD, of(held)).otherwise(of(F.col(score)))
 
 
 def judged(rows: DataFrame, lang_col: str) -> DataFrame:
-    """``rows`` (scored) with perplexity, score, lower, upper for characters and words, and keep."""
-    own, overall = bounds(rows, lang_col)
-    out = with_scores(rows.join(own, F.col(lang_col).eqNullSafe(F.col("gw_lang")), "left"), overall)
-    keep = F.lit(True)
-    for k, name in enumerate(("char", "word")):
-        wide = {x: F.lit(float(overall[f"{x}{k}"]) if overall[f"{x}{k}"] is not None else None).cast("double") for x in ("lo", "hi")}
-        out = out.withColumn(f"{name}_lower", F.coalesce(f"lo{k}", wide["lo"]) / MARGIN).withColumn(f"{name}_upper", F.coalesce(f"hi{k}", wide["hi"]) * MARGIN)
-        out = out.withColumn(f"{name}_perplexity", F.exp(F.coalesce(F.try_divide(f"gw_cost{k}", f"gw_units{k}"), F.lit(0.0)))).withColumnRenamed(f"score{k}", f"{name}_score")
+    """``rows`` (scored) with perplexity, score, lower and upper of SCORES, and keep."""
+    trusted = rows.filter("gw_use is not null").select(F.col(lang_col).alias("gw_lang"), *[f"gw_{x}{k}" for k in (0, 1) for x in ("cost", "units")], "gw_pairs", "gw_use")
+    rate = lambda k: F.coalesce(F.try_divide(F.sum(f"gw_cost{k}"), F.sum(f"gw_units{k}")), F.lit(0.0)).alias(f"rate{k}")
+    typical = durable(trusted.groupBy(F.col("gw_lang").alias("gw_l")).agg(F.count("*").alias("n"), rate(0), rate(1)).filter(F.col("n") >= LEAST_TRUSTED).drop("n"), "quality-rates")
+    overall = trusted.agg(rate(0), rate(1)).first().asDict()
+    known = durable(with_scores(trusted, "gw_lang", typical, overall), "quality-trusted")
+    out, keep = with_scores(rows, lang_col, typical, overall), F.lit(True)
+    for k, name in enumerate(SCORES):
+        limits = lambda tag: [limit(f"score{k}", low).alias(f"{x}_{tag}") for x, low in (("lo", True), ("hi", False))]  # noqa: B023, E731
+        wide = known.agg(*limits("all")).first().asDict()
+        enough = lambda df: df.filter(F.col("n") >= LEAST_TRUSTED).drop("n")
+        own = enough(known.groupBy(F.col("gw_lang").alias("gw_l")).agg(F.count("*").alias("n"), *limits("lang")))
+        fine = enough(known.groupBy(F.col("gw_lang").alias("gw_l"), F.col(f"class{k}").alias("gw_c")).agg(F.count("*").alias("n"), *limits("class")))
+        out = out.join(F.broadcast(durable(own, "quality-bounds")), F.col(lang_col).eqNullSafe(F.col("gw_l")), "left").drop("gw_l")
+        out = out.join(F.broadcast(durable(fine, "quality-bounds")), F.col(lang_col).eqNullSafe(F.col("gw_l")) & (F.col(f"class{k}") == F.col("gw_c")), "left").drop("gw_l", "gw_c")
+        of = lambda x: F.coalesce(f"{x}_class", f"{x}_lang", F.lit(wide[f"{x}_all"]).cast("double"))  # noqa: B023, E731
+        out = out.withColumn(f"{name}_lower", of("lo")).withColumn(f"{name}_upper", of("hi") if k < 2 else F.lit(1.0))
+        out = out.drop("lo_class", "hi_class", "lo_lang", "hi_lang", f"class{k}" if k != 1 else "").withColumnRenamed(f"score{k}", f"{name}_score")
+        if k < 2:
+            out = out.withColumn(f"{name}_perplexity", F.exp(F.coalesce(F.try_divide(f"gw_cost{k}", f"gw_units{k}"), F.lit(0.0))))
         keep = keep & F.coalesce(F.col(f"{name}_score").between(F.col(f"{name}_lower"), F.col(f"{name}_upper")), F.lit(True))
-    return out.withColumn("keep", keep)
+    return out.withColumn("keep", keep | (F.col("gw_units0") == 0))
 
 
 def rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, with_text: bool = True) -> DataFrame:
@@ -417,18 +438,19 @@ def rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, with_t
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: id, language, and for characters and words the number of units,
-    perplexity, score, lower and upper; and keep.
+    perplexity, score, lower and upper; score, lower and upper of the pairs of words; and keep.
 
-    A score is the perplexity of the text with a few units of the language's typical text
-    added (PRIOR_CHARS, PRIOR_WORDS), so that short texts are not judged by chance; ``keep``
-    says whether both scores lie within the language's bounds.  A null or empty text has
-    perplexity 1, the typical score, and is kept.  A null language is a language of its own.
+    A score is the cost beyond that of the language's typical text of the same length,
+    divided by the root of the length, and for pairs the share of distinct pairs
+    among all pairs of words, which is low where words repeat.  Bounds are quantiles of
+    the trusted documents of the language and of about the same length; ``keep``
+    says whether all three lie within them.  A null or empty text has perplexity 1 and is kept.  A null language is a language of its own.
     Without trusted documents all is kept.  Whole texts are scored, however long; repeated
     rows are judged alike; an empty table gives an empty result; other columns are ignored,
     whatever their names.
     """
     rows = rated(docs.select(id_col, lang_col, text_col), labels, id_col, text_col, with_text=False)
-    columns = [f"{n}_{x}" for n in ("char", "word") for x in ("perplexity", "score", "lower", "upper")]
+    columns = [f"{n}_{x}" for n in ("char", "word") for x in ("perplexity", "score", "lower", "upper")] + [f"pair_{x}" for x in ("score", "lower", "upper")]
     return judged(rows, lang_col).select(id_col, lang_col, F.col("gw_units0").alias("chars"), F.col("gw_units1").alias("words"), *columns, "keep")
 
 

@@ -513,3 +513,12 @@ def test_quality_sees_all_characters(spark):
     out = quality.quality(frame(spark, rows), lab).collect()
     assert np.mean([r["keep"] for r in out if r["doc_id"] < 300]) > 0.95
     assert not any(r["keep"] for r in out if r["doc_id"] >= 300)
+
+
+def test_quality_rejects_repeated_words(spark):
+    rows = two_languages(random.Random(18), 200)
+    rows += [(300 + i, " ".join([rows[i][1].split()[0]] * (10 + i)), rows[i][2], "a", 0) for i in range(20)]
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    out = quality.quality(frame(spark, rows), lab).collect()
+    assert np.mean([r["keep"] for r in out if r["doc_id"] < 200]) > 0.9
+    assert not any(r["keep"] for r in out if r["doc_id"] >= 300)
