@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphweir.plans.durable import durable
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: About so many distinct labelled urls are trained on, chosen by a hash of the url.
+#: About so many distinct labelled urls the trees are fitted on, chosen by a hash of the url; suffix rates are over all.
 TRAIN_ROWS = 20_000
 ROUNDS, DEPTH, BINS, RATE, RIDGE = 10, 3, 16, 0.4, 1.0
 #: Weight of the prior in a suffix's share of blocked urls.
@@ -184,6 +184,7 @@ def verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, train
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
     keys = suffixes(F.col("host"), F.col("path"))
     labelled = rows.filter("ruled is not null").select("u", "host", "path", (F.col("ruled") == "block").cast("int").alias("y"))
+    labelled = durable(labelled.dropDuplicates(["u"]), "url-labelled")
     count = labelled.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
     n, blocked = count["n"], count["y"] or 0
     spread = 1 << 20
@@ -194,10 +195,10 @@ def verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, train
     if one_sided:
         out = rows.withColumn("score", F.lit(float(n > 0 and blocked == n)))
     else:
-        some = labelled.filter(F.pmod(F.xxhash64("u"), F.lit(spread)) < share).dropDuplicates(["u"])
-        some = some.withColumns({f"key{k}": c for k, c in enumerate(keys, 1)}).withColumns(lexical(F.col("u"), F.col("host"), F.col("path")))
+        labelled = labelled.withColumns({f"key{k}": c for k, c in enumerate(keys, 1)})
+        some = labelled.filter(F.pmod(F.xxhash64("u"), F.lit(spread)) < share).withColumns(lexical(F.col("u"), F.col("host"), F.col("path")))
         train = durable(some.drop("u", "host", "path"), "url-train")
-        rates = [durable(suffix_rates(train, k, prior), "url-suffixes") for k in (1, 2, 3)]
+        rates = [durable(suffix_rates(labelled, k, prior), "url-suffixes") for k in (1, 2, 3)]
         margin = boosted(with_rates(train, rates, prior), FEATURES, prior)
         out = with_rates(rows, rates, prior).withColumn("score", F.expr(f"1D / (1D + exp(-({margin})))"))
     method = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
