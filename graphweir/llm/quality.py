@@ -56,7 +56,8 @@ class Letters:
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         x = code_points(text).astype(np.int64)
-        x[(x >= 9) & (x <= 13)] = 32  # white space of any kind is the space
+        x[(x >= 9) & (x <= 13)] = 32  # white space of any kind, and a run of it, is one space
+        x = x[~np.concatenate([np.zeros(1, bool), (x[1:] == 32) & (x[:-1] == 32)])[: len(x)]]
         padded = np.concatenate([np.full(self.order - 1, 32, np.int64), x])
         context = np.zeros(len(x), np.int64)
         for k in range(self.order - 1):
@@ -394,12 +395,14 @@ def with_scores(df: DataFrame, lang: str, typical: DataFrame, overall: dict) ->
 
 def limit(score: str, low: bool) -> Column:
     """The quantile LOW of all trusted texts, or HIGH of the held-out ones (the model knows the others too well); where there
-    are too few values to show it, no nearer than that of a normal distribution."""
+    are too few values to show it, no nearer than Student's for as many."""
     q, z, order = (LOW, LOW_Z, F.least) if low else (HIGH, HIGH_Z, F.greatest)
 
     def of(v: Column) -> Column:
         seen = F.percentile_approx(v, q, 100_000)
-        return F.when(F.count(v) * min(q, 1 - q) >= 1, seen).otherwise(order(seen, F.avg(v) + z * F.coalesce(F.stddev(v), F.lit(0.0))))
+        n = F.greatest(F.count(v), F.lit(2))
+        far = (z + (z**3 + z) / (4 * (n - 1))) * F.sqrt(1 + 1 / n)  # Student's, for the next value after n
+        return F.when(F.count(v) * min(q, 1 - q) >= 1, seen).otherwise(order(seen, F.avg(v) + far * F.coalesce(F.stddev(v), F.lit(0.0))))
 
     held = F.when(F.col("gw_use") == 2, F.col(score))
     return of(F.col(score)) if low else F.when(F.count(held) >= LEAST_HELD, of(held)).otherwise(of(F.col(score)))
