@@ -264,12 +264,12 @@ def held_out(id_col: Column) -> Column:
 def training_sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """Up to ``per_language`` distinct labelled texts of each language, chosen by a hash of the text.
 
-    The hash is thinned by each language's count first, so no task ranks a whole language.
+    The hash is thinned by each language's count of distinct texts first, so no task ranks a whole language.
     """
     spread = 1 << 20
     rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    share = rows.groupBy("lang").agg((F.lit(8.0 * per_language * spread) / F.count("*")).alias("share"))
+    share = rows.select("lang", "h").distinct().groupBy("lang").agg((F.lit(8.0 * per_language * spread) / F.count("*")).alias("share"))
     thin = rows.join(durable(share, "language-counts"), "lang").filter(F.pmod("h", F.lit(spread)) < F.col("share")).dropDuplicates(["lang", "h"])
     ranked = thin.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= per_language)
     return [(r["lang"], r["text"]) for r in ranked.select("lang", "text").collect()]
