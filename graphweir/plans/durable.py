@@ -1,18 +1,19 @@
 """Intermediate tables that outlive the executors that made them.
 
 ``spark.checkpoint.dir`` names the folder that all executors and the driver share.
-It is read from the session; only where it is unset (tests, local mode) a temporary
-folder of this process is used instead.
+It is read from the session.  Where it is unset, local sessions (tests) use a temporary folder
+of this process, and sessions on a cluster are refused: each executor would write to a disk of its own.
 """
 
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
@@ -21,10 +22,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a temporary one where none is set."""
+    """The shared folder of the cluster; a temporary one in local mode, where none is set."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError(f"on a cluster, set {KEY} to a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="graphweir-")
         atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
@@ -65,13 +68,26 @@ class Generations:
         return self.spark.read.schema(schema).parquet(self.path)
 
 
-def tagged(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``df`` as a durable table with a unique row number in ``__gw_row``.
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` has, whatever its spelling."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        free = next(n for k in itertools.count() if (n := f"__gw_{name}{k or ''}") not in taken)
+        taken.add(free)
+        out.append(free)
+    return out
+
+
+def tagged(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a durable table with a unique row number, and the name of its column, which no other column has.
 
     The number is fixed by the write, so every later plan sees the same one even if
     executors are lost; it tells apart rows that repeat a document id.
     """
-    if ROW in df.columns:
-        return df
-    picked = df if columns is None else df.select(*columns)
-    return durable(picked.withColumn(ROW, F.monotonically_increasing_id()), "tagged")
+    (row,) = free_names(df, "row")
+    return durable(df.withColumn(row, F.monotonically_increasing_id()), "tagged"), row
+
+
+def row_numbers(row_col: str | None) -> Column:
+    """The column that tells rows apart, or new numbers where the caller has none."""
+    return (F.monotonically_increasing_id() if row_col is None else F.col(f"`{row_col}`")).alias(ROW)
