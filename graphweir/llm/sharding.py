@@ -3,65 +3,52 @@
 Rows are shuffled by a seeded digest of their id, ranked within their source, and sorted by
 the fraction of the source that lies before them; cutting that order into equal runs gives
 every shard the mixture of the whole.
+
+Both orders are made by range partitions that are sorted apart: a row's place is its place in
+its partition and the sizes of the partitions ahead.  The order is total, so a source, an id or a
+group of equal rows with any share of the table is ranked by many tasks.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweir.plans.durable import ROW, durable
+from graphweir.plans.durable import ROW, durable, row_numbers
 
 SHARDS = 24
 SEED = "interleave-1"
-#: Rows that one sorted bucket should hold, and the most buckets there are.
-BUCKET_ROWS, MAX_BUCKETS = 2_000, 4096
-
+#: monotonically_increasing_id() counts the rows of a partition in so many bits, below the partition's number.
+PLACE_BITS = 33
 
-def buckets_for(rows: int) -> int:
-    """A power of 16, so that a bucket is a prefix of the hexadecimal shuffle key."""
-    return min(MAX_BUCKETS, 16 ** max(1, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS + 1, 16))))
 
+def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows``, as a durable table, with ``pos``: each row's place from 0 in ``order``, which must be total."""
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    written = durable(ordered, name)
+    part, place = F.shiftright("at", PLACE_BITS), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    sizes = written.groupBy(part.alias("part_")).agg(F.count("*").alias("n"))  # one row per partition
+    ahead = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part_", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    return written.join(offsets, part == F.col("part_")).withColumn("pos", F.col("before") + place).drop("part_", "before", "at")
 
-def before(counts: DataFrame, within: list[str], order: str) -> DataFrame:
-    """Adds ``before``: the rows in the buckets ahead, from per-bucket counts ``n``."""
-    w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
-
-def interleaved(rows: DataFrame, source: str, key: str, tie: list[str], total: int) -> DataFrame:
-    """Adds ``pos``, the row's place from 0 in the interleaved order.
-
-    ``key`` is a hexadecimal string; buckets of its prefixes are sorted apart, so that a
-    source with any share of the rows is ranked by many tasks.
-    """
-    n = buckets_for(total)
-    digits = round(math.log(n, 16))
-    cut = rows.withColumn("b", F.conv(F.substring(key, 1, digits), 16, 10).cast("int"))
-    per_bucket = cut.groupBy(source, "b").agg(F.count("*").alias("n"))
-    sizes = Window.partitionBy(source)
-    offsets = before(per_bucket, [source], "b").withColumn("of", F.sum("n").over(sizes)).drop("n")
-    offsets = offsets.select(F.col(source).alias("s_"), F.col("b").alias("b_"), "before", "of")
-    in_bucket = Window.partitionBy(source, "b").orderBy(key, *tie)
-    ranked = cut.withColumn("r", F.row_number().over(in_bucket))
-    ranked = ranked.join(offsets, F.col(source).eqNullSafe(F.col("s_")) & (F.col("b") == F.col("b_"))).drop("s_", "b_")
-    # (2 rank - 1) / (2 rows of the source), as a fraction that is exact for the bucket too
-    rank2 = 2 * (F.col("before") + F.col("r")) - 1
-    ranked = ranked.withColumn("f", rank2 / (2 * F.col("of"))).drop("before", "of", "r", "b")
-    ranked = ranked.withColumn("c", F.least(F.floor(F.col("f") * n), F.lit(n - 1)).cast("int"))
-    ahead = before(ranked.groupBy("c").agg(F.count("*").alias("n")), [], "c").select(F.col("c").alias("c_"), "before")
-    in_cut = Window.partitionBy("c").orderBy("f", F.col(source).asc_nulls_last(), key, *tie)
-    placed = ranked.withColumn("r", F.row_number().over(in_cut)).join(ahead, F.col("c") == F.col("c_"))
-    return placed.withColumn("pos", F.col("before") + F.col("r") - 1).drop("before", "r", "c", "c_", "f")
+def interleaved(rows: DataFrame, source: str, tie: list[str]) -> DataFrame:
+    """Adds ``pos``, the row's place from 0 in the interleaved order; ``tie`` orders the rows of a source."""
+    by_source = F.col(source).asc_nulls_last()
+    ranked = placed(rows, [by_source, *map(F.col, tie)], "by-source")
+    spans = ranked.groupBy(F.col(source).alias("s_")).agg(F.min("pos").alias("start"), F.count("*").alias("of"))
+    ranked = ranked.join(spans, F.col(source).eqNullSafe(F.col("s_"))).drop("s_")
+    # (2 rank - 1) / (2 rows of the source), with ranks from 1
+    fraction = (2 * (F.col("pos") - F.col("start")) + 1) / (2 * F.col("of"))
+    return placed(ranked.withColumn("f", fraction).drop("pos", "start", "of"), [F.col("f"), by_source, *map(F.col, tie)], "interleaved")
 
 
 def shuffle_key(id_col: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("null"))))
 
 
-def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard, ``__gw_row``.
 
     The law is ``rows``: shard counts differ by one at most, and slots run from 0 without a
@@ -76,7 +63,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, id_col: st
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("src"),
-            (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias(ROW),
+            row_numbers(row_col),
             (F.octet_length(text) + F.lit(8)).cast("bigint").alias("size"),
             F.crc32(text.cast("binary")).alias("crc"),
             shuffle_key(F.col(id_col), seed).alias("key"),
@@ -84,9 +71,9 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, id_col: st
         "shard-rows",
     )
     total = rows.count()
-    placed = interleaved(rows, "src", "key", ["id", "crc", "size", ROW], total)
+    ordered = interleaved(rows, "src", ["key", "id", "crc", "size", ROW])
     shard = F.expr(f"cast((pos * {n_shards}) div {max(total, 1)} as int)")
-    out = placed.withColumn("shard", shard)
+    out = ordered.withColumn("shard", shard)
     first = F.expr(f"(cast(shard as bigint) * {max(total, 1)} + {n_shards - 1}) div {n_shards}")
     return out.select(
         F.col("id").alias(id_col),
