@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphweir.plans.durable import ROW, durable
+from graphweir.plans.durable import ROW, durable, row_numbers
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
 BLOCK, LANDING, SEED, EPS = 4096, 12, "mix-1", 1e-9
@@ -113,7 +113,14 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return joined.withColumn("block", F.expr("pmod(key, n_)")).drop("src_", "n_")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def spread(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` with keys of their own for those whose key more than ``most`` rows share (null or repeated ids), so that blocks stay even."""
+    hot = rows.groupBy(F.col("key").alias("key_")).agg(F.count("*").alias("n_")).filter(F.col("n_") > most).drop("n_")
+    own = F.when(F.col("key_").isNotNull(), F.xxhash64("key", ROW)).otherwise(F.col("key"))
+    return rows.join(hot, F.col("key") == F.col("key_"), "left").withColumn("key", own).drop("key_")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken, copies and ``__gw_row``.
 
     ``copies`` (0 to 2) is how often the mix holds the document, ``taken`` the words that
@@ -129,13 +136,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED,
     rows = durable(
         docs.select(
             F.col(id_col).alias("id"),
-            (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias(ROW),
+            row_numbers(row_col),
             F.col(source_col).cast("string").alias("src"),
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS)).cast("bigint").alias("size"),
             key.alias("key"),
         ),
         "mix-sizes",
     )
+    rows = spread(rows, max(1, block // 8))
     per = rows.groupBy("src").agg(F.sum("size").alias("size")).orderBy(F.col("src").asc_nulls_last()).collect()
     goal = targets([r["size"] for r in per], [weights[i % len(weights)] for i in range(len(per))])
     rates = []
