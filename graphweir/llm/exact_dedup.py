@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweir.plans.durable import ROW, durable
+from graphweir.plans.durable import ROW, durable, row_numbers
 
 #: Runs of ASCII white space, which count as one space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -51,7 +51,7 @@ def verified_recipes(parts: DataFrame) -> DataFrame:
     return parts.join(bad, ROW, "left").withColumn("recipe", recipe).drop("bad", "ids")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256 and ``__gw_row``.
 
     Texts are equal if they are identical after each run of ASCII white space became one
@@ -62,7 +62,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     norm = docs.select(
         F.col(id_col).alias("id"),
-        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias(ROW),
+        row_numbers(row_col),
         normalised(F.col(text_col)).alias("t"),
     )
     ids = F.transform(chunks(F.col("t")), lambda c: F.struct(F.xxhash64(c).alias("h"), F.unhex(F.sha2(c, 256)).alias("v")))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweir.plans.durable import ROW, durable, tagged
+from graphweir.plans.durable import ROW, durable
 
 #: A repeated run is deleted if it has this many words or more.
 MIN_WORDS = 20
@@ -42,7 +42,7 @@ def shortest_runs(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     return np.maximum(forward, 1) * (forward > 0), backward
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+def line_table(docs: DataFrame, least: int) -> DataFrame:
     """place, name (a 128-bit digest of the line), and the shortest runs from and to it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,9 +61,8 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataF
                     "backward": np.concatenate([r[1] for r in runs]) if n else [],
                 })
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), ROW, F.col(text_col).alias("text"))
-    lines = rows.mapInPandas(run, f"id {kind}, {ROW} long, line long, name binary, forward long, backward long")
+    kind = docs.schema["id"].dataType.simpleString()
+    lines = docs.filter("text is not null").mapInPandas(run, f"id {kind}, {ROW} long, line long, name binary, forward long, backward long")
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col(ROW).alias("row"), F.col("line").alias("line"))
     return lines.select(place.alias("place"), "name", "forward", "backward")
 
@@ -120,8 +119,9 @@ def without_repeats(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_
     one empty line.  Texts may have any number of lines.  An empty table gives an empty
     result; other columns are ignored, whatever their names.
     """
-    rows = tagged(docs, list(dict.fromkeys([id_col, text_col])) + [c for c in [ROW] if c in docs.columns])
-    lines = durable(line_table(rows, id_col, text_col, least), "lines")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias(ROW))
+    rows = durable(picked, "tagged")
+    lines = durable(line_table(rows, least), "lines")
     spans = later_copies(lines).groupBy(ROW).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -138,7 +138,7 @@ def without_repeats(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_
                 out.append((key, row, len(lines), [{"start": int(a), "end": int(b)} for a, b in border.reshape(-1, 2)], int(gone.sum()), kept))
             yield pd.DataFrame(out, columns=["id", ROW, "n_lines", "deleted", "n_deleted", "kept_text"]).astype({"id": frame["id"].dtype})
 
-    marked = rows.select(F.col(id_col).alias("id"), ROW, F.col(text_col).alias("text")).join(spans, ROW, "left").select("id", ROW, "text", "spans")
+    marked = rows.join(spans, ROW, "left").select("id", ROW, "text", "spans")
     schema = f"id {kind}, {ROW} long, n_lines int, deleted array<struct<start:int,end:int>>, n_deleted int, kept_text string"
     return marked.mapInPandas(cut, schema).withColumnRenamed("id", id_col)
 
