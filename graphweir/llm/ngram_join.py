@@ -1,9 +1,9 @@
 """Similarity join on word n-grams by MinHash banding.
 
 Documents with the same set of five-word shingles form a class and go on as one row.  Band
-hashes of their MinHash signatures are shuffled (a few bytes each); buckets with at least
-two classes link their members to the smallest one, and the components of these links are
-the candidate clusters.  Only the texts of one document per class in a cluster move on, once per
+hashes of their MinHash signatures are shuffled (a few bytes each).  In a bucket with at least
+two classes, pairs are looked at by one bit of each MinHash value, which dismisses what met by chance;
+the components of the pairs that are left are the candidate clusters.  Only the texts of one document per class in a cluster move on, once per
 pair of blocks of their cluster; there all pairs are compared exactly on their full shingle
 sets, by counting common shingles with matrix products.  A block returns link counts and a spanning set of links,
 linear in its members, never the pairs themselves.
@@ -11,7 +11,7 @@ linear in its members, never the pairs themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,13 +19,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweir.llm.buckets import candidate_links
 from graphweir.llm.caches import kept
 from graphweir.plans.components import connected_components
-from graphweir.plans.durable import ROW, durable
+from graphweir.plans.durable import ROW, durable, row_numbers
 
 NGRAM, THRESHOLD = 5, 0.8
 #: 30 bands of 7 rows find a pair of similarity 0.8 with probability 0.9991, one of 0.3 with 0.007.
 BANDS, BAND_ROWS = 30, 7
+#: A pair of a bucket is dismissed if its signatures agree less than the threshold by so many standard deviations.
+SIGMA = 4.0
+#: What is hashed to that many slots can be broadcast whole, however long the table.
+SLOTS = 1 << 20
 #: Shingles that a block of a cluster should hold, and the most documents.
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 2_000
 #: Runs of anything but ASCII white space.
@@ -76,7 +81,7 @@ def shared_shingler(n: int) -> Shingler:
 
 
 class MinHash:
-    """Band hashes of shingle sets; permutations are seeded, the same everywhere."""
+    """Band hashes of shingle sets, and one bit of each value; permutations are seeded, the same everywhere."""
 
     def __init__(self, bands: int = BANDS, rows: int = BAND_ROWS, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -84,16 +89,17 @@ class MinHash:
         self.mul = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.fold = rng.integers(1, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+    def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
         low = np.full(len(self.mul), np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(shingles), 1024):
             x = shingles[i : i + 1024, None] * self.mul
             low = np.minimum(low, (x ^ (x >> np.uint64(31))).min(axis=0))
-        return ((low.reshape(self.bands, self.rows) * self.fold).sum(axis=1, dtype=np.uint64)).view(np.int64)
+        bands = (low.reshape(self.bands, self.rows) * self.fold).sum(axis=1, dtype=np.uint64).view(np.int64)
+        return bands, np.packbits((low & np.uint64(1)).astype(bool)).tobytes()
 
 
 def signatures(rows: DataFrame, n: int, bands: int, band_rows: int) -> DataFrame:
-    """row, id, text digest, the size and a 128-bit digest of the shingle set, and its band hashes."""
+    """row, id, text digest, the size and a 128-bit digest of the shingle set, its band hashes and its sketch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, minhash = shared_shingler(n), MinHash(bands, band_rows)
@@ -101,17 +107,32 @@ def signatures(rows: DataFrame, n: int, bands: int, band_rows: int) -> DataFrame
             for lo in range(0, len(frame), 1000):
                 part = frame.iloc[lo : lo + 1000]
                 sets = [shingler(t if isinstance(t, str) else None) for t in part["text"]]
+                signed = [minhash(s) if len(s) else (np.zeros(0, np.int64), b"") for s in sets]
                 yield pd.DataFrame({
                     ROW: part[ROW],
                     "id": part["id"],
                     "th": part["th"],
                     "size": [len(s) for s in sets],
                     "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "bands": [minhash(s).tolist() if len(s) else [] for s in sets],
+                    "bands": [b.tolist() for b, _ in signed],
+                    "sketch": [k for _, k in signed],
                 })
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"{ROW} long, id {kind}, th string, size int, digest binary, bands array<long>")
+    return rows.mapInPandas(run, f"{ROW} long, id {kind}, th string, size int, digest binary, bands array<long>, sketch binary")
+
+
+def alike(values: int, threshold: float) -> Callable[[pd.DataFrame], Callable[[int, int], np.ndarray]]:
+    """Which rows of a bucket may be similar: sketches of two sets differ in (1 - similarity) / 2 of their bits."""
+    p = (1 - threshold) / 2
+    most = values * p + SIGMA * np.sqrt(values * p * (1 - p))
+
+    def near(frame: pd.DataFrame) -> Callable[[int, int], np.ndarray]:
+        bits = np.unpackbits(np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1), axis=1, count=values)
+        signs = np.where(bits, np.float32(1), np.float32(-1))
+        return lambda s, e: (values - signs[s:e] @ signs[s:e].T) / 2 <= most
+
+    return near
 
 
 def placed(sets: list[np.ndarray], among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,8 +242,8 @@ def blocked_pairs(members: DataFrame, weight: str, most_weight: int, most_rows:
     return dealt.withColumn("o", other).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o", "nb")
 
 
-def similarity_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, class_id, class_size, n_links and ``__gw_row``.
+def similarity_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per input row: id, class_id, class_size, n_links, kept and ``__gw_row`` (``row_col``, or a number made for the row).
 
     Words are runs of anything but ASCII white space; a text of one to four words has one
     shingle, all its words.  Two rows are linked if their shingle sets have a Jaccard
@@ -233,23 +254,23 @@ def similarity_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRES
     empty table gives an empty result; other columns are ignored, whatever their names.
     """
     text = F.col(text_col)
-    rows = docs.select((F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias(ROW), F.col(id_col).alias("id"), text.alias("text"), F.md5(text).alias("th"))
+    rows = docs.select(row_numbers(row_col), F.col(id_col).alias("id"), text.alias("text"), F.md5(text).alias("th"))
     signed = durable(signatures(rows, n, bands, band_rows), "shingles")
     # classes of equal sets: the smallest row stands for them
     full = signed.filter("size > 0")
     same = durable(full.groupBy("digest").agg(F.min(ROW).alias("node"), F.count("*").alias("copies")), "same-sets")
-    nodes = full.select(F.col(ROW).alias("node"), "bands").join(same.select("node"), "node")
+    nodes = full.select(F.col(ROW).alias("node"), "th", "size", "bands", "sketch").join(same.select("node", "copies"), "node")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "h"))
-    buckets = banded.groupBy("band", "h").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = buckets.filter("low < high").select("band", "h", "low")
-    candidates = banded.join(shared, ["band", "h"]).filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    clusters = connected_components(candidates).select("node", F.col("component").alias("cluster"))
-    members = clusters.join(full.select(F.col(ROW).alias("node"), "id", "th", "size"), "node").join(same.select("node", "copies"), "node")
-    pairs = blocked_pairs(members, "size", BLOCK_SHINGLES, BLOCK_DOCS)
-    texts = rows.select(F.col("id").alias("id_"), F.col("th").alias("th_"), "text")
-    pairs = pairs.join(texts, (F.col("th") == F.col("th_")) & F.col("id").eqNullSafe(F.col("id_"))).select("cluster", "node", "copies", "block", "i", "j", "text")
-    compared = pairs.groupBy("cluster", "i", "j").applyInPandas(lambda f: compare(f, n, threshold), "a long, b long, links long")
-    verified = durable(compared, "links")
+    buckets = banded.groupBy("band", "h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
+    entries = banded.join(buckets.filter("low < high").drop("high"), ["band", "h"]).join(nodes.select("node", "sketch"), "node")
+    clusters = connected_components(candidate_links(entries, ["band", "h"], alike(bands * band_rows, threshold)))
+    members = durable(clusters.select("node", F.col("component").alias("cluster")).join(nodes.select("node", "th", "size", "copies"), "node"), "members")
+    # texts of clustered documents only: by slots of their digests first, which are few, then exactly; each text once
+    slot = F.pmod(F.xxhash64("th"), F.lit(SLOTS)).alias("slot")
+    slots = members.select(slot).distinct()  # at most SLOTS rows
+    texts = rows.select("th", "text", slot).join(F.broadcast(slots), "slot", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    pairs = blocked_pairs(members, "size", BLOCK_SHINGLES, BLOCK_DOCS).join(texts, "th").select("cluster", "node", "copies", "block", "i", "j", "text")
+    verified = durable(pairs.groupBy("cluster", "i", "j").applyInPandas(lambda f: compare(f, n, threshold), "a long, b long, links long"), "links")
     links = verified.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = connected_components(verified.filter("a <> b").select("a", "b"))
     by_set = (
@@ -260,5 +281,6 @@ def similarity_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRES
     slim = signed.select(ROW, "id", F.when(F.col("size") > 0, F.col("digest")).alias("digest"))
     out = slim.join(by_set, "digest", "left").select(ROW, "id", F.coalesce("component", ROW).alias("component"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = durable(out, "similar")
-    named = out.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(ROW).alias("row"))).alias("first"), F.count("*").alias("class_size"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(ROW).alias("row"))).alias("first")
+    named = durable(out.groupBy("component").agg(first, F.count("*").alias("class_size")), "classes")
     return out.join(named, "component").select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "class_size", "n_links", (F.col(ROW) == F.col("first.row")).alias("kept"), ROW)
