@@ -1,21 +1,23 @@
 """Near-duplicate embeddings by randomised-rotation binary codes.
 
-Unit vectors are turned by seeded random rotations and kept as sign bits, with one stored
-correction factor per vector: the inner product of the vector and its own code.  Divided by
-it, the inner product of a code and another vector estimates their cosine without bias, with
-an error of about sqrt((1 - f^2) / f^2) / sqrt(d - 1) (Gao and Long, "RaBitQ", SIGMOD 2024).
+Every distinct unit vector is turned by a seeded random rotation and stored once, as its sign
+bits, with a correction factor (the inner product of the turned vector and its own code) and,
+for the other side of a comparison, as four bits per dimension, rounded by a dither.  The inner
+product of a code and another vector, divided by the factor, estimates their cosine without
+bias; about a pair at the threshold it errs by sqrt(1 - f^2) / f * sin / sqrt(d - 1) (Gao and
+Long, "RaBitQ", SIGMOD 2024) and by the rounding.
 
 Bits of further rotations index the codes: vectors that agree in all bits of one of several
-tables meet in a bucket, where only codes are compared.  Pairs whose code distance is within
-its confidence bound join candidate clusters; only their vectors move, and there the
-corrected estimate and its bound decide which pairs are recomputed exactly in double
+tables meet in a bucket, where the corrected estimates and their bounds decide which pairs may
+reach the threshold.  The components of these pairs are the candidate clusters; only their vectors move, and there
+pairs whose bound reaches the threshold are recomputed exactly in double
 precision.  Links are counted and spanned inside the blocks; no pairs are emitted.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,15 +25,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweir.llm.buckets import candidate_links
 from graphweir.llm.ngram_join import blocked_pairs, spanning
 from graphweir.plans.components import connected_components
-from graphweir.plans.durable import ROW, durable
+from graphweir.plans.durable import ROW, durable, row_numbers
 
 THRESHOLD, RECALL = 0.95, 0.99
-#: Standard deviations of a code distance, and of a corrected estimate, that count as possible.
-CODE_SIGMA, ESTIMATE_SIGMA = 3.5, 4.0
-CODE_ROTATIONS, SEED = 2, 11
-BLOCK_ROWS, GROUP_ROWS = 2_000, 60_000
+#: Standard deviations of a corrected estimate that count as possible.
+SIGMA = 4.0
+#: Vectors that a bucket should hold, and rows of a block of a cluster.
+BUCKET_BITS, BLOCK_ROWS, SEED = 5, 2_000, 11
+#: Steps on either side of zero in four bits.
+STEPS = 7
+CODE = "code binary, factor float, step float, query binary"
 
 
 def rotations(dim: int, count: int, seed: int = SEED) -> np.ndarray:
@@ -45,8 +51,8 @@ def rotations(dim: int, count: int, seed: int = SEED) -> np.ndarray:
 
 
 def tables_for(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """Tables and bits per table: buckets of a few vectors, and the recall at the threshold."""
-    bits = min(48, max(8, math.ceil(math.log2(max(n, 2)))))
+    """Tables and bits per table: buckets of about 2 ** BUCKET_BITS unrelated vectors, and the recall at the threshold."""
+    bits = min(48, max(4, math.ceil(math.log2(max(n, 2))) - BUCKET_BITS))
     agree = 1 - math.acos(threshold) / math.pi
     return math.ceil(math.log(1 - recall) / math.log(1 - agree**bits)), bits
 
@@ -57,8 +63,9 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
-def clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """row, id, the vector as bytes of doubles (null if it cannot link), and a digest of it."""
+def clean(df: DataFrame, id_col: str, vec_col: str, row_col: str | None = None) -> tuple[DataFrame, np.dtype]:
+    """row, id, the vector's bytes (null if it cannot link), and a digest of it; and the type of its components."""
+    kind = np.dtype(np.float32 if df.schema[vec_col].dataType.elementType.typeName() == "float" else np.float64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -66,89 +73,78 @@ def clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             for v in frame["v"]:
                 x = None
                 if v is not None and len(v) and not any(c is None for c in v):
-                    x = np.asarray(v, np.float64)
-                    x = x + 0.0 if np.isfinite(x).all() and x.any() else None
+                    x = np.asarray(v, kind)
+                    x = x + kind.type(0) if np.isfinite(x).all() and x.any() else None
                 raws.append(None if x is None else x.tobytes())
                 digests.append(None if x is None else xxhash.xxh3_128_digest(raws[-1]))
             yield pd.DataFrame({ROW: frame[ROW], "id": frame["id"], "raw": raws, "digest": digests})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    row = F.col(ROW) if ROW in df.columns else F.monotonically_increasing_id()
-    rows = df.select(row.alias(ROW), F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    return rows.mapInPandas(run, f"{ROW} long, id {kind}, raw binary, digest binary")
-
-
-def index(nodes: DataFrame, dim: int, tables: int, bits: int) -> DataFrame:
-    """One slim row per node and table: table, key, node, and its code in 64-bit words."""
-    n_rot = CODE_ROTATIONS + math.ceil(tables * bits / dim)
+    rows = df.select(row_numbers(row_col), F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    return rows.mapInPandas(run, f"{ROW} long, id {df.schema[id_col].dataType.simpleString()}, raw binary, digest binary"), kind
+
+
+def encoded(x: np.ndarray, turn: np.ndarray) -> pd.DataFrame:
+    """Sign bits, correction factor, step and four-bit form of unit vectors, turned."""
+    o = x @ turn
+    sign = o > 0
+    factor = np.where(sign, o, -o).sum(axis=1) / math.sqrt(o.shape[1])
+    step = np.abs(o).max(axis=1) / STEPS
+    dither = np.random.default_rng(SEED + 1).random(o.shape[1])
+    level = np.clip(np.floor(o / step[:, None] + dither) + STEPS, 0, 2 * STEPS).astype(np.uint8)
+    level = np.pad(level, ((0, 0), (0, level.shape[1] % 2)))
+    query = level[:, ::2] | (level[:, 1::2] << 4)
+    return pd.DataFrame({"code": [r.tobytes() for r in np.packbits(sign, axis=1)], "factor": factor.astype(np.float32), "step": step.astype(np.float32), "query": [r.tobytes() for r in query]})
+
+
+class Estimates:
+    """Corrected estimates of the cosines of stored vectors, and which may reach the threshold."""
+
+    def __init__(self, rows: pd.DataFrame, dim: int, threshold: float):
+        self.threshold = threshold
+        self.factor, step = (rows[c].to_numpy(np.float32)[:, None] for c in ("factor", "step"))
+        bits = np.unpackbits(np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1), axis=1, count=dim)
+        self.code = np.where(bits, np.float32(1), np.float32(-1)) / (np.float32(math.sqrt(dim)) * self.factor)
+        packed = np.frombuffer(b"".join(rows["query"]), np.uint8).reshape(len(rows), -1)
+        level = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(rows), -1)[:, :dim]
+        self.query = (level.astype(np.float32) - STEPS) * step
+        # of a pair at the threshold: what the code misses, and the rounding of the other side
+        self.missed = np.maximum(0, 1 - self.factor**2) * (1 - threshold**2) / max(dim - 1, 1)
+        self.rounded = step**2 / 6
+
+    def between(self, a: slice | np.ndarray, b: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates and bounds of each of ``a`` with each of ``b``: the mean of both directions."""
+        estimate = (self.query[a] @ self.code[b].T + self.code[a] @ self.query[b].T) / 2
+        one = np.sqrt((self.missed[b].T + self.rounded[a]) / self.factor[b].T ** 2)
+        other = np.sqrt((self.missed[a] + self.rounded[b].T) / self.factor[a] ** 2)
+        return estimate, SIGMA * (one + other) / 2
+
+    def possible(self, a: slice | np.ndarray, b: slice | np.ndarray) -> np.ndarray:
+        estimate, bound = self.between(a, b)
+        return estimate + bound >= self.threshold
+
+
+def codes(nodes: DataFrame, kind: np.dtype, dim: int, tables: int, bits: int) -> DataFrame:
+    """One row per distinct vector: node, its key in each table, and its stored form (CODE)."""
+    more = math.ceil(tables * bits / dim)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = rotations(dim, n_rot)
-        weights = (1 << np.arange(bits, dtype=np.int64)).astype(np.int64)
+        turn, index = rotations(dim, 1), rotations(dim, more, SEED + 2)[:, : tables * bits]
+        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
         for frame in frames:
             for lo in range(0, len(frame), 2000):
                 part = frame.iloc[lo : lo + 2000]
-                x = unit(np.stack([np.frombuffer(r, np.float64) for r in part["raw"]]))
-                sign = (x @ turn) > 0
-                code = np.packbits(sign[:, : CODE_ROTATIONS * dim], axis=1)
-                keys = sign[:, CODE_ROTATIONS * dim :][:, : tables * bits].reshape(len(part), tables, bits) @ weights
-                yield pd.DataFrame({"t": np.tile(np.arange(tables, dtype=np.int32), len(part)), "key": keys.reshape(-1), "node": np.repeat(part["node"].to_numpy(), tables), "code": [c for r in code for c in [r.tobytes()] * tables]})
-
-    return nodes.select("node", "raw").mapInPandas(run, "t int, key long, node long, code binary")
-
-
-def near_codes(frame: pd.DataFrame, most: int) -> pd.DataFrame:
-    """A spanning set of the pairs with a code distance of ``most`` bits or less, bucket by bucket."""
-    frame = frame.sort_values(["t", "key", "i", "j", "node"])
-    node, code = frame["node"].to_numpy(), np.stack([np.frombuffer(c, np.uint8) for c in frame["code"]])
-    pad = -code.shape[1] % 8
-    code = np.ascontiguousarray(np.pad(code, ((0, 0), (0, pad)))).view(np.uint64)
-    own, i, j = (frame[c].to_numpy() for c in ("block", "i", "j"))
-    change = np.flatnonzero(np.diff(frame["t"].to_numpy()) | np.diff(frame["key"].to_numpy()) | np.diff(i) | np.diff(j)) + 1
-    starts, ends = np.r_[0, change], np.r_[change, len(frame)]
-    a, b = [], []
-
-    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(code[x] ^ code[y]).sum(axis=-1, dtype=np.int64) <= most
-
-    small = (ends - starts) <= 32
-    length = np.zeros(len(frame), np.int64)
-    for s, e in zip(starts[small], ends[small], strict=True):
-        length[s:e] = e - np.arange(s, e)  # rows left in the bucket
-    for step in range(1, 32):  # all pairs of small buckets at once
-        x = np.flatnonzero(length > step)
-        if not len(x):
-            break
-        x = x[close(x, x + step)]
-        a.append(x)
-        b.append(x + step)
-    for s, e in zip(starts[~small], ends[~small], strict=True):
-        rows = np.arange(s, e)
-        left, right = rows[own[s:e] == i[s]], rows[own[s:e] == j[s]]
-        for lo in range(0, len(left), 256):
-            part = left[lo : lo + 256]
-            hit = np.bitwise_count(code[part][:, None, :] ^ code[right][None, :, :]).sum(axis=-1, dtype=np.int64) <= most
-            x, y = np.nonzero(hit & (part[:, None] != right[None, :]))
-            a.append(part[x])
-            b.append(right[y])
-    x, y = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (a, b))
-    ids, inverse = np.unique(node, return_inverse=True)
-    forest = spanning(len(ids), (inverse[x], inverse[y])) if len(x) else []
-    return pd.DataFrame({"a": [ids[p] for p, _ in forest], "b": [ids[q] for _, q in forest]}).astype({"a": "int64", "b": "int64"})
-
-
-def exact_links(left: np.ndarray, right: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with a cosine of ``threshold`` or more (above the diagonal, if ``same``)."""
-    dim = left.shape[1]
-    turn = rotations(dim, 1)
-    q, o = left @ turn, right @ turn
-    code = np.where(o > 0, 1.0, -1.0) / math.sqrt(dim)
-    factor = (code * o).sum(axis=1)  # the stored correction
-    bound = ESTIMATE_SIGMA * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(dim - 1, 1))
+                x = unit(np.stack([np.frombuffer(r, kind) for r in part["raw"]]))
+                keys = ((x @ index) > 0).reshape(len(part), tables, bits) @ weights
+                yield encoded(x, turn).assign(node=part["node"].to_numpy(), keys=list(keys))[["node", "keys", "code", "factor", "step", "query"]]
+
+    return nodes.select("node", "raw").mapInPandas(run, f"node long, keys array<long>, {CODE}")
+
+
+def exact_links(left: np.ndarray, right: np.ndarray, possible: Callable[[int, int], np.ndarray], threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs with a cosine of ``threshold`` or more (above the diagonal, if ``same``); only those that are ``possible`` are computed."""
     out = [], []
     for lo in range(0, len(left), 500):
-        estimate = q[lo : lo + 500] @ code.T / factor
-        x, y = np.nonzero(estimate + bound >= threshold)
+        x, y = np.nonzero(possible(lo, min(lo + 500, len(left))))
         x += lo
         if same:
             x, y = x[x < y], y[x < y]
@@ -160,17 +156,18 @@ def exact_links(left: np.ndarray, right: np.ndarray, threshold: float, same: boo
     return tuple(np.concatenate(p) if p else np.zeros(0, np.int64) for p in out)
 
 
-def compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def compare(frame: pd.DataFrame, kind: np.dtype, threshold: float) -> pd.DataFrame:
     """Links between the blocks ``i`` and ``j`` of a cluster (within the block, if equal)."""
     i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
     frame = frame.sort_values(["block", "node"])
     node, copies, block = frame["node"].to_numpy(), frame["copies"].to_numpy(np.int64), frame["block"].to_numpy()
-    x = unit(np.stack([np.frombuffer(r, np.float64) for r in frame["raw"]]))
+    x = unit(np.stack([np.frombuffer(r, kind) for r in frame["raw"]]))
+    known = Estimates(frame, x.shape[1], threshold)
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
     links, a, b = np.zeros(len(frame), np.int64), [], []
     if len(left) and len(right):
-        a, b = exact_links(x[left], x[right], threshold, i == j)
+        a, b = exact_links(x[left], x[right], lambda s, e: known.possible(left[s:e], right), threshold, i == j)
         a, b = left[a], right[b]
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
@@ -179,8 +176,8 @@ def compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat([pd.DataFrame({"a": node, "b": node, "links": links}), edges], ignore_index=True).astype({"a": "int64", "b": "int64", "links": "int64"})
 
 
-def embedding_classes(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept and ``__gw_row``.
+def embedding_classes(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vec_col: str = "embedding", row_col: str | None = None) -> DataFrame:
+    """One row per vector: id, n_links, component_id, kept and ``__gw_row`` (``row_col``, or a number made for the row).
 
     Vectors are compared by cosine in double precision, whatever their other columns; a pair
     is linked if it was found with ``threshold`` or more.  A null, empty or zero vector, or
@@ -189,15 +186,15 @@ def embedding_classes(df: DataFrame, threshold: float = THRESHOLD, recall: float
     repeat the smallest id one is kept.  Vectors of different lengths never link.  An empty
     table gives an empty result; other columns are ignored, whatever their names.
     """
-    rows = durable(clean(df, id_col, vec_col), "vectors")
+    cleaned, kind = clean(df, id_col, vec_col, row_col)
+    rows = durable(cleaned, "vectors")
     found = rows.filter("raw is not null")
     same = durable(found.groupBy("digest").agg(F.min(ROW).alias("node"), F.count("*").alias("copies"), F.first("raw").alias("raw")), "same-vectors")
     parts = []
     sizes = same.groupBy(F.octet_length("raw").alias("bytes")).agg(F.count("*").alias("n")).orderBy("bytes").collect()  # one row per vector length
     for size in sizes:
-        dim, n = size["bytes"] // 8, size["n"]
         nodes = same.filter(F.octet_length("raw") == size["bytes"])
-        parts.append(_links(nodes, dim, n, threshold, recall))
+        parts.append(_links(nodes, kind, size["bytes"] // kind.itemsize, size["n"], threshold, recall))
     by_vector = same.select("digest", "node", "copies")
     if parts:
         verified = parts[0]
@@ -212,24 +209,24 @@ def embedding_classes(df: DataFrame, threshold: float = THRESHOLD, recall: float
     out = rows.select(ROW, "id", "digest").join(by_vector, "digest", "left")
     out = durable(out.select(ROW, "id", F.coalesce("component", ROW).alias("component"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "vector-classes")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(ROW).alias("row"))).alias("first")
-    named = out.groupBy("component").agg(first)
+    named = durable(out.groupBy("component").agg(first), "vector-components")
     return out.join(named, "component").select(F.col("id").alias(id_col), "n_links", F.col("first.id").alias("component_id"), (F.col(ROW) == F.col("first.row")).alias("kept"), ROW)
 
 
-def _links(nodes: DataFrame, dim: int, n: int, threshold: float, recall: float) -> DataFrame:
+def _links(nodes: DataFrame, kind: np.dtype, dim: int, n: int, threshold: float, recall: float) -> DataFrame:
     """Link counts (a = b) and spanning links of the distinct vectors of one length."""
     tables, bits = tables_for(n, threshold, recall)
-    p, d = math.acos(threshold) / math.pi, dim * CODE_ROTATIONS
-    most = math.floor(d * p + CODE_SIGMA * math.sqrt(d * p * (1 - p)))
-    slim = durable(index(nodes, dim, tables, bits), "codes")
-    full = slim.groupBy("t", "key").agg(F.count("*").alias("n_")).filter("n_ > 1")
-    blocks = slim.join(full.withColumn("nb", F.ceil(F.col("n_") / BLOCK_ROWS)), ["t", "key"]).withColumn("block", F.expr("pmod(xxhash64(node), nb)"))
-    dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
-    groups = max(1, math.ceil(n * tables / GROUP_ROWS))
-    dealt = dealt.withColumn("g", F.expr(f"pmod(xxhash64(t, key, i, j), {groups})")).select("g", "t", "key", "node", "code", "block", "i", "j")
-    near = dealt.groupBy("g").applyInPandas(lambda f: near_codes(f, most), "a long, b long")
-    clusters = connected_components(near).select("node", F.col("component").alias("cluster"))
-    members = nodes.select("node", "copies", "raw").join(clusters, "node").withColumn("weight", F.lit(1))
+    stored = durable(codes(nodes, kind, dim, tables, bits), "codes")
+    keyed = stored.select("node", F.posexplode("keys").alias("t", "key"))
+    full = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
+    entries = stored.select("node", "code", "factor", "step", "query", F.posexplode("keys").alias("t", "key")).join(full, ["t", "key"])
+
+    def near(frame: pd.DataFrame) -> Callable[[int, int], np.ndarray]:
+        known = Estimates(frame, dim, threshold)
+        return lambda s, e: known.possible(slice(s, e), slice(s, e))
+
+    candidates = candidate_links(entries, ["t", "key"], near, max(2_000, 4_000_000 // dim))
+    clusters = connected_components(candidates).select("node", F.col("component").alias("cluster"))
+    members = nodes.select("node", "copies", "raw").join(clusters, "node").join(stored.drop("keys"), "node").withColumn("weight", F.lit(1))
     pairs = blocked_pairs(members, "weight", BLOCK_ROWS, BLOCK_ROWS)
-    return durable(pairs.groupBy("cluster", "i", "j").applyInPandas(lambda f: compare(f, threshold), "a long, b long, links long"), "vector-links")
+    return durable(pairs.groupBy("cluster", "i", "j").applyInPandas(lambda f: compare(f, kind, threshold), "a long, b long, links long"), "vector-links")
