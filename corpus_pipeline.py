@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweir.llm import exact_dedup, mixing, ngram_join, packing, quality
-from graphweir.plans.durable import ROW, durable, tagged
+from graphweir.plans.durable import ROW, durable, free_names, tagged
 from graphweir.plans.session import table
 
 
-def _chosen(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The tagged rows that ``decisions`` names."""
-    return docs.join(decisions.select(ROW), ROW, "left_semi").drop(ROW)
+def _chosen(docs: DataFrame, row: str, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs``, numbered in column ``row``, that ``decisions`` names."""
+    return docs.join(decisions.select(F.col(ROW).alias(row)), row, "left_semi").drop(row)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,22 +28,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of equal texts, the row with the smallest id."""
-    rows = tagged(docs)
-    return _chosen(rows, exact_dedup.exact_duplicates(rows).filter("kept"))
+    rows, row = tagged(docs)
+    return _chosen(rows, row, exact_dedup.exact_duplicates(rows, row_col=row).filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of near copies, the row with the smallest id."""
-    rows = tagged(docs)
-    return _chosen(rows, ngram_join.similarity_classes(rows).filter("kept"))
+    rows, row = tagged(docs)
+    return _chosen(rows, row, ngram_join.similarity_classes(rows, row_col=row).filter("kept"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops, keeps or repeats documents so that sources meet their targets."""
-    rows = tagged(docs)
-    copies = mixing.mixed(rows).filter("copies > 0").select(ROW, F.col("copies").alias("__gw_copies"))
-    times = F.explode(F.sequence(F.lit(1), F.col("__gw_copies"))).alias("__gw_copy")
-    return rows.join(copies, ROW).select(*docs.columns, times).drop("__gw_copy")
+    rows, row = tagged(docs)
+    (copies,) = free_names(rows, "copies")
+    times = mixing.mixed(rows, row_col=row).filter("copies > 0").select(F.col(ROW).alias(row), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copies))
+    return rows.join(times, row).drop(row, copies)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

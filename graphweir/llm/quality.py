@@ -1,39 +1,38 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is trained on all trusted text, at two levels: n-grams of four characters, which
-see odd characters and spelling, and n-grams of two words, which see odd vocabulary and
-repetition.  All characters and all words count (words by 64-bit hashes), so the tables grow
-with the corpus.  Counts, continuation counts, discounts and context weights (Chen and
-Goodman, "An Empirical Study of Smoothing Techniques for Language Modeling", 1999) are
-tables sharded by n-gram and context; nothing is gathered.  Documents are scored in blocks of
-neighbouring rows: the distinct n-grams and contexts of a block are joined to the model, and
-what is found meets the block's texts again.  A document is rejected if its
-perplexity at either level, or its share of distinct pairs of words, lies outside quantiles of
-the trusted documents of its language and length, a fifth of which the model has not seen.
+The model is trained on the n-grams of four characters of all trusted text.  All characters
+count, so the tables grow with the corpus and any script is seen.  Counts and continuation
+counts are tables sharded by n-gram and by context; nothing is gathered.  Documents are
+scored in blocks: distinct texts are dealt to blocks by their digest, the distinct contexts
+of a block are joined to the counts, and what is found meets the block's texts again, where
+discounts and context weights (Chen and Goodman, "An Empirical Study of Smoothing Techniques
+for Language Modeling", 1999) give every character its probability.  Training, asking and
+scoring read one shuffle of the texts.  A document is rejected if its perplexity, or its
+share of distinct pairs of words, lies outside quantiles of the trusted documents of its
+language and length, a fifth of which the model has not seen.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweir.llm.caches import kept
-from graphweir.plans.durable import ROW, durable, tagged
+from graphweir.plans.durable import durable, free_names
 
-ORDER, WORD_ORDER = 4, 2
-#: Rows of a block, as a power of two, and n-grams that a task holds before it counts them.
-BLOCK_BITS, HELD_GRAMS = 13, 4_000_000
+ORDER, SYMBOLS = 4, 1 << 21
+#: Bytes of text that a block holds on average, characters that are worked on at once, and digests that a task remembers.
+BLOCK_BYTES, CHUNK, REMEMBERED = 12 << 20, 3_000_000, 1_000_000
 #: Trusted documents outside these quantiles are rejected.
 LOW, HIGH = 0.0005, 0.999
 #: Their places in a normal distribution.
 LOW_Z, HIGH_Z = -3.2905, 3.0902
-SCORES = ("char", "word", "pair")
+SCORES = ("char", "pair")
 #: One of so many trusted documents is kept from training, so that the quantiles know unseen text.
 HELD_OUT = 5
 #: Length classes with fewer trusted documents than this are judged by the quantiles of their language, languages by those of all.
@@ -41,339 +40,261 @@ LEAST_TRUSTED = 30
 #: With fewer held-out texts than this, the upper quantile is over all trusted ones.
 LEAST_HELD = 8
 
+MODEL = "k int, x long, s array<int>, c array<long>"
+
+
+def symbols_of(text: str) -> np.ndarray:
+    """The characters, lower-cased; white space of any kind, and a run of it, is one space."""
+    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    x[(x >= 9) & (x <= 13)] = 32
+    return x[~np.concatenate([np.zeros(1, bool), (x[1:] == 32) & (x[:-1] == 32)])[: len(x)]]
+
+
+def repeated_words(text: str) -> tuple[int, int]:
+    """Words, and distinct pairs of a word and the one before (nothing, at the start)."""
+    words = text.split()
+    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    before = np.concatenate([np.zeros(1, np.uint64), h])[: len(h)]
+    return len(h), len(np.unique(before * np.uint64(0x9E3779B97F4A7C15) ^ h))
+
+
+class Grams:
+    """The n-grams of some texts, each with ORDER - 1 blanks before it: distinct ones (context ``x``, symbol ``s``), how often each occurs,
+    and for each place in the texts (``own``: of which text) which n-gram ends there."""
+
+    def __init__(self, texts: list[np.ndarray], order: int = ORDER, base: int = SYMBOLS):
+        n, blanks = [len(t) for t in texts], np.full(order - 1, 32, np.int64)
+        line = np.concatenate([p for t in texts for p in (blanks, t)])
+        self.own = np.repeat(np.arange(len(n)), n)
+        end = np.arange(len(self.own)) + (order - 1) * (self.own + 1)
+        seen = np.zeros(base, bool)
+        seen[line] = True
+        alphabet = np.flatnonzero(seen)
+        number = np.zeros(base, np.uint64)
+        number[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+        dense, size = number[line], np.uint64(len(alphabet))
+        code = np.zeros(len(end), np.uint64)
+        for k in range(order - 1, 0, -1):
+            code = code * size + dense[end - k]
+        contexts = None
+        if len(alphabet) ** order >= 2**63:  # too many for one number: number the contexts that occur
+            contexts, code = np.unique(code, return_inverse=True)
+            code = code.astype(np.uint64)
+        self.code = code * size + dense[end]
+        self.distinct, self.count = np.unique(self.code, return_counts=True)
+        x, self.s = self.distinct // size, alphabet[(self.distinct % size).astype(np.int64)]
+        x = x if contexts is None else contexts[x.astype(np.int64)]
+        self.x = np.zeros(len(x), np.int64)
+        for k in range(order - 1):
+            digit = (x // size ** np.uint64(order - 2 - k)) % size
+            self.x = self.x * base + alphabet[digit.astype(np.int64)]
+
+    def at_each_place(self, value: np.ndarray, bits: int = 22) -> np.ndarray:
+        """``value`` (of each distinct n-gram) for every place: from a table by a hash, and by search where two n-grams share a slot."""
+        slot = lambda c: (c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+        own = slot(self.distinct).astype(np.int64)
+        table = np.full(1 << bits, np.nan)
+        table[own] = value
+        table[np.bincount(own, minlength=1 << bits) > 1] = np.nan
+        out = table[slot(self.code).astype(np.int64)]
+        shared = np.flatnonzero(np.isnan(out))
+        out[shared] = value[np.searchsorted(self.distinct, self.code[shared])]
+        return out
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-class Letters:
-    """Contexts and symbols of the n-grams of characters that end at each character; blanks stand before the text.
-
-    A context is the characters before, 21 bits each, so nothing collides.
-    """
-
-    order, size = ORDER, 1 << 21
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        x = code_points(text).astype(np.int64)
-        x[(x >= 9) & (x <= 13)] = 32  # white space of any kind, and a run of it, is one space
-        x = x[~np.concatenate([np.zeros(1, bool), (x[1:] == 32) & (x[:-1] == 32)])[: len(x)]]
-        padded = np.concatenate([np.full(self.order - 1, 32, np.int64), x])
-        context = np.zeros(len(x), np.int64)
-        for k in range(self.order - 1):
-            context = context * self.size + padded[k : k + len(x)]
-        return context, x
-
-
-class Terms:
-    """Contexts and symbols of the pairs of words: hashes of the word before, 0 at the start, and of the word."""
-
-    order, size = WORD_ORDER, 1
 
-    def __init__(self, cached_words: int = 500_000):
-        self.cached_words = cached_words
+def chunks(blobs: list[bytes]) -> Iterator[tuple[int, list[str], list[np.ndarray]]]:
+    """Texts and their symbols, some CHUNK characters at a time, and the place of the first."""
+    unpack, first, texts, symbols, held = zstandard.ZstdDecompressor(), 0, [], [], 0
+    for i, blob in enumerate(blobs):
+        texts.append(unpack.decompress(blob).decode("utf-8", "surrogatepass"))
+        symbols.append(symbols_of(texts[-1]))
+        held += len(symbols[-1])
+        if held >= CHUNK or i == len(blobs) - 1:
+            yield first, texts, symbols
+            first, texts, symbols, held = i + 1, [], [], 0
 
-    @staticmethod
-    def known() -> dict[str, int]:
-        return kept("word hashes", dict)
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words, known = text.split(), self.known()
-        try:
-            x = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            if len(known) > self.cached_words:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-            x = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        return np.concatenate([np.zeros(1, np.int64), x])[: len(x)], x
+def packed(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
+    """block, th, z: texts as Zstandard frames; a task packs equal texts once, and each block then has each once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, seen = zstandard.ZstdCompressor(3), set()
+        for batch in batches:
+            block, th, z = [], [], []
+            for b, h, t in zip(*(batch.column(c).to_pylist() for c in ("block", "th", "text")), strict=True):
+                if h not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(h)
+                    block.append(b)
+                    th.append(h)
+                    z.append(pack.compress(t.encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(th, pa.binary()), pa.array(z, pa.binary())], names=["block", "th", "z"])
 
-CODERS = (Letters(), Terms())
+    text = docs.filter(F.length(text_col) > 0).select(digest(text_col), F.col(text_col).alias("text"))
+    dealt = text.withColumn("block", block_of(blocks)).mapInArrow(run, "block long, th binary, z binary").repartition("block")
+    return dealt.groupBy("block", "th").agg(F.first("z").alias("z"))
 
 
-def keys_of(context: np.ndarray, symbol: np.ndarray | int, salt: int = 0) -> np.ndarray:
-    """64-bit keys of n-grams, or of contexts where the symbol is 0; ``salt`` tells tables apart."""
-    h = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) + np.asarray(symbol, np.int64).astype(np.uint64) + np.uint64(salt) * np.uint64(0xD6E8FEB86659FD93 >> 8)
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(32))).astype(np.int64)
+def digest(text_col: str) -> Column:
+    return F.unhex(F.md5(F.col(text_col))).alias("th")
 
 
-def salt_of(kind: int, k: int, context: bool) -> int:
-    return kind * 64 + k * 2 + context
+def block_of(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("th"), F.lit(blocks)).cast("bigint")
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray | int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams of (context, symbol, count) and their counts."""
-    x, s = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    n = np.concatenate([np.broadcast_to(np.asarray(p[2], np.int64), len(p[1])) for p in parts])
-    h = keys_of(x, s)
-    order = np.argsort(h)
-    h = h[order]
-    first = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
-    at = order[first]
-    return x[at], s[at], np.add.reduceat(n[order], first)
-
-
-class Counter:
-    """Distinct n-grams of many texts; ``add`` returns them when there are too many to hold."""
-
-    def __init__(self, coder: Letters | Terms):
-        self.coder, self.parts, self.fresh = coder, [], 0
-
-    def add(self, text: str) -> tuple | None:
-        x, s = self.coder(text)
-        if len(s):
-            self.parts.append((x, s, 1))
-            self.fresh += len(s)
-        if self.fresh > HELD_GRAMS:
-            self.parts, self.fresh = [merged(self.parts)], 0
-            if len(self.parts[0][1]) > HELD_GRAMS // 2:
-                return self.take()
-        return None
-
-    def take(self) -> tuple | None:
-        out = merged(self.parts) if self.parts else None
-        self.parts, self.fresh = [], 0
-        return out
-
-
-def trained_counts(texts: DataFrame) -> DataFrame:
-    """kind (of CODERS), x, s, c: how often each n-gram occurs in ``texts``, summed per task before the shuffle."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counters = [Counter(c) for c in CODERS]
-
-        def rows(kind: int, got: tuple | None) -> Iterator[pd.DataFrame]:
-            for lo in range(0, len(got[1]) if got else 0, 200_000):
-                x, s, c = (v[lo : lo + 200_000] for v in got)
-                yield pd.DataFrame({"kind": np.int32(kind), "x": x, "s": s, "c": c})
-
-        for frame in frames:
-            for t in frame["text"]:
-                if isinstance(t, str) and t:
-                    for kind, counter in enumerate(counters):
-                        yield from rows(kind, counter.add(t))
-        for kind, counter in enumerate(counters):
-            yield from rows(kind, counter.take())
-
-    return texts.mapInPandas(run, "kind int, x long, s long, c long").groupBy("kind", "x", "s").agg(F.sum("c").alias("c"))
-
-
-def asked_keys(kind: int, order: int, size: int, x: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
-    """All keys of the model that the costs of these n-grams depend on."""
-    out = []
-    for k in range(1, order + 1):
-        y = x if k == order else x % size ** (k - 1)
-        out.append(keys_of(y, s, salt_of(kind, k, False)))
+    x, s, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((s, x))
+    x, s = x[order], s[order]
+    first = np.flatnonzero(np.concatenate([np.ones(1, bool), (np.diff(x) != 0) | (np.diff(s) != 0)]))
+    return x[first], s[first], np.add.reduceat(c[order], first)
+
+
+def trained_counts(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """x, s, c: how often each n-gram occurs in the texts that ``marks`` (block, th, n) names, each n times; summed per block before the shuffle."""
+
+    def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        times = dict(zip(marks.column("th").to_pylist(), marks.column("n").to_pylist(), strict=True))
+        rows = [(times[h], z) for h, z in zip(texts.column("th").to_pylist(), texts.column("z").to_pylist(), strict=True) if h in times]
+        parts = []
+        for n in sorted({n for n, _ in rows}):
+            for _, _, symbols in chunks([z for k, z in rows if k == n]):
+                g = Grams(symbols)
+                parts.append((g.x, g.s, g.count * n))
+        x, s, c = merged(parts) if parts else [np.zeros(0, np.int64)] * 3
+        return pa.table({"x": x, "s": s.astype(np.int32), "c": c.astype(np.int64)})
+
+    grams = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(run, "x long, s int, c long")
+    return grams.groupBy("x", "s").agg(F.sum("c").alias("c"))
+
+
+def model_of(counts: DataFrame, order: int = ORDER, base: int = SYMBOLS) -> DataFrame:
+    """The sharded model, as rows of MODEL, from counts (x, s, c) of the longest n-grams.
+
+    For k from ``order`` to 2, the symbols seen behind each context of k - 1 symbols and their counts; for k = 1 the
+    count of the symbol x; for k = 0 of order x how many n-grams occur 1 to 4 times, the sum of all counts, and the
+    number of n-grams.  Counts below the longest are continuation counts: before how many symbols an n-gram occurs.
+    A context has at most as many rows as there are characters.
+    """
+    out, none = None, F.array().cast("array<int>")
+    for k in range(order, 0, -1):
+        if k == 1:
+            rows = counts.select(F.lit(1).alias("k"), F.col("s").cast("bigint").alias("x"), none.alias("s"), F.array("c").alias("c"))
+        else:
+            lists = counts.groupBy("x").agg(F.collect_list(F.struct("s", "c")).alias("l"))
+            rows = lists.select(F.lit(k).alias("k"), "x", F.col("l.s").alias("s"), F.col("l.c").alias("c"))
+        often = [F.count_if(F.col("c") == n) for n in (1, 2, 3, 4)] + [F.coalesce(F.sum("c"), F.lit(0)), F.count("*")]
+        rows = rows.unionByName(counts.agg(F.array(*often).alias("c")).select(F.lit(0).alias("k"), F.lit(k).cast("bigint").alias("x"), none.alias("s"), "c"))
+        out = rows if out is None else out.unionByName(rows)
         if k > 1:
-            out.append(keys_of(y, 0, salt_of(kind, k, True)))
+            counts = counts.groupBy((F.col("x") % base ** (k - 2)).alias("x"), "s").agg(F.count("*").alias("c"))
     return out
 
 
-def block_keys(rows: DataFrame, text_col: str) -> DataFrame:
-    """block, key: what each block needs to know; a split or very varied block names some keys more than once."""
+def suffix(x: np.ndarray, k: int, order: int, base: int) -> np.ndarray:
+    """The last k - 1 symbols of contexts of order - 1."""
+    return x if k == order else x % base ** (k - 1)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counters, now = [Counter(c) for c in CODERS], None
 
-        def keys(kind: int, got: tuple | None) -> Iterator[pd.DataFrame]:
-            for part in asked_keys(kind, CODERS[kind].order, CODERS[kind].size, got[0], got[1]) if got else []:
-                part = np.unique(part)
-                for lo in range(0, len(part), 400_000):
-                    yield pd.DataFrame({"block": now, "key": part[lo : lo + 400_000]})
+def asked(texts: DataFrame) -> DataFrame:
+    """block, k, x: the rows of the model that a block's texts depend on."""
 
-        for frame in frames:
-            for block, t in zip(frame["block"].tolist(), frame["text"], strict=True):
-                if block != now:
-                    for kind, counter in enumerate(counters):
-                        yield from keys(kind, counter.take())
-                    now = block
-                if isinstance(t, str) and t:
-                    for kind, counter in enumerate(counters):
-                        yield from keys(kind, counter.add(t))
-        for kind, counter in enumerate(counters):
-            yield from keys(kind, counter.take())
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for _, _, symbols in chunks(texts.column("z").to_pylist()):
+            g = Grams(symbols)
+            found.append((np.unique(g.x), np.unique(g.s)))
+        x = np.unique(np.concatenate([f[0] for f in found]))
+        parts = [(0, np.arange(1, ORDER + 1)), (1, np.unique(np.concatenate([f[1] for f in found])))]
+        parts += [(k, np.unique(suffix(x, k, ORDER, SYMBOLS))) for k in range(2, ORDER + 1)]
+        k = np.concatenate([np.full(len(v), n, np.int32) for n, v in parts])
+        return pa.table({"block": np.full(len(k), key[0].as_py(), np.int64), "k": k, "x": np.concatenate([v for _, v in parts]).astype(np.int64)})
 
-    return rows.select("block", F.col(text_col).alias("text")).mapInPandas(run, "block long, key long")
+    return texts.groupBy("block").applyInArrow(run, "block long, k int, x long")
 
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     """Chen and Goodman's three discounts, from how many n-grams occur 1 to 4 times."""
-    row = counts.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (row[f"n{k}"] for k in (1, 2, 3, 4))
     if not (n1 and n2):
-        return 0.5, 0.5, 0.5
+        return np.full(3, 0.5)
     y = n1 / (n1 + 2 * n2)
     d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-    return tuple(min(max(v, 0.05), k) for v, k in zip(d, (0.95, 1.9, 2.9), strict=True))
-
-
-def keyed(rows: DataFrame, salt: int) -> DataFrame:
-    """key, v of rows x, s, v."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"key": keys_of(f["x"].to_numpy(), f["s"].to_numpy(), salt), "v": f["v"]})
-
-    return rows.mapInPandas(run, "key long, v float")
-
-
-def model_of(grams: DataFrame, kind: int, order: int, size: int, symbols: int | None = None) -> tuple[DataFrame, float]:
-    """key, v: discounted shares of all n-grams seen (x, s, c), and of each context seen the weight it gives to the lower order;
-    and the share that every symbol has before all others.
-
-    ``size`` is what a context is divided by for the one that is a symbol shorter.  Of the
-    ``symbols`` (those seen and one for the rest, if not given) all have the same share.
-    """
-    out, base = None, 1.0
-    counts = durable(grams, "grams")
-    for k in range(order, 0, -1):
-        d1, d2, d3 = discounts(counts)
-        discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        sums = [F.sum("c").alias("total"), ((d1 * F.count_if(F.col("c") == 1) + d2 * F.count_if(F.col("c") == 2) + d3 * F.count_if(F.col("c") > 2)) / F.sum("c")).alias("w")]
-        if k == 1:  # one context
-            one = counts.agg(*sums, F.count("*").alias("n")).first()
-            base = (one["w"] if one["w"] is not None else 1.0) / (symbols or one["n"] + 1)
-            own = counts.withColumn("total", F.lit(one["total"]).cast("double"))
-        else:
-            contexts = counts.groupBy("x").agg(*sums)
-            own = counts.join(contexts.select("x", "total"), "x")
-            weights = keyed(contexts.select("x", F.lit(0).cast("long").alias("s"), F.col("w").cast("float").alias("v")), salt_of(kind, k, True))
-            out = weights if out is None else out.unionByName(weights)
-        shares = keyed(own.select("x", "s", (F.greatest(F.col("c") - discount, F.lit(0.0)) / F.col("total")).cast("float").alias("v")), salt_of(kind, k, False))
-        out = shares if out is None else out.unionByName(shares)
-        if k > 1:  # continuation counts: in how many contexts a suffix occurs
-            counts = durable(counts.groupBy((F.col("x") % size ** (k - 2)).alias("x"), "s").agg(F.count("*").alias("c")), "continuations")
-    return out, base
+    return np.clip(d, 0.05, (0.95, 1.9, 2.9))
 
 
 class Known:
-    """The part of the model that a block asked for."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
-        key = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)])
-        self.key, at = np.unique(key, return_index=True)
-        self.value = np.concatenate([np.zeros(0, np.float32), *(v for _, v in parts)])[at]
+    """Rows of the model, for the n-grams that they cover."""
 
-    def get(self, key: np.ndarray, default: float) -> np.ndarray:
-        if not len(self.key):
-            return np.full(len(key), default)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.value[at], default)
+    def __init__(self, rows: pa.Table, order: int = ORDER, base: int = SYMBOLS):
+        self.order, self.base, self.levels = order, base, {}
+        rows = rows.combine_chunks()
+        kind, x = rows.column("k").to_numpy(), rows.column("x").to_numpy()
+        often = {int(a): c for a, c in zip(x[kind == 0], rows.filter(pa.array(kind == 0)).column("c").to_pylist(), strict=True)}
+        for k in range(1, order + 1):
+            mine = rows.filter(pa.array(kind == k)).sort_by("x")
+            stats = often.get(k, [0] * 6)
+            cut = np.concatenate([[0.0], discounts(*stats[:4])])
+            flat = lambda name: mine.column(name).combine_chunks().flatten().to_numpy().astype(np.int64) if len(mine) else np.zeros(0, np.int64)  # noqa: B023, E731
+            c, at = flat("c"), mine.column("x").to_numpy()
+            less = cut[np.minimum(c, 3)]
+            if k == 1:
+                n1, n2, _, _, total, types = stats
+                rest = cut[1] * n1 + cut[2] * n2 + cut[3] * (types - n1 - n2)
+                self.floor = (rest / total if total else 1.0) / (types + 1)
+                self.levels[1] = at, np.maximum(c - less, 0) / max(total, 1)
+                continue
+            length = pc.list_value_length(mine.column("s")).to_numpy().astype(np.int64)
+            own = np.repeat(np.arange(len(at)), length)
+            total = np.bincount(own, c, len(at))
+            weight = np.bincount(own, less, len(at)) / np.maximum(total, 1)
+            key = own * base + flat("s")
+            order_ = np.argsort(key)
+            self.levels[k] = at, weight, key[order_], (np.maximum(c - less, 0) / total[own])[order_]
 
-    def costs(self, kind: int, order: int, size: int, base: float, x: np.ndarray, s: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def find(among: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``x`` in ``among`` (sorted), and whether they are there."""
+        if not len(among):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        at = np.minimum(np.searchsorted(among, x), len(among) - 1)
+        return at, among[at] == x
+
+    def costs(self, x: np.ndarray, s: np.ndarray) -> np.ndarray:
         """-log p(s | x): each order's share, and its weight times the lower order's."""
-        p = np.full(len(s), base)
-        for k in range(1, order + 1):
-            y = x if k == order else x % size ** (k - 1)
-            if k > 1:
-                p *= self.get(keys_of(y, 0, salt_of(kind, k, True)), 1.0)
-            p += self.get(keys_of(y, s, salt_of(kind, k, False)), 0.0)
+        symbols, share = self.levels[1]
+        at, there = self.find(symbols, s)
+        p = np.full(len(s), self.floor)
+        p[there] += share[at[there]]
+        for k in range(2, self.order + 1):
+            contexts, weight, key, share = self.levels[k]
+            at, there = self.find(contexts, suffix(x, k, self.order, self.base))
+            p[there] *= weight[at[there]]
+            own = np.flatnonzero(there)
+            hit, seen = self.find(key, at[own] * self.base + s[own])
+            p[own[seen]] += share[hit[seen]]
         return -np.log(np.maximum(p, 1e-300))
 
 
-def scored(rows: DataFrame, text_col: str, with_text: bool) -> DataFrame:
-    """All rows and columns (the text only if wanted), with ``gw_cost<k>`` (nats in all) and ``gw_units<k>`` for each of CODERS, and the distinct pairs of words.
+def scored(docs: DataFrame, marks: DataFrame, text_col: str, blocks: int) -> DataFrame:
+    """th, cost (nats in all), units (characters), words and pairs of every distinct text; the model is of the texts in ``marks``."""
+    texts = packed(docs, text_col, blocks)
+    model = model_of(trained_counts(texts, marks))
+    answers = asked(texts).join(model, ["k", "x"]).select("block", "k", "x", "s", "c")
 
-    The rows come with ROW, whose upper bits name a block, and ``gw_use``, 1 for a text to train on.
-    """
-    rows = rows.withColumn("block", F.shiftright(ROW, BLOCK_BITS))
-    counts = durable(trained_counts(rows.filter("gw_use = 1").select(F.col(text_col).alias("text"))), "trained")
-    model, bases = None, []
-    for kind, coder in enumerate(CODERS):
-        part, base = model_of(counts.filter(F.col("kind") == kind).drop("kind"), kind, coder.order, coder.size)
-        model = part if model is None else model.unionByName(part)
-        bases.append(base)
-    known = block_keys(rows, text_col).join(model, "key").withColumn("part", F.lit(0))
-    both = known.unionByName(rows.withColumn("part", F.lit(1)), allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "part")
-    names = [c for c in rows.columns if c not in ("block", ROW) and (with_text or c != text_col)]
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names] + [f"gw_cost{k} double, gw_units{k} long" for k in range(len(CODERS))] + ["gw_pairs long"])
-    return both.mapInArrow(scorer(names, text_col, bases), fields)
-
-
-def scorer(names: list[str], text_col: str, bases: list[float]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, model = None, [], None
-        for batch in batches:
-            block, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "part"))
-            cut = np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0)) + 1
-            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(block)], strict=True):
-                if hi == lo:
-                    continue
-                if block[lo] != now:
-                    now, parts, model = block[lo], [], None
-                piece = batch.slice(lo, hi - lo)
-                if part[lo] == 0:
-                    parts.append(tuple(piece.column(c).to_numpy(zero_copy_only=False) for c in ("key", "v")))
-                    continue
-                if model is None:
-                    model, parts = Known(parts), []
-                texts = piece.column(text_col).to_pylist()
-                made = [v for kind in range(len(CODERS)) for v in text_costs(texts, kind, model, bases[kind])]
-                columns = [piece.column(c) for c in names] + [pa.array(v) for v in made] + [pa.array([distinct_pairs(t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=names + [f"gw_{n}{k}" for k in range(len(CODERS)) for n in ("cost", "units")] + ["gw_pairs"])
-
-    return run
-
-
-def distinct_pairs(text: str | None) -> int:
-    return len(np.unique(keys_of(*CODERS[1](text)))) if text else 0
-
-
-def text_costs(texts: list[str | None], kind: int, model: Known, base: float) -> tuple[np.ndarray, np.ndarray]:
-    """Nats in all, and units, of each text."""
-    nats, units = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    coder, waiting, held = CODERS[kind], [], 0
-
-    def settle() -> None:
-        x, s = (np.concatenate([w[k] for w in waiting]) for k in (1, 2))
-        _, at, back = np.unique(keys_of(x, s), return_index=True, return_inverse=True)
-        each = model.costs(kind, coder.order, coder.size, base, x[at], s[at])[back]
-        own = np.repeat([w[0] for w in waiting], [len(w[2]) for w in waiting])
-        nats[:] += np.bincount(own, each, len(texts))
-
-    for i, t in enumerate(texts):
-        x, s = coder(t) if t else ((), ())
-        if len(s):
-            units[i] = len(s)
-            waiting.append((i, x, s))
-            held += len(s)
-        if held > HELD_GRAMS // 2:
-            settle()
-            waiting, held = [], 0
-    if waiting:
-        settle()
-    return nats, units
-
-
-class Characters:
-    """Codes of n-grams over a small alphabet; blanks stand before the text."""
-
-    def __init__(self, letters: list[int], order: int = ORDER, size: int = 64):
-        self.number, self.order, self.size = {c: k for k, c in enumerate(letters, 1)}, order, size
-
-    def __call__(self, text: str) -> np.ndarray:
-        x = np.array([self.number.get(32, 0)] * (self.order - 1) + [self.number.get(32 if 9 <= c <= 13 else c, 0) for c in code_points(text).tolist()], np.int64)
-        return sum(x[k : len(x) - self.order + 1 + k] * self.size ** (self.order - 1 - k) for k in range(self.order))
-
-
-def train(texts: DataFrame, coder: Characters) -> np.ndarray:
-    """-log p(symbol | order - 1 symbols before) of all size ** order n-grams of a small alphabet."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for t in frame["text"]:
-                yield pd.DataFrame({"g": coder(t) if t else np.zeros(0, np.int64)})
-
-    grams = texts.mapInPandas(run, "g long").groupBy(F.expr(f"g div {coder.size}").alias("x"), (F.col("g") % coder.size).alias("s")).agg(F.count("*").alias("c"))
-    model, base = model_of(grams, 0, coder.order, coder.size, coder.size)
-    rows = model.toPandas()
-    g = np.arange(coder.size**coder.order)
-    return Known([(rows["key"].to_numpy(), rows["v"].to_numpy())]).costs(0, coder.order, coder.size, base, g // coder.size, g % coder.size)
+    def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        known, th = Known(rows), texts.column("th").to_pylist()
+        cost, units, words = np.zeros(len(th)), np.zeros(len(th), np.int64), np.zeros((len(th), 2), np.int64)
+        for first, part, symbols in chunks(texts.column("z").to_pylist()):
+            g, here = Grams(symbols), slice(first, first + len(part))
+            cost[here] = np.bincount(g.own, g.at_each_place(known.costs(g.x, g.s)), len(part))
+            units[here] = [len(x) for x in symbols]
+            words[here] = [repeated_words(t) for t in part]
+        return pa.table({"th": pa.array(th, pa.binary()), "cost": cost, "units": units, "words": words[:, 0], "pairs": words[:, 1]})
+
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "th binary, cost double, units long, words long, pairs long")
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -382,15 +303,27 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return per.filter("q = 1 and t = 0").select(F.col(id_col).alias("gw_id"), F.when(F.pmod(F.xxhash64(id_col), F.lit(HELD_OUT)) == 0, 2).otherwise(1).alias("gw_use"))
 
 
-def with_scores(df: DataFrame, lang: str, typical: DataFrame, overall: dict) -> DataFrame:
+def rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """A slim durable table, one row per input row: id, lang, th (digest of the text), gw_use, and cost, units, words and pairs of the text."""
+    text = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = text.select("id", "lang", digest("text"), F.octet_length("text").alias("bytes"))
+    rows = durable(rows.join(trusted_ids(labels, id_col), F.col("id") == F.col("gw_id"), "left").drop("gw_id"), "quality-rows")
+    blocks = max(1, -(-(rows.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES))
+    trained = rows.filter("gw_use = 1 and bytes > 0").withColumn("block", block_of(blocks))
+    marks = durable(trained.groupBy("block", "th").agg(F.count("*").alias("n")), "quality-marks")
+    costs = durable(scored(text, marks, "text", blocks), "quality-costs")
+    return durable(rows.drop("bytes").join(costs, "th", "left").fillna(0, ["cost", "units", "words", "pairs"]), "quality-rated")
+
+
+def with_scores(df: DataFrame, typical: DataFrame, overall: float) -> DataFrame:
     """``score<k>`` and ``class<k>`` of SCORES: how far the cost is from the language's typical one, by the root of the
     length, and the share of pairs of words that are not repeated; classes by powers of four of the length."""
-    df = df.join(F.broadcast(typical), F.col(lang).eqNullSafe(F.col("gw_l")), "left").drop("gw_l")
-    for k in (0, 1):
-        n, rate = F.greatest(f"gw_units{k}", F.lit(1)), F.coalesce(f"rate{k}", F.lit(overall[f"rate{k}"]))
-        df = df.withColumn(f"score{k}", (F.col(f"gw_cost{k}") - rate * F.col(f"gw_units{k}")) / F.sqrt(n)).withColumn(f"class{k}", F.floor(F.log(n) / F.log(F.lit(4.0)) + 1e-9))
-    pairs = F.when(F.col("gw_units1") > 0, F.col("gw_pairs") / F.col("gw_units1")).otherwise(1.0)
-    return df.withColumn("score2", pairs).withColumn("class2", F.col("class1")).drop("rate0", "rate1")
+    df = df.join(typical, F.col("lang").eqNullSafe(F.col("gw_l")), "left").drop("gw_l")
+    grade = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(4.0)) + 1e-9)
+    excess = F.col("cost") - F.coalesce("rate", F.lit(overall)) * F.col("units")
+    df = df.withColumn("score0", excess / F.sqrt(F.greatest("units", F.lit(1)))).withColumn("class0", grade(F.col("units")))
+    pairs = F.when(F.col("words") > 0, F.col("pairs") / F.col("words")).otherwise(1.0)
+    return df.withColumn("score1", pairs).withColumn("class1", grade(F.col("words"))).drop("rate")
 
 
 def limit(score: str, low: bool) -> Column:
@@ -408,59 +341,59 @@ def limit(score: str, low: bool) -> Column:
     return of(F.col(score)) if low else F.when(F.count(held) >= LEAST_HELD, of(held)).otherwise(of(F.col(score)))
 
 
-def judged(rows: DataFrame, lang_col: str) -> DataFrame:
-    """``rows`` (scored) with perplexity, score, lower and upper of SCORES, and keep."""
-    trusted = rows.filter("gw_use is not null").select(F.col(lang_col).alias("gw_lang"), *[f"gw_{x}{k}" for k in (0, 1) for x in ("cost", "units")], "gw_pairs", "gw_use")
-    rate = lambda k: F.coalesce(F.try_divide(F.sum(f"gw_cost{k}"), F.sum(f"gw_units{k}")), F.lit(0.0)).alias(f"rate{k}")
-    typical = durable(trusted.groupBy(F.col("gw_lang").alias("gw_l")).agg(F.count("*").alias("n"), rate(0), rate(1)).filter(F.col("n") >= LEAST_TRUSTED).drop("n"), "quality-rates")
-    overall = trusted.agg(rate(0), rate(1)).first().asDict()
-    known = durable(with_scores(trusted, "gw_lang", typical, overall), "quality-trusted")
-    out, keep = with_scores(rows, lang_col, typical, overall), F.lit(True)
+def judged(rows: DataFrame) -> DataFrame:
+    """``rows`` (rated) with perplexity, score, lower and upper of SCORES, and keep.
+
+    What is known of a language, or of a length in it, are some numbers each; Spark broadcasts them if they are small.
+    """
+    trusted = rows.filter("gw_use is not null")
+    rate = F.coalesce(F.try_divide(F.sum("cost"), F.sum("units")), F.lit(0.0)).alias("rate")
+    typical = durable(trusted.groupBy(F.col("lang").alias("gw_l")).agg(F.count("*").alias("n"), rate).filter(F.col("n") >= LEAST_TRUSTED).drop("n"), "quality-rates")
+    overall = trusted.agg(rate).first()["rate"]
+    known = with_scores(trusted, typical, overall)
+    each = known.select("lang", "gw_use", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"class{k}").alias("class"), F.col(f"score{k}").cast("double").alias("score")) for k in (0, 1)])))
+    limits = [F.count("*").alias("n"), limit("score", True).alias("lo"), limit("score", False).alias("hi")]
+    # by kind; by kind and language; by kind, language and length
+    bounds = durable(each.groupingSets([["kind"], ["kind", "lang"], ["kind", "lang", "class"]], "kind", "lang", "class").agg(F.grouping_id().alias("wide"), *limits), "quality-bounds")
+    wide = {r["kind"]: r for r in bounds.filter("wide = 3").collect()}  # two rows
+    enough = bounds.filter(F.col("n") >= LEAST_TRUSTED)
+    out, keep = with_scores(rows, typical, overall), F.col("units") >= 0
     for k, name in enumerate(SCORES):
-        limits = lambda tag: [limit(f"score{k}", low).alias(f"{x}_{tag}") for x, low in (("lo", True), ("hi", False))]  # noqa: B023, E731
-        wide = known.agg(*limits("all")).first().asDict()
-        enough = lambda df: df.filter(F.col("n") >= LEAST_TRUSTED).drop("n")
-        own = enough(known.groupBy(F.col("gw_lang").alias("gw_l")).agg(F.count("*").alias("n"), *limits("lang")))
-        fine = enough(known.groupBy(F.col("gw_lang").alias("gw_l"), F.col(f"class{k}").alias("gw_c")).agg(F.count("*").alias("n"), *limits("class")))
-        out = out.join(F.broadcast(durable(own, "quality-bounds")), F.col(lang_col).eqNullSafe(F.col("gw_l")), "left").drop("gw_l")
-        out = out.join(F.broadcast(durable(fine, "quality-bounds")), F.col(lang_col).eqNullSafe(F.col("gw_l")) & (F.col(f"class{k}") == F.col("gw_c")), "left").drop("gw_l", "gw_c")
-        of = lambda x: F.coalesce(f"{x}_class", f"{x}_lang", F.lit(wide[f"{x}_all"]).cast("double"))  # noqa: B023, E731
-        out = out.withColumn(f"{name}_lower", of("lo")).withColumn(f"{name}_upper", of("hi") if k < 2 else F.lit(1.0))
-        out = out.drop("lo_class", "hi_class", "lo_lang", "hi_lang", f"class{k}" if k != 1 else "").withColumnRenamed(f"score{k}", f"{name}_score")
-        if k < 2:
-            out = out.withColumn(f"{name}_perplexity", F.exp(F.coalesce(F.try_divide(f"gw_cost{k}", f"gw_units{k}"), F.lit(0.0))))
+        own = enough.filter(f"wide = 1 and kind = {k}").select(F.col("lang").alias("gw_l"), F.col("lo").alias("lo_lang"), F.col("hi").alias("hi_lang"))
+        fine = enough.filter(f"wide = 0 and kind = {k}").select(F.col("lang").alias("gw_l"), F.col("class").alias("gw_c"), F.col("lo").alias("lo_class"), F.col("hi").alias("hi_class"))
+        out = out.join(own, F.col("lang").eqNullSafe(F.col("gw_l")), "left").drop("gw_l")
+        out = out.join(fine, F.col("lang").eqNullSafe(F.col("gw_l")) & (F.col(f"class{k}") == F.col("gw_c")), "left").drop("gw_l", "gw_c", f"class{k}")
+        of = lambda x: F.coalesce(f"{x}_class", f"{x}_lang", F.lit(wide[k][x] if k in wide else None).cast("double"))  # noqa: B023, E731
+        out = out.withColumn(f"{name}_lower", of("lo")).withColumn(f"{name}_upper", of("hi") if k == 0 else F.lit(1.0))
+        out = out.drop("lo_class", "hi_class", "lo_lang", "hi_lang").withColumnRenamed(f"score{k}", f"{name}_score")
         keep = keep & F.coalesce(F.col(f"{name}_score").between(F.col(f"{name}_lower"), F.col(f"{name}_upper")), F.lit(True))
-    return out.withColumn("keep", keep | (F.col("gw_units0") == 0))
-
-
-def rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, with_text: bool = True) -> DataFrame:
-    """``docs`` with the use and the costs of each row, as a durable table."""
-    marked = docs.join(trusted_ids(labels, id_col), F.col(id_col) == F.col("gw_id"), "left").drop("gw_id")
-    return durable(scored(tagged(marked), text_col, with_text), "quality-scores")
+    perplexity = F.exp(F.coalesce(F.try_divide("cost", "units"), F.lit(0.0)))
+    return out.withColumn("char_perplexity", perplexity).withColumn("keep", keep | (F.col("units") == 0))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per input row: id, language, and for characters and words the number of units,
-    perplexity, score, lower and upper; score, lower and upper of the pairs of words; and keep.
+    """One row per input row: id, language, chars, words, perplexity by characters, its score, lower and upper, the same of the pairs of
+    words, and keep.
 
-    A score is the cost beyond that of the language's typical text of the same length,
+    The score is the cost beyond that of the language's typical text of the same length,
     divided by the root of the length, and for pairs the share of distinct pairs
     among all pairs of words, which is low where words repeat.  Bounds are quantiles of
     the trusted documents of the language and of about the same length; ``keep``
-    says whether all three lie within them.  A null or empty text has perplexity 1 and is kept.  A null language is a language of its own.
+    says whether both lie within them.  A null or empty text has perplexity 1 and is kept.  A null language is a language of its own.
     Without trusted documents all is kept.  Whole texts are scored, however long; repeated
     rows are judged alike; an empty table gives an empty result; other columns are ignored,
     whatever their names.
     """
-    rows = rated(docs.select(id_col, lang_col, text_col), labels, id_col, text_col, with_text=False)
-    columns = [f"{n}_{x}" for n in ("char", "word") for x in ("perplexity", "score", "lower", "upper")] + [f"pair_{x}" for x in ("score", "lower", "upper")]
-    return judged(rows, lang_col).select(id_col, lang_col, F.col("gw_units0").alias("chars"), F.col("gw_units1").alias("words"), *columns, "keep")
+    columns = ["char_perplexity", *[f"{n}_{x}" for n in SCORES for x in ("score", "lower", "upper")]]
+    out = judged(rated(docs, labels, id_col, text_col, lang_col))
+    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.col("units").alias("chars"), "words", *columns, "keep")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    own = {c: f"__gw_{k}" for k, c in enumerate(docs.columns)}  # no name of ours can clash with these
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
-    given = labels.withColumnRenamed(id_col, own[id_col])
-    kept_rows = judged(rated(plain, given, own[id_col], own[text_col]), own[lang_col]).filter("keep")
-    return kept_rows.select(*[F.col(n).alias(c) for c, n in own.items()])
+    """The rows of ``docs`` that the classifier keeps, with all their columns, whatever their names.
+
+    A decision depends on the text and the language alone, so the rows to go are told by the text's digest.
+    """
+    th, lang = free_names(docs, "th", "lang")
+    gone = durable(judged(rated(docs, labels, id_col, text_col, lang_col)).filter("not keep").select(F.col("th").alias(th), F.col("lang").alias(lang)).distinct(), "quality-rejected")
+    return docs.join(gone, (digest(text_col) == F.col(th)) & F.col(lang_col).eqNullSafe(F.col(lang)), "left_anti")

@@ -8,12 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphweir.llm import embedding_dedup, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, sharding, tokens, url_filter
+from graphweir.llm import buckets, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, sharding, tokens, url_filter
 from graphweir.plans.durable import ROW
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that an operator might use inside.
-CLASH = ["id", "size", "key", "t", "row", "p", "block", "line", "src", "node", "copies", "h", "score", "keep", "n"]
+CLASH = ["__gw_row", "__GW_th", "__gw_copies", "gw_cost0", "text_", "th", "lang_", "units", "component", "id", "size", "key", "t", "row", "p", "block", "line", "src", "node", "copies", "h", "score", "keep", "n"]
 
 
 def words(rng, n, vocabulary=200):
@@ -276,6 +276,24 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
     assert sum(r["kept"] for r in out) == len(set(root))
 
 
+def test_chance_candidates_do_not_chain(spark):
+    """Texts that share a fifth of their shingles with the next one meet in buckets, but no cluster is made of them."""
+    rng, rows, tail = random.Random(23), [], []
+    for i in range(400):
+        body = [f"v{rng.randrange(10**9)}" for _ in range(60)]
+        rows.append((i, " ".join([*tail, *body]), "en", "a", 0))
+        tail = body[-26:]
+    seen = []
+    real = ngram_join.blocked_pairs
+    out = None
+    try:
+        ngram_join.blocked_pairs = lambda members, *rest: (seen.append(members.count()), real(members, *rest))[1]
+        out = ngram_join.similarity_classes(frame(spark, rows), bands=60, band_rows=2).collect()
+    finally:
+        ngram_join.blocked_pairs = real
+    assert {r["n_links"] for r in out} == {0} and seen[0] < 40
+
+
 def test_bands_reach_the_recall():
     assert 1 - (1 - ngram_join.THRESHOLD**ngram_join.BAND_ROWS) ** ngram_join.BANDS > 0.999
     assert ngram_join.bands_for(0.8, 0.999, ngram_join.BAND_ROWS) <= ngram_join.BANDS
@@ -304,18 +322,67 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_dedup.embedding_classes(spark.createDataFrame([], df.schema)).count() == 0
 
 
-def test_corrected_estimates_are_unbiased_and_bounds_hold():
+def vectors_around(rng, dim, cosines):
+    """Pairs of random unit vectors with the given cosines."""
+    x = embedding_dedup.unit(rng.standard_normal((len(cosines), dim)))
+    y = rng.standard_normal(x.shape)
+    y = embedding_dedup.unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+    return x, cosines[:, None] * x + np.sqrt(1 - cosines[:, None] ** 2) * y
+
+
+@pytest.mark.parametrize("dim", [64, 333])
+def test_corrected_estimates_are_unbiased_and_bounds_hold(dim):
     rng = np.random.default_rng(8)
-    x = embedding_dedup.unit(rng.standard_normal((400, 64)))
-    y = embedding_dedup.unit(x + 0.12 * rng.standard_normal((400, 64)))
-    a, b = embedding_dedup.exact_links(x, y, 0.5, False)
-    assert set(range(400)) <= {i for i, j in zip(a, b, strict=True) if i == j}
-    turn = embedding_dedup.rotations(64, 1)
-    assert np.allclose(turn @ turn.T, np.eye(64))
-    o = y @ turn
-    code = np.where(o > 0, 1, -1) / 8.0
-    estimate = ((x @ turn) * code).sum(1) / (code * o).sum(1)
-    assert abs((estimate - (x * y).sum(1)).mean()) < 0.02
+    x, y = vectors_around(rng, dim, np.full(1000, 0.95))
+    turn = embedding_dedup.rotations(dim, 1)
+    assert np.allclose(turn @ turn.T, np.eye(dim))
+    known = embedding_dedup.Estimates(embedding_dedup.encoded(np.concatenate([x, y]), turn), dim, 0.95)
+    estimate, bound = (np.diag(m) for m in known.between(slice(0, 1000), slice(1000, 2000)))
+    assert abs((estimate - 0.95).mean()) < 4 * bound.mean() / embedding_dedup.SIGMA / np.sqrt(1000) + 0.002
+    assert (estimate + bound >= 0.95).mean() > 0.998
+    far, _ = known.between(slice(0, 1000), slice(0, 1000))
+    assert abs(far[~np.eye(1000, dtype=bool)].mean()) < 0.01
+    assert known.possible(slice(0, 1000), slice(0, 1000))[~np.eye(1000, dtype=bool)].mean() < 1e-3
+
+
+@pytest.mark.parametrize("dim", [32, 64, 200])
+def test_recall_near_the_threshold(spark, dim):
+    rng = np.random.default_rng(dim)
+    x, y = vectors_around(rng, dim, rng.uniform(0.93, 0.97, 1500))
+    both = np.concatenate([x, y, rng.standard_normal((3000, dim))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>").repartition(6)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_classes(df).collect()}
+    u = embedding_dedup.unit(both)
+    want = ((u @ u.T) >= 0.95).sum(axis=1) - 1
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.95 * want.sum() > 0
+
+
+def test_large_buckets_link_without_being_looked_at(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = embedding_dedup.unit(rng.standard_normal((1, 48)) + 0.1 * rng.standard_normal((700, 48)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    want = ((x @ x.T) >= 0.95).sum(axis=1) - 1
+    for most, rows in ((2000, 2000), (50, 90)):
+        monkeypatch.setattr(buckets, "MOST", most)
+        monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", rows)
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_classes(df).collect()}
+        assert sum(got.values()) == want.sum()
+
+
+def test_buckets_are_cut_whole():
+    import pandas as pd
+
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(3), rng.choice([1, 1, 2, 7]), k) for k in range(500))
+    frame = pd.DataFrame(rows, columns=["t", "key", "node"])
+    pieces = [frame.iloc[i : i + 13] for i in range(0, 500, 13)]
+    seen = []
+    for part, spans in buckets.whole_buckets(iter(pieces), ["t", "key"], 40):
+        for s, e in spans:
+            assert len(part.iloc[s:e][["t", "key"]].drop_duplicates()) == 1
+            seen.append(tuple(part.iloc[s:e]["node"]))
+    assert sorted(seen) == sorted(tuple(g["node"]) for _, g in frame.groupby(["t", "key"]) if len(g) > 1)
 
 
 # --- 7 language identification
@@ -450,11 +517,11 @@ def brute_kneser_ney(codes_of, order, size):
         raw = (1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5)
         d[k] = tuple(min(max(v, 0.05), m) for v, m in zip(raw, (0.95, 1.9, 2.9), strict=True))
 
-    def p(g, k):
+    def p(g, k, floor):
         if k == 0:
-            return 1 / size
+            return floor
         own = {h: c for h, c in counts[k].items() if h // size == g // size}
-        low = p(g % size ** (k - 1), k - 1)
+        low = p(g % size ** (k - 1), k - 1, floor)
         if not own:
             return low
         total, cut = sum(own.values()), lambda c: d[k][min(c, 3) - 1]
@@ -465,15 +532,47 @@ def brute_kneser_ney(codes_of, order, size):
     return p
 
 
-def test_model_equals_brute_force(spark):
-    rng = random.Random(15)
-    texts = ["".join(rng.choice("abc ") for _ in range(60)) for _ in range(12)]
-    letters, order, size = [ord(c) for c in "abc "], 3, 5
-    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    coder = quality.Characters(letters, order, size)
-    model = quality.train(df, coder)
-    p = brute_kneser_ney([coder(t) for t in texts], order, size)
-    assert np.allclose(model, [-np.log(p(g, order)) for g in range(size**order)], rtol=2e-3)
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_model_equals_brute_force(spark, order):
+    """All n-grams over five symbols, seen or not, from counts of texts over four of them."""
+    rng, size = random.Random(15), 5
+    texts = [[0] * (order - 1) + [rng.randrange(1, size) for _ in range(60)] for _ in range(12)]
+    codes = [np.array([sum(t[i + k] * size ** (order - 1 - k) for k in range(order)) for i in range(len(t) - order + 1)]) for t in texts]
+    counts = spark.createDataFrame([(int(g),) for c in codes for g in c], "g long").repartition(3)
+    counts = counts.groupBy(F.expr(f"g div {size}").alias("x"), (F.col("g") % size).cast("int").alias("s")).agg(F.count("*").alias("c"))
+    known = quality.Known(quality.model_of(counts, order, size).toArrow(), order, size)
+    g = np.arange(size**order)
+    p = brute_kneser_ney(codes, order, size)
+    seen = len({int(c) % size for t in codes for c in t})
+    assert np.allclose(known.costs(g // size, g % size), [-np.log(p(int(x), order, 1 / (seen + 1))) for x in g], rtol=1e-9)
+
+
+def test_grams_equal_brute_force():
+    rng = random.Random(19)
+    texts = ["".join(rng.choice("ab c\n\u4e2d\U0001f600") for _ in range(rng.randrange(1, 80))) for _ in range(30)]
+    many = "".join(chr(c) for c in range(0x3400, 0x3400 + 70_000) if not 0xD800 <= c < 0xE000)  # too many symbols for one number
+    for group in (texts, [*texts, many, many[:5000]]):
+        symbols = [quality.symbols_of(t) for t in group]
+        got, want, ends = quality.Grams(symbols), {}, []
+        for k, t in enumerate(symbols):
+            line = [32, 32, 32, *t.tolist()]
+            for i in range(len(t)):
+                key = (sum(c << 21 * (2 - j) for j, c in enumerate(line[i : i + 3])), line[i + 3])
+                want[key] = want.get(key, 0) + 1
+                ends.append((k, key))
+        assert {(int(x), int(s)): int(c) for x, s, c in zip(got.x, got.s, got.count, strict=True)} == want
+        value = {k: float(i) for i, k in enumerate(want)}
+        at = got.at_each_place(np.array([value[int(x), int(s)] for x, s in zip(got.x, got.s, strict=True)]), 8)
+        assert got.own.tolist() == [k for k, _ in ends] and at.tolist() == [value[k] for _, k in ends]
+
+
+def test_copies_train_as_often_as_they_occur(spark):
+    docs = spark.createDataFrame([("ab",), ("ab",), ("ab",), ("ac",), ("",), (None,)], "text string").repartition(3)
+    texts = quality.packed(docs, "text", 2).cache()
+    marks = docs.filter("text <> ''").select(quality.digest("text")).withColumn("block", quality.block_of(2)).groupBy("block", "th").agg(F.count("*").alias("n"))
+    assert texts.count() == 2
+    got = {chr(r["s"]): r["c"] for r in quality.trained_counts(texts, marks).groupBy("s").agg(F.sum("c").alias("c")).collect()}
+    assert got == {"a": 4, "b": 3, "c": 1}
 
 
 def test_quality_keeps_clean_and_rejects_noise(spark):
