@@ -4,10 +4,10 @@ The model is trained on the n-grams of four characters of all trusted text.  All
 count, so the tables grow with the corpus and any script is seen.  Counts and continuation
 counts are tables sharded by n-gram and by context; nothing is gathered.  Documents are
 scored in blocks: distinct texts are dealt to blocks by their digest, the distinct contexts
-of a block are joined to the counts, and what is found meets the block's texts again, where
+of a block are joined to the counts, and what is found meets the block's texts again (asking and
+scoring read one shuffle of them), where
 discounts and context weights (Chen and Goodman, "An Empirical Study of Smoothing Techniques
-for Language Modeling", 1999) give every character its probability.  Training, asking and
-scoring read one shuffle of the texts.  A document is rejected if its perplexity, or its
+for Language Modeling", 1999) give every character its probability.  A document is rejected if its perplexity, or its
 share of distinct pairs of words, lies outside quantiles of the trusted documents of its
 language and length, a fifth of which the model has not seen.
 """
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from graphweir.plans.durable import durable, free_names
 
 ORDER, SYMBOLS = 4, 1 << 21
-#: Bytes of text that a block holds on average, characters that are worked on at once, and digests that a task remembers.
-BLOCK_BYTES, CHUNK, REMEMBERED = 12 << 20, 3_000_000, 1_000_000
+#: Bytes of text that a block holds on average, characters that are worked on at once, and digests and n-grams that a task remembers.
+BLOCK_BYTES, CHUNK, REMEMBERED, HELD = 4 << 20, 3_000_000, 1_000_000, 4_000_000
+#: What is hashed to that many slots can be broadcast whole, however long the table.
+SLOTS = 1 << 20
 #: Trusted documents outside these quantiles are rejected.
 LOW, HIGH = 0.0005, 0.999
 #: Their places in a normal distribution.
@@ -115,7 +117,7 @@ def chunks(blobs: list[bytes]) -> Iterator[tuple[int, list[str], list[np.ndarray
 
 
 def packed(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
-    """block, th, z: texts as Zstandard frames; a task packs equal texts once, and each block then has each once."""
+    """block, th, z: texts as Zstandard frames; a task packs equal texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, seen = zstandard.ZstdCompressor(3), set()
@@ -132,8 +134,30 @@ def packed(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(th, pa.binary()), pa.array(z, pa.binary())], names=["block", "th", "z"])
 
     text = docs.filter(F.length(text_col) > 0).select(digest(text_col), F.col(text_col).alias("text"))
-    dealt = text.withColumn("block", block_of(blocks)).mapInArrow(run, "block long, th binary, z binary").repartition("block")
-    return dealt.groupBy("block", "th").agg(F.first("z").alias("z"))
+    return text.withColumn("block", block_of(blocks)).mapInArrow(run, "block long, th binary, z binary")
+
+
+def distinct_texts(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
+    """block, th, z: each distinct text once, with its block's others."""
+    return packed(docs, text_col, blocks).repartition("block").groupBy("block", "th").agg(F.first("z").alias("z"))
+
+
+def trained_texts(docs: DataFrame, marks: DataFrame, text_col: str, blocks: int) -> DataFrame:
+    """n, z: the texts that ``marks`` (block, th, n) names, each once, and how often each is trained on.
+
+    Most other texts are told by the slots of their digests before the shuffle: there are at most SLOTS of them, so they are broadcast.
+    """
+    (slot,) = free_names(docs, "slot")
+    slots = marks.select(slot_of().alias(slot)).distinct()
+    some = docs.join(F.broadcast(slots), slot_of(digest(text_col)) == F.col(slot), "left_semi")
+    frames = packed(some, text_col, blocks).withColumn("n", F.lit(None).cast("bigint"))
+    marked = marks.select("block", "th", F.lit(None).cast("binary").alias("z"), "n")
+    each = frames.unionByName(marked).repartition("block").groupBy("block", "th").agg(F.first("z", ignorenulls=True).alias("z"), F.max("n").alias("n"))
+    return each.filter("n is not null").select("n", "z")
+
+
+def slot_of(th: Column | None = None) -> Column:
+    return F.pmod(F.xxhash64(F.lit("slot"), F.col("th") if th is None else th), F.lit(SLOTS))
 
 
 def digest(text_col: str) -> Column:
@@ -153,21 +177,35 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return x[first], s[first], np.add.reduceat(c[order], first)
 
 
-def trained_counts(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """x, s, c: how often each n-gram occurs in the texts that ``marks`` (block, th, n) names, each n times; summed per block before the shuffle."""
+def trained_counts(texts: DataFrame) -> DataFrame:
+    """x, s, c: how often each n-gram occurs in the texts, each of them n times; summed per task before the shuffle."""
 
-    def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        times = dict(zip(marks.column("th").to_pylist(), marks.column("n").to_pylist(), strict=True))
-        rows = [(times[h], z) for h, z in zip(texts.column("th").to_pylist(), texts.column("z").to_pylist(), strict=True) if h in times]
-        parts = []
-        for n in sorted({n for n, _ in rows}):
-            for _, _, symbols in chunks([z for k, z in rows if k == n]):
-                g = Grams(symbols)
-                parts.append((g.x, g.s, g.count * n))
-        x, s, c = merged(parts) if parts else [np.zeros(0, np.int64)] * 3
-        return pa.table({"x": x, "s": s.astype(np.int32), "c": c.astype(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, waiting, held = [], [], 0
+
+        def rows(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal parts, waiting, held
+            for n in sorted({n for n, _ in waiting}):
+                for _, _, symbols in chunks([z for k, z in waiting if k == n]):
+                    g = Grams(symbols)
+                    parts.append((g.x, g.s, g.count * n))
+            waiting, held = [], 0
+            if parts:
+                x, s, c = merged(parts)
+                parts = [(x, s, c)]
+                if last or len(x) > HELD:
+                    parts = []
+                    for lo in range(0, len(x), 200_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 200_000], t) for v, t in ((x, pa.int64()), (s, pa.int32()), (c, pa.int64()))], names=["x", "s", "c"])
+
+        for batch in batches:
+            waiting += zip(batch.column("n").to_pylist(), batch.column("z").to_pylist(), strict=True)
+            held += batch.nbytes
+            if held >= BLOCK_BYTES:
+                yield from rows(False)
+        yield from rows(True)
 
-    grams = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(run, "x long, s int, c long")
+    grams = texts.mapInArrow(run, "x long, s int, c long")
     return grams.groupBy("x", "s").agg(F.sum("c").alias("c"))
 
 
@@ -190,7 +228,7 @@ def model_of(counts: DataFrame, order: int = ORDER, base: int = SYMBOLS) -> Data
         rows = rows.unionByName(counts.agg(F.array(*often).alias("c")).select(F.lit(0).alias("k"), F.lit(k).cast("bigint").alias("x"), none.alias("s"), "c"))
         out = rows if out is None else out.unionByName(rows)
         if k > 1:
-            counts = counts.groupBy((F.col("x") % base ** (k - 2)).alias("x"), "s").agg(F.count("*").alias("c"))
+            counts = durable(counts.groupBy((F.col("x") % base ** (k - 2)).alias("x"), "s").agg(F.count("*").alias("c")), "continuations")
     return out
 
 
@@ -280,8 +318,8 @@ class Known:
 
 def scored(docs: DataFrame, marks: DataFrame, text_col: str, blocks: int) -> DataFrame:
     """th, cost (nats in all), units (characters), words and pairs of every distinct text; the model is of the texts in ``marks``."""
-    texts = packed(docs, text_col, blocks)
-    model = model_of(trained_counts(texts, marks))
+    model = durable(model_of(durable(trained_counts(trained_texts(docs, marks, text_col, blocks)), "grams")), "model")
+    texts = distinct_texts(docs, text_col, blocks)
     answers = asked(texts).join(model, ["k", "x"]).select("block", "k", "x", "s", "c")
 
     def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
