@@ -1,33 +1,34 @@
 """Packing documents into windows by non-negative least squares over length combinations.
 
-Whole windows are cut from the front of each document.  What remains (0 to 2047 ids) is
-described by its histogram in units of 16 ids.  All combinations of two or three unit
-lengths that fill a window exactly are enumerated; non-negative least squares gives how
+Every task packs its own documents, some millions of ids at a time, so nothing is shuffled,
+gathered or written in between, whatever the size of the table.  Whole windows are cut from the
+front of a document that is longer than one; what remains (up to a window) is hardly ever cut.  The
+remains of a shard are described by the histogram of their lengths in units of 16 ids, rounded up.  All combinations
+of up to three unit lengths that fill a window exactly are enumerated; non-negative least squares gives how
 often each should repeat to use up the histogram (after Krell et al., "Efficient Sequence
-Packing without Cross-contamination", 2021); the counts are rounded down, residual counts
-are packed greedily by the same combinations, and what is left (odd lengths, and the up to
-15 ids past the last unit) fills windows one after the other, cut where a window ends.
-
-Everything that is solved on the driver is a function of that histogram: at most 2048
-counts and some 1400 combinations, however many documents there are.  A document finds its
-place by its rank among the documents with the same remainder.
+Packing without Cross-contamination", 2021); the counts are rounded down, and residual documents go greedily to the fullest window that has room for them.
+Those of windows that stay too empty wait for the next shard; with the last one they follow each other and are cut where a window ends.  A window
+is padded by what its documents' lengths were rounded up.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweir.llm.tokens import shared_encoder
-from graphweir.plans.durable import durable
 
 WINDOW, UNIT, DEPTH, END_ID = 2048, 16, 3, 1
+#: Windows of residual documents that are as full as this do not wait.
+FULL = 0.97
+#: Ids whose documents are packed together, and the bits of a task's own count of sequences in a sequence's id.
+SHARD_IDS, SEQUENCE_BITS = 4_000_000, 33
 
 
 def combinations(total: int, depth: int) -> np.ndarray:
@@ -72,32 +73,12 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     return x
 
 
-@dataclass
-class Plan:
-    """Where the documents of each remainder go; all arrays are bounded by the window."""
-
-    window: int
-    unit: int
-    full: int  # windows cut whole from documents
-    base: np.ndarray  # by remainder: documents with a smaller remainder in the same unit bin
-    odd_base: np.ndarray  # by remainder: the same for its odd ids
-    bins: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]  # by bin: first rank, sequence, offset of each run; ranks placed
-    rest_at: np.ndarray  # by bin: where its left-over pieces begin in the stream
-    odd_at: np.ndarray  # by odd length: where they begin in the stream
-    stream: int  # the first sequence of the stream
-    combos: int  # windows filled by combinations
-
-
-def solve(counts: np.ndarray, full: int, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH) -> Plan:
-    """The plan for ``counts[r]`` documents with remainder r and ``full`` whole windows."""
-    per = window // unit
-    by_bin = counts.reshape(per, unit).sum(axis=1)
-    combos = combinations(per, depth)
-    a = np.zeros((per, len(combos)))
-    for d in range(depth):
+def repeats(counts: np.ndarray, combos: np.ndarray) -> np.ndarray:
+    """How often each combination of lengths is used, from how many documents have each length."""
+    a = np.zeros((len(counts), len(combos)))
+    for d in range(combos.shape[1]):
         np.add.at(a, (combos[:, d], np.arange(len(combos))), combos[:, d] > 0)
-    left = by_bin.copy()
-    left[0] = 0
+    left = counts.copy()
     x = np.floor(nnls(a, left.astype(float)) + 1e-6).astype(np.int64)
     for k in np.flatnonzero((a @ x).astype(np.int64) > left):  # least squares may also overshoot
         for j in np.argsort(-x):
@@ -113,117 +94,144 @@ def solve(counts: np.ndarray, full: int, window: int = WINDOW, unit: int = UNIT,
         if more > 0:
             x[j] += more
             left[used] -= more * a[used, j].astype(np.int64)
-    runs: list[list[tuple[int, int, int]]] = [[] for _ in range(per)]
-    placed, sequence = np.zeros(per, np.int64), full
-    for j in np.flatnonzero(x):
-        at = 0
-        for k in combos[j][combos[j] > 0]:
-            runs[k].append((int(placed[k]), sequence, at * unit))
-            placed[k] += x[j]
-            at += int(k)
-        sequence += int(x[j])
-    position, rest_at, odd_at = 0, np.zeros(per, np.int64), np.zeros(unit, np.int64)
-    for k in range(per - 1, 0, -1):
-        rest_at[k] = position
-        position += int(by_bin[k] - placed[k]) * k * unit
-    by_odd = counts.reshape(per, unit).sum(axis=0)
-    for c in range(unit - 1, 0, -1):
-        odd_at[c] = position
-        position += int(by_odd[c]) * c
-    grid = counts.reshape(per, unit)
-    base = (np.cumsum(grid, axis=1) - grid).reshape(-1)
-    odd_base = (np.cumsum(grid, axis=0) - grid).reshape(-1)
-    bins = [(*(np.array([r[i] for r in rs], np.int64) for i in range(3)), int(placed[k])) for k, rs in enumerate(runs)]
-    return Plan(window, unit, full, base, odd_base, bins, rest_at, odd_at, sequence, int(x.sum()))
-
-
-def pieces_of(plan: Plan, tokens: int, rank: int, first_window: int) -> list[tuple[int, int, int, int]]:
-    """(start, length, sequence, offset) of each piece of one document."""
-    w, u = plan.window, plan.unit
-    out = [(i * w, w, first_window + i, 0) for i in range(tokens // w)]
-    start, rest = tokens - tokens % w, tokens % w
-    k, odd = divmod(rest, u)
-    streamed = []
-    if k:
-        first, sequence, offset, placed = plan.bins[k]
-        r = int(plan.base[rest]) + rank
-        if r < placed:
-            j = int(np.searchsorted(first, r, "right")) - 1
-            out.append((start, k * u, int(sequence[j]) + r - int(first[j]), int(offset[j])))
+    return x
+
+
+def best_fit(lengths: np.ndarray, window: int) -> list[list[int]]:
+    """Windows of documents (by number), longest first, each into the fullest window that has room."""
+    open_: list[list[list[int]]] = [[] for _ in range(window + 1)]  # by room left
+    rooms: list[int] = []  # the rooms that there are, sorted
+    out = []
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        n = int(lengths[i])
+        at = bisect.bisect_left(rooms, n)
+        if at == len(rooms):
+            room, held = window, []
+            out.append(held)
         else:
-            streamed.append((start, k * u, int(plan.rest_at[k]) + (r - placed) * k * u))
-    if odd:
-        streamed.append((start + k * u, odd, int(plan.odd_at[odd]) + (int(plan.odd_base[rest]) + rank) * odd))
-    for begin, length, at in streamed:
-        while length:
-            here = min(length, w - at % w)
-            out.append((begin, here, plan.stream + at // w, at % w))
-            begin, at, length = begin + here, at + here, length - here
+            room = rooms[at]
+            held = open_[room].pop()
+            if not open_[room]:
+                rooms.pop(at)
+        held.append(i)
+        room -= n
+        if room:
+            if not open_[room]:
+                bisect.insort(rooms, room)
+            open_[room].append(held)
     return out
 
 
-def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, window: int, end_id: int) -> DataFrame:
-    """id, ids, tokens, and the row's rank among its own task's rows with that remainder."""
+def streamed(members: list[int], lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of pieces of documents that follow each other and are cut where a window ends."""
+    out: list[list[tuple[int, int, int]]] = []
+    room = 0
+    for i in members:
+        begin, n = 0, int(lengths[i])
+        while begin < n:
+            if not room:
+                out.append([])
+                room = window
+            here = min(room, n - begin)
+            out[-1].append((i, begin, here))
+            begin, room = begin + here, room - here
+    return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, task = shared_encoder(tokenizer), TaskContext.get().partitionId()
-        seen, windows = np.zeros(window, np.int64), 0
-        end = np.array([end_id], encoder.dtype).tobytes()
-        for frame in frames:
-            ids = [(encoder.encode(t) if isinstance(t, str) else b"") + end for t in frame["text"]]
-            tokens = np.array([len(x) for x in ids], np.int64) // encoder.dtype.itemsize
-            ranks, fronts = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-            for i, n in enumerate(tokens.tolist()):
-                ranks[i], fronts[i] = seen[n % window], windows
-                seen[n % window] += 1
-                windows += n // window
-            yield pd.DataFrame({"id": frame["id"], "task": task, "rest": tokens % window, "rank": ranks, "front": fronts, "tokens": tokens, "wide": encoder.dtype.itemsize, "ids": ids})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, task long, rest long, rank long, front long, tokens long, wide int, ids binary")
+def windows_of(lengths: np.ndarray, last: bool, most_waiting: int = SHARD_IDS // 2, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH) -> tuple[list[list[tuple[int, int, int]]], list[int]]:
+    """Windows of pieces (number, begin, length) of documents of these lengths, none longer than a window, and the documents that wait
+    for the next shard: those of windows that are not full, unless they are too many ids or this is the ``last``; then they are cut."""
+    per = window // unit
+    bins = -(-lengths // unit)
+    waiting = [np.flatnonzero(bins == k).tolist() for k in range(per + 1)]
+    combos = np.concatenate([combinations(per, depth), np.array([[per] + [0] * (depth - 1)])])
+    found: list[list[int]] = []
+    x = repeats(np.array([len(w) for w in waiting], np.int64), combos) if len(lengths) else np.zeros(0, np.int64)
+    for j in np.flatnonzero(x):
+        parts = combos[j][combos[j] > 0].tolist()
+        found.extend([waiting[k].pop() for k in parts] for _ in range(int(x[j])))
+    left = np.array(sorted(i for w in waiting for i in w), np.int64)
+    poor: list[int] = []
+    for held in best_fit(lengths[left], window):
+        members = left[held].tolist()
+        if lengths[members].sum() >= FULL * window:
+            found.append(members)
+        else:
+            poor.extend(members)
+    out = [[(i, 0, int(lengths[i])) for i in members] for members in found]
+    if last or int(lengths[poor].sum()) > most_waiting:
+        out.extend(streamed(poor, lengths, window))
+        poor = []
+    return out, sorted(poor)
 
 
-def pack(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents: id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
+    """Pieces of all documents: id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset, doc_row.
 
     Every document ends with ``end_id``; each of its ids lies in exactly one piece.  Offsets
-    in a sequence run from 0 without a gap, and only the very last sequence can fall short
-    of the window.  A null or empty text is the end id alone.  Rows that repeat an id, or a
-    null id, are documents of their own.  Very long texts give as many windows as they need.
+    in a sequence run from 0 without a gap; what is missing to the window is padding, 3 % of it
+    at most but for a task's last sequence.  A document
+    is cut at whole windows from its start, and elsewhere only if no window was full enough with it.  A null or empty text is the end id alone.  Rows that repeat an id, or a
+    null id, are documents of their own, told apart by ``doc_row``.  Very long texts give as many windows as they need.
+    Sequences are numbered by task and then within it, with gaps between tasks.
     An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    rows = durable(encoded(docs, id_col, text_col, tokenizer, window, end_id), "encoded")
-    per = durable(rows.groupBy("task", "rest").agg(F.count("*").alias("n"), F.sum(F.expr(f"tokens div {window}")).alias("windows")), "remainders")
-    counts = np.zeros(window, np.int64)
-    for r in per.groupBy("rest").agg(F.sum("n").alias("n")).collect():  # at most ``window`` rows
-        counts[r["rest"]] = r["n"]
-    full = per.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("w")).first()["w"]
-    plan = spark.sparkContext.broadcast(solve(counts, int(full), window, unit, depth))
-    earlier = Window.partitionBy("rest").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    fronts = per.groupBy("task").agg(F.sum("windows").alias("w"))
-    fronts = fronts.select("task", F.coalesce(F.sum("w").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("task_front"))
-    offsets = per.select("task", "rest", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead")).join(fronts, "task")
-    placed = rows.join(offsets, ["task", "rest"])
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = docs.schema[id_col].dataType.simpleString()
+    columns = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "doc_row"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder, base = shared_encoder(tokenizer), TaskContext.get().partitionId() << SEQUENCE_BITS
+        end, wide = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
+        sequence, row, dtype = base, base, None
+        rests: list[tuple] = []  # id, row, start, ids from there, ids in all
+        held, out = 0, []
+
+        def piece(key, own: int, start: int, raw: bytes, tokens: int, at: int, offset: int) -> None:
+            out.append((key, start, len(raw) // wide, np.frombuffer(raw, encoder.dtype).astype("<u4").tobytes(), tokens, at, offset, own))
+
+        def settle(last: bool) -> None:
+            nonlocal sequence, rests, held
+            found, left = windows_of(np.array([len(r[3]) // wide for r in rests], np.int64), last, shard_ids // 2, window, unit, depth)
+            for members in found:
+                offset = 0
+                for i, begin, length in members:
+                    key, own, start, raw, tokens = rests[i]
+                    piece(key, own, start + begin, raw[begin * wide : (begin + length) * wide], tokens, sequence, offset)
+                    offset += length
+                sequence += 1
+            rests = [rests[i] for i in left]
+            held = 0
+
+        def taken() -> Iterator[pd.DataFrame]:
+            for lo in range(0, len(out), 2000):
+                yield pd.DataFrame(out[lo : lo + 2000], columns=columns).astype({"id": dtype})
+            out.clear()
+
         for frame in frames:
-            for lo in range(0, len(frame), 500):
-                out = []
-                part = frame.iloc[lo : lo + 500]
-                for key, tokens, rank, first, wide, raw in zip(part["id"], part["tokens"], part["at"], part["first"], part["wide"], part["ids"], strict=True):
-                    ids = np.frombuffer(raw, f"<u{wide}").astype("<u4")
-                    for start, length, sequence, offset in pieces_of(plan.value, tokens, rank, first):
-                        out.append((key, start, length, ids[start : start + length].tobytes(), tokens, sequence, offset))
-                yield pd.DataFrame(out, columns=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]).astype({"id": frame["id"].dtype})
+            dtype = frame["id"].dtype
+            for key, text in zip(frame["id"], frame["text"], strict=True):
+                ids = (encoder.encode(text) if isinstance(text, str) else b"") + end
+                tokens = len(ids) // wide
+                whole = tokens - tokens % window
+                for start in range(0, whole, window):
+                    piece(key, row, start, ids[start * wide : (start + window) * wide], tokens, sequence, 0)
+                    sequence += 1
+                if tokens > whole:
+                    rests.append((key, row, whole, ids[whole * wide :], tokens))
+                row += 1
+                held += tokens
+                if held >= shard_ids:
+                    settle(False)
+                    yield from taken()
+        if dtype is not None:
+            settle(True)
+            yield from taken()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    picked = placed.select("id", "tokens", (F.col("ahead") + F.col("rank")).alias("at"), (F.col("task_front") + F.col("front")).alias("first"), "wide", "ids")
-    cuts = picked.mapInPandas(cut, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return cuts.withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    pieces = rows.mapInPandas(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, doc_row long")
+    return pieces.withColumnRenamed("id", id_col)
 
 
 def with_checksum(pieces: DataFrame) -> DataFrame:
     """The contract's columns: the ids themselves replaced by their CRC-32."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "doc_row")
