@@ -20,6 +20,8 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 #: About so many distinct labelled urls the trees are fitted on, chosen by a hash of the url; suffix rates are over all.
 TRAIN_ROWS = 20_000
 ROUNDS, DEPTH, BINS, RATE, RIDGE = 10, 3, 16, 0.4, 1.0
+#: A url that is learned from sees the rates of the other folds only, so that its own label does not leak.
+FOLDS = 4
 #: Weight of the prior in a suffix's share of blocked urls.
 SMOOTHING = 10.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,48 +84,57 @@ def suffixes(host: Column, path: Column) -> list[Column]:
     return [F.substring_index(host, ".", -1), F.substring_index(host, ".", -2), F.concat(F.substring_index(host, ".", -1), F.lit("/"), F.split_part(path, F.lit("/"), F.lit(2)))]
 
 
-def suffix_rates(train: DataFrame, k: int, prior: float) -> DataFrame:
-    rate = (F.sum("y") + SMOOTHING * prior) / (F.count("*") + SMOOTHING)
-    return train.groupBy(F.col(f"key{k}").alias(f"k{k}_")).agg(rate.cast("double").alias(f"suffix{k}"))
+def fold_of(url: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), url), F.lit(FOLDS))
 
 
-def with_rates(rows: DataFrame, rates: list[DataFrame], prior: float) -> DataFrame:
+def suffix_rates(train: DataFrame, k: int) -> DataFrame:
+    """By suffix: labelled urls and blocked ones among them, in all and by fold."""
+    folds = [F.struct(F.count_if(F.col("fold") == f).alias("n"), F.sum(F.when(F.col("fold") == f, F.col("y")).otherwise(0)).alias("y")) for f in range(FOLDS)]
+    return train.groupBy(F.col(f"key{k}").alias(f"k{k}_")).agg(F.count("*").alias("n_"), F.sum("y").alias("y_"), F.array(*folds).alias("folds_"))
+
+
+def with_rates(rows: DataFrame, rates: list[DataFrame], prior: float, out_of_fold: bool) -> DataFrame:
+    """Adds the share of blocked urls of each suffix; of the other folds only, for urls that are learned from."""
     for k, r in enumerate(rates, 1):
-        rows = rows.join(r, F.col(f"key{k}") == F.col(f"k{k}_"), "left").drop(f"k{k}_")
-        rows = rows.withColumn(f"suffix{k}", F.coalesce(f"suffix{k}", F.lit(prior)))
+        rows = rows.join(r, F.col(f"key{k}") == F.col(f"k{k}_"), "left")
+        own = (lambda x: F.get("folds_", F.col("fold"))[x]) if out_of_fold else (lambda x: F.lit(0))
+        blocked, seen = (F.coalesce(F.col(f"{x}_") - own(x), F.lit(0)) for x in ("y", "n"))
+        rate = (blocked + SMOOTHING * prior) / (seen + SMOOTHING)
+        rows = rows.withColumn(f"suffix{k}", rate.cast("double")).drop(f"k{k}_", "n_", "y_", "folds_")
     return rows
 
 
 def tree_sql(tree: dict, name) -> str:
     """A tree as nested CASE; ``name(feature, cut)`` is the test that goes left."""
-    if "value" in tree:
+    if "feature" not in tree:
         return f"{tree['value']:.12g}D"
     test = name(tree["feature"], tree["cut"])
     return f"CASE WHEN {test} THEN {tree_sql(tree['left'], name)} ELSE {tree_sql(tree['right'], name)} END"
 
 
 def grow(binned: DataFrame, margin: str, cuts: list[list[float]]) -> dict:
-    """One tree for the logistic loss at ``margin``, grown level by level."""
+    """One tree for the logistic loss at ``margin``, grown level by level; a job per level.
+
+    Sums are of decimals, so that they do not depend on the order of rows.
+    """
     tree: dict = {"id": 1}
     open_ = {1: tree}
     long_rows = ", ".join(f"{i}, b{i}" for i in range(len(cuts)))
-    for level in range(DEPTH + 1):
+    for _ in range(DEPTH):
         if not open_:
             break
         node = tree_node(tree, lambda f, c: f"b{f} <= {c}")
         grads = binned.selectExpr("*", f"({node}) AS node", f"1D / (1D + exp(-({margin}))) AS p").filter(f"node IN ({', '.join(map(str, open_))})")
-        sums = grads.selectExpr("node", "y - p AS g", "p * (1 - p) AS h", f"stack({len(cuts)}, {long_rows}) AS (f, b)").groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        sums = grads.selectExpr("node", "cast(y - p AS decimal(18, 12)) AS g", "cast(p * (1 - p) AS decimal(18, 12)) AS h", f"stack({len(cuts)}, {long_rows}) AS (f, b)").groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
         table: dict = {}
         for r in sums.collect():  # at most nodes x features x bins
-            table.setdefault(r["node"], {}).setdefault(r["f"], {})[r["b"]] = (r["g"], r["h"])
+            table.setdefault(r["node"], {}).setdefault(r["f"], {})[r["b"]] = (float(r["g"]), float(r["h"]))
         following = {}
         for i, leaf in open_.items():
-            if i not in table:
-                leaf["value"] = 0.0
-                continue
-            total = [sum(v[k] for v in table[i][0].values()) for k in (0, 1)]
-            best = (1e-6, None)
-            for f in sorted(table[i]) if level < DEPTH else []:
+            total = [math.fsum(v[k] for v in table[i][0].values()) for k in (0, 1)] if i in table else [0.0, 0.0]
+            best, left = 1e-6, None
+            for f in sorted(table.get(i, {})):
                 g = h = 0.0
                 for b in range(len(cuts[f])):
                     dg, dh = table[i][f].get(b, (0.0, 0.0))
@@ -131,13 +142,14 @@ def grow(binned: DataFrame, margin: str, cuts: list[list[float]]) -> dict:
                     if min(h, total[1] - h) < 1e-3:
                         continue
                     gain = g * g / (h + RIDGE) + (total[0] - g) ** 2 / (total[1] - h + RIDGE) - total[0] ** 2 / (total[1] + RIDGE)
-                    if gain > best[0] + 1e-9:
-                        best = (gain, (f, b))
-            if best[1] is None:
+                    if gain > best + 1e-9:
+                        best, left = gain, (f, b, g, h)
+            if left is None:
                 leaf["value"] = RATE * total[0] / (total[1] + RIDGE)
-            else:
-                leaf |= {"feature": best[1][0], "cut": best[1][1], "left": {"id": 2 * i}, "right": {"id": 2 * i + 1}}
-                following |= {2 * i: leaf["left"], 2 * i + 1: leaf["right"]}
+                continue
+            f, b, g, h = left
+            leaf |= {"feature": f, "cut": b, "left": {"id": 2 * i, "value": RATE * g / (h + RIDGE)}, "right": {"id": 2 * i + 1, "value": RATE * (total[0] - g) / (total[1] - h + RIDGE)}}
+            following |= {2 * i: leaf["left"], 2 * i + 1: leaf["right"]}
         open_ = following
     return tree
 
@@ -152,7 +164,7 @@ def boosted(train: DataFrame, features: list[str], prior: float) -> str:
     """The margin (log odds of block) as a SQL expression over the features."""
     base = math.log(prior / (1 - prior))
     probs = [k / BINS for k in range(1, BINS)]
-    row = train.agg(*[F.percentile_approx(f, probs, 1000).alias(f) for f in features]).first()
+    row = train.agg(*[F.percentile(f, probs).alias(f) for f in features]).first()  # exact, so that the order of rows does not matter
     cuts = [sorted(set(row[f])) for f in features]
 
     def bin_of(i: int) -> Column:  # cuts below the value
@@ -195,11 +207,11 @@ def verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, train
     if one_sided:
         out = rows.withColumn("score", F.lit(float(n > 0 and blocked == n)))
     else:
-        labelled = labelled.withColumns({f"key{k}": c for k, c in enumerate(keys, 1)})
+        labelled = labelled.withColumns({f"key{k}": c for k, c in enumerate(keys, 1)}).withColumn("fold", fold_of("u"))
         some = labelled.filter(F.pmod(F.xxhash64("u"), F.lit(spread)) < share).withColumns(lexical(F.col("u"), F.col("host"), F.col("path")))
         train = durable(some.drop("u", "host", "path"), "url-train")
-        rates = [durable(suffix_rates(labelled, k, prior), "url-suffixes") for k in (1, 2, 3)]
-        margin = boosted(with_rates(train, rates, prior), FEATURES, prior)
-        out = with_rates(rows, rates, prior).withColumn("score", F.expr(f"1D / (1D + exp(-({margin})))"))
+        rates = [durable(suffix_rates(labelled, k), "url-suffixes") for k in (1, 2, 3)]
+        margin = boosted(with_rates(train, rates, prior, True), FEATURES, prior)
+        out = with_rates(rows, rates, prior, False).withColumn("score", F.expr(f"1D / (1D + exp(-({margin})))"))
     method = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score")
