@@ -229,7 +229,7 @@ class Labeller:
     def words(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """All words, the distribution of each, and the number of words of each text."""
         found = [[w for w in WORD.findall(t.lower())] if isinstance(t, str) else [] for t in texts]
-        found = [ws if any(map(str.isalpha, ws)) else [] for ws in found]
+        found = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in found]
         count = np.fromiter(map(len, found), np.int64, len(found))
         flat = [w for ws in found for w in ws]
         if not flat:
