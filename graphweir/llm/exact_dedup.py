@@ -1,13 +1,16 @@
 """Exact deduplication by content-defined chunk recipes (DataFrame functions only).
 
-A text is normalised, cut where its own content says so, and from then on stands for
+A text is normalised, cut where a hash of the last few words says so, and from then on stands for
 itself as the ordered list of its chunks' identifiers: long texts are read once and never
-shuffled.  Identifiers are 64-bit hashes that are verified against a second, 256-bit digest
+shuffled.  A cut depends on nothing but the words before it, so two texts that share a passage
+share its chunks, wherever it stands.  Identifiers are 64-bit hashes that are verified against a second, 256-bit digest
 over all chunks; a 64-bit value that two different chunks share is extended by that digest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,19 +18,37 @@ from graphweir.plans.durable import ROW, durable, row_numbers
 
 #: Runs of ASCII white space, which count as one space.
 SPACE = r"[\x20\x09-\x0D]+"
-MIN_CHUNK, MAX_CHUNK = 512, 8192
-#: A chunk ends behind punctuation, after the minimum; where there is none, at the maximum.
-BOUNDARY = r"(?<=[.,;:!?|] |[。、，！？])"
+#: What is hashed: words with the space behind them, and single characters where scripts have no spaces.
+SCRIPTS = r"\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+UNIT = rf"(?s)[{SCRIPTS}]|[^ {SCRIPTS}]+ ?| "
+#: Units that the rolling hash sees, and units per chunk on average.
+SEEN, MEAN = 3, 64
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def chunks(text: Column, mean: int = MEAN) -> Column:
     """The content-defined pieces of ``text``, in order; their concatenation is ``text``."""
-    pattern = rf"(?s).{{{least},{most}}}?{BOUNDARY}|.{{1,{most}}}"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def cut(units: Column) -> Column:
+        n = F.size(units)
+        ends_here = lambda i: F.pmod(F.xxhash64(*[F.get(units, i - k) for k in range(1, SEEN + 1)]), F.lit(mean)) == 0
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == n) | ends_here(i))
+
+        def pieces(ends: Column) -> Column:
+            starts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+            return F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(units, a + 1, b - a), ""))
+
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(bound(ends, pieces))
+
+    return bound(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), cut)
 
 
 def verified_recipes(parts: DataFrame) -> DataFrame:
@@ -51,13 +72,14 @@ def verified_recipes(parts: DataFrame) -> DataFrame:
     return parts.join(bad, ROW, "left").withColumn("recipe", recipe).drop("bad", "ids")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256 and ``__gw_row``.
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, with_digest: bool = False) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept and ``__gw_row`` (``row_col``, or a number made for the row);
+    text_sha256 of the normalised text too, if wanted.
 
     Texts are equal if they are identical after each run of ASCII white space became one
     space; a null text counts as empty, and all empty texts form one group.  Of equal texts
     the row with the smallest id stays, a null id comes last, and of rows that repeat that
-    id exactly one stays.  Very long texts are cut into as many chunks as they need.  An
+    id exactly one stays.  Very long texts are cut into as many chunks as they need; a word is never cut.  An
     empty table gives an empty result.  Other columns are ignored, whatever their names.
     """
     norm = docs.select(
@@ -66,17 +88,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         normalised(F.col(text_col)).alias("t"),
     )
     ids = F.transform(chunks(F.col("t")), lambda c: F.struct(F.xxhash64(c).alias("h"), F.unhex(F.sha2(c, 256)).alias("v")))
-    parts = durable(norm.select("id", ROW, F.sha2("t", 256).alias("sha"), ids.alias("ids")), "recipes")
+    sha = F.sha2("t", 256) if with_digest else F.lit(None).cast("string")
+    parts = durable(norm.select("id", ROW, sha.alias("sha"), ids.alias("ids")), "recipes")
     rows = verified_recipes(parts).withColumn("key", F.xxhash64("recipe"))
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col(ROW).alias("row"))
     groups = rows.groupBy("key", "recipe").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     out = rows.join(groups, ["key", "recipe"])
+    digest = [F.col("sha").alias("text_sha256")] if with_digest else []
     return out.select(
         F.col("id").alias(id_col),
         F.col("first.id").alias("keep_id"),
         F.col("n").alias("group_size"),
         (F.col(ROW) == F.col("first.row")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        *digest,
         ROW,
     )
 

@@ -42,7 +42,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop(ROW)
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), with_digest=True).drop(ROW)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
