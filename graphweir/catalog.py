@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphweir.registry import ORACLES, QUERIES
 
-for _module in ("graph", "scans", "reports", "events"):
+for _module in ("graph", "scans", "reports", "events", "more"):
     importlib.import_module(f"graphweir.queries.{_module}")
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

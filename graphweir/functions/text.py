@@ -34,6 +34,25 @@ SINK_TYPES = (
 # What an answer says about a source, and how sure it sounds.
 SOURCE_ANSWERS = ("is a source", "acts as a source", "functions as a source", "introduces data", "obtains data", "retrieves data")
 CERTAINTY = (("0.9", ("definitely",), ()), ("0.7", ("likely",), ()), ("0.6", ("probably",), ()), ("0.4", ("possibly",), ()), ("0.3", ("might",), ()))
+SINK_ANSWERS = ("is a sink", "acts as a sink", "functions as a sink", "outputs data", "writes data", "sends data", "executes")
+# Types out of answers, as (type, all of these words, any of these words), the first that fits.
+SOURCE_ANSWER_TYPES = (
+    ("user_input", (), ("user input", "user-supplied")),
+    ("database_read", ("database",), ()),
+    ("file_read", ("file",), ("read", "load", "open")),
+    ("network_receive", (), ("http", "request", "api", "fetch")),
+    ("environment_variable", ("environment",), ()),
+    ("configuration", ("config",), ()),
+)
+SINK_ANSWER_TYPES = (
+    ("database_write", ("database",), ("write", "insert", "update", "delete", "query")),
+    ("file_write", ("file",), ("write", "save", "create")),
+    ("network_send", (), ("http", "response", "send", "api")),
+    ("command_execution", (), ("exec", "execute", "command", "system", "shell")),
+    ("html_rendering", (), ("html", "render", "template")),
+    ("logging", ("log",), ()),
+    ("response_generation", ("response",), ()),
+)
 # Languages by file extension.
 LANGUAGES = {
     "python": ("py", "pyc", "pyd", "pyx", "pyi"),
@@ -171,6 +190,23 @@ def mapped(value: Column, table: dict[str, str], default: str) -> Column:
     return F.coalesce(F.try_element_at(lookup, F.lower(value)), F.lit(default))
 
 
+def cwe_ids(text: Column) -> Column:
+    """The CWE ids that a text names, in order, however they are spelled."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"cwe-?(\d+)"), F.lit(1)), lambda n: F.concat(F.lit("CWE-"), n))
+
+
+def named_version(text: Column, name: str) -> Column:
+    """The first version (major.minor) behind a name, null for none."""
+    found = F.regexp_extract(F.lower(text), rf"\Q{name.lower()}\E\s+(\d+\.\d+)", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def ordinal(text: Column) -> Column:
+    """The first place that a text names (#3, 3rd, number 3), null for none."""
+    found = F.regexp_extract(F.lower(text), r"(#\s*\d+|\d+(?:st|nd|rd|th)|\bnumber \d+\b)", 1)
+    return F.nullif(F.regexp_replace(found, r"\D", ""), F.lit("")).cast("int")
+
+
 def valid_cve(value: Column) -> Column:
     return F.coalesce(value.rlike(r"^CVE-\d{4}-\d{4,}$"), F.lit(False))
 

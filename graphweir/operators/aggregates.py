@@ -41,6 +41,12 @@ def compliance(results: DataFrame) -> DataFrame:
     return results.rollup("category").agg(*aggs)
 
 
+def critique(categories: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Mean rating of a review's categories, and the issues of all of them in the categories' order."""
+    issues = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("issues", F.array().cast("array<string>")).alias("i"))))
+    return categories.groupBy(*keys).agg(F.avg("rating").alias("rating"), F.flatten(F.transform(issues, lambda x: x["i"])).alias("issues"))
+
+
 def trend(samples: DataFrame, keys: list[str], at: str, value: str, leak: float = 20.0) -> DataFrame:
     """First and last sample, growth in percent, and its class, per key."""
     ends = samples.groupBy(*keys).agg(F.min_by(value, F.struct(at, value)).alias("first"), F.max_by(value, F.struct(at, value)).alias("last"))

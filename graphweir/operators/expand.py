@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from graphweir.operators.model import steps
 from graphweir.plans.components import connected_components
-from graphweir.plans.durable import Generations
+from graphweir.plans.durable import durable
 
-__all__ = ["ancestors", "connected_components", "paths", "prefix_tree", "reachable"]
+__all__ = ["ancestors", "connected_components", "paths", "prefix_tree", "reachable", "typed_paths"]
 
 
 def paths(starts: DataFrame, edges: DataFrame, least: int, most: int, direction: str = "out", types: list[str] | None = None, ends: DataFrame | None = None) -> DataFrame:
@@ -35,23 +35,61 @@ def paths(starts: DataFrame, edges: DataFrame, least: int, most: int, direction:
     return out
 
 
+def typed_paths(starts: DataFrame, label: str, edges: dict[str, tuple[str, str, DataFrame]], least: int, most: int, end: str | None = None, pairs: bool = False) -> DataFrame:
+    """Directed trails of ``least`` to ``most`` edges from nodes of one label: start, finish, hops.
+
+    ``edges`` gives for each type the labels at its two ends and its frame (src, dst, and eid if a path can hold the type
+    twice).  Only sequences of types that the labels allow, and that reach label ``end`` if it is given, are joined, each
+    from the starts on; ``pairs`` wants pairs of ends only, so that each step may forget repeats.
+    """
+    out = []
+    forget = pairs and not any(_leads(b, a, most, edges) for a, b, _ in edges.values())  # where a type can repeat, each trail counts
+
+    def grow(rows: DataFrame, at: str, used: tuple[str, ...]) -> None:
+        n = len(used)
+        if n >= least and end in (None, at):
+            out.append(rows.select("start", "finish", F.lit(n).alias("hops")))
+        if n == most:
+            return
+        for kind, (a, b, frame) in edges.items():
+            if a != at or (end is not None and not _leads(b, end, most - n - 1, edges)):
+                continue
+            again = kind in used
+            step = frame.select(F.col("src").alias("finish"), F.col("dst").alias("next"), *([F.col("eid").alias("eid_")] if "eid" in frame.columns else []))
+            grown = rows.join(step, "finish")
+            if again:
+                grown = grown.filter(~F.array_contains("eids", F.col("eid_")))
+            eids = [F.array_append("eids", F.col("eid_")).alias("eids")] if "eid_" in grown.columns else ["eids"]
+            grown = grown.select("start", F.col("next").alias("finish"), *eids)
+            grow(grown.dropDuplicates(["start", "finish"]) if forget else grown, b, (*used, kind))
+
+    grow(starts.select(F.col("id").alias("start"), F.col("id").alias("finish"), F.array().cast("array<string>").alias("eids")), label, ())
+    return reduce(DataFrame.unionByName, out) if out else starts.select(F.col("id").alias("start"), F.col("id").alias("finish"), F.lit(0).alias("hops")).limit(0)
+
+
+def _leads(label: str, end: str, steps_left: int, edges: dict[str, tuple[str, str, DataFrame]]) -> bool:
+    """Whether a path of so many steps at most can lead from one label to the other."""
+    return label == end or (steps_left > 0 and any(a == label and _leads(b, end, steps_left - 1, edges) for a, b, _ in edges.values()))
+
+
 def reachable(starts: DataFrame, edges: DataFrame, direction: str = "out", types: list[str] | None = None, max_rounds: int = 1000) -> DataFrame:
     """(start, finish, hops) for all nodes reachable by one or more edges, with the fewest hops.
 
-    A loop over frontiers with an anti join against what was seen; it ends on cyclic graphs,
-    and each round is a table in the shared folder.
+    A loop over frontiers with an anti join against what was seen; it ends on cyclic graphs.
+    Each frontier is a table in the shared folder, written once; together they are what was seen.
     """
-    spark = edges.sparkSession
     step = steps(edges, direction, types).select("src", "dst").distinct()
-    seen_at, front_at = Generations(spark, "reach"), Generations(spark, "front")
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("finish")).distinct()
-    seen = seen_at.put(front.limit(0).withColumn("hops", F.lit(0)))
+    seen = None
     for n in range(1, max_rounds + 1):
         grown = front.join(step, F.col("finish") == F.col("src")).select("start", F.col("dst").alias("finish")).distinct()
-        front = front_at.put(grown.join(seen.select("start", "finish"), ["start", "finish"], "left_anti"))
+        if seen is not None:
+            grown = grown.join(seen.select("start", "finish"), ["start", "finish"], "left_anti")
+        front = durable(grown.withColumn("hops", F.lit(n)), "front")
+        seen = front if seen is None else seen.unionByName(front)
         if front.isEmpty():
             return seen
-        seen = seen_at.put(seen.unionByName(front.withColumn("hops", F.lit(n))))
+        front = front.select("start", "finish")
     raise RuntimeError(f"not settled after {max_rounds} rounds")
 
 

@@ -49,8 +49,3 @@ def attached(rows: DataFrame, actions: DataFrame, key: str, name: str, *fields:
     """``rows`` with their actions as a sorted array of structs, gathered before the join."""
     packed = actions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
     return rows.join(packed, key, "left")
-
-
-def first_confirming(verdicts: DataFrame, key: str, rank: str) -> DataFrame:
-    """Of the analyzers that confirm a node, the one with the smallest rank."""
-    return verdicts.filter("confirmed").groupBy(key).agg(F.min_by(F.struct(*[c for c in verdicts.columns if c != key]), rank).alias("v")).select(key, "v.*")

@@ -26,9 +26,13 @@ class Analyzer(Protocol):
 
     def sink(self, description: Column) -> tuple[Column, Column, Column]: ...
 
+    def data_flow(self, source: Column, sink: Column) -> tuple[Column, Column, Column]:
+        """Confirmation, vulnerability type and impact, from structs (name, kind, description)."""
+        ...
+
 
 class KeywordFunnel:
-    """Candidates whose summary holds a keyword; one row per function, linked summaries first."""
+    """Candidates whose summary holds a keyword; one row per function."""
 
     def __init__(self, sources: tuple[str, ...] = rules.SOURCE_KEYWORDS, sinks: tuple[str, ...] = rules.SINK_KEYWORDS):
         self._sources, self._sinks = sources, sinks
@@ -44,6 +48,29 @@ class KeywordFunnel:
         return self._pick(functions, self._sinks)
 
 
+def linked_candidates(functions: DataFrame, summaries: DataFrame, defined_in: DataFrame, part_of: DataFrame, files: DataFrame, repository: Column, keywords: tuple[str, ...]) -> DataFrame:
+    """Functions whose summary holds a keyword, one row per summary: node_id, name, line_number, description, file_node_id, file_path.
+
+    A function that is defined in a file of the repository comes with that file (the one with the smallest path, if
+    there are more); any other function comes without one, its path is ``unknown``.  Frames: functions
+    (node_id, name, line_number), summaries (node_id, summary), defined_in (node_id, file_node_id), part_of
+    (file_node_id, repository), files (file_node_id, path); ``repository`` is a condition on part_of.
+    """
+    own = part_of.filter(repository).select("file_node_id").distinct().join(files, "file_node_id")
+    linked = defined_in.join(own, "file_node_id").groupBy("node_id").agg(F.min(F.struct("path", "file_node_id")).alias("file"))
+    found = summaries.filter(rules.any_keyword(F.col("summary"), keywords)).join(functions, "node_id").join(linked, "node_id", "left")
+    return found.select("node_id", "name", "line_number", F.col("summary").alias("description"), "file.file_node_id", F.coalesce("file.path", F.lit("unknown")).alias("file_path"))
+
+
+def flows(sources: DataFrame, sinks: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """Data flows that the analyzer confirms between typed sources and sinks of one file."""
+    one = sources.filter("file_path <> 'unknown'").select("file_path", F.struct("name", "kind", "description").alias("source"))
+    other = sinks.filter("file_path <> 'unknown'").select("file_path", F.struct("name", "kind", "description").alias("sink"))
+    ok, kind, impact = analyzer.data_flow(F.col("source"), F.col("sink"))
+    pairs = one.join(other, "file_path").filter(ok)
+    return pairs.select("file_path", F.col("source.name").alias("source"), F.col("sink.name").alias("sink"), kind.alias("vulnerability_type"), impact.alias("impact"))
+
+
 class DocumentationAnalyzer:
     """Confirmation, type and confidence from the words of the documentation."""
 
@@ -54,15 +81,21 @@ class DocumentationAnalyzer:
         return rules.any_keyword(description, rules.SINK_DOC_KEYWORDS), rules.first_match(description, rules.SINK_TYPES, "unknown_sink"), rules.keyword_confidence(description, rules.SINK_DOC_KEYWORDS)
 
 
-class AnswerAnalyzer:
+    def data_flow(self, source: Column, sink: Column) -> tuple[Column, Column, Column]:
+        """What users type and what is executed or stored: an injection; its impact is high where commands run."""
+        risky = (source["kind"] == "user_input") | (source["kind"] == "network_receive")
+        run = sink["kind"] == "command_execution"
+        return risky & (run | (sink["kind"] == "database_write")), F.when(run, "command injection").otherwise("sql injection"), F.when(run, "high").otherwise("medium")
+
+
+class AnswerAnalyzer(DocumentationAnalyzer):
     """Confirmation, type and confidence from a stored answer about the function."""
 
     def source(self, description: Column) -> tuple[Column, Column, Column]:
-        return rules.any_keyword(description, rules.SOURCE_ANSWERS), rules.first_match(description, rules.SOURCE_TYPES, "unknown_source"), rules.first_match(description, rules.CERTAINTY, "0.5").cast("double")
+        return rules.any_keyword(description, rules.SOURCE_ANSWERS), rules.first_match(description, rules.SOURCE_ANSWER_TYPES, "unknown_source"), rules.first_match(description, rules.CERTAINTY, "0.5").cast("double")
 
     def sink(self, description: Column) -> tuple[Column, Column, Column]:
-        answers = tuple(a.replace("source", "sink") for a in rules.SOURCE_ANSWERS[:3])
-        return rules.any_keyword(description, answers), rules.first_match(description, rules.SINK_TYPES, "unknown_sink"), rules.first_match(description, rules.CERTAINTY, "0.5").cast("double")
+        return rules.any_keyword(description, rules.SINK_ANSWERS), rules.first_match(description, rules.SINK_ANSWER_TYPES, "unknown_sink"), rules.first_match(description, rules.CERTAINTY, "0.5").cast("double")
 
 
 #: Compliance checks by name: each builds a boolean Column from its parameters.

@@ -60,6 +60,11 @@ def edges(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def typed_edges(spark: SparkSession, sf_dir: str, *types: str) -> dict[str, tuple[str, str, DataFrame]]:
+    """For each type the labels at its ends, and its edges."""
+    return {t: (EDGES[t][1], EDGES[t][3], edges(spark, sf_dir, t).drop("type")) for t in types or EDGES}
+
+
 def nodes_sql(*labels: str) -> str:
     """The same nodes for DuckDB."""
     return " UNION ALL ".join(f"SELECT '{x.lower()}:' || {LABELS[x][1]} AS id, '{x}' AS label, {LABELS[x][2]} AS name FROM {LABELS[x][0]}" for x in labels or LABELS)

@@ -36,13 +36,6 @@ def having(rows: DataFrame, at: str, edges: DataFrame, types: list[str] | None =
     return rows.join(found, F.col(at) == F.col("__at"), "left_anti" if negate else "left_semi")
 
 
-def pairs_both_ways(edges: DataFrame, forward: str, backward: str) -> DataFrame:
-    """(a)-[forward]->(b)-[backward]->(a): pairs that close a cycle of two edges."""
-    f = edges.filter(F.col("type") == forward).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    g = edges.filter(F.col("type") == backward).select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    return f.join(g, ["a", "b"])
-
-
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key: the first in a total order."""
     ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

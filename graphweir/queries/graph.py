@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphweir.operators import expand, mutations, patterns
-from graphweir.operators.model import edges, edges_sql, node_id, nodes, nodes_sql, surrogate_ids
+from graphweir.operators.model import edges, edges_sql, node_id, nodes, nodes_sql, surrogate_ids, typed_edges
 from graphweir.plans.session import table
 from graphweir.registry import query
 
@@ -209,7 +209,7 @@ CHAIN = edges_sql("PLACED", "CONTAINS", "SUPPLIED_BY")
 @query("g3", "SELECT 'customer:' || c AS start, hops, n FROM (SELECT o_custkey AS c, 1 AS hops, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT o_custkey, 2, count(*) FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_orderkey = o_orderkey GROUP BY 1)")
 def g3(spark, d):
     """Directed typed paths of one to two edges, counted by start and length."""
-    found = expand.paths(nodes(spark, d, "Customer").select("id"), edges(spark, d, "PLACED", "CONTAINS"), 1, 2, types=["PLACED", "CONTAINS"])
+    found = expand.typed_paths(nodes(spark, d, "Customer").select("id"), "Customer", typed_edges(spark, d, "PLACED", "CONTAINS"), 1, 2)
     return found.groupBy("start", "hops").agg(F.count("*").alias("n"))
 
 
@@ -245,7 +245,7 @@ def g7(spark, d):
 def g8(spark, d):
     """Source-to-sink paths of up to three calls, one row per pair."""
     sources = table(spark, d, "customer").filter("c_acctbal < -900").select(node_id("Customer", "c_custkey").alias("id"))
-    found = expand.paths(sources, edges(spark, d, "PLACED", "CONTAINS", "SUPPLIED_BY"), 1, 3, ends=nodes(spark, d, "Supplier"))
+    found = expand.typed_paths(sources, "Customer", typed_edges(spark, d, "PLACED", "CONTAINS", "SUPPLIED_BY"), 1, 3, "Supplier", pairs=True)
     pairs = found.select(F.col("start").alias("source"), F.col("finish").alias("sink")).distinct()
     return pairs.withColumn("impact", F.lit("medium")).withColumn("confidence", F.lit(0.6))
 
@@ -310,7 +310,7 @@ def u5(spark, d):
 def u6(spark, d):
     """Pairs in one relation and not in the other."""
     li = table(spark, d, "lineitem")
-    return li.filter("l_returnflag = 'A'").select("l_partkey", "l_suppkey").exceptAll(li.filter("1 = 0").select("l_partkey", "l_suppkey")).subtract(li.filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey"))
+    return li.filter("l_returnflag = 'A'").select("l_partkey", "l_suppkey").subtract(li.filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey"))
 
 
 @query("u7", "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")

@@ -61,11 +61,6 @@ def cves(raw: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
-def document_cache(raw: DataFrame, value_schema: str, column: str = "json") -> DataFrame:
-    """key and fields of a JSON object that maps keys to records."""
-    return raw.select(F.explode(F.from_json(column, f"map<string,{value_schema}>")).alias("key", "v")).select("key", "v.*")
-
-
 def graph_payload(raw: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
     """Node and link frames of {nodes, links} documents."""
     g = raw.select(F.from_json(column, GRAPH).alias("g"))
@@ -78,17 +73,38 @@ def weaknesses_xml(raw: DataFrame, column: str = "xml") -> DataFrame:
     return w.select(F.concat(F.lit("CWE-"), "w._ID").alias("cwe_id"), F.col("w._Name").alias("name"), F.col("w.Description").alias("description"))
 
 
+def weaknesses_zip(archives: DataFrame, column: str = "content") -> DataFrame:
+    """cwe_id, name, description of the Weakness elements in the XML files of zip archives; archives that are broken are dropped."""
+
+    def run(frames):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for frame in frames:
+            for content in frame[column]:
+                if content is None or not zipfile.is_zipfile(io.BytesIO(content)):
+                    continue
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in sorted(n for n in z.namelist() if n.lower().endswith(".xml")):
+                        yield pd.DataFrame({"xml": [z.read(name).decode("utf-8", "replace")]})
+
+    each = F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<Weakness\s.*?</Weakness>"), F.lit(0)))
+    return weaknesses_xml(archives.select(column).mapInPandas(run, "xml string").select(each.alias("xml")))
+
+
+def fetched_cves(ids: DataFrame, records: DataFrame, id_col: str, column: str = "json") -> DataFrame:
+    """The record of each well-formed id (null fields where there is none); ids that are not well-formed are not looked up."""
+    return ids.filter(valid_cve(F.col(id_col))).join(cves(records, column).withColumnRenamed("cve_id", id_col), id_col, "left")
+
+
 def merged_config(settings: DataFrame) -> DataFrame:
     """Of (key, value, priority) the value with the highest priority; empty values do not count."""
     best = F.min(F.struct((-F.col("priority")).alias("order"), "value", "priority")).alias("m")
     return settings.filter("value is not null and value <> ''").groupBy("key").agg(best).select("key", "m.value", "m.priority")
 
 
-def overlaid(old: Column, new: Column) -> Column:
-    """The new value, unless it is empty."""
-    return F.coalesce(F.nullif(new, F.lit("")), old)
-
-
 def repository(spark: SparkSession, root: str, url: str | None = None) -> DataFrame:
     """Statistics of a checked-out repository: files, bytes and main language."""
     from graphweir.sources.files import file_tree

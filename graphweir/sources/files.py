@@ -76,6 +76,13 @@ def http_documents(spark: SparkSession, urls: list[str], timeout: float = 30) ->
     return spark.read.format("http_documents").option("urls", " ".join(urls)).option("timeout", str(timeout)).load()
 
 
+def document_nodes(fetched: DataFrame) -> DataFrame:
+    """Document properties of fetched urls: name, source, content (cut) and its whole length; failures are dropped."""
+    name = F.coalesce(F.nullif(F.substring_index("url", "/", -1), F.lit("")), F.lit("remote_doc"))
+    node = chunk_node(F.col("text"))
+    return fetched.filter("status = 200").select(name.alias("name"), F.col("url").alias("source"), node["content"].alias("content"), node["full_length"].alias("content_length"), F.lit("remote").alias("type"))
+
+
 def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, section_no, title, content) of ``SECTION:`` / ``CONTENT:`` lines; a section runs to the next."""
     from pyspark.sql import Window

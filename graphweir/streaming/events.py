@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from graphweir.plans.durable import shared_dir
+from graphweir.plans.durable import drop_table, shared_dir
 
 # Failures that lock an account, and for how many seconds.
 MOST_FAILURES, LOCK_SECONDS = 5, 300
@@ -28,14 +29,12 @@ def stream(spark: SparkSession, path: str, per_trigger: int | None = None) -> Da
     return reader.parquet(f"{head}/[{tail[0]}]{tail[1:]}")
 
 
-def run(rows: DataFrame, name: str, mode: str = "append", each=None) -> DataFrame:
+def run(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream until its input is used up; its output is a table in the shared folder."""
     spark = rows.sparkSession
     base = f"{shared_dir(spark)}/graphweir/{name}-{uuid.uuid4().hex}"
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", base + "/state").trigger(availableNow=True)
-    if each is not None:
-        query = writer.foreachBatch(lambda batch, epoch: each(batch, f"{base}/out/epoch={epoch}")).start()
-    elif mode == "append":
+    if mode == "append":
         query = writer.format("parquet").option("path", base + "/out").start()
     else:  # a complete or updated result replaces what the batches before gave
         query = writer.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(base + "/out")).start()
@@ -55,6 +54,24 @@ def subscribed(rows: DataFrame, channel: str) -> DataFrame:
     return rows if channel == "*" else rows.filter(F.col("channel") == channel)
 
 
+def latest(rows: DataFrame, name: str, kept: int = 50) -> DataFrame:
+    """The ``kept`` newest events of a stream: each batch makes a new view of the one before and its own rows.
+
+    Only the last two views are there; the one before the last serves a batch that is run again.
+    """
+    spark, last = rows.sparkSession, {}
+    base = f"{shared_dir(spark)}/graphweir/{name}-{uuid.uuid4().hex}"
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        both = batch if epoch == 0 else batch.sparkSession.read.schema(batch.schema).parquet(f"{base}/view-{epoch - 1}").unionByName(batch)
+        both.orderBy(F.desc("ts"), F.desc("event_id")).limit(kept).write.mode("overwrite").parquet(f"{base}/view-{epoch}")
+        drop_table(batch.sparkSession, f"{base}/view-{epoch - 2}")
+        last["path"] = f"{base}/view-{epoch}"
+
+    rows.writeStream.option("checkpointLocation", base + "/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(last["path"]) if last else spark.createDataFrame([], rows.schema)
+
+
 def recent(rows: DataFrame, kept: int = 50, shown: int = 10) -> DataFrame:
     newest = rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(kept)
     return newest.orderBy(F.desc("ts"), F.desc("event_id")).limit(shown)
@@ -104,11 +121,16 @@ def lockouts(attempts: DataFrame) -> DataFrame:
     return ordered.select("user_id", "at", "failed").mapInPandas(scan, LOCKS)
 
 
-def lockout_stream(attempts: DataFrame) -> DataFrame:
-    """The same over a stream; the state of a user expires when the lock does."""
+def lockout_stream(attempts: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The same over a stream, in event time.
+
+    A user has a state only while there are failures since the last success or lock; that of a locked user goes when the
+    watermark passes the lock's end.  Attempts are ordered by time within a batch, and batches are taken as they
+    come; attempts that are older than the watermark (``late`` behind the newest one) are dropped.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if state.hasTimedOut:  # the lock has ended
             state.remove()
             return
         now = state.get if state.exists else (0, 0.0)
@@ -118,10 +140,17 @@ def lockout_stream(attempts: DataFrame) -> DataFrame:
                 *now, locked = attempt(int(now[0]), float(now[1]), float(at), bool(failed))
                 if locked:
                     out.append((key[0], float(at), now[1]))
-        state.update(tuple(now))
+        ends = math.ceil(now[1] * 1000)
+        if now[0] and (not ends or ends > state.getCurrentWatermarkMs()):
+            state.update((int(now[0]), float(now[1])))
+            if ends:
+                state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["user_id", "locked_at", "locked_until"]).astype({"user_id": "int64", "locked_at": "float64", "locked_until": "float64"})
 
-    return attempts.groupBy("user_id").applyInPandasWithState(step, LOCKS, "failures int, locked_until double", "append", GroupStateTimeout.NoTimeout)
+    timed = attempts.withColumn("event_time", F.timestamp_micros((F.col("at") * 1e6).cast("bigint"))).withWatermark("event_time", late)
+    return timed.groupBy("user_id").applyInPandasWithState(step, LOCKS, "failures int, locked_until double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(rows: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

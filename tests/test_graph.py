@@ -136,3 +136,23 @@ def test_zero_fill_and_trend(spark):
     assert {(r["v"], r["n"]) for r in aggregates.zero_filled(df, "s", ["a", "b"], "v").collect()} == {("a", 2), ("b", 0)}
     s = spark.createDataFrame([("p", 1, 100.0), ("p", 2, 130.0), ("q", 1, 100.0), ("q", 5, 101.0), ("r", 1, 10.0), ("r", 2, 5.0)], "k string, t int, v double")
     assert {r["k"]: (r["trend"], r["leak"]) for r in aggregates.trend(s, ["k"], "t", "v").collect()} == {"p": ("growing", True), "q": ("stable", False), "r": ("shrinking", False)}
+
+
+def test_typed_paths_equal_paths(spark):
+    """Paths along the labels are the trails that the untyped expansion finds, parallel and repeated edges included."""
+    likes = [("a1", "b1"), ("a1", "b1"), ("a1", "b2"), ("a2", "b2")]
+    links = [("b1", "b2"), ("b2", "b1"), ("b2", "b2")]
+    ends = [("b1", "c1"), ("b2", "c1"), ("b2", "c2")]
+    rows = [(f"e{i}", s, d, t) for i, (t, s, d) in enumerate((t, s, d) for t, es in (("LIKES", likes), ("LINKS", links), ("ENDS", ends)) for s, d in es)]
+    e = spark.createDataFrame(rows, "eid string, src string, dst string, type string")
+    of = lambda t: e.filter(F.col("type") == t).drop("type")
+    typed = {"LIKES": ("A", "B", of("LIKES")), "LINKS": ("B", "B", of("LINKS")), "ENDS": ("B", "C", of("ENDS"))}
+    start = spark.createDataFrame([("a1",), ("a2",)], "id string")
+    c = spark.createDataFrame([("c1",), ("c2",)], "id string")
+    want = sorted(tuple(r) for r in expand.paths(start, e, 1, 4, ends=c).select("start", "finish", "hops").collect())
+    assert want and sorted(tuple(r) for r in expand.typed_paths(start, "A", typed, 1, 4, "C").collect()) == want
+    every = sorted(tuple(r) for r in expand.paths(start, e, 0, 3).select("start", "finish", "hops").collect())
+    assert sorted(tuple(r) for r in expand.typed_paths(start, "A", typed, 0, 3).collect()) == every
+    once = {(r["start"], r["finish"]) for r in expand.typed_paths(start, "A", typed, 1, 4, "C", pairs=True).collect()}
+    assert once == {(a, b) for a, b, _ in want}
+    assert expand.typed_paths(start, "A", typed, 1, 1, "C").count() == 0
