@@ -18,7 +18,8 @@ from graphweir.plans.durable import ROW, durable, row_numbers
 
 #: Runs of ASCII white space, which count as one space.
 SPACE = r"[\x20\x09-\x0D]+"
-#: What is hashed: words with the space behind them, and single characters where scripts have no spaces.
+#: Of texts of which most characters take three bytes or more, single characters are hashed where scripts have no spaces, and words of all others.
+WIDE = 2.2
 SCRIPTS = r"\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 UNIT = rf"(?s)[{SCRIPTS}]|[^ {SCRIPTS}]+ ?| "
 #: Units that the rolling hash sees, and units per chunk on average.
@@ -35,20 +36,27 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def chunks(text: Column, mean: int = MEAN) -> Column:
-    """The content-defined pieces of ``text``, in order; their concatenation is ``text``."""
+    """The content-defined pieces of ``text`` (normalised), in order; their concatenation is ``text``."""
 
-    def cut(units: Column) -> Column:
+    def cut(units: Column, glue: str) -> Column:
         n = F.size(units)
         ends_here = lambda i: F.pmod(F.xxhash64(*[F.get(units, i - k) for k in range(1, SEEN + 1)]), F.lit(mean)) == 0
-        ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == n) | ends_here(i))
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | ends_here(i))
+
+        def piece(a: Column, b: Column) -> Column:
+            words = F.array_join(F.slice(units, a + 1, b - a), glue)
+            return F.concat(words, F.when(b < n, glue).otherwise("")) if glue else words
 
         def pieces(ends: Column) -> Column:
-            starts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
-            return F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(units, a + 1, b - a), ""))
+            return F.zip_with(F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1)), ends, piece)
 
-        return F.when(n == 0, F.array().cast("array<string>")).otherwise(bound(ends, pieces))
+        return bound(ends, pieces)
 
-    return bound(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), cut)
+    wide = F.octet_length(text) >= WIDE * F.length(text)
+    by_word = bound(F.split(text, " "), lambda u: cut(u, " "))
+    by_character = bound(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: cut(u, ""))
+    found = F.when(F.length(text) == 0, F.array().cast("array<string>")).when(wide, by_character).otherwise(by_word)
+    return F.filter(found, lambda c: c != "")
 
 
 def verified_recipes(parts: DataFrame) -> DataFrame:
