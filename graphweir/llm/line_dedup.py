@@ -2,7 +2,7 @@
 
 Every line begins a suffix of its document's sequence of line identifiers.  Doubling ranks
 the suffixes by their first 1, 2, 4, ... lines; a rank is a class of suffixes that agree so
-far, named by its first member in document order.  The classes are the intervals of the
+far, an integer: the number of its first member among the lines.  The classes are the intervals of the
 suffix array whose longest common prefix is at least that long; a suffix that agrees with no
 other belongs to none and drops out.  Two overlapping ranks name a run of any length, so
 each run that just reaches the least number of words, forward from a line or backward from
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from graphweir.plans.durable import ROW, durable
 
 #: A repeated run is deleted if it has this many words or more.
 MIN_WORDS = 20
+#: A task numbers its lines in so many bits.
+TASK_BITS = 40
 
 
 def shortest_runs(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,9 +46,13 @@ def shortest_runs(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
 
 
 def line_table(docs: DataFrame, least: int) -> DataFrame:
-    """place, name (a 128-bit digest of the line), and the shortest runs from and to it."""
+    """pos, left, name (a 128-bit digest of the line), the shortest runs from and to it, and id, row and line.
+
+    ``pos`` numbers the lines of a task, so those of a document follow each other; ``left`` counts its lines from there on.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pos = TaskContext.get().partitionId() << TASK_BITS
         for frame in frames:
             for lo in range(0, len(frame), 1000):
                 part = frame.iloc[lo : lo + 1000]
@@ -56,52 +63,53 @@ def line_table(docs: DataFrame, least: int) -> DataFrame:
                     "id": part["id"].repeat(n),
                     ROW: part[ROW].repeat(n),
                     "line": np.concatenate([np.arange(k) for k in n]) if n else [],
+                    "pos": np.arange(pos, pos + sum(n)),
+                    "left": np.concatenate([np.arange(k, 0, -1) for k in n]) if n else [],
                     "name": [xxhash.xxh3_128_digest(y) for x in lines for y in x],
                     "forward": np.concatenate([r[0] for r in runs]) if n else [],
                     "backward": np.concatenate([r[1] for r in runs]) if n else [],
                 })
+                pos += sum(n)
 
     kind = docs.schema["id"].dataType.simpleString()
-    lines = docs.filter("text is not null").mapInPandas(run, f"id {kind}, {ROW} long, line long, name binary, forward long, backward long")
-    place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col(ROW).alias("row"), F.col("line").alias("line"))
-    return lines.select(place.alias("place"), "name", "forward", "backward")
+    return docs.filter("text is not null").mapInPandas(run, f"id {kind}, {ROW} long, line long, pos long, left long, name binary, forward long, backward long")
 
 
 def ranked(keyed: DataFrame, key: list[str]) -> DataFrame:
-    """place, name: the first place of each class of at least two suffixes with equal ``key``."""
-    classes = keyed.groupBy(*key).agg(F.min("place").alias("name"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return keyed.join(classes, key).select("place", "name")
+    """pos, left, name: the first position of each class of at least two suffixes with equal ``key``."""
+    classes = keyed.groupBy(*key).agg(F.min("pos").alias("name"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return keyed.join(classes.withColumnsRenamed({k: f"{k}_" for k in key}), [F.col(k) == F.col(f"{k}_") for k in key]).select("pos", "left", "name")
 
 
 def at(ranks: DataFrame, name: str) -> DataFrame:
-    return ranks.select(F.col("place.row").alias("row_"), F.col("place.line").alias("line_"), F.col("name").alias(name))
+    return ranks.select(F.col("pos").alias("pos_"), F.col("name").alias(name))
 
 
 def doubled(lines: DataFrame, longest: int) -> list[DataFrame]:
     """The ranks by the first 2 ** k lines, for all k that a run of ``longest`` lines needs."""
-    levels = [durable(ranked(lines.select("place", F.col("name").alias("key")), ["key"]), "ranks")]
+    levels = [durable(ranked(lines.select("pos", "left", F.col("name").alias("key")), ["key"]), "ranks")]
     while 2 ** len(levels) <= longest:
         now, step = levels[-1], 2 ** (len(levels) - 1)
-        behind = (F.col("place.row") == F.col("row_")) & (F.col("place.line") + step == F.col("line_"))
-        pairs = now.join(at(now, "next"), behind).select("place", F.col("name").alias("key"), "next")
+        pairs = now.filter(F.col("left") > step).join(at(now, "next"), F.col("pos") + step == F.col("pos_")).select("pos", "left", F.col("name").alias("key"), "next")
         levels.append(durable(ranked(pairs, ["key", "next"]), "ranks"))
     return levels
 
 
 def later_copies(lines: DataFrame) -> DataFrame:
     """row, start, length of every shortest run that also begins at an earlier place."""
-    begin = lines.filter("forward > 0").select("place", F.col("forward").alias("length"))
-    place = F.struct("place.last", "place.id", "place.row", (F.col("place.line") - F.col("backward") + 1).alias("line"))
-    end = lines.filter("backward > 0").select(place.alias("place"), F.col("backward").alias("length"))
+    row = ["id", ROW]
+    begin = lines.filter("forward > 0").select(*row, "line", "pos", F.col("forward").alias("length"))
+    back = F.col("backward") - 1
+    end = lines.filter("backward > 0").select(*row, (F.col("line") - back).alias("line"), (F.col("pos") - back).alias("pos"), F.col("backward").alias("length"))
     longest = begin.unionByName(end).agg(F.coalesce(F.max("length"), F.lit(0)).alias("n")).first()["n"]
     levels = doubled(lines, longest)
-    runs = begin.unionByName(end).distinct()
+    runs = begin.unionByName(end).dropDuplicates(["pos", "length"])
+    place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col(ROW).alias("row"), F.col("line").alias("line"))
     found = None
     for k, ranks in enumerate(levels):
         here = runs.filter(F.col("length").between(2**k, 2 ** (k + 1) - 1))
-        first = (F.col("place.row") == F.col("row_")) & (F.col("place.line") == F.col("line_"))
-        last = (F.col("place.row") == F.col("row_")) & (F.col("place.line") + F.col("length") - 2**k == F.col("line_"))
-        named = here.join(at(ranks, "a"), first).drop("row_", "line_").join(at(ranks, "b"), last).drop("row_", "line_")
+        named = here.join(at(ranks, "a"), F.col("pos") == F.col("pos_")).drop("pos_")
+        named = named.join(at(ranks, "b"), F.col("pos") + F.col("length") - 2**k == F.col("pos_")).select("length", "a", "b", place.alias("place"))
         classes = named.groupBy("length", "a", "b").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
         copies = named.join(classes, ["length", "a", "b"]).filter(F.col("first") < F.col("place"))
         copies = copies.select(F.col("place.row").alias(ROW), F.col("place.line").alias("start"), "length")
