@@ -23,7 +23,7 @@ def corpus(spark, tmp_path_factory):
     rows += [(400 + i, "".join(rng.choice("%$#&*") for _ in range(200)), "xx", "a", 0) for i in range(8)]
     rows += [(500, None, None, None, None), (501, "", "xx", "a", 0), (501, "", "xx", "a", 0)]
     root = str(tmp_path_factory.mktemp("corpus"))
-    frame(spark, rows).withColumns({c: F.lit("x") for c in ("size", "keep", "score0", "gw_lang", "rate0", "id", "copies")}).write.parquet(f"{root}/documents.parquet")
+    frame(spark, rows).withColumns({c: F.lit("x") for c in ("size", "keep", "score0", "gw_lang", "rate0", "id", "copies", "__gw_row", "__gw_copies", "__GW_th", "gw_cost0", "th", "units")}).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     return root
 
@@ -57,6 +57,8 @@ def test_stages(spark, corpus):
     assert abs(word_count(four) - 1.5 * word_count(three)) < 0.03 * word_count(three)
 
     five = corpus_pipeline.pack_windows(spark, four, corpus)
+    pieces = five.filter("start = 0")
+    assert pieces.select("doc_row").distinct().count() == four.count()  # copies of a document are told apart
     whole = five.filter("start = 0").groupBy("doc_id").agg(F.count("*").alias("n"))
     assert {r["doc_id"]: r["n"] for r in whole.collect()} == times
 
