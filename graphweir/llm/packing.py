@@ -47,6 +47,17 @@ def combinations(total: int, depth: int) -> np.ndarray:
     return np.array([c + (0,) * (depth - len(c)) for c in sorted(set(found)) if len(c) > 1], np.int64).reshape(-1, depth)
 
 
+def least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By the normal equations, which are small and well-behaved here; by singular values where they are not."""
+    try:
+        x = np.linalg.solve(a.T @ a, a.T @ b)
+        if np.abs(x).max(initial=0.0) <= 1e6 * max(1.0, np.abs(b).max(initial=0.0)):  # false for what is not a number, too
+            return x
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(a, b, rcond=None)[0]
+
+
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """min |a x - b| over x >= 0 by the active-set method of Lawson and Hanson."""
     n = a.shape[1]
@@ -61,7 +72,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
         passive[j] = True
         while True:
             z = np.zeros(n)
-            z[passive] = np.linalg.lstsq(a[:, passive], b, rcond=None)[0]
+            z[passive] = least_squares(a[:, passive], b)
             if (z[passive] > 1e-12).all():
                 x = z
                 break
