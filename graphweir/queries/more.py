@@ -160,13 +160,13 @@ def e7_filtered(spark, d):
     return ev.subscribed(e, "error").unionByName(ev.subscribed(e, "purchase")).select("event_id", "event_type")
 
 
-@query("x2_flow", f"""WITH t AS (SELECT doc_id, 'file' || doc_id % 60 AS file_path, {case_sql(rules.SOURCE_TYPES, default="'unknown_source'")} AS a, {case_sql(rules.SINK_TYPES, default="'unknown_sink'")} AS b FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'reads user input' WHEN 1 THEN 'executes a command' WHEN 2 THEN 'update the database' ELSE 'import environment' END AS text FROM documents))
+@query("x2_flow", f"""WITH t AS (SELECT doc_id, 'file' || doc_id % 45 AS file_path, {case_sql(rules.SOURCE_TYPES, default="'unknown_source'")} AS a, {case_sql(rules.SINK_TYPES, default="'unknown_sink'")} AS b FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'reads user input' WHEN 1 THEN 'executes a command' WHEN 2 THEN 'update the database' ELSE 'import environment' END AS text FROM documents))
 SELECT s.doc_id AS source, k.doc_id AS sink, CASE WHEN k.b = 'command_execution' THEN 'command injection' ELSE 'sql injection' END AS vulnerability_type, CASE WHEN k.b = 'command_execution' THEN 'high' ELSE 'medium' END AS impact
 FROM t s JOIN t k USING (file_path) WHERE s.a = 'user_input' AND s.doc_id % 4 IN (0, 3) AND k.doc_id % 4 IN (1, 2) AND k.b IN ('command_execution', 'database_write')""")
 def x2_flow(spark, d):
     """An analyzer's data flows between typed sources and sinks of the same file."""
     said = F.element_at(F.array(*map(F.lit, ("reads user input", "executes a command", "update the database", "import environment"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.concat(F.lit("file"), (F.col("doc_id") % 60).cast("string")).alias("file_path"), said.alias("description"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.concat(F.lit("file"), (F.col("doc_id") % 45).cast("string")).alias("file_path"), said.alias("description"))
     analyzer = funnels.DocumentationAnalyzer()
     return funnels.flows(funnels.typed(docs, analyzer, "source"), funnels.typed(docs, analyzer, "sink"), analyzer).drop("file_path")
 
