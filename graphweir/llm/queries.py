@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweir.llm import embedding_dedup, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, sharding, url_filter
+from graphweir.llm import collocations, embedding_dedup, exact_dedup, fingerprint, language_id, line_dedup, mixing, ngram_join, packing, quality, sharding, url_filter, whitening
 from graphweir.plans.durable import ROW
 from graphweir.plans.session import table
 
@@ -49,5 +49,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_line_dedup, op4_sharding, op5_ngram_join, op6_embedding_dedup, op7_language_id, op8_mixing, op9_exact_dedup, op10_quality)}
-ORACLES = {"op4_sharding": sharding.SQL, "op9_exact_dedup": exact_dedup.SQL}
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents")).drop(ROW)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_line_dedup, op4_sharding, op5_ngram_join, op6_embedding_dedup, op7_language_id, op8_mixing, op9_exact_dedup, op10_quality, op11_fingerprint, op12_whitening, op13_collocations)}
+ORACLES = {"op4_sharding": sharding.SQL, "op9_exact_dedup": exact_dedup.SQL, "op11_fingerprint": fingerprint.SQL, "op13_collocations": collocations.SQL}
