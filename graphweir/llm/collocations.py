@@ -37,6 +37,9 @@ PLACES, CHUNK = 1 << 21, 1 << 20
 #: Partial rankings of a language, so that no task sees all its phrases.
 PARTS = 16
 
+#: The score of a cut, in decimals of 38 digits.
+SCORE = "cast(1000000 as decimal(7,0)) * (cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
+
 _UPPER, _ENDS = bytes(range(65, 91)), b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_UPPER + _ENDS, _UPPER.lower() + b"." * len(_ENDS))
 _GAP = re.compile(rb"[ \t.]")
@@ -262,8 +265,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     each = left.select("lang", "phrase", "words", F.col("f").alias("a"), F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.k", F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col("c.l").alias("part")), F.struct(F.lit(False).alias("first"), F.col("c.r").alias("part")))).alias("p"))
     parts = each.select("lang", "phrase", "a", "k", "p.first", F.col("p.part").alias("part")).join(counts.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"])
     sides = parts.groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("first"), F.col("f"))).alias("l"), F.max(F.when(~F.col("first"), F.col("f"))).alias("r"))
-    score = F.expr("cast(1000000 as decimal(7,0)) * (cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    lowest = sides.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m")).select("lang", "phrase", "a", "m.*")
+    lowest = sides.withColumn("score", F.expr(SCORE)).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m")).select("lang", "phrase", "a", "m.*")
 
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     some = lowest.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))

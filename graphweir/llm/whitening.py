@@ -79,6 +79,7 @@ class Outer:
         self.hi, self.lo = np.zeros(len(self.i)), np.zeros(len(self.i))
 
     def add(self, hi: np.ndarray, lo: np.ndarray) -> None:
+        hi, lo = two_sum(hi, lo)  # what cancels in the difference from the mean leaves a low part too large to be left out of a product
         for at in range(0, len(self.i), BLOCK):
             i, j, here = self.i[at : at + BLOCK], self.j[at : at + BLOCK], slice(at, at + BLOCK)
             step = max(1, BLOCK // len(i))
