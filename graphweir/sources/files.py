@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -23,6 +23,11 @@ def file_tree(spark: SparkSession, root: str, most_bytes: int | None = None) ->
     return found.select("path", F.substring_index("path", "/", -1).alias("name"), extension(F.col("path")).alias("extension"), language_of(F.col("path")).alias("language"), "size")
 
 
+def row_places() -> Column:
+    """File and row number of each row of a Parquet table: the same whenever, and in whatever partitions, its files are read."""
+    return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+
+
 def directories(files: DataFrame) -> DataFrame:
     """Distinct parent prefixes of the paths."""
     parts = F.split("path", "/")
