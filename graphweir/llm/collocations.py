@@ -33,7 +33,7 @@ LEAST, LONGEST, TOP, COVERS = 10, 3, 2000, 50
 #: The table of pairs that may be frequent has 2^27 bits, 16 MB, whatever the corpus.
 SLOT_BITS = 27
 #: Places of a shard before its automaton is made, and bytes of text that are split at once.
-PLACES, CHUNK = 1 << 21, 1 << 20
+PLACES, CHUNK = 1 << 20, 1 << 20
 #: Partial rankings of a language, so that no task sees all its phrases.
 PARTS = 16
 
