@@ -46,6 +46,17 @@ def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION) -> Colu
     return F.sort_array(F.array_distinct(found))
 
 
+def packed(kept: Column) -> Column:
+    """A sketch as bytes, eight to a hash."""
+    return F.unhex(F.array_join(kept, ""))
+
+
+def unpacked(raw: Column) -> Column:
+    n = F.octet_length(raw).cast("int")
+    each = F.transform(F.sequence(F.lit(1), n, F.lit(DIGITS // 2)), lambda i: F.lower(F.hex(F.substring(raw, i, F.lit(DIGITS // 2)))))
+    return F.when(n > 0, each).otherwise(F.array().cast("array<string>"))
+
+
 def rendered(digest: Column, kept: Column) -> Column:
     """A fingerprint as one string: the text's digest, a colon, and the hashes, of 16 digits each."""
     return F.concat(digest, F.lit(":"), F.array_join(kept, ""))
@@ -90,21 +101,28 @@ def fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION
     as empty; an empty table gives an empty result; texts of any length are read whole.  Other columns are ignored, whatever
     their names.
 
-    The order is made of ids and lengths alone.  Texts are shuffled once, by row number; what travels besides is the part
+    ``row_col`` names a column that tells rows apart and that stays the same whenever the table is read again (see
+    ``sources.files.row_places``); without one, rows are numbered and written with their texts first.
+
+    The order is made of ids and lengths alone.  Texts are shuffled once, by row; what travels besides is the part
     of each text that its neighbour asks for, and its sketch.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = durable(docs.select(F.col(id_col).alias("id"), row_numbers(row_col), text.alias("t"), F.length(text).cast("bigint").alias("n"), F.md5(text.cast("binary")).alias("digest")), "fingerprint-rows")
-    order = placed(rows.select("id", ROW, "n", "digest"), [F.desc_nulls_last("id"), F.asc("digest"), F.asc(ROW)], "fingerprint-order")
-    total = rows.count()
+    rows = docs.select(F.col(id_col).alias("id"), row_numbers(row_col), text.alias("t"))
+    if row_col is None:
+        rows = durable(rows, "fingerprint-rows")
+    rows = rows.withColumns({"n": F.length("t").cast("bigint"), "digest": F.md5(F.col("t").cast("binary"))})
+    slim = durable(rows.drop("t"), "fingerprint-ids")
+    order = placed(slim, [F.desc_nulls_last("id"), F.asc("digest"), F.asc(ROW)], "fingerprint-order")
+    total = slim.count()
     follows = order.select(F.col(ROW).alias("next_row"), F.when(F.col("pos") == 0, total).otherwise(F.col("pos")).alias("place"))
     pairs = order.select(F.col(ROW).alias("for_row"), "id", "n", (F.col("pos") + 1).alias("place")).join(follows, "place").drop("place")
 
     texts, cut = rows.select(ROW, "t", "digest"), F.expr("cast(n div 3 as int)")
-    lent = texts.join(pairs, F.col(ROW) == F.col("next_row")).select("for_row", "id", "n", F.substring(F.col("t"), F.lit(1), cut).alias("lent"), F.col("digest").alias("next_digest"), sketch(F.col("t"), words, fraction).alias("next_sketch"))
+    lent = texts.join(pairs, F.col(ROW) == F.col("next_row")).select("for_row", "id", "n", F.substring(F.col("t"), F.lit(1), cut).alias("lent"), F.col("digest").alias("next_digest"), packed(sketch(F.col("t"), words, fraction)).alias("next_packed"))
     both = texts.join(lent, F.col(ROW) == F.col("for_row"))
     edited = F.concat(F.substring(F.col("t"), F.lit(1), (F.col("n") - cut).cast("int")), F.col("lent"))
-    told = both.select(ROW, "id", "n", "digest", "next_digest", "next_sketch", sketch(F.col("t"), words, fraction).alias("own"), edited.alias("e"))
+    told = both.select(ROW, "id", "n", "digest", "next_digest", unpacked(F.col("next_packed")).alias("next_sketch"), sketch(F.col("t"), words, fraction).alias("own"), edited.alias("e"))
     told = told.withColumns({"sha": F.sha2("e", 256), "e_digest": F.md5(F.col("e").cast("binary")), "e_sketch": sketch(F.col("e"), words, fraction)}).drop("e")
     own, changed, after = (F.col("digest"), F.col("own")), (F.col("e_digest"), F.col("e_sketch")), (F.col("next_digest"), F.col("next_sketch"))
     return told.select(

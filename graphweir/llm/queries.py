@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphweir.llm import collocations, embedding_dedup, exact_dedup, fingerprint, language_id, line_dedup, mixing, ngram_join, packing, quality, sharding, url_filter, whitening
 from graphweir.plans.durable import ROW
 from graphweir.plans.session import table
+from graphweir.sources.files import row_places
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.fingerprints(table(spark, sf_dir, "documents")).drop(ROW)
+    docs = table(spark, sf_dir, "documents").withColumn(ROW, row_places())
+    return fingerprint.fingerprints(docs, row_col=ROW).drop(ROW)
 
 
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
