@@ -1,10 +1,7 @@
-"""Cosine search over dense vectors, exact and by an approximate index."""
+"""Exact cosine search over dense vectors; ``vector_index`` has the stored index."""
 
 from __future__ import annotations
 
-import math
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,27 +20,3 @@ def search(rows: DataFrame, vector: str, query: list[float], cutoff: float = 0.7
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = rows.filter(F.col(vector).isNotNull()).withColumn("similarity_score", cosine(F.col(vector), q))
     return scored.filter(F.col("similarity_score") >= cutoff).orderBy(F.desc("similarity_score"), tie).limit(limit)
-
-
-def signatures(vector: Column, planes: list[list[float]]) -> Column:
-    """Sign bits of the projections on the given planes, as a string."""
-    bits = [F.when(dot(vector, F.array(*[F.lit(float(x)) for x in p])) > 0, "1").otherwise("0") for p in planes]
-    return F.concat(*bits)
-
-
-def planes_for(size: int, cutoff: float = 0.7, recall: float = 0.95, bits: int = 4, seed: int = 1) -> list[list[list[float]]]:
-    """As many tables of ``bits`` random planes as find a vector at ``cutoff`` with probability ``recall``."""
-    alike = (1 - math.acos(cutoff) / math.pi) ** bits
-    rng = random.Random(seed)
-    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - alike))) if alike < 1 else 1
-    return [[[rng.gauss(0, 1) for _ in range(size)] for _ in range(bits)] for _ in range(tables)]
-
-
-def approximate_search(rows: DataFrame, vector: str, query: list[float], planes: list[list[list[float]]] | None = None, cutoff: float = 0.7, limit: int = 5, tie: str = "vec_id") -> DataFrame:
-    """Exact ranking of the rows that share a signature with ``query`` in one of the tables of planes; those of ``planes_for`` if none are given."""
-    planes = planes_for(len(query), cutoff) if planes is None else planes
-    q = F.array(*[F.lit(float(x)) for x in query])
-    hit = F.lit(False)
-    for table in planes:
-        hit = hit | (signatures(F.col(vector), table) == signatures(q, table))
-    return search(rows.filter(F.col(vector).isNotNull()).filter(hit), vector, query, cutoff, limit, tie)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphweir.functions import text as rules
 from graphweir.operators import aggregates as agg
-from graphweir.operators import audit, findings, funnels, patterns, vector
+from graphweir.operators import audit, findings, funnels, patterns, vector, vector_index
 from graphweir.operators.model import edges, edges_sql, nodes, nodes_sql
+from graphweir.plans.durable import shared_dir
 from graphweir.plans.session import table
 from graphweir.queries.scans import any_sql, case_sql, count_sql
 from graphweir.registry import query
@@ -291,10 +293,14 @@ def v1(spark, d):
     return found.select("vec_id", F.round("similarity_score", 4).alias("similarity_score"), "label")
 
 
-@query("v2", "SELECT vec_id FROM embeddings WHERE vec_id = 0")
+@query("v2", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q)
+SELECT vec_id, round(s, 4) AS similarity_score, label FROM s WHERE s >= 0.2 ORDER BY s DESC, vec_id LIMIT 5""")
 def v2(spark, d):
-    """Approximate index at the default cutoff, with exact scores; the SQL names only the query itself."""
-    return vector.approximate_search(table(spark, d, "embeddings"), "embedding", _first_vector(spark, d)).filter("vec_id = 0").select("vec_id")
+    """Search of a stored index; with all lists probed it is exact."""
+    path = f"{shared_dir(spark)}/graphweir/index-{uuid.uuid4().hex}"
+    vector_index.build(table(spark, d, "embeddings"), "embedding", path)
+    found = vector_index.probe(spark, path, _first_vector(spark, d), "embedding", None, 0.2, 5)
+    return found.select("vec_id", F.round("similarity_score", 4).alias("similarity_score"), "label")
 
 
 @query("v3", "SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))::BIGINT AS n_links FROM pages WHERE len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) > 0")
