@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from graphweir.operators.model import steps
 from graphweir.plans.components import connected_components
-from graphweir.plans.durable import durable
+from graphweir.plans.durable import Generations, durable
 
-__all__ = ["ancestors", "connected_components", "paths", "prefix_tree", "reachable", "typed_paths"]
+__all__ = ["ancestors", "climb", "connected_components", "paths", "prefix_tree", "reachable", "typed_paths"]
 
 
 def paths(starts: DataFrame, edges: DataFrame, least: int, most: int, direction: str = "out", types: list[str] | None = None, ends: DataFrame | None = None) -> DataFrame:
@@ -93,8 +93,40 @@ def reachable(starts: DataFrame, edges: DataFrame, direction: str = "out", types
     raise RuntimeError(f"not settled after {max_rounds} rounds")
 
 
+def climb(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """id, root and depth of every node of a forest whose edges lead from a node (src) to its one parent (dst).
+
+    Pointer doubling: after round k a node knows its 2^k-th ancestor, so a chain of n nodes takes log2(n) + 1 rounds, each one
+    equi-join.  Nodes that have reached their root take no further part.  Nodes on a cycle or below one never do; they are told by the number
+    of rounds, which then passes the logarithm of the number of nodes, and have a null root and depth.  Repeated edges count once; a node
+    with two different parents is refused.
+    """
+    pairs = edges.filter("src is not null and dst is not null").select(F.col("src").alias("id"), F.col("dst").alias("at"))
+    kept = Generations(edges.sparkSession, "climb")
+    parents = kept.put(pairs.groupBy("id").agg(F.min("at").alias("at"), F.max("at").alias("other")))
+    if not parents.filter("at <> other").isEmpty():
+        raise ValueError("a node has two parents; climb() follows one")
+    roots = parents.select(F.col("at").alias("id")).join(parents.select("id"), "id", "left_anti").distinct()
+    top = roots.select(F.col("id").alias("r"))
+    started = parents.select("id", "at", F.lit(1).cast("bigint").alias("depth")).join(top, F.col("at") == F.col("r"), "left")
+    jumps = kept.put(started.select("id", "at", "depth", F.col("r").isNotNull().alias("done")).unionByName(roots.select("id", F.col("id").alias("at"), F.lit(0).cast("bigint").alias("depth"), F.lit(True).alias("done"))))
+    nodes = jumps.count()
+    for n in range(max_rounds):
+        if jumps.filter("not done").isEmpty() or 2**n > 2 * nodes:
+            break
+        further = jumps.select(F.col("id").alias("at"), F.col("at").alias("up"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        moved = jumps.filter("not done").join(further, "at").select("id", F.col("up").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        jumps = kept.put(jumps.filter("done").unionByName(moved))
+    return jumps.select("id", F.when(F.col("done"), F.col("at")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+
+
 def ancestors(edges: DataFrame, types: list[str] | None = None, max_rounds: int = 1000) -> DataFrame:
-    """id and its number of distinct ancestors along incoming edges."""
+    """id and its number of distinct ancestors along incoming edges; where no node has two parents or a cycle above it, that is its depth, by doubling."""
+    up = steps(edges, "in", types).select("src", "dst").filter("src <> dst").distinct()
+    if up.groupBy("src").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        depths = climb(up, max_rounds)
+        if depths.filter("depth is null").isEmpty():
+            return depths.filter("depth > 0").select("id", "depth")
     ids = edges.select(F.col("dst").alias("id")).distinct()
     return reachable(ids, edges, "in", types, max_rounds).groupBy(F.col("start").alias("id")).agg(F.count("*").alias("depth"))
 

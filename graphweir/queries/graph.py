@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphweir.operators import expand, mutations, patterns
 from graphweir.operators.model import edges, edges_sql, node_id, nodes, nodes_sql, surrogate_ids, typed_edges
+from graphweir.plans.durable import shared_dir
+from graphweir.plans.keyed import KeyedTable
 from graphweir.plans.session import table
 from graphweir.registry import query
 
@@ -215,16 +219,16 @@ def g3(spark, d):
 
 @query("g4", "SELECT 'region:' || n_regionkey AS start, 'customer:' || c_custkey AS finish FROM nation JOIN customer ON c_nationkey = n_nationkey")
 def g4(spark, d):
-    """Unbounded containment from a root down to the leaves of one label."""
-    found = expand.reachable(nodes(spark, d, "Region").select("id"), edges(spark, d, "IN_REGION", "LIVES_IN"), "in")
-    return found.join(nodes(spark, d, "Customer").select(F.col("id").alias("finish")), "finish", "left_semi").select("start", "finish")
+    """Unbounded containment from a root down to the leaves of one label, found from the leaves up."""
+    tops = expand.climb(edges(spark, d, "IN_REGION", "LIVES_IN")).join(nodes(spark, d, "Customer").select("id"), "id", "left_semi")
+    return tops.join(nodes(spark, d, "Region").select(F.col("id").alias("root")), "root", "left_semi").select(F.col("root").alias("start"), F.col("id").alias("finish"))
 
 
 @query("g5", "SELECT 'customer:' || c_custkey AS start, 'region:' || n_regionkey AS finish FROM nation JOIN customer ON c_nationkey = n_nationkey")
 def g5(spark, d):
-    """Unbounded PART_OF up to the root."""
-    found = expand.reachable(nodes(spark, d, "Customer").select("id"), edges(spark, d, "IN_REGION", "LIVES_IN"), "out")
-    return found.filter(F.startswith("finish", F.lit("region:"))).select("start", "finish")
+    """Unbounded PART_OF up to the root, by pointer doubling."""
+    tops = expand.climb(edges(spark, d, "IN_REGION", "LIVES_IN"))
+    return tops.filter(F.startswith("id", F.lit("customer:")) & F.startswith("root", F.lit("region:"))).select(F.col("id").alias("start"), F.col("root").alias("finish"))
 
 
 @query("g6", "SELECT 'region:' || n_regionkey || '/nation:' || n_nationkey || '/customer:' || c_custkey AS path FROM nation JOIN customer ON c_nationkey = n_nationkey UNION ALL SELECT 'region:' || n_regionkey || '/nation:' || n_nationkey FROM nation")
@@ -346,10 +350,11 @@ def w1(spark, d):
 
 @query("w2", "SELECT c_custkey, c_name, CASE WHEN o_custkey IS NOT NULL THEN 'ACTIVE' ELSE c_mktsegment END AS c_mktsegment FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey")
 def w2(spark, d):
-    """Upsert: customers with orders become ACTIVE, unknown ones would be added."""
-    old = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    new = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("c_mktsegment", F.lit("ACTIVE"))
-    return mutations.upsert(old, new, ["c_custkey"])
+    """Upsert into a stored table: customers with orders become ACTIVE, unknown ones would be added; partitions without changes stay."""
+    stored = KeyedTable(spark, f"{shared_dir(spark)}/graphweir/customers-{uuid.uuid4().hex}", ["c_custkey"], 8)
+    stored.create(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    stored.merge(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("c_mktsegment", F.lit("ACTIVE")))
+    return stored.read()
 
 
 @query("w3", "SELECT count(*) AS n, count(DISTINCT (l_orderkey, l_partkey)) AS pairs FROM lineitem")

@@ -2,25 +2,57 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphweir.functions import text as rules
-from graphweir.operators import aggregates, funnels, mutations, vector
+from graphweir.operators import aggregates, funnels, mutations, vector_index
 from graphweir.operators.model import node_id
+from graphweir.plans.durable import shared_dir
 from graphweir.plans.session import table
 from graphweir.plans.timing import QueryLog
 from graphweir.queries.scans import any_sql, case_sql
 from graphweir.registry import query
-from graphweir.sources import feeds, files
+from graphweir.sources import feeds, fetch, files
 from graphweir.sources.code import defines, entities
 from graphweir.streaming import events as ev
 
 
-@query("s11", "SELECT 'plain;x=' || k AS name, 'data:text/plain;x=' || k || ',body' || k AS source, 'body' || k AS content, 5 AS content_length FROM (SELECT unnest([1, 2, 3]) AS k)")
+@query("s11", "SELECT 'plain;x=' || p_partkey AS name, 'data:text/plain;x=' || p_partkey || ',' || replace(p_name, ' ', '%20') AS source, p_name AS content, length(p_name)::INT AS content_length FROM part")
 def s11(spark, d):
-    """Remote documents, a partition per url, as document nodes; data urls need no network."""
-    found = files.document_nodes(files.http_documents(spark, [f"data:text/plain;x={k},body{k}" for k in (1, 2, 3)]))
-    return found.select(F.regexp_extract("name", "^(.*),", 1).alias("name"), "source", "content", "content_length")
+    """Remote documents as document nodes, a request for each url of a table; data urls of the parts' names need no network."""
+    url = F.concat(F.lit("data:text/plain;x="), F.col("p_partkey").cast("string"), F.lit(","), F.replace("p_name", F.lit(" "), F.lit("%20")))
+    found = files.document_nodes(files.fetched_documents(table(spark, d, "part").select(url.alias("url"))))
+    return found.select(F.regexp_extract("name", "^(.*?),", 1).alias("name"), "source", "content", "content_length")
+
+
+def _service(spark, d) -> str:
+    """A service that knows the small parts: a file for each record; returns its url."""
+    base = f"{shared_dir(spark)}/graphweir/service-{uuid.uuid4().hex}"
+    p = table(spark, d, "part").filter("p_size <= 5")
+    body = F.to_json(F.struct(F.concat(F.lit("CVE-2024-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("id"), F.array(F.struct(F.lit("en").alias("lang"), F.col("p_name").alias("value"))).alias("descriptions")))
+    p.select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("k"), body.alias("value")).repartition("k").write.partitionBy("k").text(base)
+    return (base if "://" in base else "file://" + base) + "/k={id}/"
+
+
+@query("s16_keyed", """SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 404 ELSE 200 END AS status, p_name AS description
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size <= 5""")
+def s16_keyed(spark, d):
+    """Records that a table's rows name, requested once for each key; a second run over the landed records asks for nothing."""
+    url, landing = _service(spark, d), f"{shared_dir(spark)}/graphweir/landing-{uuid.uuid4().hex}"
+    ids = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lpad(F.col("l_partkey").cast("string"), 6, "0").alias("id"))
+    fetch.fetched(ids, "id", url, landing, "^[0-9]+$")
+    again = fetch.fetched(ids, "id", url.replace("/k=", "/gone="), landing, "^[0-9]+$")  # the service is gone
+    return again.select("l_orderkey", "l_linenumber", "status", F.get_json_object("body", "$.descriptions[0].value").alias("description"))
+
+
+@query("s16_point", "SELECT 'CVE-2024-' || lpad(p_partkey::VARCHAR, 6, '0') AS cve_id, p_name AS description FROM part WHERE p_size <= 5 AND p_partkey <= 100")
+def s16_point(spark, d):
+    """Records by an IN list that the source takes as its requests; keys without a record are left out."""
+    keys = [f"{k:06d}" for k in range(101)]
+    found = fetch.records(spark, _service(spark, d)).filter(F.col("id").isin(keys) & (F.col("status") == 200))
+    return feeds.cves(found.select("body"), "body").select("cve_id", "description")
 
 
 @query("s16_fetch", """SELECT l_orderkey, cve_id, p_name AS description, CASE WHEN p_size IS NULL THEN NULL WHEN p_size > 25 THEN 'high' ELSE 'low' END AS severity
@@ -127,10 +159,11 @@ def a18_issues(spark, d):
 @query("v2_exact", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q)
 SELECT vec_id, round(s, 4) AS similarity_score FROM s ORDER BY s DESC, vec_id LIMIT 5""")
 def v2_exact(spark, d):
-    """Approximate search with a code of no bits: everything meets, so that the scores and the order are the exact ones."""
+    """A table of queries against a stored index, every list probed: the scores and the order are the exact ones."""
     rows = table(spark, d, "embeddings")
-    first = [float(x) for x in rows.filter("vec_id = 0").select("embedding").first()[0]]
-    found = vector.approximate_search(rows, "embedding", first, [[[0.0] * len(first)]], -1.0, 5)
+    path = f"{shared_dir(spark)}/graphweir/index-{uuid.uuid4().hex}"
+    vector_index.build(rows, "embedding", path, lists=16)
+    found = vector_index.probe_each(path, rows.filter("vec_id = 0").withColumnRenamed("vec_id", "query"), "query", "embedding", "embedding", None, -1.0, 5)
     return found.select("vec_id", F.round("similarity_score", 4).alias("similarity_score"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from graphweir.functions.text import extension, language_of, wanted_path
+from graphweir.sources.fetch import get
 
 # What counts as a document.
 DOCUMENT_EXTENSIONS = ("md", "markdown", "rst", "txt", "html", "htm", "xml", "json", "yaml", "yml")
@@ -42,43 +45,15 @@ def texts(spark: SparkSession, root: str, extensions: tuple[str, ...] = DOCUMENT
     return found.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")).withColumn("n_chars", F.length("text"))
 
 
-class HttpDocuments(DataSource):
-    """One row (url, status, text) for each url of the option ``urls``, a partition each."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "http_documents"
-
-    def schema(self) -> str:
-        return "url string, status int, text string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _HttpReader(self.options.get("urls", ""), float(self.options.get("timeout", "30")))
-
-
-class _HttpReader(DataSourceReader):
-    def __init__(self, urls: str, timeout: float):
-        self.urls, self.timeout = [u for u in urls.split() if u], timeout
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(u) for u in self.urls] or [InputPartition(None)]
-
-    def read(self, partition: InputPartition):
-        import urllib.error
-        import urllib.request
-
-        if partition.value is None:
-            return
-        try:
-            with urllib.request.urlopen(partition.value, timeout=self.timeout) as reply:  # noqa: S310
-                yield partition.value, getattr(reply, "status", 200) or 200, reply.read().decode("utf-8", "replace")
-        except urllib.error.HTTPError as e:
-            yield partition.value, e.code, None
+def fetched_documents(urls: DataFrame, url_col: str = "url", timeout: float = 30) -> DataFrame:
+    """url, status, text of the documents that a table of urls names, requested where the rows are; a missing one has a null text."""
 
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            replies = [get(u, timeout) for u in frame["url"]]
+            yield pd.DataFrame({"url": frame["url"], "status": [s for s, _ in replies], "text": [t for _, t in replies]})
 
-def http_documents(spark: SparkSession, urls: list[str], timeout: float = 30) -> DataFrame:
-    spark.dataSource.register(HttpDocuments)
-    return spark.read.format("http_documents").option("urls", " ".join(urls)).option("timeout", str(timeout)).load()
+    return urls.select(F.col(url_col).alias("url")).filter("url is not null").distinct().mapInPandas(ask, "url string, status int, text string")
 
 
 def document_nodes(fetched: DataFrame) -> DataFrame:

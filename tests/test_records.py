@@ -116,7 +116,7 @@ def test_documents_over_http(spark):
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
-    got = {r["url"]: (r["status"], r["text"]) for r in files.http_documents(spark, [base + "/ok", base + "/no"]).collect()}
+    got = {r["url"]: (r["status"], r["text"]) for r in files.fetched_documents(spark.createDataFrame([(base + "/ok",), (base + "/no",), (None,)], "url string")).collect()}
     server.shutdown()
     assert got == {base + "/ok": (200, "héllo"), base + "/no": (404, None)}
 
