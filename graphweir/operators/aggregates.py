@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweir.plans.durable import durable, free_names
+
 # Weights of the five severities.
 SEVERITY_WEIGHTS = {"critical": 10, "high": 7, "medium": 4, "low": 1, "info": 0}
 
@@ -56,9 +58,22 @@ def trend(samples: DataFrame, keys: list[str], at: str, value: str, leak: float
 
 
 def within_budget(rows: DataFrame, keys: list[str], order: str, tokens: Column, budget: int) -> DataFrame:
-    """The newest rows of each key whose tokens fit the budget together; older ones are evicted."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__used", F.sum(tokens).over(w)).filter(F.col("__used") <= budget).drop("__used")
+    """The newest rows of each key whose tokens fit the budget together; older ones are evicted.  Null tokens count as none.
+
+    A prefix sum in two levels: rows are dealt into ranges of (key, newest first), so a key of any size spans many tasks; each range sums its
+    own, and the sums of a key's ranges, a row for each, are added up to what lies before each range.
+    """
+    used, local, part, before, size = free_names(rows, "used", "local", "part", "before", "size")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.withColumn(used, F.coalesce(tokens, F.lit(0)).cast("bigint")).repartitionByRange(n, *keys, F.desc(order)).withColumn(part, F.spark_partition_id())
+    ranges = durable(ranges, "ranges").repartitionById(n, part)  # a range is one task again: its rows need no further exchange
+    newest = Window.partitionBy(part, *keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranges.withColumn(local, F.sum(used).over(newest))
+    ahead = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy(part, *keys).agg(F.sum(used).alias(size)).withColumn(before, F.sum(size).over(ahead)).filter(F.col(before).isNotNull())
+    held = totals.select(F.col(part).alias(f"{part}_"), *[F.col(k).alias(f"{part}_{i}") for i, k in enumerate(keys)], before)
+    same = reduce(lambda a, b: a & b, [F.col(part) == F.col(f"{part}_"), *[F.col(k).eqNullSafe(F.col(f"{part}_{i}")) for i, k in enumerate(keys)]])
+    return summed.join(held, same, "left").filter(F.col(local) + F.coalesce(before, F.lit(0)) <= budget).select(*rows.columns)
 
 
 def coverage(rows: DataFrame, flags: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from graphweir.operators.model import steps
 from graphweir.plans.components import connected_components
 from graphweir.plans.durable import Generations, durable
 
-__all__ = ["ancestors", "climb", "connected_components", "paths", "prefix_tree", "reachable", "typed_paths"]
+__all__ = ["ancestors", "climb", "connected_components", "pairs_between", "paths", "prefix_tree", "reachable", "typed_paths"]
 
 
 def paths(starts: DataFrame, edges: DataFrame, least: int, most: int, direction: str = "out", types: list[str] | None = None, ends: DataFrame | None = None) -> DataFrame:
@@ -67,6 +67,37 @@ def typed_paths(starts: DataFrame, label: str, edges: dict[str, tuple[str, str,
     return reduce(DataFrame.unionByName, out) if out else starts.select(F.col("id").alias("start"), F.col("id").alias("finish"), F.lit(0).alias("hops")).limit(0)
 
 
+def pairs_between(starts: DataFrame, chain: list[DataFrame], ends: DataFrame | None = None) -> DataFrame:
+    """Distinct (start, finish) joined by one edge of each frame of ``chain`` (src, dst) in turn; ``starts`` and ``ends`` are frames of ids.
+
+    Frontiers, which are sets of nodes, go forward through the chain and prune each frame before the next is touched; from the
+    ends, where they are given, they come back and prune again.  Then pairs grow from both sides over what is left and meet in the middle, so no partial
+    path is ever joined that does not lead from a start to an end.  Repeated edges need not be removed before.
+    """
+    if not chain:
+        same = starts.select(F.col("id").alias("start"), F.col("id").alias("finish")).distinct()
+        return same if ends is None else same.join(ends.select(F.col("id").alias("finish")), "finish", "left_semi").select("start", "finish")
+    front, pruned = starts.select(F.col("id").alias("src")).distinct(), []
+    for e in chain:
+        pruned.append(e.select("src", "dst").join(front, "src", "left_semi"))
+        front = pruned[-1].select(F.col("dst").alias("src")).distinct()
+    if ends is not None:
+        back = ends.select(F.col("id").alias("dst")).distinct()
+        for k in reversed(range(len(chain))):
+            pruned[k] = pruned[k].join(back, "dst", "left_semi")
+            back = pruned[k].select(F.col("src").alias("dst")).distinct()
+    middle = (len(chain) + 1) // 2
+    ahead = pruned[0].select(F.col("src").alias("start"), F.col("dst").alias("at"))
+    for e in pruned[1:middle]:
+        ahead = ahead.join(e.select(F.col("src").alias("at"), F.col("dst").alias("next")), "at").select("start", F.col("next").alias("at"))
+    if middle == len(chain):
+        return ahead.select("start", F.col("at").alias("finish")).distinct()
+    behind = pruned[-1].select(F.col("src").alias("at"), F.col("dst").alias("finish")).distinct()
+    for e in reversed(pruned[middle:-1]):
+        behind = behind.join(e.select(F.col("src").alias("before"), F.col("dst").alias("at")), "at").select(F.col("before").alias("at"), "finish").distinct()
+    return ahead.distinct().join(behind, "at").select("start", "finish").distinct()
+
+
 def _leads(label: str, end: str, steps_left: int, edges: dict[str, tuple[str, str, DataFrame]]) -> bool:
     """Whether a path of so many steps at most can lead from one label to the other."""
     return label == end or (steps_left > 0 and any(a == label and _leads(b, end, steps_left - 1, edges) for a, b, _ in edges.values()))

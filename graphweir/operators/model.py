@@ -47,6 +47,23 @@ def nodes(spark: SparkSession, sf_dir: str, *labels: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def node_by_id(spark: SparkSession, sf_dir: str, node: str) -> DataFrame:
+    """id, label, name of the node with this id: its label picks the table, its key is a filter that reaches the scan."""
+    kind, _, key = node.partition(":")
+    label = next((x for x in LABELS if x.lower() == kind), None)
+    if label is None or not (key.isascii() and key.isdigit()) or str(int(key)) != key:
+        return nodes(spark, sf_dir, "Region").limit(0)
+    name, column, text = LABELS[label]
+    found = table(spark, sf_dir, name).filter(F.col(column) == int(key))
+    return found.select(node_id(label, column).alias("id"), F.lit(label).alias("label"), F.col(text).alias("name"))
+
+
+def key_edges(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """src, dst of one type as the tables' own keys, repeats and all: for joins that shuffle numbers instead of ids and forget repeats later."""
+    name, _, a, _, b = EDGES[kind]
+    return table(spark, sf_dir, name).select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src is not null and dst is not null")
+
+
 def edges(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     """eid, src, dst, type of the edges with the given types (all, if none is given)."""
     parts = []

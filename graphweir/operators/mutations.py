@@ -52,8 +52,3 @@ def clear(frame: DataFrame, code: str, expected: str = "CONFIRM") -> DataFrame:
     if code != expected:
         raise PermissionError("wrong confirmation code; nothing was cleared")
     return frame.limit(0)
-
-
-def retain(rows: DataFrame, day: str, cutoff: str) -> DataFrame:
-    """Rows of partitions on or after ``cutoff`` (an ISO date); older partitions are never read."""
-    return rows.filter(F.col(day) >= F.lit(cutoff).cast("date"))

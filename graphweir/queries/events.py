@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphweir.operators import audit, funnels
+from graphweir.plans.observed import Progress
 from graphweir.plans.session import table
 from graphweir.registry import query
 from graphweir.sources import feeds
@@ -26,8 +27,9 @@ def e1(spark, d):
 
 @query("e2", f"SELECT event_id FROM ({CHANNELS}) WHERE channel = 'user_interaction'")
 def e2(spark, d):
-    """Fan-out: what one channel's subscriber receives."""
-    return ev.run(ev.subscribed(ev.routed(_stream(spark, d)), "user_interaction").select("event_id"), "channel")
+    """Fan-out: what one channel's subscriber receives; the source is read once for all channels."""
+    path = ev.fan_out(ev.routed(_stream(spark, d)).select("event_id", "channel"), "channels")
+    return ev.received(spark, path, "user_interaction", "event_id long")
 
 
 @query("e4", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")
@@ -64,6 +66,14 @@ def e9(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.round(p, 4).alias("percent"))
 
 
+@query("e9_stream", "SELECT count(*) AS processed, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, 50.0::DOUBLE AS percent FROM events")
+def e9_stream(spark, d):
+    """Progress of a stage from 20 to 50 percent, followed while its stream runs; the counts are those of the written rows."""
+    follow = Progress("ingest", "processed", table(spark, d, "events").count())
+    ev.observed(_stream(spark, d).select("event_id", "event_type"), "observed", follow, processed=F.count("*"), purchases=F.count_if(F.col("event_type") == "purchase"))
+    return spark.createDataFrame([(follow.counts["processed"], follow.counts["purchases"], follow.percent())], "processed long, purchases long, percent double")
+
+
 @query("ext_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def ext_windows(spark, d):
     """Extension: event-time windows with a watermark, as a stream."""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from graphweir.operators import expand, mutations, patterns
-from graphweir.operators.model import edges, edges_sql, node_id, nodes, nodes_sql, surrogate_ids, typed_edges
+from graphweir.operators.model import edges, edges_sql, key_edges, node_by_id, node_id, nodes, nodes_sql, surrogate_ids
 from graphweir.plans.durable import shared_dir
 from graphweir.plans.keyed import KeyedTable
 from graphweir.plans.session import table
@@ -112,8 +112,8 @@ def j12(spark, d):
 @query("j13", "SELECT 'region:0' AS src, 'nation:0' AS dst, 'MANUAL' AS type FROM region JOIN nation ON r_regionkey = 0 AND n_nationkey = 0")
 def j13(spark, d):
     """Link two nodes given by id, if both exist."""
-    a = nodes(spark, d, "Region").filter("id = 'region:0'").select(F.col("id").alias("src"), F.lit(1).alias("k"))
-    b = nodes(spark, d, "Nation").filter("id = 'nation:0'").select(F.col("id").alias("dst"), F.lit(1).alias("k"))
+    a = node_by_id(spark, d, "region:0").select(F.col("id").alias("src"), F.lit(1).alias("k"))
+    b = node_by_id(spark, d, "nation:0").select(F.col("id").alias("dst"), F.lit(1).alias("k"))
     return a.join(b, "k").select("src", "dst", F.lit("MANUAL").alias("type"))
 
 
@@ -158,10 +158,10 @@ def j18(spark, d):
 @query("j20", "SELECT DISTINCT c_custkey, l_partkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_acctbal < 0 AND l_returnflag = 'R'")
 def j20(spark, d):
     """Source and sink pairs with a path between them, found from both ends."""
-    c = table(spark, d, "customer").filter("c_acctbal < 0").select("c_custkey")
-    li = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct()
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("c_custkey", "l_partkey").distinct()
+    sources = table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
+    returned = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    found = expand.pairs_between(sources, [key_edges(spark, d, "PLACED"), returned])
+    return found.select(F.col("start").alias("c_custkey"), F.col("finish").alias("l_partkey"))
 
 
 @query("j22", "SELECT o_orderkey, o_orderpriority, weight FROM orders JOIN (VALUES ('1-URGENT', 10), ('2-HIGH', 7), ('3-MEDIUM', 4)) w(p, weight) ON p = o_orderpriority")
@@ -247,10 +247,10 @@ def g7(spark, d):
 
 @query("g8", "SELECT DISTINCT 'customer:' || o_custkey AS source, 'supplier:' || l_suppkey AS sink, 'medium' AS impact, 0.6::DOUBLE AS confidence FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) x ON x.p = l.l_partkey WHERE c_acctbal < -900".replace("'supplier:' || l_suppkey", "'supplier:' || x.s"))
 def g8(spark, d):
-    """Source-to-sink paths of up to three calls, one row per pair."""
-    sources = table(spark, d, "customer").filter("c_acctbal < -900").select(node_id("Customer", "c_custkey").alias("id"))
-    found = expand.typed_paths(sources, "Customer", typed_edges(spark, d, "PLACED", "CONTAINS", "SUPPLIED_BY"), 1, 3, "Supplier", pairs=True)
-    pairs = found.select(F.col("start").alias("source"), F.col("finish").alias("sink")).distinct()
+    """Source-to-sink paths of up to three calls, one row per pair: along PLACED, CONTAINS and SUPPLIED_BY, the only way that the labels allow."""
+    sources = table(spark, d, "customer").filter("c_acctbal < -900").select(F.col("c_custkey").alias("id"))
+    found = expand.pairs_between(sources, [key_edges(spark, d, t) for t in ("PLACED", "CONTAINS", "SUPPLIED_BY")])
+    pairs = found.select(node_id("Customer", "start").alias("source"), node_id("Supplier", "finish").alias("sink"))
     return pairs.withColumn("impact", F.lit("medium")).withColumn("confidence", F.lit(0.6))
 
 
@@ -273,7 +273,7 @@ def g10(spark, d):
 @query("g11", f"WITH {U_PLACES} SELECT DISTINCT dst AS id FROM u WHERE src = 'nation:3'")
 def g11(spark, d):
     """Neighbours of the selected node."""
-    one = nodes(spark, d, "Nation").filter("id = 'nation:3'").select("id")
+    one = node_by_id(spark, d, "nation:3").select("id")
     return patterns.hop(one, "id", edges(spark, d, "IN_REGION", "LIVES_IN", "BASED_IN"), "x", direction="any").select(F.col("x").alias("id")).distinct()
 
 

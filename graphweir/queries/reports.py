@@ -12,7 +12,9 @@ from graphweir.functions import text as rules
 from graphweir.operators import aggregates as agg
 from graphweir.operators import audit, findings, funnels, patterns, vector, vector_index
 from graphweir.operators.model import edges, edges_sql, nodes, nodes_sql
+from graphweir.plans import retention
 from graphweir.plans.durable import shared_dir
+from graphweir.plans.observed import written
 from graphweir.plans.session import table
 from graphweir.queries.scans import any_sql, case_sql, count_sql
 from graphweir.registry import query
@@ -189,7 +191,10 @@ def a27(spark, d):
 
 @query("a28", "SELECT count(*) AS processed, count(*) FILTER (WHERE length(text) >= 200) AS created FROM documents")
 def a28(spark, d):
-    return table(spark, d, "documents").agg(_n("processed"), F.count_if(F.length("text") >= 200).alias("created"))
+    """Documents read and nodes created, counted by the write itself."""
+    whole = F.length("text") >= 200
+    counts = written(table(spark, d, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/graphweir/nodes-{uuid.uuid4().hex}", whole, processed=F.count("*"), created=F.count_if(whole))
+    return spark.createDataFrame([(counts["processed"], counts["created"])], "processed long, created long")
 
 
 @query("a29", "SELECT count(*) AS customers, count(*) FILTER (WHERE c_acctbal < 0) AS in_debt, round(sum(c_acctbal), 2) AS balance FROM customer")
@@ -389,10 +394,11 @@ def w18(spark, d):
 
 @query("w19", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
 def w19(spark, d):
-    """Retention: days before the cutoff are dropped."""
-    from graphweir.operators.mutations import retain
-
-    return retain(table(spark, d, "events").withColumn("date", F.to_date("ts")), "date", "2024-01-20").select("event_id")
+    """Retention: the log's folders of days before the cutoff are deleted; what is left is read."""
+    path = f"{shared_dir(spark)}/graphweir/log-{uuid.uuid4().hex}"
+    table(spark, d, "events").select("event_id", F.to_date("ts").alias("date")).repartition("date").write.partitionBy("date").parquet(path)
+    retention.retain(spark, path, "date", "2024-01-20")
+    return spark.read.parquet(path).select("event_id")
 
 
 @query("t1", "SELECT event_id, ts FROM events")

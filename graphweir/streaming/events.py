@@ -7,11 +7,13 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from graphweir.plans.durable import drop_table, shared_dir
+from graphweir.plans.observed import Progress
 
 # Failures that lock an account, and for how many seconds.
 MOST_FAILURES, LOCK_SECONDS = 5, 300
@@ -54,6 +56,45 @@ def subscribed(rows: DataFrame, channel: str) -> DataFrame:
     return rows if channel == "*" else rows.filter(F.col("channel") == channel)
 
 
+def fan_out(rows: DataFrame, name: str) -> str:
+    """Runs a routed stream once for all channels; returns the path of a table partitioned by batch and channel.
+
+    Each batch is written into a folder of its own, so a batch that is run again replaces what it wrote before.
+    """
+    base = f"{shared_dir(rows.sparkSession)}/graphweir/{name}-{uuid.uuid4().hex}"
+    writer = rows.writeStream.option("checkpointLocation", base + "/state").trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, epoch: put_batch(batch, epoch, base + "/out")).start().awaitTermination()
+    return base + "/out"
+
+
+def put_batch(batch: DataFrame, epoch: int, path: str) -> None:
+    batch.write.mode("overwrite").partitionBy("channel").parquet(f"{path}/batch={epoch}")
+
+
+def received(spark: SparkSession, path: str, channel: str, columns: str) -> DataFrame:
+    """What the subscriber of a channel gets of a fanned-out stream with the given columns; only that channel's folders are read."""
+    try:
+        rows = spark.read.schema(f"{columns}, batch long, channel string").option("basePath", path).parquet(f"{path}/batch=*")
+    except AnalysisException as e:  # no batch yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], columns)
+    return rows.filter(F.col("channel") == channel).drop("batch", "channel")
+
+
+def observed(rows: DataFrame, name: str, progress: Progress, **counts) -> DataFrame:
+    """Runs a stream to its end while ``progress`` follows it; its output is a table in the shared folder."""
+    spark = rows.sparkSession
+    spark.streams.addListener(progress)
+    try:
+        out = run(rows.observe(progress.name, *[c.alias(k) for k, c in counts.items()]), name)
+        if not progress.ended.wait(60):
+            raise TimeoutError("the stream's end was not announced")
+    finally:
+        spark.streams.removeListener(progress)
+    return out
+
+
 def latest(rows: DataFrame, name: str, kept: int = 50) -> DataFrame:
     """The ``kept`` newest events of a stream: each batch makes a new view of the one before and its own rows.
 
