@@ -38,7 +38,11 @@ def e4(spark, d):
     return ev.recent(ev.latest(_stream(spark, d), "recent")).select("event_id")
 
 
-@query("e6")
+@query("e6", f"""WITH RECURSIVE a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) / 1e6 AS t, event_type = 'error' AS failed FROM events WHERE event_type IN ('error', 'signup')),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0 AS failures, 0.0::DOUBLE AS until, 0.0::DOUBLE AS t, false AS locked FROM a
+UNION ALL SELECT user_id, i, CASE WHEN held THEN failures WHEN failed THEN base + 1 ELSE 0 END, CASE WHEN held THEN until WHEN failed AND base + 1 >= {ev.MOST_FAILURES} THEN t + {ev.LOCK_SECONDS} ELSE 0 END, t, NOT held AND failed AND base + 1 >= {ev.MOST_FAILURES}
+    FROM (SELECT a.user_id, a.i, a.t, a.failed, s.failures, s.until, s.until > a.t AS held, CASE WHEN s.until > 0 THEN 0 ELSE s.failures END AS base FROM s JOIN a ON a.user_id = s.user_id AND a.i = s.i + 1))
+SELECT user_id, t AS locked_at, until AS locked_until FROM s WHERE locked""")
 def e6(spark, d):
     """Lockouts: five failures lock an account for 300 seconds."""
     e = table(spark, d, "events").filter("event_type in ('error', 'signup')")

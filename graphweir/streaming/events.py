@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from graphweir.plans.durable import drop_table, shared_dir
 from graphweir.plans.observed import Progress
@@ -162,36 +162,55 @@ def lockouts(attempts: DataFrame) -> DataFrame:
     return ordered.select("user_id", "at", "failed").mapInPandas(scan, LOCKS)
 
 
-def lockout_stream(attempts: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The same over a stream, in event time.
+class Lockouts(StatefulProcessor):
+    """A user's failures and lock, in event time.
 
-    A user has a state only while there are failures since the last success or lock; that of a locked user goes when the
-    watermark passes the lock's end.  Attempts are ordered by time within a batch, and batches are taken as they
-    come; attempts that are older than the watermark (``late`` behind the newest one) are dropped.
+    There is a state only while there are failures since the last success or lock; a timer at the lock's end removes that of a locked user.
     """
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # the lock has ended
-            state.remove()
-            return
-        now = state.get if state.exists else (0, 0.0)
-        out = []
-        for frame in frames:
-            for at, failed in frame.sort_values(["at", "event_id"])[["at", "failed"]].itertuples(index=False):
-                *now, locked = attempt(int(now[0]), float(now[1]), float(at), bool(failed))
-                if locked:
-                    out.append((key[0], float(at), now[1]))
-        ends = math.ceil(now[1] * 1000)
-        if now[0] and (not ends or ends > state.getCurrentWatermarkMs()):
-            state.update((int(now[0]), float(now[1])))
-            if ends:
-                state.setTimeoutTimestamp(ends)
-        elif state.exists:
-            state.remove()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.login = handle.getValueState("login", "failures int, locked_until double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, out = (self.login.get() if self.login.exists() else None) or (0, 0.0), []
+        frame = pd.concat(list(rows)).sort_values(["at", "event_id"])  # what one batch has of one user
+        for at, failed in frame[["at", "failed"]].itertuples(index=False):
+            *now, locked = attempt(int(now[0]), float(now[1]), float(at), bool(failed))
+            if locked:
+                out.append((key[0], float(at), now[1]))
+        self._keep(int(now[0]), float(now[1]), timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame(out, columns=["user_id", "locked_at", "locked_until"]).astype({"user_id": "int64", "locked_at": "float64", "locked_until": "float64"})
 
+    def _keep(self, failures: int, until: float, watermark: int) -> None:
+        ends = math.ceil(until * 1000)
+        for timer in list(self.handle.listTimers()):
+            if timer != ends:
+                self.handle.deleteTimer(timer)
+        if failures and (not ends or ends > watermark):
+            self.login.update((failures, until))
+            if ends:
+                self.handle.registerTimer(ends)
+        elif self.login.exists():
+            self.login.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.login.clear()  # the lock has ended
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def lockout_stream(attempts: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The same over a stream, in event time, with a state for each user that goes with a success or the lock's end.
+
+    Attempts are ordered by time within a batch, and batches are taken as they come; attempts that are older than the watermark (``late`` behind
+    the newest one) are dropped.  States lie in RocksDB, which the session is set to.
+    """
+    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed = attempts.withColumn("event_time", F.timestamp_micros((F.col("at") * 1e6).cast("bigint"))).withWatermark("event_time", late)
-    return timed.groupBy("user_id").applyInPandasWithState(step, LOCKS, "failures int, locked_until double", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("user_id").transformWithStateInPandas(Lockouts(), LOCKS, "append", "eventTime")
 
 
 def windowed_counts(rows: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

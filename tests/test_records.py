@@ -217,3 +217,27 @@ def test_query_log(spark):
             pass
     assert list(log.slow) == [("slow", 2.0)] and log.frame(spark).count() == 2
     assert hints("CartesianProduct\nBatchEvalPython") == ["a join without an equality", "a row-at-a-time Python function"]
+
+
+def test_state_goes_with_the_lock(spark, tmp_path):
+    """After the watermark has passed the lock's end, no state is left; a user with open failures keeps theirs."""
+    batches = [
+        [(i, 1, 1000.0 + i, True) for i in range(5)] + [(5, 2, 1001.0, True), (6, 3, 1001.0, True), (7, 3, 1002.0, False)],
+        [(8, 4, 20_000.0, False)],
+        [(9, 4, 20_001.0, False)],
+        [(10, 1, 20_002.0 + i, True) for i in range(5)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, ATTEMPTS).coalesce(1).write.parquet(str(tmp_path / f"in/k={k}"))
+
+    def state(upto):
+        stream = spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1).parquet(*[str(tmp_path / f"in/k={{{','.join(map(str, range(upto)))}}}")])
+        query = ev.lockout_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        found = spark.read.format("statestore").option("path", str(tmp_path / "ck")).option("stateVarName", "login").load()
+        return {r.key.user_id: r.value.failures for r in found.collect()}
+
+    assert state(1) == {1: 5, 2: 1}
+    assert state(3) == {2: 1}
+    assert state(4) == {2: 1, 1: 5}
+    assert sorted((r.user_id, r.locked_at) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 1004.0), (1, 20_006.0)]
