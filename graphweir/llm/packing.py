@@ -1,7 +1,7 @@
 """Packing documents into windows by non-negative least squares over length combinations.
 
-Every task packs its own documents, some millions of ids at a time, so nothing is shuffled,
-gathered or written in between, whatever the size of the table.  Whole windows are cut from the
+Every task packs its own documents, some millions of ids at a time.  What fills no window there, a few windows' worth of a task, is
+shuffled into shards of some millions of ids, which are packed the same way, so that little is padded however many tasks there are.  Whole windows are cut from the
 front of a document that is longer than one; what remains (up to a window) is hardly ever cut.  The
 remains of a shard are described by the histogram of their lengths in units of 16 ids, rounded up.  All combinations
 of up to three unit lengths that fill a window exactly are enumerated; non-negative least squares gives how
@@ -23,12 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweir.llm.tokens import shared_encoder
+from graphweir.plans.durable import durable
 
 WINDOW, UNIT, DEPTH, END_ID = 2048, 16, 3, 1
 #: Windows of residual documents that are as full as this do not wait.
 FULL = 0.97
 #: Ids whose documents are packed together, and the bits of a task's own count of sequences in a sequence's id.
 SHARD_IDS, SEQUENCE_BITS = 4_000_000, 33
+#: Added to the task's number in the sequences of shards of what was left over.
+LATER = 1 << 29
 
 
 def combinations(total: int, depth: int) -> np.ndarray:
@@ -176,48 +179,67 @@ def windows_of(lengths: np.ndarray, last: bool, most_waiting: int = SHARD_IDS //
     return out, sorted(poor)
 
 
+COLUMNS = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "doc_row"]
+
+
+class Packer:
+    """Gathers remains of documents (id, row, start, their ids as bytes of ``kind``, ids in all), and puts out the pieces of windows."""
+
+    def __init__(self, first: int, kind: np.dtype, shard_ids: int, window: int, unit: int, depth: int):
+        self.sequence, self.kind, self.shard_ids, self.shape = first, np.dtype(kind), shard_ids, (window, unit, depth)
+        self.rests: list[tuple] = []
+        self.held, self.out = 0, []
+
+    def piece(self, key, row: int, start: int, raw: bytes, tokens: int, offset: int) -> None:
+        ids = np.frombuffer(raw, self.kind).astype("<u4").tobytes()
+        self.out.append((key, start, len(ids) // 4, ids, tokens, self.sequence, offset, row))
+
+    def whole(self, key, row: int, start: int, raw: bytes, tokens: int) -> None:
+        """A piece that fills a window alone."""
+        self.piece(key, row, start, raw, tokens, 0)
+        self.sequence += 1
+
+    def rest(self, key, row: int, start: int, raw: bytes, tokens: int) -> None:
+        self.rests.append((key, row, start, raw, tokens))
+
+    def settle(self, last: bool) -> None:
+        wide = self.kind.itemsize
+        found, left = windows_of(np.array([len(r[3]) // wide for r in self.rests], np.int64), last, self.shard_ids // 2, *self.shape)
+        for members in found:
+            offset = 0
+            for i, begin, length in members:
+                key, row, start, raw, tokens = self.rests[i]
+                self.piece(key, row, start + begin, raw[begin * wide : (begin + length) * wide], tokens, offset)
+                offset += length
+            self.sequence += 1
+        self.rests, self.held = [self.rests[i] for i in left], 0
+
+    def taken(self, dtype, waits: bool | None = None) -> Iterator[pd.DataFrame]:
+        """What has come out since, in frames of bounded length; ``waits`` is a further column, if given."""
+        for lo in range(0, len(self.out), 2000):
+            frame = pd.DataFrame(self.out[lo : lo + 2000], columns=COLUMNS).astype({"id": dtype})
+            yield frame if waits is None else frame.assign(waits=waits)
+        self.out.clear()
+
+
 def pack(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """Pieces of all documents: id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset, doc_row.
 
     Every document ends with ``end_id``; each of its ids lies in exactly one piece.  Offsets
     in a sequence run from 0 without a gap; what is missing to the window is padding, 3 % of it
-    at most but for a task's last sequence.  A document
+    at most but for the last sequence of each shard of left-over documents, of which there is one for ``shard_ids`` of their ids.  A document
     is cut at whole windows from its start, and elsewhere only if no window was full enough with it.  A null or empty text is the end id alone.  Rows that repeat an id, or a
     null id, are documents of their own, told apart by ``doc_row``.  Very long texts give as many windows as they need.
     Sequences are numbered by task and then within it, with gaps between tasks.
     An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    columns = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "doc_row"]
+    schema = f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, doc_row long"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, base = shared_encoder(tokenizer), TaskContext.get().partitionId() << SEQUENCE_BITS
-        end, wide = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
-        sequence, row, dtype = base, base, None
-        rests: list[tuple] = []  # id, row, start, ids from there, ids in all
-        held, out = 0, []
-
-        def piece(key, own: int, start: int, raw: bytes, tokens: int, at: int, offset: int) -> None:
-            out.append((key, start, len(raw) // wide, np.frombuffer(raw, encoder.dtype).astype("<u4").tobytes(), tokens, at, offset, own))
-
-        def settle(last: bool) -> None:
-            nonlocal sequence, rests, held
-            found, left = windows_of(np.array([len(r[3]) // wide for r in rests], np.int64), last, shard_ids // 2, window, unit, depth)
-            for members in found:
-                offset = 0
-                for i, begin, length in members:
-                    key, own, start, raw, tokens = rests[i]
-                    piece(key, own, start + begin, raw[begin * wide : (begin + length) * wide], tokens, sequence, offset)
-                    offset += length
-                sequence += 1
-            rests = [rests[i] for i in left]
-            held = 0
-
-        def taken() -> Iterator[pd.DataFrame]:
-            for lo in range(0, len(out), 2000):
-                yield pd.DataFrame(out[lo : lo + 2000], columns=columns).astype({"id": dtype})
-            out.clear()
-
+        encoder, row = shared_encoder(tokenizer), TaskContext.get().partitionId() << SEQUENCE_BITS
+        end, wide, dtype = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize, None
+        packer = Packer(row, encoder.dtype, shard_ids, window, unit, depth)
         for frame in frames:
             dtype = frame["id"].dtype
             for key, text in zip(frame["id"], frame["text"], strict=True):
@@ -225,21 +247,42 @@ def pack(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = D
                 tokens = len(ids) // wide
                 whole = tokens - tokens % window
                 for start in range(0, whole, window):
-                    piece(key, row, start, ids[start * wide : (start + window) * wide], tokens, sequence, 0)
-                    sequence += 1
+                    packer.whole(key, row, start, ids[start * wide : (start + window) * wide], tokens)
                 if tokens > whole:
-                    rests.append((key, row, whole, ids[whole * wide :], tokens))
+                    packer.rest(key, row, whole, ids[whole * wide :], tokens)
                 row += 1
-                held += tokens
-                if held >= shard_ids:
-                    settle(False)
-                    yield from taken()
+                packer.held += tokens
+                if packer.held >= shard_ids:
+                    packer.settle(False)
+                    yield from packer.taken(dtype, False)
+        if dtype is not None:
+            packer.settle(False)
+            yield from packer.taken(dtype, False)
+            for key, own, start, raw, tokens in packer.rests:
+                packer.piece(key, own, start, raw, tokens, 0)
+            yield from packer.taken(dtype, True)
+
+    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer, dtype = Packer((TaskContext.get().partitionId() + LATER) << SEQUENCE_BITS, np.dtype("<u4"), shard_ids, window, unit, depth), None
+        for frame in frames:
+            dtype = frame["id"].dtype
+            for r in frame.itertuples(index=False):
+                packer.rest(r.id, r.doc_row, r.start, r.ids, r.doc_tokens)
+                packer.held += r.length
+                if packer.held >= 2 * shard_ids:
+                    packer.settle(False)
+                    yield from packer.taken(dtype)
         if dtype is not None:
-            settle(True)
-            yield from taken()
+            packer.settle(True)
+            yield from packer.taken(dtype)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pieces = rows.mapInPandas(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, doc_row long")
+    first = durable(rows.mapInPandas(run, schema + ", waits boolean"), "packed")
+    waiting = first.filter("waits").drop("waits")
+    left = waiting.agg(F.sum("length")).first()[0] or 0
+    pieces = first.filter("not waits").drop("waits")
+    if left:
+        pieces = pieces.unionByName(waiting.repartition(-(-left // shard_ids)).mapInPandas(again, schema))
     return pieces.withColumnRenamed("id", id_col)
 
 

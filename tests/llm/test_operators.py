@@ -97,6 +97,21 @@ def test_packing_round_trip(spark):
     assert {(r.doc_id, r.start, r.ids_crc32) for r in summed} == {(r.doc_id, r.start, zlib.crc32(r.ids)) for r in packing.pack(frame(spark, rows[:5])).collect()}
 
 
+@pytest.mark.parametrize("tasks", [1, 64, 211])
+def test_little_is_padded_however_many_tasks_there_are(spark, tasks):
+    rng = random.Random(17)
+    rows = [(i if i % 9 else None, words(rng, int(rng.lognormvariate(4.8, 1)), 3000), "en", "a", 0) for i in range(400)]
+    out = packing.pack(frame(spark, rows).repartition(tasks)).drop("ids").toPandas()
+    total = out.groupby("sequence_id").length.sum()
+    assert total.max() <= 2048 and total.sum() / (2048 * len(total)) >= 0.97
+    placed = out.sort_values(["sequence_id", "offset"])
+    assert (placed.groupby("sequence_id").length.cumsum() - placed.length == placed.offset).all()
+    each = out.groupby("doc_row")
+    assert len(each) == 400 and (each.length.sum() == each.doc_tokens.first()).all()
+    short = out[out.doc_tokens <= 2048]
+    assert (short.length == short.doc_tokens).mean() > 0.9
+
+
 def test_nnls_solves_small_problems():
     a, x = np.array([[2.0, 1, 0], [0, 1, 1], [1, 0, 3]]), np.array([3.0, 0, 5])
     assert np.allclose(packing.nnls(a, a @ x), x)
