@@ -63,12 +63,19 @@ def linked_candidates(functions: DataFrame, summaries: DataFrame, defined_in: Da
 
 
 def flows(sources: DataFrame, sinks: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """Data flows that the analyzer confirms between typed sources and sinks of one file."""
-    one = sources.filter("file_path <> 'unknown'").select("file_path", F.struct("name", "kind", "description").alias("source"))
-    other = sinks.filter("file_path <> 'unknown'").select("file_path", F.struct("name", "kind", "description").alias("sink"))
+    """Data flows that the analyzer confirms between the kinds of sources and of sinks that a file has.
+
+    Each file's functions are reduced to one per kind, the first by name, and their number, before sources meet sinks: a file has as many
+    rows as it has pairs of kinds, however many functions. ``pairs`` says for how many pairs of functions the row stands.
+    """
+
+    def kinds(rows: DataFrame, side: str) -> DataFrame:
+        known = rows.filter("file_path <> 'unknown'").groupBy("file_path", "kind").agg(F.min(F.struct("name", "kind", "description")).alias(side), F.count("*").alias(f"n_{side}"))
+        return known.drop("kind")
+
     ok, kind, impact = analyzer.data_flow(F.col("source"), F.col("sink"))
-    pairs = one.join(other, "file_path").filter(ok)
-    return pairs.select("file_path", F.col("source.name").alias("source"), F.col("sink.name").alias("sink"), kind.alias("vulnerability_type"), impact.alias("impact"))
+    met = kinds(sources, "source").join(kinds(sinks, "sink"), "file_path").filter(ok)
+    return met.select("file_path", F.col("source.name").alias("source"), F.col("sink.name").alias("sink"), kind.alias("vulnerability_type"), impact.alias("impact"), (F.col("n_source") * F.col("n_sink")).alias("pairs"))
 
 
 class DocumentationAnalyzer:
@@ -128,10 +135,33 @@ def cascade(candidates: DataFrame, analyzers: list[Analyzer], what: str) -> Data
     return candidates.withColumn("v", verdict).filter("v is not null").select("*", "v.*").drop("v")
 
 
-def markdown_table(rows: DataFrame, title: str, order: str, none: str) -> DataFrame:
-    """One row: a Markdown section with a table of name, kind, confidence and description."""
-    line = F.format_string("| %s | %s | %.2f | %s |", "name", "kind", "confidence", "description")
-    packed = rows.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
-    head = "| Name | Type | Confidence | Description |\n|------|------|------------|-------------|\n"
-    body = F.when(F.col("n") > 0, F.concat(F.lit(head), "body", F.lit("\n"))).otherwise(none + "\n")
-    return packed.select(F.concat(F.format_string(f"## {title} (%d)\n\n", "n"), body, F.lit("\n")).alias("section"))
+# The head of a table of the Markdown report, and the form of its rows.
+TABLE_HEAD = ("| Name | Type | Confidence | Description |", "|------|------|------------|-------------|")
+TABLE_ROW = "| %s | %s | %.2f | %s |"
+
+
+def markdown_lines(rows: DataFrame, title: str, order: str, none: str) -> DataFrame:
+    """part, at, line: a Markdown section with a table of name, kind, confidence and description, a row for each line.
+
+    Lines are in order by part (0 the head, 1 the table's rows, 2 the end) and then by ``at``, which is the row's ``order``.  No task holds more of a
+    section than its share of rows; ``write_report`` keeps the order over files.
+    """
+    kind = rows.schema[order].dataType
+    head = rows.agg(F.count("*").alias("n")).select(F.explode(F.array(F.format_string(f"## {title} (%d)", "n"), F.lit(""), *[F.when(F.col("n") > 0, x) for x in TABLE_HEAD], F.when(F.col("n") == 0, none))).alias("line"), F.monotonically_increasing_id().alias("k"))
+    top = head.filter("line is not null").select(F.lit(0).alias("part"), F.lit(None).cast(kind).alias("at"), "line", "k")
+    body = rows.select(F.lit(1).alias("part"), F.col(order).alias("at"), F.format_string(TABLE_ROW, "name", "kind", "confidence", "description").alias("line"), F.lit(0).cast("bigint").alias("k"))
+    end = rows.sparkSession.range(1).select(F.lit(2).alias("part"), F.lit(None).cast(kind).alias("at"), F.lit("").alias("line"), F.col("id").alias("k"))
+    return top.unionByName(body).unionByName(end)
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The lines as text files, whose names sort as the section reads."""
+    order = ["part", "at", "k", "line"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("line").alias("value")).write.text(path)
+
+
+def export_nodes(nodes: DataFrame, by: str, path: str) -> None:
+    """A graph's nodes as JSON lines, in a folder for each value of ``by``; a value that most nodes have is split over files."""
+    rest = [c for c in nodes.columns if c != by]
+    nodes.select(by, F.to_json(F.struct(*rest)).alias("value")).hint("rebalance", by).write.partitionBy(by).text(path)
+

@@ -125,3 +125,9 @@ def duplicate_keys(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that break a uniqueness constraint, with how often they occur; nulls do not count."""
     present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
     return rows.filter(present).groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def missing_properties(rows: DataFrame, key: str, *required: str) -> DataFrame:
+    """``key`` and property for each required property that a row lacks: an existence constraint as a query for its violations."""
+    lacking = F.filter(F.array(*[F.when(F.col(c).isNull(), c) for c in required]), lambda c: c.isNotNull())
+    return rows.select(key, F.explode(lacking).alias("property"))

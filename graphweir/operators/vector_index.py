@@ -60,7 +60,7 @@ def build(rows: DataFrame, vector: str, path: str, id_col: str = "vec_id", lists
     share = min(1.0, fit_rows / max(n, 1))
     sample = usable.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(math.ceil(share * (1 << 20)))).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     if sample.isEmpty():
-        rows.withColumn(LIST, F.lit(-1)).write.mode("overwrite").partitionBy(LIST).parquet(f"{path}/vectors")
+        rows.write.mode("overwrite").parquet(f"{path}/vectors/{LIST}=-1")  # written below its folder, an empty table still tells its columns
         return
     wanted = min(MOST_LISTS, lists or max(1, round(math.sqrt(n))))
     model = KMeans(k=max(2, wanted), distanceMeasure="cosine", maxIter=10, seed=seed, initSteps=2).fit(sample)

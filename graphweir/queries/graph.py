@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from graphweir.operators import expand, mutations, patterns
-from graphweir.operators.model import edges, edges_sql, key_edges, node_by_id, node_id, nodes, nodes_sql, surrogate_ids
+from graphweir.operators.model import edges, edges_sql, key_edges, node_by_id, node_id, nodes, nodes_sql, surrogate_ids, typed_edges
 from graphweir.plans.durable import shared_dir
 from graphweir.plans.keyed import KeyedTable
 from graphweir.plans.session import table

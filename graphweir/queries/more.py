@@ -194,22 +194,23 @@ def e7_filtered(spark, d):
 
 
 @query("x2_flow", f"""WITH t AS (SELECT doc_id, 'file' || doc_id % 45 AS file_path, {case_sql(rules.SOURCE_TYPES, default="'unknown_source'")} AS a, {case_sql(rules.SINK_TYPES, default="'unknown_sink'")} AS b FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'reads user input' WHEN 1 THEN 'executes a command' WHEN 2 THEN 'update the database' ELSE 'import environment' END AS text FROM documents))
-SELECT s.doc_id AS source, k.doc_id AS sink, CASE WHEN k.b = 'command_execution' THEN 'command injection' ELSE 'sql injection' END AS vulnerability_type, CASE WHEN k.b = 'command_execution' THEN 'high' ELSE 'medium' END AS impact
-FROM t s JOIN t k USING (file_path) WHERE s.a = 'user_input' AND s.doc_id % 4 IN (0, 3) AND k.doc_id % 4 IN (1, 2) AND k.b IN ('command_execution', 'database_write')""")
+SELECT file_path, min(s.doc_id) AS source, min(k.doc_id) AS sink, CASE WHEN k.b = 'command_execution' THEN 'command injection' ELSE 'sql injection' END AS vulnerability_type, CASE WHEN k.b = 'command_execution' THEN 'high' ELSE 'medium' END AS impact, count(*) AS pairs
+FROM t s JOIN t k USING (file_path) WHERE s.a = 'user_input' AND s.doc_id % 4 IN (0, 3) AND k.doc_id % 4 IN (1, 2) AND k.b IN ('command_execution', 'database_write') GROUP BY file_path, s.a, k.b""")
 def x2_flow(spark, d):
-    """An analyzer's data flows between typed sources and sinks of the same file."""
+    """An analyzer's data flows between the kinds of sources and sinks of a file, each with its first pair and their number."""
     said = F.element_at(F.array(*map(F.lit, ("reads user input", "executes a command", "update the database", "import environment"))), (F.col("doc_id") % 4 + 1).cast("int"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.concat(F.lit("file"), (F.col("doc_id") % 45).cast("string")).alias("file_path"), said.alias("description"))
     analyzer = funnels.DocumentationAnalyzer()
-    return funnels.flows(funnels.typed(docs, analyzer, "source"), funnels.typed(docs, analyzer, "sink"), analyzer).drop("file_path")
+    return funnels.flows(funnels.typed(docs, analyzer, "source"), funnels.typed(docs, analyzer, "sink"), analyzer)
 
 
-@query("x6", "SELECT 'regions' AS query, 2 AS n, 1 AS slow UNION ALL SELECT 'nations', 1, 0")
+@query("x6", "SELECT 'orders' AS query, 2 AS n, count(*) AS rows, true AS timed FROM orders UNION ALL SELECT 'lineitem', 1, count(*), true FROM lineitem")
 def x6(spark, d):
-    """Query timing: samples of named queries, and the slow ones among them, by a clock of our own."""
-    ticks = iter([0.0, 0.05, 1.0, 1.5, 2.0, 2.01])
-    log = QueryLog(clock=lambda: next(ticks))
-    for name in ("regions", "regions", "nations"):
+    """Query timing: how often each named query ran, what it counted, and whether its time was taken."""
+    log = QueryLog()
+    counted = {}
+    for name in ("orders", "orders", "lineitem"):
         with log.timed(name):
-            table(spark, d, "region" if name == "regions" else "nation").count()
-    return log.frame(spark).groupBy("query").agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("seconds") > log.slow_after).cast("int").alias("slow"))
+            counted[name] = table(spark, d, name).count()
+    rows = spark.createDataFrame(list(counted.items()), "query string, rows long")
+    return log.frame(spark).groupBy("query").agg(F.count("*").cast("int").alias("n"), (F.min("seconds") > 0).alias("timed")).join(rows, "query").select("query", "n", "rows", "timed")

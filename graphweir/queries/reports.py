@@ -507,17 +507,29 @@ def w13(spark, d):
 
 @query("w15", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
 def w15(spark, d):
-    """A graph payload per region as JSON, and its node count read back."""
-    n = table(spark, d, "nation")
-    payload = n.groupBy("n_regionkey").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label"))).alias("nodes"))).alias("json"))
-    return payload.select("n_regionkey", F.size(F.from_json("json", "nodes array<struct<id:string,label:string>>")["nodes"]).cast("bigint").alias("n"))
+    """A graph exported as JSON lines, a folder for each region, and its nodes counted as they are read back."""
+    path = f"{shared_dir(spark)}/graphweir/export-{uuid.uuid4().hex}"
+    n = table(spark, d, "nation").select("n_regionkey", F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label"))
+    funnels.export_nodes(n, "n_regionkey", path)
+    back = spark.read.schema("value string, n_regionkey bigint").text(path).filter(F.from_json("value", "id string, label string")["id"].isNotNull())
+    return back.groupBy("n_regionkey").agg(_n())
 
 
-@query("w17", "SELECT '## Sources (' || count(*) || ')' || chr(10) || chr(10) || '| Name | Type | Confidence | Description |' || chr(10) || '|------|------|------------|-------------|' || chr(10) || string_agg('| ' || s_name || ' | user_input | ' || '0.80' || ' | ' || s_suppkey || ' |', chr(10) ORDER BY s_suppkey) || chr(10) || chr(10) AS section FROM supplier")
+@query("w17", """SELECT 0 AS part, NULL AS at, unnest(['## Sources (' || count(*) || ')', '', '| Name | Type | Confidence | Description |', '|------|------|------------|-------------|']) AS line FROM supplier
+UNION ALL SELECT 1, s_suppkey, '| ' || s_name || ' | user_input | 0.80 | ' || s_suppkey || ' |' FROM supplier UNION ALL SELECT 2, NULL, ''""")
 def w17(spark, d):
-    """A section of the Markdown report."""
+    """A section of the Markdown report, line by line."""
     s = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("user_input").alias("kind"), F.lit(0.8).alias("confidence"), F.col("s_suppkey").cast("string").alias("description"), "s_suppkey")
-    return funnels.markdown_table(s, "Sources", "s_suppkey", "No sources identified.")
+    return funnels.markdown_lines(s, "Sources", "s_suppkey", "No sources identified.").drop("k")
+
+
+@query("w20_exists", "SELECT doc_id, 'number' AS property FROM documents WHERE regexp_extract(text, '[0-9]+') = '' OR text IS NULL UNION ALL SELECT doc_id, 'lang' FROM documents WHERE lang IS NULL")
+def w20_exists(spark, d):
+    """Existence constraints as a query for the nodes that lack a property."""
+    from graphweir.operators.model import missing_properties
+
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.nullif(F.regexp_extract("text", "[0-9]+", 0), F.lit("")).alias("number"))
+    return missing_properties(docs, "doc_id", "number", "lang")
 
 
 @query("w20", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

@@ -119,3 +119,15 @@ def test_a_replayed_batch_replaces_itself(spark, tmp_path):
     assert of("telemetry") == [0, 0, 3]
     assert "channel" in plan_of(ev.received(spark, out, "system", "event_id long")).split("PartitionFilters")[1].split("\n")[0]
     assert ev.received(spark, f"file://{tmp_path}/none", "system", "event_id long").count() == 0
+
+
+def test_a_report_keeps_its_order_over_files(spark, tmp_path):
+    from graphweir.operators import funnels
+
+    rows = spark.range(5000).select(F.concat(F.lit("f"), "id").alias("name"), F.lit("user_input").alias("kind"), F.lit(0.5).alias("confidence"), F.lit("d").alias("description"), "id")
+    funnels.write_report(funnels.markdown_lines(rows.repartition(7), "Sources", "id", "None."), f"file://{tmp_path}/r")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+    head = "## Sources (5000)\n\n| Name | Type | Confidence | Description |\n|------|------|------------|-------------|\n"
+    assert text == head + "".join(f"| f{i} | user_input | 0.50 | d |\n" for i in range(5000)) + "\n"
+    none = [r.line for r in funnels.markdown_lines(rows.limit(0), "Sources", "id", "None.").orderBy("part", "at", "k").collect()]
+    assert none == ["## Sources (0)", "", "None.", ""]
