@@ -144,13 +144,19 @@ def is_code(path: Column) -> Column:
     return F.coalesce(extension(path).isin(*CODE), F.lit(False))
 
 
+# Names that a language goes by, as patterns; the first that matches counts.
+LANGUAGE_VARIANTS = (
+    ("JavaScript", "^(JavaScript|TypeScript|JS|TS)$"),
+    ("C#", "^(C#|CSharp|C Sharp)$"),
+    ("Python", "Python"),
+    ("Java", "(?s)^(?!.*Script).*Java"),
+    ("PHP", "PHP"),
+)
+
+
 def normalized_language(name: Column) -> Column:
-    """Variants of a language's name under one name."""
-    out = F.when(F.contains(name, F.lit("PHP")), "PHP").otherwise(name)
-    out = F.when(F.contains(name, F.lit("Java")) & ~F.contains(name, F.lit("Script")), "Java").otherwise(out)
-    out = F.when(F.contains(name, F.lit("Python")), "Python").otherwise(out)
-    out = F.when(name.isin("C#", "CSharp", "C Sharp"), "C#").otherwise(out)
-    return F.when(name.isin("JavaScript", "TypeScript", "JS", "TS"), "JavaScript").otherwise(out)
+    """Variants of a language's name under one name; others as they are."""
+    return F.coalesce(*[F.when(name.rlike(pattern), language) for language, pattern in LANGUAGE_VARIANTS], name)
 
 
 def wanted_path(path: Column, ignored_dirs: tuple[str, ...] = IGNORED_DIRS, ignored_extensions: tuple[str, ...] = IGNORED_EXTENSIONS) -> Column:
@@ -190,25 +196,29 @@ def mapped(value: Column, table: dict[str, str], default: str) -> Column:
     return F.coalesce(F.try_element_at(lookup, F.lower(value)), F.lit(default))
 
 
+# How texts name a weakness, a version behind a name, a place in a list, and a vulnerability.
+CWE, VERSION, ORDINAL, CVE = r"cwe-?(\d+)", r"\s+(\d+\.\d+)", r"(#\s*\d+|\d+(?:st|nd|rd|th)|\bnumber \d+\b)", r"^CVE-\d{4}-\d{4,}$"
+
+
 def cwe_ids(text: Column) -> Column:
     """The CWE ids that a text names, in order, however they are spelled."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"cwe-?(\d+)"), F.lit(1)), lambda n: F.concat(F.lit("CWE-"), n))
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(CWE), F.lit(1)), lambda n: F.concat(F.lit("CWE-"), n))
 
 
 def named_version(text: Column, name: str) -> Column:
     """The first version (major.minor) behind a name, null for none."""
-    found = F.regexp_extract(F.lower(text), rf"\Q{name.lower()}\E\s+(\d+\.\d+)", 1)
+    found = F.regexp_extract(F.lower(text), rf"\Q{name.lower()}\E{VERSION}", 1)
     return F.nullif(found, F.lit(""))
 
 
 def ordinal(text: Column) -> Column:
     """The first place that a text names (#3, 3rd, number 3), null for none."""
-    found = F.regexp_extract(F.lower(text), r"(#\s*\d+|\d+(?:st|nd|rd|th)|\bnumber \d+\b)", 1)
+    found = F.regexp_extract(F.lower(text), ORDINAL, 1)
     return F.nullif(F.regexp_replace(found, r"\D", ""), F.lit("")).cast("int")
 
 
 def valid_cve(value: Column) -> Column:
-    return F.coalesce(value.rlike(r"^CVE-\d{4}-\d{4,}$"), F.lit(False))
+    return F.coalesce(value.rlike(CVE), F.lit(False))
 
 
 def valid_investigation(value: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What declares a function or a class, by language, and the group that holds its name.
 _METHOD = r"(?:public|private|protected|static|[ ]) +[\w<>\[\]]+\s+(\w+) *\([^)]*\)"
 _CLASS = r"class\s+(\w+)"
 #: (language, kind, pattern, groups of the pattern that may hold the name)
