@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 MOST = 2_000
 
 
-def whole_buckets(frames: Iterator[pd.DataFrame], keys: list[str], batch: int) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
-    """Frames of whole buckets and the spans of those with two members or more, from frames sorted by ``keys``."""
+def whole_buckets(frames: Iterator[pd.DataFrame], keys: list[str], batch: int, least: int = 2) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Frames of whole buckets and the spans of those with ``least`` members or more, from frames sorted by ``keys``."""
 
     def spans(frame: pd.DataFrame) -> np.ndarray:
         change = np.zeros(len(frame) - 1, bool)
@@ -29,7 +29,7 @@ def whole_buckets(frames: Iterator[pd.DataFrame], keys: list[str], batch: int) -
         return np.r_[0, np.flatnonzero(change) + 1, len(frame)]
 
     def cut(frame: pd.DataFrame, borders: np.ndarray) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
-        return frame, [(s, e) for s, e in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True) if e - s > 1]
+        return frame, [(s, e) for s, e in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True) if e - s >= least]
 
     waiting, held = [], 0
     for frame in frames:

@@ -7,20 +7,26 @@ three units at a time after Chauvet and Tillé, 2006) moves those probabilities
 null space of two constraints, the words and the documents taken, until they are 0 or 1.
 It runs in blocks of bounded size; the at most two units a block leaves open go into the
 next round of blocks, until one block per source is left, which also lands: a few last units are chosen outright.
+
+Blocks of many small sources are decided by one task, one after another from sorted rows.  Targets are
+found on the table of sources: the driver sees sums, never a row per source.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
+from collections.abc import Iterator
+from decimal import Decimal
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from graphweir.llm.buckets import whole_buckets
+from graphweir.llm.sharding import placed
 from graphweir.plans.durable import ROW, durable, row_numbers
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
@@ -29,7 +35,10 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction = SHARE, most: int = MOST) -> list[Fraction]:
-    """``share`` of all words dealt by weight; none above ``most`` times its source's size."""
+    """``share`` of all words dealt by weight; none above ``most`` times its source's size.
+
+    The law on a list, exactly; ``water_level`` is the same over a table.
+    """
     left, open_, out = share * sum(sizes), set(range(len(sizes))), [Fraction(0)] * len(sizes)
     while open_:
         total = sum(weights[i] for i in open_)
@@ -43,6 +52,42 @@ def targets(sizes: list[int], weights: list[int], share: Fraction = SHARE, most:
     return out
 
 
+def at_cap(level: Fraction, most: int = MOST) -> Column:
+    """Whether a source's share at ``level`` words per unit of weight reaches ``most`` times its size; exact."""
+    return F.col("size").cast("decimal(20,0)") * F.lit(Decimal(most * level.denominator)) <= F.col("weight").cast("decimal(9,0)") * F.lit(Decimal(level.numerator))
+
+
+def water_level(sources: DataFrame, share: Fraction = SHARE, most: int = MOST) -> Fraction:
+    """Words per unit of weight for the sources (size, weight) below their cap, so that all take ``share`` of the words.
+
+    Each round caps the sources that the level reaches and deals the rest anew, which only raises it, until
+    no more are reached: a few rounds, each one aggregation.
+    """
+    all_ = sources.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    if not all_["weight"]:
+        return Fraction(0)
+    level = share * all_["size"] / all_["weight"]
+    while True:
+        full = sources.filter(at_cap(level, most)).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+        open_ = all_["weight"] - full["weight"]
+        raised = (share * all_["size"] - most * full["size"]) / open_ if open_ else level
+        if raised == level:
+            return level
+        level = raised
+
+
+def rates(rows: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """One row per source of ``rows``, as a durable table: src_, source_size, target, whole copies of each document, and p, the fraction of one more."""
+    per = placed(rows.groupBy("src").agg(F.sum("size").alias("size")), [F.col("src").asc_nulls_last()], "mix-sources")
+    turn = F.element_at(F.array(*map(F.lit, weights)), (F.col("pos") % len(weights) + 1).cast("int"))
+    per = per.select("src", "size", turn.cast("bigint").alias("weight"))
+    level = water_level(per)
+    target = F.when(at_cap(level), F.col("size") * F.lit(float(MOST))).otherwise(F.col("weight") * F.lit(float(level.numerator)) / F.lit(float(level.denominator)))
+    rate = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(F.lit(0.0))
+    rated = per.withColumn("target", target).withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("int"))
+    return durable(rated.select(F.col("src").alias("src_"), F.col("size").alias("source_size"), "target", "whole", (F.col("rate") - F.col("whole")).alias("p")), "mix-rates")
+
+
 def flight(p: np.ndarray, size: np.ndarray, rng: random.Random) -> np.ndarray:
     """Moves ``p`` to 0 or 1 but for at most two entries; keeps sum(p) and sum(p * size)."""
     p, s, n = p.tolist(), size.tolist(), len(p)
@@ -92,18 +137,29 @@ def decide(p: np.ndarray, size: np.ndarray, rng: random.Random) -> np.ndarray:
     return land(out, size)
 
 
-def fly(open_rows: DataFrame, level: int, last: bool, seed: str) -> DataFrame:
-    """One round of flights, a block at a time; in the last round also the landing."""
+def fly(open_rows: DataFrame, level: int, last: bool, seed: str, batch: int = 20_000) -> DataFrame:
+    """One round of flights, a block at a time; in the last round also the landing.
+
+    A task decides the blocks it has from sorted rows, ``batch`` rows or one block at once.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, spans in whole_buckets(frames, ["src", "block"], batch, least=1):
+            src, block = frame["src"].to_numpy(), frame["block"].to_numpy()
+            p, size = frame["p"].to_numpy().copy(), frame["size"].to_numpy(np.int64)
+            for s, e in spans:
+                rng = random.Random(zlib.crc32(f"{seed}:{level}:{src[s]}:{block[s]}".encode()))
+                p[s:e] = (decide if last else flight)(p[s:e], size[s:e], rng)
+            yield frame.assign(p=p)
+
+    # large documents are decided first, so that small ones are left to land
+    ordered = open_rows.repartition("src", "block").sortWithinPartitions("src", "block", F.desc("size"), "key", ROW)
+    return ordered.mapInPandas(run, open_rows.schema)
 
-    def block(frame: pd.DataFrame) -> pd.DataFrame:
-        # large documents are decided first, so that small ones are left to land
-        frame = frame.sort_values(["size", "key", ROW], ascending=[False, True, True])
-        first = frame.iloc[0]
-        rng = random.Random(zlib.crc32(f"{seed}:{level}:{first['src']}:{first['block']}".encode()))
-        size = frame["size"].to_numpy(np.int64)
-        return frame.assign(p=(decide if last else flight)(frame["p"].to_numpy(), size, rng))
 
-    return open_rows.groupBy("src", "block").applyInPandas(block, open_rows.schema)
+def largest(rows: DataFrame) -> int:
+    """Rows of the source that has most."""
+    return rows.groupBy("src").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -127,11 +183,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED,
     makes.  Sources in code-point order, a null source last, weigh as ``weights`` repeats.
     A null or empty text has size 0 and is mixed by the documents' rate of its source.
     Rows that repeat an id count apart (in input order).  Sources without words have target
-    0.  Very long texts are counted whole; no document exceeds twice its size.  The totals
-    per source are the only thing the driver sees.  An empty table gives an empty result;
+    0.  Very long texts are counted whole; no document exceeds twice its size.  There may be
+    any number of sources.  An empty table gives an empty result;
     other columns are ignored, whatever their names.  Reruns agree.
     """
-    spark = docs.sparkSession
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     rows = durable(
         docs.select(
@@ -144,16 +199,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED,
         "mix-sizes",
     )
     rows = spread(rows, max(1, block // 8))
-    per = rows.groupBy("src").agg(F.sum("size").alias("size")).orderBy(F.col("src").asc_nulls_last()).collect()
-    goal = targets([r["size"] for r in per], [weights[i % len(weights)] for i in range(len(per))])
-    rates = []
-    for r, t in zip(per, goal, strict=True):
-        rate = t / r["size"] if r["size"] else Fraction(0)
-        rates.append((r["src"], r["size"], float(t), int(rate), float(rate - int(rate))))
-    schema = T.StructType([T.StructField("src_", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole", T.IntegerType()), T.StructField("p", T.DoubleType())])
-    rate = spark.createDataFrame(rates, schema)
+    rate = rates(rows, weights)
     open_ = rows.join(rate, F.col("src").eqNullSafe(F.col("src_"))).select("id", ROW, "src", "size", "key", "p").withColumn("block", F.lit(0).cast("bigint"))
-    most = max([r["n"] for r in open_.groupBy("src").agg(F.count("*").alias("n")).collect()], default=0)
+    most = largest(open_)
     done, level = [], 0
     while True:
         last = most <= block
@@ -164,7 +212,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED,
         undecided = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         done.append(flown.filter(~undecided))
         open_, level = flown.filter(undecided), level + 1
-        most = max([r["n"] for r in open_.groupBy("src").agg(F.count("*").alias("n")).collect()], default=0)
+        most = largest(open_)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -485,6 +485,52 @@ def test_mix_meets_targets(spark, block):
     assert dict(zip(out.doc_id, out.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_over_a_table(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i:03d}": int(10 ** rng.uniform(0, 6)) if rng.random() < 0.9 else 0 for i in range(60)} | {None: 77}
+    rows = [(s, k) for s, n in sizes.items() for k in ((n // 2, n - n // 2) if n else (0,))]
+    got = {r["src_"]: r for r in mixing.rates(spark.createDataFrame(rows, "src string, size long").repartition(4), (5, 2, 1)).collect()}
+    names = sorted(s for s in sizes if s is not None) + [None]
+    goal = mixing.targets([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
+    for s, t in zip(names, goal, strict=True):
+        assert got[s]["source_size"] == sizes[s] and abs(got[s]["target"] - float(t)) <= 1e-9 * max(1.0, float(t)), s
+        assert abs((got[s]["whole"] + got[s]["p"]) * sizes[s] - float(t)) <= 1e-6 * max(1.0, float(t)), s
+
+
+def test_small_sources_land_best(spark):
+    """A source of few documents is decided outright: no choice of copies meets its totals more closely."""
+    rng = random.Random(17)
+    rows = [(i, words(rng, rng.randrange(1, 60)), "en", f"s{i % 9}", 0) for i in range(54)]
+    out = mixing.mixed(frame(spark, rows)).toPandas()
+    for name, g in out.groupby(out.doc_id.map({r[0]: r[3] for r in rows})):
+        size, rate = g["size"].to_numpy(), g.target.iloc[0] / g.source_size.iloc[0]
+
+        def cost(copies, size=size, rate=rate):
+            return abs(copies @ size - rate * size.sum()) / max(1.0, size.mean()) + 0.1 * abs(copies.sum() - rate * len(size))
+
+        choices = [int(rate) + np.array([(c >> i) & 1 for i in range(len(size))]) for c in range(1 << len(size))]
+        assert cost(g.copies.to_numpy()) <= min(map(cost, choices)) + 1e-6 or rate == 2 and (g.copies == 2).all(), name
+
+
+def test_mix_of_many_sources(spark):
+    """Sources of one document each beside one that holds a third of the rows; none has a task or a group of its own."""
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), "id")).alias("source"))
+    out = mixing.mixed(docs).toPandas()
+    assert len(out) == n and (out.taken <= 2 * out["size"]).all()
+    hot = out[out.doc_id % 3 == 0]
+    assert abs(hot.taken.sum() - hot.target.iloc[0]) <= 0.001 * hot.target.iloc[0] + 7
+    # the level is the same for all sources below their cap
+    names = ["hot", *(f"s{i}" for i in range(n) if i % 3)]
+    size = {"hot": int(hot["size"].sum())} | {f"s{i}": i % 7 + 1 for i in range(n) if i % 3}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(names))}
+    source = ["hot" if i % 3 == 0 else f"s{i}" for i in out.doc_id]
+    level = max(t / weight[s] for s, t in zip(source, out.target, strict=True))
+    wanted = [min(2 * size[s], level * weight[s]) for s in source]
+    assert np.allclose(out.target, wanted)
+
+
 def test_flight_keeps_the_totals():
     rng = random.Random(12)
     p, size = np.full(101, 0.37), np.array([rng.randrange(1, 900) for _ in range(101)])
