@@ -7,7 +7,7 @@ product of a code and another vector, divided by the factor, estimates their cos
 bias; about a pair at the threshold it errs by sqrt(1 - f^2) / f * sin / sqrt(d - 1) (Gao and
 Long, "RaBitQ", SIGMOD 2024) and by the rounding.
 
-Bits of further rotations index the codes: vectors that agree in all bits of one of several
+Bits of further rotations index the codes: vectors of one length that agree in all bits of one of several
 tables meet in a bucket, where the corrected estimates and their bounds decide which pairs may
 reach the threshold.  The components of these pairs are the candidate clusters; only their vectors move, and there
 pairs whose bound reaches the threshold are recomputed exactly in double
@@ -16,6 +16,7 @@ precision.  Links are counted and spanned inside the blocks; no pairs are emitte
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -123,21 +124,23 @@ class Estimates:
         return estimate + bound >= self.threshold
 
 
-def codes(nodes: DataFrame, kind: np.dtype, dim: int, tables: int, bits: int) -> DataFrame:
-    """One row per distinct vector: node, its key in each table, and its stored form (CODE)."""
-    more = math.ceil(tables * bits / dim)
+def codes(nodes: DataFrame, kind: np.dtype, tables: int, bits: int) -> DataFrame:
+    """One row per distinct vector, of any length: node, bytes, its key in each table, and its stored form (CODE)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn, index = rotations(dim, 1), rotations(dim, more, SEED + 2)[:, : tables * bits]
+        turned = functools.lru_cache(8)(lambda dim: (rotations(dim, 1), rotations(dim, math.ceil(tables * bits / dim), SEED + 2)[:, : tables * bits]))
         weights = np.int64(1) << np.arange(bits, dtype=np.int64)
         for frame in frames:
-            for lo in range(0, len(frame), 2000):
-                part = frame.iloc[lo : lo + 2000]
-                x = unit(np.stack([np.frombuffer(r, kind) for r in part["raw"]]))
-                keys = ((x @ index) > 0).reshape(len(part), tables, bits) @ weights
-                yield encoded(x, turn).assign(node=part["node"].to_numpy(), keys=list(keys))[["node", "keys", "code", "factor", "step", "query"]]
+            for size, rows in frame.groupby("bytes"):
+                turn, index = turned(size // kind.itemsize)
+                for lo in range(0, len(rows), 2000):
+                    part = rows.iloc[lo : lo + 2000]
+                    x = unit(np.stack([np.frombuffer(r, kind) for r in part["raw"]]))
+                    keys = ((x @ index) > 0).reshape(len(part), tables, bits) @ weights
+                    out = encoded(x, turn).assign(node=part["node"].to_numpy(), bytes=np.int32(size), keys=list(keys))
+                    yield out[["node", "bytes", "keys", "code", "factor", "step", "query"]]
 
-    return nodes.select("node", "raw").mapInPandas(run, f"node long, keys array<long>, {CODE}")
+    return nodes.select("node", "bytes", "raw").mapInPandas(run, f"node long, bytes int, keys array<long>, {CODE}")
 
 
 def exact_links(left: np.ndarray, right: np.ndarray, possible: Callable[[int, int], np.ndarray], threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -190,21 +193,10 @@ def embedding_classes(df: DataFrame, threshold: float = THRESHOLD, recall: float
     rows = durable(cleaned, "vectors")
     found = rows.filter("raw is not null")
     same = durable(found.groupBy("digest").agg(F.min(ROW).alias("node"), F.count("*").alias("copies"), F.first("raw").alias("raw")), "same-vectors")
-    parts = []
-    sizes = same.groupBy(F.octet_length("raw").alias("bytes")).agg(F.count("*").alias("n")).orderBy("bytes").collect()  # one row per vector length
-    for size in sizes:
-        nodes = same.filter(F.octet_length("raw") == size["bytes"])
-        parts.append(_links(nodes, kind, size["bytes"] // kind.itemsize, size["n"], threshold, recall))
-    by_vector = same.select("digest", "node", "copies")
-    if parts:
-        verified = parts[0]
-        for more in parts[1:]:
-            verified = verified.unionByName(more)
-        links = verified.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-        classes = connected_components(verified.filter("a <> b").select("a", "b"))
-        by_vector = by_vector.join(links, "node", "left").join(classes, "node", "left")
-    else:
-        by_vector = by_vector.withColumn("links", F.lit(0).cast("bigint")).withColumn("component", F.lit(None).cast("bigint"))
+    verified = _links(same.withColumn("bytes", F.octet_length("raw")), kind, threshold, recall)
+    links = verified.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    classes = connected_components(verified.filter("a <> b").select("a", "b"))
+    by_vector = same.select("digest", "node", "copies").join(links, "node", "left").join(classes, "node", "left")
     by_vector = by_vector.select("digest", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
     out = rows.select(ROW, "id", "digest").join(by_vector, "digest", "left")
     out = durable(out.select(ROW, "id", F.coalesce("component", ROW).alias("component"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "vector-classes")
@@ -213,20 +205,30 @@ def embedding_classes(df: DataFrame, threshold: float = THRESHOLD, recall: float
     return out.join(named, "component").select(F.col("id").alias(id_col), "n_links", F.col("first.id").alias("component_id"), (F.col(ROW) == F.col("first.row")).alias("kept"), ROW)
 
 
-def _links(nodes: DataFrame, kind: np.dtype, dim: int, n: int, threshold: float, recall: float) -> DataFrame:
-    """Link counts (a = b) and spanning links of the distinct vectors of one length."""
-    tables, bits = tables_for(n, threshold, recall)
-    stored = durable(codes(nodes, kind, dim, tables, bits), "codes")
-    keyed = stored.select("node", F.posexplode("keys").alias("t", "key"))
-    full = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
-    entries = stored.select("node", "code", "factor", "step", "query", F.posexplode("keys").alias("t", "key")).join(full, ["t", "key"])
+def _links(nodes: DataFrame, kind: np.dtype, threshold: float, recall: float) -> DataFrame:
+    """Link counts (a = b) and spanning links of the distinct vectors, of all lengths at once: the length is part of a bucket's key."""
+    known = nodes.agg(F.count("*").alias("n"), F.coalesce(F.max("bytes"), F.lit(1)).alias("bytes")).first()
+    tables, bits = tables_for(known["n"], threshold, recall)
+    stored = durable(codes(nodes, kind, tables, bits), "codes")
+    bucket = ["bytes", "t", "key"]
+    keyed = stored.select("node", "bytes", F.posexplode("keys").alias("t", "key"))
+    full = keyed.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
+    entries = stored.select("node", "bytes", "code", "factor", "step", "query", F.posexplode("keys").alias("t", "key")).join(full, bucket)
 
     def near(frame: pd.DataFrame) -> Callable[[int, int], np.ndarray]:
-        known = Estimates(frame, dim, threshold)
-        return lambda s, e: known.possible(slice(s, e), slice(s, e))
+        size, made = frame["bytes"].to_numpy(), {}  # sorted by length
 
-    candidates = candidate_links(entries, ["t", "key"], near, max(2_000, 4_000_000 // dim))
+        def test(s: int, e: int) -> np.ndarray:
+            if size[s] not in made:
+                lo, hi = np.searchsorted(size, size[s], "left"), np.searchsorted(size, size[s], "right")
+                made[size[s]] = lo, Estimates(frame.iloc[lo:hi], size[s] // kind.itemsize, threshold)
+            lo, estimates = made[size[s]]
+            return estimates.possible(slice(s - lo, e - lo), slice(s - lo, e - lo))
+
+        return test
+
+    candidates = candidate_links(entries, bucket, near, max(2_000, 4_000_000 * kind.itemsize // known["bytes"]))
     clusters = connected_components(candidates).select("node", F.col("component").alias("cluster"))
-    members = nodes.select("node", "copies", "raw").join(clusters, "node").join(stored.drop("keys"), "node").withColumn("weight", F.lit(1))
+    members = nodes.select("node", "copies", "raw").join(clusters, "node").join(stored.drop("keys", "bytes"), "node").withColumn("weight", F.lit(1))
     pairs = blocked_pairs(members, "weight", BLOCK_ROWS, BLOCK_ROWS)
     return durable(pairs.groupBy("cluster", "i", "j").applyInPandas(lambda f: compare(f, kind, threshold), "a long, b long, links long"), "vector-links")
