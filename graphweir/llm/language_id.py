@@ -8,6 +8,7 @@ distribution over languages; a text's language has the largest sum over its word
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +22,13 @@ from graphweir.plans.durable import durable
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, MAX_GRAM = 1 << 18, 4
-#: The training sample: labelled texts per language; whole texts, by the smallest hash of the text.
-SAMPLE_TEXTS = 80
+#: The training sample: labelled texts per language, by the smallest hash of the text; the characters in a row
+#: that a longer text gives, from a place that its hash names; and the characters of all, which many languages share.
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_TOTAL = 80, 20_000, 64_000_000
+#: The weights of a model, of all languages together: more languages than 64 share a shorter table of features.
+MOST_WEIGHTS = 1 << 24
+#: Characters that are labelled at once, and words of a segment of a longer text (whole blocks of a chain).
+CHARS_AT_ONCE, SEGMENT = 1_000_000, 128 * 512
 SEQUENCE, EPOCHS, BATCH, RATE, PENALTY, SEED = 48, 6, 256, 0.5, 1e-6, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,39 +68,52 @@ class Model:
     def emissions(self, words: list[str]) -> np.ndarray:
         code, first = features(words)
         n = np.diff(np.append(first, len(code)))[:, None]
-        return np.add.reduceat(self.weights[code], first, axis=0) / np.sqrt(n)
+        return np.add.reduceat(self.weights[code % len(self.weights)], first, axis=0) / np.sqrt(n)
 
 
-def forward_backward(emit: np.ndarray, fresh: np.ndarray, transitions: np.ndarray, block: int = 128) -> np.ndarray:
-    """Marginals of a long chain of words; where ``fresh`` is true a new text begins.
-
-    The chain is cut into blocks that step together: first the transfer matrix of every
-    block, then the states at block borders, then the states within.
-    """
+def _transfers(emit: np.ndarray, fresh: np.ndarray, transitions: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions and beginnings of texts by block, transitions, and the transfer matrix of every block, which step together."""
     n, k = emit.shape
     e = np.exp(emit - emit.max(axis=1, keepdims=True))
     move = np.exp(transitions - transitions.max())
     pad = -n % block
     e = np.concatenate([e, np.ones((pad, k))]).reshape(-1, block, k)
     new = np.concatenate([fresh, np.ones(pad, bool)]).reshape(-1, block)
-    blocks = len(e)
-    matrix = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
+    matrix = np.broadcast_to(np.eye(k), (len(e), k, k)).copy()
+    for t in range(block):
+        moved = matrix @ move
+        moved = np.where(new[:, t, None, None], matrix.sum(axis=2, keepdims=True), moved) * e[:, t, None, :]
+        matrix = moved / moved.sum(axis=(1, 2), keepdims=True)
+    return e, new, move, matrix
 
-    def step(m: np.ndarray, t: int) -> np.ndarray:
-        moved = m @ move
-        moved = np.where(new[:, t, None, None], m.sum(axis=2, keepdims=True), moved) * e[:, t, None, :]
-        return moved / moved.sum(axis=(1, 2), keepdims=True)
 
-    for t in range(block):
-        matrix = step(matrix, t)
+def crossing(emit: np.ndarray, fresh: np.ndarray, transitions: np.ndarray, block: int = 128) -> np.ndarray:
+    """The transfer matrix of a segment of whole blocks, but for a factor."""
+    out = np.eye(emit.shape[1])
+    for m in _transfers(emit, fresh, transitions, block)[3]:
+        out = out @ m
+        out /= out.sum()
+    return out
+
+
+def forward_backward(emit: np.ndarray, fresh: np.ndarray, transitions: np.ndarray, block: int = 128, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """Marginals of a long chain of words; where ``fresh`` is true a new text begins.
+
+    The chain is cut into blocks that step together: first the transfer matrix of every
+    block, then the states at block borders, then the states within.  A segment of a longer
+    chain has the states ``before`` and ``after`` it; one with words after it is of whole blocks.
+    """
+    n, k = emit.shape
+    e, new, move, matrix = _transfers(emit, fresh, transitions, block)
+    blocks = len(e)
     enter = np.empty((blocks, k))
-    state = np.full(k, 1 / k)
+    state = np.full(k, 1 / k) if before is None else before
     for b in range(blocks):
         enter[b] = state
         state = state @ matrix[b]
         state = state / state.sum()
     leave = np.empty((blocks, k))
-    state = np.ones(k)
+    state = np.ones(k) if after is None else after
     for b in range(blocks - 1, -1, -1):
         leave[b] = state
         state = matrix[b] @ state
@@ -126,10 +145,12 @@ def fit(texts: list[tuple[str, str]], seed: int = SEED) -> Model:
             n = int(rng.integers(4, SEQUENCE))
             pieces.append((languages.index(lang), words[at : at + n]))
             at += n
+    buckets = min(BUCKETS, 1 << (MOST_WEIGHTS // max(k, 1)).bit_length() - 1)
     if not pieces:
-        return Model(languages or ["und"], np.zeros((BUCKETS, max(k, 1)), np.float32), np.zeros((max(k, 1), max(k, 1))))
+        return Model(languages or ["und"], np.zeros((buckets, max(k, 1)), np.float32), np.zeros((max(k, 1), max(k, 1))))
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in pieces for w in ws))}
     code, first = features(list(vocabulary))
+    code %= buckets
     end = np.append(first[1:], len(code))
     size = (end - first).astype(np.float64)
     label, word = [], []
@@ -145,8 +166,8 @@ def fit(texts: list[tuple[str, str]], seed: int = SEED) -> Model:
     n_seq = max(1, len(word) // SEQUENCE)
     take = np.resize(np.arange(len(word)), n_seq * SEQUENCE)
     label, word = np.array(label)[take].reshape(n_seq, SEQUENCE), np.array(word)[take].reshape(n_seq, SEQUENCE)
-    weights, transitions = np.zeros((BUCKETS, k)), np.zeros((k, k))
-    sq_w, sq_t = np.full((BUCKETS, k), 1e-6), np.full((k, k), 1e-6)
+    weights, transitions = np.zeros((buckets, k)), np.zeros((k, k))
+    sq_w, sq_t = np.full((buckets, k), 1e-6), np.full((k, k), 1e-6)
     eye = np.eye(k)
     for _ in range(EPOCHS):
         order = rng.permutation(n_seq)
@@ -243,6 +264,40 @@ class Labeller:
         rows = self._rows(words)
         return self.emit[rows].astype(np.float64)
 
+    def long_text(self, text: str, segment: int = SEGMENT) -> tuple[str, float]:
+        """As ``texts`` for one text of any length: its words are gone through twice, a segment at a time."""
+        lower, k = text.lower(), len(self.model.languages)
+
+        def segments() -> Iterator[list[str]]:
+            found = (m.group() for m in WORD.finditer(lower))
+            while words := list(itertools.islice(found, segment)):
+                yield words
+
+        def begins(n: int, i: int) -> np.ndarray:
+            return (np.arange(n) == 0) & (i == 0)
+
+        across, letters, n = [], False, 0
+        for i, ws in enumerate(segments()):
+            letters = letters or any(c.isalpha() for w in ws for c in w)
+            n += len(ws)
+            # the last segment may not be of whole blocks
+            across.append(crossing(self.emit_of(ws), begins(len(ws), i), self.model.transitions, 128 if len(ws) % 128 == 0 else 1))
+        if not letters:
+            return "und", 0.0
+        enter, leave = [np.full(k, 1 / k)], [np.ones(k)]
+        for m in across[:-1]:
+            state = enter[-1] @ m
+            enter.append(state / state.sum())
+        for m in across[:0:-1]:
+            state = m @ leave[-1]
+            leave.append(state / state.sum())
+        leave.reverse()
+        total = np.zeros(k)
+        for i, ws in enumerate(segments()):
+            total += forward_backward(self.emit_of(ws), begins(len(ws), i), self.model.transitions, before=enter[i], after=None if i == len(across) - 1 else leave[i]).sum(axis=0)
+        best = int(total.argmax())
+        return self.model.languages[best], float(np.clip(total[best] / n, 0, 1))
+
     def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language (``und`` without letters) and mean probability of each text."""
         _, p, count = self.words(texts)
@@ -265,16 +320,34 @@ def training_sample(docs: DataFrame, per_language: int, id_col: str, text_col: s
     """Up to ``per_language`` distinct labelled texts of each language, chosen by a hash of the text.
 
     The hash is thinned by each language's count of distinct texts first, so no task ranks a whole language.
+    A long text gives SAMPLE_CHARS characters, or fewer where the languages are so many that SAMPLE_TOTAL would be passed;
+    the window is cut before texts move.
     """
     spread = 1 << 20
     rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     share = rows.select("lang", "h").distinct().groupBy("lang").agg((F.lit(8.0 * per_language * spread) / F.count("*")).alias("share"))
-    thin = rows.join(durable(share, "language-counts"), "lang").filter(F.pmod("h", F.lit(spread)) < F.col("share")).dropDuplicates(["lang", "h"])
+    share = durable(share, "language-counts")
+    most = min(SAMPLE_CHARS, max(1, SAMPLE_TOTAL // (per_language * max(1, share.count()))))
+    window = F.substring("text", (F.pmod("h", F.greatest(F.length("text") - most, F.lit(0)) + 1) + 1).cast("int"), F.lit(most))
+    thin = rows.join(share, "lang").filter(F.pmod("h", F.lit(spread)) < F.col("share")).withColumn("text", window).dropDuplicates(["lang", "h"])
     ranked = thin.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= per_language)
     return [(r["lang"], r["text"]) for r in ranked.select("lang", "text").collect()]
 
 
+def portions(texts: list[str | None], rows: int, chars: int) -> Iterator[tuple[int, int]]:
+    """Spans of ``texts`` with at most so many rows and characters; a longer text is a span of its own."""
+    lo = held = 0
+    for i, t in enumerate(texts):
+        n = len(t) if isinstance(t, str) else 0
+        if i > lo and (i - lo == rows or held + n > chars):
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if len(texts) > lo:
+        yield lo, len(texts)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", rows_at_once: int = 1000) -> DataFrame:
     """id, lang_pred and score of every row; only the text decides."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -282,10 +355,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(held.value)
         for frame in frames:
-            for lo in range(0, len(frame), rows_at_once):
-                part = frame.iloc[lo : lo + rows_at_once]
-                lang, score = labeller.texts(part["text"].tolist())
-                yield pd.DataFrame({"id": part["id"], "lang_pred": lang, "score": score})
+            texts = frame["text"].tolist()
+            for lo, hi in portions(texts, rows_at_once, CHARS_AT_ONCE):
+                if hi - lo == 1 and isinstance(texts[lo], str) and len(texts[lo]) > CHARS_AT_ONCE:
+                    lang, score = ([x] for x in labeller.long_text(texts[lo]))
+                else:
+                    lang, score = labeller.texts(texts[lo:hi])
+                yield pd.DataFrame({"id": frame["id"].iloc[lo:hi], "lang_pred": lang, "score": score})
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -295,8 +371,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def languages(docs: DataFrame, per_language: int = SAMPLE_TEXTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score.
 
-    The field is fitted on at most ``per_language`` texts of each language, from rows whose
-    id does not hash into the held-out quarter.  A null text, or one without letters, is
+    The field is fitted on at most ``per_language`` texts of each language (of long ones, on
+    a window), from rows whose id does not hash into the held-out quarter.  A null text, or one without letters, is
     ``und`` with score 0, as is every text if nothing can be learned.  Whole texts are
     read, however long; equal texts get equal answers; ties go to the language that sorts
     first.  An empty table gives an empty result; other columns are ignored.
