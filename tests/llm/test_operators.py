@@ -330,6 +330,26 @@ def test_bands_reach_the_recall():
 # --- 6 embeddings
 
 
+def test_vectors_of_many_lengths(spark):
+    """All lengths go through one set of jobs; vectors link only with those of their own length."""
+    rng = np.random.default_rng(19)
+    rows = []
+    for dim in range(1, 81):
+        base = rng.standard_normal((3, dim))
+        near = base[0] + 0.02 * np.linalg.norm(base[0]) * rng.standard_normal(dim) / np.sqrt(dim)
+        rows += [(len(rows) + i, [float(c) for c in v]) for i, v in enumerate([*base, near])]
+    out = {r["vec_id"]: r for r in embedding_dedup.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()}
+    assert len(out) == 320
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    missed = wanted = 0
+    for i, x in enumerate(unit):
+        true = sum(j != i and len(y) == len(x) and x @ y >= 0.95 for j, y in enumerate(unit))
+        assert out[i]["n_links"] <= true
+        wanted, missed = wanted + true, missed + true - out[i]["n_links"]
+        assert len(rows[out[i]["component_id"]][1]) == len(x)
+    assert wanted >= 160 and missed <= 0.05 * wanted
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(7)
     base = rng.standard_normal((300, 64))
@@ -460,6 +480,40 @@ def test_held_out_accuracy_and_code_switching(spark):
     assert np.mean([g == w for g, w in zip(got, ["xx"] * 40 + ["yy"] * 40, strict=True)]) > 0.95
 
 
+@pytest.mark.parametrize("n", [1, 127, 128, 500, 1024, 1300])
+def test_long_texts_are_labelled_in_segments(n):
+    """Segments give what the whole chain gives, whether or not the last one is of whole blocks."""
+    rng = random.Random(n)
+    model = language_id.fit([(y, " ".join(rng.choice(["ka", "lo", "mi"]) + y + rng.choice("abc") for _ in range(200))) for y in ("xx", "yy") for _ in range(5)])
+    text = " ".join(rng.choice(["ka", "lo", "zu"]) + rng.choice(["xx", "yy", "x"]) + rng.choice("abc") for _ in range(n))
+    labeller = language_id.Labeller(model)
+    (lang,), (score,) = labeller.texts([text])
+    assert labeller.long_text(text, 256)[0] == lang and abs(labeller.long_text(text, 256)[1] - score) < 1e-9
+    assert labeller.long_text("12 34 _", 256) == ("und", 0.0)
+
+
+def test_portions_hold_every_text():
+    texts = ["a" * n for n in (3, 50, 1, 1, 1, 1, 0, 9, 10)] + [None, "b" * 11]
+    got = list(language_id.portions(texts, 3, 10))
+    assert [i for lo, hi in got for i in range(lo, hi)] == list(range(len(texts)))
+    assert all(hi - lo == 1 or hi - lo <= 3 and sum(len(t or "") for t in texts[lo:hi]) <= 10 for lo, hi in got)
+    assert list(language_id.portions([], 3, 10)) == []
+
+
+def test_very_long_texts_and_many_languages(spark):
+    """Texts of 20 MB are labelled, and of those learned from only a window goes to the driver; 300 languages make no larger model."""
+    rng = random.Random(18)
+    some = " ".join(rng.choice(["ka", "lo", "mi", "ru"]) + "xx" for _ in range(2000))
+    other = " ".join(rng.choice(["ka", "lo", "mi", "ru"]) + "yy" for _ in range(2000))
+    rows = [(i, some if i % 2 else other, "xx" if i % 2 else "yy", "a", 0) for i in range(20)]
+    docs = frame(spark, rows).withColumn("text", F.when(F.col("doc_id").isin(6, 7), F.repeat("text", 2000)).otherwise(F.concat("text", F.lit(" "), F.col("doc_id").cast("string"))))
+    sample = language_id.training_sample(docs, 80, "doc_id", "text", "lang")
+    assert sample and max(len(t) for _, t in sample) <= language_id.SAMPLE_CHARS
+    assert all(r["lang_pred"] == ("xx" if r["doc_id"] % 2 else "yy") for r in language_id.languages(docs).collect())
+    model = language_id.fit([(f"l{i}", f"word{i} w{i}") for i in range(300)])
+    assert model.weights.size <= language_id.MOST_WEIGHTS and len(model.emissions(["word7"])[0]) == 300
+
+
 # --- 8 mixing
 
 
