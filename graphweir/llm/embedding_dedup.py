@@ -230,5 +230,6 @@ def _links(nodes: DataFrame, kind: np.dtype, threshold: float, recall: float) ->
     candidates = candidate_links(entries, bucket, near, max(2_000, 4_000_000 * kind.itemsize // known["bytes"]))
     clusters = connected_components(candidates).select("node", F.col("component").alias("cluster"))
     members = nodes.select("node", "copies", "raw").join(clusters, "node").join(stored.drop("keys", "bytes"), "node").withColumn("weight", F.lit(1))
-    pairs = blocked_pairs(members, "weight", BLOCK_ROWS, BLOCK_ROWS)
+    # dealt by pairs of blocks, or all blocks of a cluster would stay in the task that the cluster is in
+    pairs = blocked_pairs(members, "weight", BLOCK_ROWS, BLOCK_ROWS).repartition("cluster", "i", "j")
     return durable(pairs.groupBy("cluster", "i", "j").applyInPandas(lambda f: compare(f, kind, threshold), "a long, b long, links long"), "vector-links")
