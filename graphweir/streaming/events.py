@@ -32,16 +32,27 @@ def stream(spark: SparkSession, path: str, per_trigger: int | None = None) -> Da
 
 
 def run(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream until its input is used up; its output is a table in the shared folder."""
-    spark = rows.sparkSession
+    """Runs a stream until its input is used up; its output is a table in the shared folder.
+
+    A complete result is written beside the one of the batch before, which is there until the next has been
+    written whole: a failure in between loses nothing, and a batch that is run again replaces its own.
+    """
+    spark, last = rows.sparkSession, {}
     base = f"{shared_dir(spark)}/graphweir/{name}-{uuid.uuid4().hex}"
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", base + "/state").trigger(availableNow=True)
+
+    def replace(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out-{epoch}")
+        last["path"] = f"{base}/out-{epoch}"
+        drop_table(batch.sparkSession, f"{base}/out-{epoch - 2}")
+
     if mode == "append":
         query = writer.format("parquet").option("path", base + "/out").start()
-    else:  # a complete or updated result replaces what the batches before gave
-        query = writer.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(base + "/out")).start()
+        last["path"] = base + "/out"
+    else:
+        query = writer.foreachBatch(replace).start()
     query.awaitTermination()
-    return spark.read.parquet(base + "/out")
+    return spark.read.schema(rows.schema).parquet(last["path"]) if last else spark.createDataFrame([], rows.schema)
 
 
 def routed(rows: DataFrame, kinds: dict[str, tuple[str, ...]] = KINDS) -> DataFrame:

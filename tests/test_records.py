@@ -184,6 +184,25 @@ def test_lockouts_equal_brute_force_in_batch_and_stream(spark, tmp_path):
     assert sorted((r["user_id"], r["locked_at"]) for r in got) == want
 
 
+def test_complete_results_are_switched(spark, tmp_path):
+    """Every batch of a complete result is written beside the one before; a failed batch leaves that one readable."""
+    for k in range(4):
+        spark.createDataFrame([(k, i % 3) for i in range(10 * (k + 1))], "k long, g long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, g long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = ev.run(stream.groupBy("g").count(), "counts", "complete")
+    assert sum(r["count"] for r in out.collect()) == 100
+    (path,) = {f.rsplit("/", 2)[0] + "/" + f.rsplit("/", 2)[1] for f in out.inputFiles()}
+    assert path.endswith("out-3")
+    base = path.removeprefix("file://").removesuffix("/out-3")
+    import os
+
+    assert {f for f in os.listdir(base) if f.startswith("out")} == {"out-2", "out-3"}
+    assert sum(r["count"] for r in spark.read.parquet(base + "/out-2").collect()) < 100
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert ev.run(spark.readStream.schema("k long, g long").parquet(str(empty)).groupBy("g").count(), "counts", "complete").collect() == []
+
+
 def test_paths_in_answers(spark):
     from graphweir.operators.answers import flow_paths
 
