@@ -37,16 +37,18 @@ LOW_Z, HIGH_Z = -3.2905, 3.0902
 SCORES = ("char", "pair")
 #: One of so many trusted documents is kept from training, so that the quantiles know unseen text.
 HELD_OUT = 5
-#: Length classes with fewer trusted documents than this are judged by the quantiles of their language, languages by those of all.
-LEAST_TRUSTED = 30
-#: With fewer held-out texts than this, the upper quantile is over all trusted ones.
-LEAST_HELD = 8
+#: Bounds of a length class lean on its language's, those of a language on all, as if so many further trusted documents said so.
+LEAN = 10
+#: The upper quantile leans on that of all trusted texts as if so many held-out ones said so.
+LEAN_HELD = 8
+#: A language's typical cost a character leans on the overall one as if so many further characters said so.
+LEAN_UNITS = 10_000
 
 MODEL = "k int, x long, s array<int>, c array<long>"
 
 
 def symbols_of(text: str) -> np.ndarray:
-    """The characters, lower-cased; white space of any kind, and a run of it, is one space."""
+    """The characters, lower-cased; tabs and ends of lines are spaces, and a run of spaces is one."""
     x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     x[(x >= 9) & (x <= 13)] = 32
     return x[~np.concatenate([np.zeros(1, bool), (x[1:] == 32) & (x[:-1] == 32)])[: len(x)]]
@@ -364,19 +366,36 @@ def with_scores(df: DataFrame, typical: DataFrame, overall: float) -> DataFrame:
     return df.withColumn("score1", pairs).withColumn("class1", grade(F.col("words"))).drop("rate")
 
 
+def leaning(own: Column, n: Column, wider: Column, weight: float) -> Column:
+    """``own``, seen on ``n`` values, drawn towards ``wider`` with the weight of so many more values; ``wider`` where there is none."""
+    return F.coalesce((n * own + weight * wider) / (n + weight), wider)
+
+
 def limit(score: str, low: bool) -> Column:
-    """The quantile LOW of all trusted texts, or HIGH of the held-out ones (the model knows the others too well); where there
-    are too few values to show it, no nearer than Student's for as many."""
+    """The quantile LOW of all trusted texts, or HIGH of the held-out ones (the model knows the others too well).
+
+    Of n values, n times the share beyond the quantile can be expected to show it.  That is the weight of the quantile as seen, against a weight of one for
+    the outer of it and Student's for as many values.
+    """
     q, z, order = (LOW, LOW_Z, F.least) if low else (HIGH, HIGH_Z, F.greatest)
 
     def of(v: Column) -> Column:
-        seen = F.percentile_approx(v, q, 100_000)
+        seen, shown = F.percentile_approx(v, q, 100_000), F.count(v) * min(q, 1 - q)
         n = F.greatest(F.count(v), F.lit(2))
         far = (z + (z**3 + z) / (4 * (n - 1))) * F.sqrt(1 + 1 / n)  # Student's, for the next value after n
-        return F.when(F.count(v) * min(q, 1 - q) >= 1, seen).otherwise(order(seen, F.avg(v) + far * F.coalesce(F.stddev(v), F.lit(0.0))))
+        outer = order(seen, F.avg(v) + far * F.coalesce(F.stddev(v), F.lit(0.0)))
+        return (shown * seen + outer) / (shown + 1)
 
     held = F.when(F.col("gw_use") == 2, F.col(score))
-    return of(F.col(score)) if low else F.when(F.count(held) >= LEAST_HELD, of(held)).otherwise(of(F.col(score)))
+    return of(F.col(score)) if low else leaning(of(held), F.count(held), of(F.col(score)), LEAN_HELD)
+
+
+def bounds_of(known: DataFrame) -> DataFrame:
+    """kind, lang, class, wide, n, lo, hi: limits of SCORES over trusted rows; wide is 3 for all, 1 for a language, 0 for a length in it."""
+    each = known.select("lang", "gw_use", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"class{k}").alias("class"), F.col(f"score{k}").cast("double").alias("score")) for k in (0, 1)])))
+    limits = [F.count("*").alias("n"), limit("score", True).alias("lo"), limit("score", False).alias("hi")]
+    sets = [["kind"], ["kind", "lang"], ["kind", "lang", "class"]]
+    return each.groupingSets(sets, "kind", "lang", "class").agg(F.grouping_id().alias("wide"), *limits)
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -385,25 +404,24 @@ def judged(rows: DataFrame) -> DataFrame:
     What is known of a language, or of a length in it, are some numbers each; Spark broadcasts them if they are small.
     """
     trusted = rows.filter("gw_use is not null")
-    rate = F.coalesce(F.try_divide(F.sum("cost"), F.sum("units")), F.lit(0.0)).alias("rate")
-    typical = durable(trusted.groupBy(F.col("lang").alias("gw_l")).agg(F.count("*").alias("n"), rate).filter(F.col("n") >= LEAST_TRUSTED).drop("n"), "quality-rates")
-    overall = trusted.agg(rate).first()["rate"]
-    known = with_scores(trusted, typical, overall)
-    each = known.select("lang", "gw_use", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"class{k}").alias("class"), F.col(f"score{k}").cast("double").alias("score")) for k in (0, 1)])))
-    limits = [F.count("*").alias("n"), limit("score", True).alias("lo"), limit("score", False).alias("hi")]
-    # by kind; by kind and language; by kind, language and length
-    bounds = durable(each.groupingSets([["kind"], ["kind", "lang"], ["kind", "lang", "class"]], "kind", "lang", "class").agg(F.grouping_id().alias("wide"), *limits), "quality-bounds")
+    overall = trusted.agg(F.coalesce(F.try_divide(F.sum("cost"), F.sum("units")), F.lit(0.0)).alias("rate")).first()["rate"]
+    rate = (F.sum("cost") + LEAN_UNITS * F.lit(overall)) / (F.sum("units") + LEAN_UNITS)
+    typical = durable(trusted.groupBy(F.col("lang").alias("gw_l")).agg(rate.alias("rate")), "quality-rates")
+    bounds = durable(bounds_of(with_scores(trusted, typical, overall)), "quality-bounds")
     wide = {r["kind"]: r for r in bounds.filter("wide = 3").collect()}  # two rows
-    enough = bounds.filter(F.col("n") >= LEAST_TRUSTED)
     out, keep = with_scores(rows, typical, overall), F.col("units") >= 0
     for k, name in enumerate(SCORES):
-        own = enough.filter(f"wide = 1 and kind = {k}").select(F.col("lang").alias("gw_l"), F.col("lo").alias("lo_lang"), F.col("hi").alias("hi_lang"))
-        fine = enough.filter(f"wide = 0 and kind = {k}").select(F.col("lang").alias("gw_l"), F.col("class").alias("gw_c"), F.col("lo").alias("lo_class"), F.col("hi").alias("hi_class"))
+        own = bounds.filter(f"wide = 1 and kind = {k}").select(F.col("lang").alias("gw_l"), *[F.col(c).alias(f"{c}_lang") for c in ("n", "lo", "hi")])
+        fine = bounds.filter(f"wide = 0 and kind = {k}").select(F.col("lang").alias("gw_l"), F.col("class").alias("gw_c"), *[F.col(c).alias(f"{c}_class") for c in ("n", "lo", "hi")])
         out = out.join(own, F.col("lang").eqNullSafe(F.col("gw_l")), "left").drop("gw_l")
         out = out.join(fine, F.col("lang").eqNullSafe(F.col("gw_l")) & (F.col(f"class{k}") == F.col("gw_c")), "left").drop("gw_l", "gw_c", f"class{k}")
-        of = lambda x: F.coalesce(f"{x}_class", f"{x}_lang", F.lit(wide[k][x] if k in wide else None).cast("double"))  # noqa: B023, E731
+
+        def of(x: str) -> Column:
+            language = leaning(F.col(f"{x}_lang"), F.col("n_lang"), F.lit(wide[k][x] if k in wide else None).cast("double"), LEAN)  # noqa: B023
+            return leaning(F.col(f"{x}_class"), F.col("n_class"), language, LEAN)
+
         out = out.withColumn(f"{name}_lower", of("lo")).withColumn(f"{name}_upper", of("hi") if k == 0 else F.lit(1.0))
-        out = out.drop("lo_class", "hi_class", "lo_lang", "hi_lang").withColumnRenamed(f"score{k}", f"{name}_score")
+        out = out.drop(*[f"{c}_{level}" for c in ("n", "lo", "hi") for level in ("class", "lang")]).withColumnRenamed(f"score{k}", f"{name}_score")
         keep = keep & F.coalesce(F.col(f"{name}_score").between(F.col(f"{name}_lower"), F.col(f"{name}_upper")), F.lit(True))
     perplexity = F.exp(F.coalesce(F.try_divide("cost", "units"), F.lit(0.0)))
     return out.withColumn("char_perplexity", perplexity).withColumn("keep", keep | (F.col("units") == 0))
@@ -416,8 +434,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     The score is the cost beyond that of the language's typical text of the same length,
     divided by the root of the length, and for pairs the share of distinct pairs
     among all pairs of words, which is low where words repeat.  Bounds are quantiles of
-    the trusted documents of the language and of about the same length; ``keep``
-    says whether both lie within them.  A null or empty text has perplexity 1 and is kept.  A null language is a language of its own.
+    the trusted documents of the language and of about the same length, drawn towards those of the language and of all by stated weights,
+    alike for few and many; ``keep`` says whether both lie within them.  A null or empty text has perplexity 1 and is kept.  A null language is a language of its own.
     Without trusted documents all is kept.  Whole texts are scored, however long; repeated
     rows are judged alike; an empty table gives an empty result; other columns are ignored,
     whatever their names.

@@ -1,5 +1,6 @@
 """Each operator against brute force, and on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
+import math
 import random
 import zlib
 from fractions import Fraction
@@ -759,6 +760,62 @@ def test_quality_sees_all_characters(spark):
     assert not any(r["keep"] for r in out if r["doc_id"] >= 300)
 
 
+def test_quality_bounds_and_decisions_equal_brute_force(spark):
+    """Languages and lengths with hundreds of trusted texts, with a few, with one and with none."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for lang, n, trusted in (("a", 600, 400), ("b", 60, 12), ("c", 9, 1), ("d", 5, 0), (None, 40, 30)):
+        for i in range(n):
+            units, words = int(rng.integers(0, 3000)), int(rng.integers(0, 300))
+            use = None if i >= trusted else 2 if i % 5 == 0 else 1
+            rows.append((len(rows), lang, b"", use, float(units * rng.normal(2, 0.1 if i < trusted else 0.4)), units, words, int(words * rng.uniform(0.3, 1))))
+    out = quality.judged(spark.createDataFrame(rows, "id long, lang string, th binary, gw_use int, cost double, units long, words long, pairs long")).collect()
+
+    known = [r for r in rows if r[3]]
+    overall = sum(r[4] for r in known) / sum(r[5] for r in known)
+
+    def rate(lang):
+        own = [r for r in known if r[1] == lang]
+        return (sum(r[4] for r in own) + quality.LEAN_UNITS * overall) / (sum(r[5] for r in own) + quality.LEAN_UNITS) if own else overall
+
+    grade = lambda n: math.floor(math.log(max(n, 1)) / math.log(4) + 1e-9)
+    rates = {lang: rate(lang) for lang in "abcd"} | {None: rate(None)}
+    score = {0: lambda r: (r[4] - rates[r[1]] * r[5]) / math.sqrt(max(r[5], 1)), 1: lambda r: r[7] / r[6] if r[6] else 1.0}
+
+    def of(values, q, z, order):
+        seen, n = sorted(values)[max(math.ceil(q * len(values)), 1) - 1], max(len(values), 2)
+        spread = np.std(values, ddof=1) if len(values) > 1 else 0.0
+        outer = order(seen, np.mean(values) + (z + (z**3 + z) / (4 * (n - 1))) * math.sqrt(1 + 1 / n) * spread)
+        shown = len(values) * min(q, 1 - q)
+        return (shown * seen + outer) / (shown + 1)
+
+    def leaning(own, n, wider, weight):
+        return wider if own is None else (n * own + weight * wider) / (n + weight)
+
+    def limits(group, k):
+        if not group:
+            return None, None
+        values, held = [score[k](r) for r in group], [score[k](r) for r in group if r[3] == 2]
+        high = lambda v: of(v, quality.HIGH, quality.HIGH_Z, max) if v else None
+        return of(values, quality.LOW, quality.LOW_Z, min), leaning(high(held), len(held), high(values), quality.LEAN_HELD)
+
+    kept = 0
+    for r, got in zip(rows, sorted(out, key=lambda x: x["id"]), strict=True):
+        keep = True
+        for k, name in enumerate(quality.SCORES):
+            own = [x for x in known if x[1] == r[1]]
+            fine = [x for x in own if grade(x[5 + k]) == grade(r[5 + k])]
+            want = limits(known, k)
+            for group in (own, fine):
+                want = [leaning(a, len(group), b, quality.LEAN) for a, b in zip(limits(group, k), want, strict=True)]
+            low, high = want[0], want[1] if k == 0 else 1.0
+            assert got[f"{name}_lower"] == pytest.approx(low, rel=1e-6, abs=1e-6) and got[f"{name}_upper"] == pytest.approx(high, rel=1e-6, abs=1e-6)
+            keep &= low - 1e-9 <= score[k](r) <= high + 1e-9
+        assert got["keep"] == (keep or r[5] == 0)
+        kept += got["keep"]
+    assert 450 <= kept < len(rows)
+
+
 def test_quality_rejects_repeated_words(spark):
     rows = two_languages(random.Random(18), 200)
     rows += [(300 + i, " ".join([rows[i][1].split()[0]] * (10 + i)), rows[i][2], "a", 0) for i in range(20)]
