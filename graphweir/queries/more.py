@@ -27,30 +27,35 @@ def s11(spark, d):
     return found.select(F.regexp_extract("name", "^(.*?),", 1).alias("name"), "source", "content", "content_length")
 
 
+def _cve(key):
+    """A part's CVE id; a long key keeps all of its digits."""
+    return F.format_string("CVE-2024-%06d", key)
+
+
 def _service(spark, d) -> str:
-    """A service that knows the small parts: a file for each record; returns its url."""
+    """A service that knows the small parts, by pages of records; returns its url."""
     base = f"{shared_dir(spark)}/graphweir/service-{uuid.uuid4().hex}"
     p = table(spark, d, "part").filter("p_size <= 5")
-    body = F.to_json(F.struct(F.concat(F.lit("CVE-2024-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("id"), F.array(F.struct(F.lit("en").alias("lang"), F.col("p_name").alias("value"))).alias("descriptions")))
-    p.select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("k"), body.alias("value")).repartition("k").write.partitionBy("k").text(base)
-    return (base if "://" in base else "file://" + base) + "/k={id}/"
+    record = F.to_json(F.struct(_cve("p_partkey").alias("id"), F.array(F.struct(F.lit("en").alias("lang"), F.col("p_name").alias("value"))).alias("descriptions")))
+    p.select(fetch.page(_cve("p_partkey")).alias("page"), record.alias("value")).repartition("page").write.partitionBy("page").text(base)
+    return (base if "://" in base else "file://" + base) + "/page={page}/"
 
 
 @query("s16_keyed", """SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 404 ELSE 200 END AS status, p_name AS description
 FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size <= 5""")
 def s16_keyed(spark, d):
-    """Records that a table's rows name, requested once for each key; a second run over the landed records asks for nothing."""
+    """Records that a table's rows name, each page of them requested once; a second run over the landed records asks for nothing."""
     url, landing = _service(spark, d), f"{shared_dir(spark)}/graphweir/landing-{uuid.uuid4().hex}"
-    ids = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lpad(F.col("l_partkey").cast("string"), 6, "0").alias("id"))
-    fetch.fetched(ids, "id", url, landing, "^[0-9]+$")
-    again = fetch.fetched(ids, "id", url.replace("/k=", "/gone="), landing, "^[0-9]+$")  # the service is gone
+    ids = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _cve("l_partkey").alias("id"))
+    fetch.fetched(ids, "id", url, landing, "^CVE-2024-[0-9]+$")
+    again = fetch.fetched(ids, "id", url.replace("/page=", "/gone="), landing, "^CVE-2024-[0-9]+$")  # the service is gone
     return again.select("l_orderkey", "l_linenumber", "status", F.get_json_object("body", "$.descriptions[0].value").alias("description"))
 
 
 @query("s16_point", "SELECT 'CVE-2024-' || lpad(p_partkey::VARCHAR, 6, '0') AS cve_id, p_name AS description FROM part WHERE p_size <= 5 AND p_partkey <= 100")
 def s16_point(spark, d):
     """Records by an IN list that the source takes as its requests; keys without a record are left out."""
-    keys = [f"{k:06d}" for k in range(101)]
+    keys = [f"CVE-2024-{k:06d}" for k in range(101)]
     found = fetch.records(spark, _service(spark, d)).filter(F.col("id").isin(keys) & (F.col("status") == 200))
     return feeds.cves(found.select("body"), "body").select("cve_id", "description")
 

@@ -4,26 +4,35 @@ Two ways in.  ``KeyedRecords`` is a data source whose filter on ``id`` is pushed
 become partitions of requests, and nothing else is asked for.  ``fetched`` takes a table of keys of any size: keys that the landing table
 has are read from there, the others are requested where their partitions are, and land for the next run.
 
+A url template names the key (``{id}``: a request for each key) or the key's page (``{page}``: the key without its last ``TAIL`` characters). A page is
+JSON lines, one for each record, with the key as ``id``; it is requested once for all keys of it that are wanted.
+
 A missing record (404) lands too, so that it is not asked for again; other failures are raised by the task, which Spark retries.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 RECORD = "id string, status int, body string"
 #: Keys of one partition of requests.
 KEYS = 50
+#: Characters of a key that its page's name lacks.
+TAIL = 4
+#: Replies that are put out together.
+BATCH = 1000
 
 
 def get(url: str, timeout: float = 30) -> tuple[int, str | None]:
@@ -44,7 +53,26 @@ def get(url: str, timeout: float = 30) -> tuple[int, str | None]:
 
 
 def url_of(template: str, key: str) -> str:
-    return template.replace("{id}", urllib.parse.quote(key, safe=""))
+    return template.replace("{id}", urllib.parse.quote(key, safe="")).replace("{page}", urllib.parse.quote(key[:-TAIL], safe=""))
+
+
+def page(key: Column) -> Column:
+    """The page of a key, as ``url_of`` has it."""
+    return F.left(key, F.length(key) - TAIL)
+
+
+def replies(template: str, keys: Iterable[str], timeout: float) -> Iterator[tuple[str, int, str | None]]:
+    """id, status, body of each key. Keys of a page that come one after the other share a request, and one page is held at a time."""
+    asked, held = None, {}
+    for key in keys:
+        url = url_of(template, key)
+        if "{page}" not in template:
+            yield key, *get(url, timeout)
+            continue
+        if url != asked:
+            lines = (get(url, timeout)[1] or "").split("\n")
+            asked, held = url, {json.loads(line)["id"]: line for line in lines if line.strip()}
+        yield key, 200 if key in held else 404, held.get(key)
 
 
 class KeyedRecords(DataSource):
@@ -80,8 +108,7 @@ class _Reader(DataSourceReader):
         return [InputPartition(self.keys[i : i + self.size]) for i in range(0, len(self.keys), self.size)] or [InputPartition([])]
 
     def read(self, partition: InputPartition):
-        for key in partition.value:
-            yield (key, *get(url_of(self.url, key), self.timeout))
+        yield from replies(self.url, partition.value, self.timeout)
 
 
 def records(spark: SparkSession, url: str, **options: str) -> DataFrame:
@@ -104,18 +131,20 @@ def landed(spark: SparkSession, landing: str) -> DataFrame:
 def fetched(ids: DataFrame, id_col: str, url: str, landing: str, valid: str | None = None, timeout: float = 30) -> DataFrame:
     """``ids`` with ``status`` and ``body`` of each row's record: nulls for keys that ``valid`` (a pattern) does not match, a null body for missing ones.
 
-    Each distinct key is requested at most once, and only if the landing table lacks it.
+    Each distinct key, or each page that has such keys, is requested at most once, and only for keys that the landing table lacks.
     """
     spark = ids.sparkSession
     good = F.col(id_col).isNotNull() & (F.col(id_col).rlike(valid) if valid else F.lit(True))
     wanted = ids.filter(good).select(F.col(id_col).cast("string").alias("id")).distinct()
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            replies = [get(url_of(url, key), timeout) for key in frame["id"]]
-            yield pd.DataFrame({"id": frame["id"], "status": [s for s, _ in replies], "body": [b for _, b in replies]})
+        found = replies(url, (key for frame in frames for key in frame["id"]), timeout)  # over all frames, as a page may lie in two
+        while some := list(itertools.islice(found, BATCH)):
+            yield pd.DataFrame(some, columns=["id", "status", "body"])
 
     missing = wanted.join(landed(spark, landing).select("id"), "id", "left_anti")
+    if "{page}" in url:
+        missing = missing.repartition(page(F.col("id"))).sortWithinPartitions(page(F.col("id")))
     missing.mapInPandas(ask, RECORD).write.mode("append").parquet(landing)
     known = landed(spark, landing).groupBy(F.col("id").alias("gw_key")).agg(F.first("status").alias("status"), F.first("body").alias("body"))  # a task that ran twice may have landed a key twice
     return ids.join(known, good & (F.col(id_col).cast("string") == F.col("gw_key")), "left").drop("gw_key")
