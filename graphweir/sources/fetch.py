@@ -105,6 +105,11 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if self.keys is None:
             raise ValueError("keyed_records needs a filter id = ... or id IN (...), and spark.sql.python.filterPushdown.enabled")
+        if "{page}" in self.url:
+            pages: dict[str, list[str]] = {}
+            for key in self.keys:
+                pages.setdefault(key[:-TAIL], []).append(key)
+            return [InputPartition(keys) for keys in pages.values()] or [InputPartition([])]
         return [InputPartition(self.keys[i : i + self.size]) for i in range(0, len(self.keys), self.size)] or [InputPartition([])]
 
     def read(self, partition: InputPartition):

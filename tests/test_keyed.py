@@ -175,6 +175,9 @@ def test_a_page_is_requested_once_for_all_of_its_keys(spark, paged, tmp_path):
         got = fetch.fetched(ids, "id", url, f"file://{tmp_path}/landing").collect()
         assert len(got) == 13334 + 5 and all((r.status, r.body) == ((200, f'{{"id": "{r.id}", "v": " "}}') if int(r.id) < 30000 and int(r.id) % 2 == 0 else (404, None)) for r in got)
         assert sorted(asked) == ["00", "01", "02", "03"], run
+    asked.clear()
+    found = fetch.records(spark, url).filter(F.col("id").isin("000002", "000003", "010004", "000006") & (F.col("status") == 200)).collect()
+    assert sorted(r.id for r in found) == ["000002", "000006", "010004"] and sorted(asked) == ["00", "01"]
 
 
 def test_service_has_a_folder_for_a_page_and_long_keys_stay_apart(spark, tmp_path):
