@@ -62,20 +62,25 @@ def linked_candidates(functions: DataFrame, summaries: DataFrame, defined_in: Da
     return found.select("node_id", "name", "line_number", F.col("summary").alias("description"), "file.file_node_id", F.coalesce("file.path", F.lit("unknown")).alias("file_path"))
 
 
-def flows(sources: DataFrame, sinks: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """Data flows that the analyzer confirms between the kinds of sources and of sinks that a file has.
+#: Sources of a file that meet its sinks in one group.
+SHARE = 1000
 
-    Each file's functions are reduced to one per kind, the first by name, and their number, before sources meet sinks: a file has as many
-    rows as it has pairs of kinds, however many functions. ``pairs`` says for how many pairs of functions the row stands.
-    """
 
-    def kinds(rows: DataFrame, side: str) -> DataFrame:
-        known = rows.filter("file_path <> 'unknown'").groupBy("file_path", "kind").agg(F.min(F.struct("name", "kind", "description")).alias(side), F.count("*").alias(f"n_{side}"))
-        return known.drop("kind")
+def flows(sources: DataFrame, sinks: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """Data flows that the analyzer confirms between typed sources and sinks of one file: a row for each pair.
 
+    A file's sources are dealt by name into shares of about ``SHARE``, and its sinks go to each of its shares: a file of any size is many
+    groups, and a group holds a share of the sources while the sinks pass by. The pairs of a file are as many as its sources times its sinks.
+    """
+    one = sources.filter("file_path <> 'unknown'").select("file_path", F.struct("name", "kind", "description").alias("source"))
+    other = sinks.filter("file_path <> 'unknown'").select("file_path", F.struct("name", "kind", "description").alias("sink"))
+    shares = one.groupBy("file_path").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
     ok, kind, impact = analyzer.data_flow(F.col("source"), F.col("sink"))
-    met = kinds(sources, "source").join(kinds(sinks, "sink"), "file_path").filter(ok)
-    return met.select("file_path", F.col("source.name").alias("source"), F.col("sink.name").alias("sink"), kind.alias("vulnerability_type"), impact.alias("impact"), (F.col("n_source") * F.col("n_sink")).alias("pairs"))
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, because the pairs are many more than the bytes by which Spark would merge partitions
+    dealt = one.join(shares, "file_path").select("file_path", F.pmod(F.xxhash64("source.name"), "shares").alias("share"), "source").repartition(n, "file_path", "share")
+    to_each = other.join(shares, "file_path").select("file_path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"), "sink").repartition(n, "file_path", "share")
+    pairs = to_each.join(dealt.hint("merge"), ["file_path", "share"]).filter(ok)
+    return pairs.select("file_path", F.col("source.name").alias("source"), F.col("sink.name").alias("sink"), kind.alias("vulnerability_type"), impact.alias("impact"))
 
 
 class DocumentationAnalyzer:

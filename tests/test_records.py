@@ -261,3 +261,16 @@ def test_state_goes_with_the_lock(spark, tmp_path):
     assert state(3) == {2: 1}
     assert state(4) == {2: 1, 1: 5}
     assert sorted((r.user_id, r.locked_at) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 1004.0), (1, 20_006.0)]
+
+
+def test_flows_put_out_every_pair_of_a_file(spark, monkeypatch):
+    """A row for each source and sink, not one for each pair of kinds, also where a file's sources are many shares."""
+    from graphweir.operators import funnels
+
+    monkeypatch.setattr(funnels, "SHARE", 3)
+    schema = "name string, file_path string, kind string, description string"
+    sources = [(f"s{i}", f, "user_input" if i % 2 else "file_read", "d") for f, n in (("hot", 20), ("cold", 2), ("alone", 3), ("unknown", 4), (None, 2)) for i in range(n)]
+    sinks = [(f"k{i}", f, ("command_execution", "database_write", "logging")[i % 3], "d") for f, n in (("hot", 9), ("cold", 3), ("other", 2), ("unknown", 3), (None, 2)) for i in range(n)]
+    out = funnels.flows(spark.createDataFrame(sources + sources[:2], schema), spark.createDataFrame(sinks, schema), funnels.DocumentationAnalyzer())
+    want = [(f, s, k, *(("command injection", "high") if b == "command_execution" else ("sql injection", "medium"))) for s, f, a, _ in sources + sources[:2] for k, g, b, _ in sinks if f and f == g != "unknown" and a == "user_input" and b != "logging"]
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) == 11 * 6 + 2
