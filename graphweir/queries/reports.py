@@ -342,7 +342,8 @@ def w22(spark, d):
 
 def _audit(spark, d):
     """The events as audit events, with a component per type and no checksum for clicks."""
-    e = table(spark, d, "events").select(
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # sealing and opening a line takes far longer than reading it: a file's rows go to more tasks than its bytes ask for
+    e = table(spark, d, "events").repartition(n).select(
         F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("user_id").cast("string").alias("user_id"), F.lit("web").alias("component"), F.from_json("props", "map<string,string>").alias("details"),
         F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"), F.col("ts").cast("timestamp").alias("timestamp"), F.lit(None).cast("string").alias("source_ip"), F.when(F.col("event_type") == "error", False).alias("success"),
         F.lit(None).cast("string").alias("resource_id"), F.lit(None).cast("string").alias("session_id"),

@@ -265,8 +265,6 @@ def test_state_goes_with_the_lock(spark, tmp_path):
 
 def test_flows_put_out_every_pair_of_a_file(spark, monkeypatch):
     """A row for each source and sink, not one for each pair of kinds, also where a file's sources are many shares."""
-    from graphweir.operators import funnels
-
     monkeypatch.setattr(funnels, "SHARE", 3)
     schema = "name string, file_path string, kind string, description string"
     sources = [(f"s{i}", f, "user_input" if i % 2 else "file_read", "d") for f, n in (("hot", 20), ("cold", 2), ("alone", 3), ("unknown", 4), (None, 2)) for i in range(n)]
@@ -274,3 +272,25 @@ def test_flows_put_out_every_pair_of_a_file(spark, monkeypatch):
     out = funnels.flows(spark.createDataFrame(sources + sources[:2], schema), spark.createDataFrame(sinks, schema), funnels.DocumentationAnalyzer())
     want = [(f, s, k, *(("command injection", "high") if b == "command_execution" else ("sql injection", "medium"))) for s, f, a, _ in sources + sources[:2] for k, g, b, _ in sinks if f and f == g != "unknown" and a == "user_input" and b != "logging"]
     assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) == 11 * 6 + 2
+
+
+def test_the_sort_of_an_audit_query_does_not_open_lines_again(spark):
+    start, opened = dt.datetime(2024, 1, 1), spark.sparkContext.accumulator(0)
+
+    def through(value):
+        opened.add(1)
+        return value
+
+    rows = [(f"e{i}", start + dt.timedelta(minutes=i % 7)) for i in range(50)]
+    events = spark.createDataFrame(rows, "event_id string, timestamp timestamp").repartition(3).withColumn("event_id", F.udf(through, "string").asNondeterministic()("event_id"))
+    got = [(r.timestamp, r.event_id) for r in audit.query_events(events, start, start + dt.timedelta(days=1), verify=False).collect()]
+    assert got == sorted(((t, e) for e, t in rows), reverse=True) and opened.value == 50
+
+
+def test_lines_of_a_small_file_are_sealed_in_many_tasks(spark, tmp_path):
+    from graphweir.queries import reports
+
+    rows = [(i, dt.datetime(2024, 1, 6), i, "error", 1.0, '{"a": "b"}') for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert audit.lines(reports._audit(spark, str(tmp_path))).select(F.spark_partition_id()).distinct().count() == 4
+    assert reports.q1(spark, str(tmp_path)).count() == 400
