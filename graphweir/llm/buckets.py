@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweir.plans.durable import durable, sized
+
 #: Members of a bucket that is looked at.
 MOST = 2_000
 
@@ -70,6 +72,27 @@ def candidate_links(entries: DataFrame, keys: list[str], near: Callable[[pd.Data
     ``near`` takes a frame and gives a function of a span of its rows that says, as a symmetric matrix, which may be similar;
     ``batch`` rows are gathered for a frame.
     """
+    small = entries.filter(F.col("n") <= MOST).drop("n", "low")
+    large = entries.filter((F.col("n") > MOST) & (F.col("node") != F.col("low"))).select(F.col("low").alias("a"), F.col("node").alias("b"))
+    return _looked_at(small, keys, near, batch).unionByName(large).distinct()
+
+
+def links_in_full_buckets(entries: DataFrame, keys: list[str], near: Callable[[pd.DataFrame], Callable[[int, int], np.ndarray]], batch: int = 50_000) -> DataFrame:
+    """As ``candidate_links``, for an index that leaves few members alone: ``entries`` are all of them, without n and low.
+
+    Only the large buckets are listed, of which there is one for ``MOST`` entries at most; a list of all buckets would grow with the
+    entries, which are many times the rows that they were made of and that Spark estimates them by.
+    """
+    slim = entries.select(*keys, "node")
+    counted = slim.groupBy(*keys).agg(F.count("*").alias("n"), F.min("node").alias("low")).filter(F.col("n") > MOST)
+    large = sized(durable(counted.drop("n"), "large-buckets"))
+    small = entries.join(large.drop("low"), keys, "left_anti")
+    unseen = slim.join(large, keys).filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    return _looked_at(small, keys, near, batch).unionByName(unseen).distinct()
+
+
+def _looked_at(entries: DataFrame, keys: list[str], near: Callable[[pd.DataFrame], Callable[[int, int], np.ndarray]], batch: int) -> DataFrame:
+    """Links of entries whose buckets are all looked at."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, spans in whole_buckets(frames, keys, batch):
@@ -82,6 +105,4 @@ def candidate_links(entries: DataFrame, keys: list[str], near: Callable[[pd.Data
                 b.append(node[s + y])
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
-    small = entries.filter(F.col("n") <= MOST).drop("n", "low").repartition(*keys).sortWithinPartitions(*keys)
-    large = entries.filter((F.col("n") > MOST) & (F.col("node") != F.col("low"))).select(F.col("low").alias("a"), F.col("node").alias("b"))
-    return small.mapInPandas(run, "a long, b long").unionByName(large).distinct()
+    return entries.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")

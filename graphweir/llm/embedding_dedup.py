@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweir.llm.buckets import candidate_links
+from graphweir.llm.buckets import links_in_full_buckets
 from graphweir.llm.ngram_join import blocked_pairs, spanning
 from graphweir.plans.components import connected_components
-from graphweir.plans.durable import ROW, durable, row_numbers
+from graphweir.plans.durable import ROW, durable, row_numbers, sized
 
 THRESHOLD, RECALL = 0.95, 0.99
 #: Standard deviations of a corrected estimate that count as possible.
@@ -196,13 +196,14 @@ def embedding_classes(df: DataFrame, threshold: float = THRESHOLD, recall: float
     verified = _links(same.withColumn("bytes", F.octet_length("raw")), kind, threshold, recall)
     links = verified.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = connected_components(verified.filter("a <> b").select("a", "b"))
-    by_vector = same.select("digest", "node", "copies").join(links, "node", "left").join(classes, "node", "left")
+    # all of these grow with the table and compress to a few bytes a row, so none is left to Spark to send whole
+    by_vector = same.select("digest", "node", "copies").join(links.hint("merge"), "node", "left").join(classes.hint("merge"), "node", "left")
     by_vector = by_vector.select("digest", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
     out = rows.select(ROW, "id", "digest").join(by_vector, "digest", "left")
     out = durable(out.select(ROW, "id", F.coalesce("component", ROW).alias("component"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "vector-classes")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(ROW).alias("row"))).alias("first")
     named = durable(out.groupBy("component").agg(first), "vector-components")
-    return out.join(named, "component").select(F.col("id").alias(id_col), "n_links", F.col("first.id").alias("component_id"), (F.col(ROW) == F.col("first.row")).alias("kept"), ROW)
+    return out.join(named.hint("merge"), "component").select(F.col("id").alias(id_col), "n_links", F.col("first.id").alias("component_id"), (F.col(ROW) == F.col("first.row")).alias("kept"), ROW)
 
 
 def _links(nodes: DataFrame, kind: np.dtype, threshold: float, recall: float) -> DataFrame:
@@ -210,10 +211,7 @@ def _links(nodes: DataFrame, kind: np.dtype, threshold: float, recall: float) ->
     known = nodes.agg(F.count("*").alias("n"), F.coalesce(F.max("bytes"), F.lit(1)).alias("bytes")).first()
     tables, bits = tables_for(known["n"], threshold, recall)
     stored = durable(codes(nodes, kind, tables, bits), "codes")
-    bucket = ["bytes", "t", "key"]
-    keyed = stored.select("node", "bytes", F.posexplode("keys").alias("t", "key"))
-    full = keyed.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
-    entries = stored.select("node", "bytes", "code", "factor", "step", "query", F.posexplode("keys").alias("t", "key")).join(full, bucket)
+    entries = stored.select("node", "bytes", "code", "factor", "step", "query", F.posexplode("keys").alias("t", "key"))
 
     def near(frame: pd.DataFrame) -> Callable[[int, int], np.ndarray]:
         size, made = frame["bytes"].to_numpy(), {}  # sorted by length
@@ -227,9 +225,10 @@ def _links(nodes: DataFrame, kind: np.dtype, threshold: float, recall: float) ->
 
         return test
 
-    candidates = candidate_links(entries, bucket, near, max(2_000, 4_000_000 * kind.itemsize // known["bytes"]))
+    candidates = links_in_full_buckets(entries, ["bytes", "t", "key"], near, max(2_000, 4_000_000 * kind.itemsize // known["bytes"]))
     clusters = connected_components(candidates).select("node", F.col("component").alias("cluster"))
-    members = nodes.select("node", "copies", "raw").join(clusters, "node").join(stored.drop("keys", "bytes"), "node").withColumn("weight", F.lit(1))
+    clusters = sized(durable(clusters, "vector-clusters")).withColumn("weight", F.lit(1))
+    members = nodes.select("node", "copies", "raw").join(clusters, "node").join(stored.drop("keys", "bytes"), "node")
     # dealt by pairs of blocks, or all blocks of a cluster would stay in the task that the cluster is in
-    pairs = blocked_pairs(members, "weight", BLOCK_ROWS, BLOCK_ROWS).repartition("cluster", "i", "j")
+    pairs = blocked_pairs(members, "weight", BLOCK_ROWS, BLOCK_ROWS, clusters).repartition("cluster", "i", "j")
     return durable(pairs.groupBy("cluster", "i", "j").applyInPandas(lambda f: compare(f, kind, threshold), "a long, b long, links long"), "vector-links")

@@ -230,13 +230,14 @@ def compare(frame: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
     return pd.concat([counts, edges], ignore_index=True).astype({"a": "int64", "b": "int64", "links": "int64"})
 
 
-def blocked_pairs(members: DataFrame, weight: str, most_weight: int, most_rows: int) -> DataFrame:
+def blocked_pairs(members: DataFrame, weight: str, most_weight: int, most_rows: int, slim: DataFrame | None = None) -> DataFrame:
     """Each member of a cluster, once for every pair of blocks (i <= j) that its block is in.
 
     A cluster is cut into blocks by a hash of its members, so that a block holds about
-    ``most_weight`` and ``most_rows`` at most; nearly all clusters are one block.
+    ``most_weight`` and ``most_rows`` at most; nearly all clusters are one block.  Where
+    ``members`` are joined, ``slim`` has their clusters and weights for less work.
     """
-    size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum(weight) / most_weight), F.ceil(F.count("*") / most_rows)).alias("nb"))
+    size = (members if slim is None else slim).groupBy("cluster").agg(F.greatest(F.ceil(F.sum(weight) / most_weight), F.ceil(F.count("*") / most_rows)).alias("nb"))
     dealt = members.join(size, "cluster").withColumn("block", F.expr("pmod(xxhash64(node), nb)"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))
     return dealt.withColumn("o", other).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o", "nb")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 ROW = "__gw_row"
+#: Rows of a table that a join may send whole through the driver.
+SENT_ROWS = 250_000
 _LOCAL: dict[str, str] = {}
 
 
@@ -47,6 +49,15 @@ def durable(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(write_table(df, name, codec))
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """A durable table to join with, which is sent whole only if it has few rows.
+
+    Spark decides by the size of the files, where sorted numbers take some three bytes a row;
+    in the driver, which builds what is sent, the same row takes some hundred.
+    """
+    return table.hint("merge") if table.count() > SENT_ROWS else table
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     jvm = spark.sparkContext._jvm

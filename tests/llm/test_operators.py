@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphweir.llm import buckets, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, sharding, tokens, url_filter
+from graphweir.plans import durable
 from graphweir.plans.durable import ROW
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -419,6 +420,40 @@ def test_large_buckets_link_without_being_looked_at(spark, monkeypatch):
         assert sum(got.values()) == want.sum()
 
 
+def sent_rows(spark, run):
+    """Rows of each broadcast that ``run`` causes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    rows, executions = [], store.executionsList()
+    for k in range(before, executions.size()):
+        i = executions.apply(k).executionId()
+        values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+        for node in filter(lambda x: x.name() == "BroadcastExchange", map(nodes.apply, range(nodes.size()))):
+            metrics = [m for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows"]
+            rows += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if values.contains(m.accumulatorId())]
+    return rows
+
+
+def test_no_table_that_grows_is_sent_whole(spark, monkeypatch):
+    """Files of a few bytes a row, or a table before its keys are exploded, say little of the rows that the driver would build."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((4000, 64))
+    x[3000:] = x[:1000] + 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    out, old = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = [tuple(r) for r in embedding_dedup.embedding_classes(df).drop(ROW).orderBy("vec_id").collect()]
+    monkeypatch.setattr(durable, "SENT_ROWS", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
+    try:
+        sent = sent_rows(spark, lambda: out.extend(tuple(r) for r in embedding_dedup.embedding_classes(df).drop(ROW).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(out) == want and sum(r[1] > 0 for r in want) >= 2000
+    assert max(sent, default=0) <= 600, sent
+
+
 def test_buckets_are_cut_whole():
     import pandas as pd
 
